@@ -6,7 +6,8 @@ import tempfile
 import uuid
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Text bytes that one partition of a hash-bucketed exchange should stand for.
 BUCKET_BYTES = 8 << 20
@@ -47,3 +48,13 @@ def raw(column: pa.Array) -> list[bytes | None]:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
+
+
+def every_salt(salts: int) -> Column:
+    """Makes a row for each salt, for the side of a salted join that is repeated."""
+    return F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>"))
+
+
+def salt(key: Column, salts: int) -> Column:
+    """The one salt of a row of the other side."""
+    return F.pmod(F.xxhash64(key), F.lit(salts)).cast("long")
