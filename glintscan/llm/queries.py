@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glintscan.llm import ngram_join, quality_classifier, quality_rules, secrets, substring_dedup, toxicity, word_bpe
+from glintscan.llm import decontamination, licenses, ngram_join, quality_classifier, quality_rules, secrets, substring_dedup, toxicity, warc, word_bpe
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,18 @@ def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
+def op5_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.records(warc.archive(table(spark, sf_dir, "pages")))
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.assess(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return word_bpe.roundtrip(table(spark, sf_dir, "documents"), vocabulary())
 
@@ -55,12 +67,23 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_classifier": op2_quality_classifier,
     "op3_toxicity": op3_toxicity,
     "op4_secret_scans": op4_secret_scans,
+    "op5_license_scans": op5_license_scans,
+    "op6_warc": op6_warc,
+    "op7_decontamination": op7_decontamination,
     "op8_bpe": op8_bpe,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op6_warc": r"""
+        WITH p AS (SELECT page_id, coalesce(html, '') AS t, octet_length(encode(coalesce(html, ''))) AS n FROM pages),
+        f AS (SELECT *, min(page_id) OVER (PARTITION BY t) AS first FROM p)
+        SELECT page_id, n AS payload_bytes, sha256(t) AS payload_digest,
+               CASE WHEN n >= 100 AND page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN n >= 100 AND page_id > first THEN first END AS refers_to
+        FROM f
+    """,
     "op1_quality_rules": r"""
         WITH d AS (
             SELECT doc_id, coalesce(text, '') AS text,
