@@ -46,24 +46,44 @@ def bigrams(text: str) -> list[str]:
     return sorted({f"{a} {b}" for a, b in zip(words, words[1:], strict=False)})
 
 
-def marked(lower: Column, threshold: float = THRESHOLD, templates: dict[str, str] | None = None) -> Column:
-    """Whether a lower-cased text has one of the bigrams that it needs to reach ``threshold`` with any template.
+def marks(threshold: float = THRESHOLD, templates: dict[str, str] | None = None) -> list[str]:
+    """Words or bigrams (as patterns) of which a text needs one to reach ``threshold`` with any template.
 
-    Bigrams with a word of five letters or more are looked for by that word, the others by a pattern.
+    Greedy cover: the word that stands in most of the bigrams still to be accounted for comes first. What words
+    of six letters or more do not account for is added as whole bigrams.
     """
-    long, short = set(), set()
+    left = []
     for text in (templates or TEMPLATES).values():
-        grams = sorted(bigrams(text), key=lambda g: (-max(map(len, g.split())), g))
-        for g in grams[: len(grams) - math.ceil(threshold * len(grams) / (2 - threshold) - 1e-9) + 1]:
-            word = max(g.split(), key=len)
-            if len(word) >= 5:
-                long.add(word)
-            else:
-                short.add(g.replace(" ", "[^a-z0-9]+"))
-    some = F.lit(False)
-    for w in sorted(w for w in long if not any(v != w and v in w for v in long)):
-        some = some | F.contains(lower, F.lit(w))
-    return some | lower.rlike(f"(?<![a-z0-9])(?:{'|'.join(sorted(short))})(?![a-z0-9])") if short else some
+        grams = bigrams(text)
+        left.append([set(grams), len(grams) - math.ceil(threshold * len(grams) / (2 - threshold) - 1e-9) + 1])
+    found = []
+    while any(need > 0 for _, need in left):
+        gain: dict[str, int] = {}
+        for grams, need in left:
+            if need > 0:
+                for w in {w for g in grams for w in g.split() if len(w) >= 6}:
+                    gain[w] = gain.get(w, 0) + min(need, sum(w in g.split() for g in grams))
+        if gain:
+            word = max(gain, key=lambda w: (gain[w], w))
+            found.append(word)
+            hit = lambda g, w=word: w in g.split()
+        else:
+            gram = max((g for grams, need in left if need > 0 for g in grams), key=lambda g: (len(g), g))
+            found.append(gram.replace(" ", "[^a-z0-9]+"))
+            hit = lambda g, w=gram: g == w
+        for row in left:
+            row[1] -= sum(map(hit, row[0]))
+            row[0] = {g for g in row[0] if not hit(g)}
+    return found
+
+
+def marked(lower: Column, threshold: float = THRESHOLD, templates: dict[str, str] | None = None) -> Column:
+    """Whether a lower-cased text has a mark; the pattern is factored by first letter, so most places fail at once."""
+    by: dict[str, list[str]] = {}
+    for m in marks(threshold, templates):
+        by.setdefault(m[0], []).append(m[1:])
+    words = "|".join(f"{c}(?:{'|'.join(sorted(rest))})" for c, rest in sorted(by.items()))
+    return lower.rlike(f"(?<![a-z0-9])(?:{words})(?![a-z0-9])")
 
 
 def units(text: Column) -> Column:
@@ -84,10 +104,11 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold:
     least, most = low * min(map(len, known.values())), high * max(map(len, known.values()))
     lower = F.lower(F.col(text).cast("string"))
     # as many words as bigrams, or more where bigrams repeat: only the lower bound holds for words
-    rows = docs.filter(marked(lower, threshold, templates)).select(F.col(doc_id).alias("doc_id"), F.explode(units(lower)).alias("u")).select("doc_id", "u.line", F.split(F.trim(F.regexp_replace("u.unit", "[^a-z0-9]+", " ")), " ").alias("w"))
+    rows = docs.filter(marked(lower, threshold, templates)).select(F.col(doc_id).alias("doc_id"), F.explode(units(lower)).alias("u")).select("doc_id", "u.line", F.explode(F.array(F.split(F.trim(F.regexp_replace("u.unit", "[^a-z0-9]+", " ")), " "))).alias("w"))
     rows = rows.filter(F.size("w") >= math.floor(least) + 1)
     pairs = F.array_distinct(F.zip_with(F.slice("w", F.lit(1), F.size("w") - 1), F.slice("w", F.lit(2), F.size("w") - 1), lambda a, b: F.concat_ws(" ", a, b)))
-    rows = rows.select("doc_id", "line", pairs.alias("g")).filter((F.size("g") >= math.floor(least)) & (F.size("g") <= math.ceil(most)))
+    # exploding a single array keeps the bigrams from being computed again for every template
+    rows = rows.select("doc_id", "line", F.explode(F.array(pairs)).alias("g")).filter((F.size("g") >= math.floor(least)) & (F.size("g") <= math.ceil(most)))
     judged = []
     for name, grams in known.items():
         fits = F.size("g").between(math.ceil(low * len(grams) - 1e-9), math.floor(high * len(grams) + 1e-9))
