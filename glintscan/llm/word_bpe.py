@@ -31,7 +31,7 @@ from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glintscan.llm.common import raw
+from glintscan.llm.common import cut, raw
 
 #: Words compiled into the automaton, and the longest of them in bytes.
 LEXICON, LONGEST = 100_000, 64
@@ -261,7 +261,10 @@ class Words(dict):
 
 
 def frequent_words(docs: DataFrame, bpe_path: str, text: str, size: int = LEXICON) -> list[bytes]:
-    """The most frequent words of the whole corpus, in ascending order."""
+    """The most frequent words of the whole corpus, at most ``size`` of them, in ascending order.
+
+    Only a histogram of the counts (64 bins a power of two) and the words taken come to the driver.
+    """
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, count = _bpe(bpe_path), Counter()
@@ -283,7 +286,15 @@ def frequent_words(docs: DataFrame, bpe_path: str, text: str, size: int = LEXICO
         yield flush()
 
     words = docs.select(F.col(text).cast("string").alias("_t")).mapInArrow(counted, "w binary, n long").groupBy("w").agg(F.sum("n").alias("n"))
-    return sorted(bytes(r["w"]) for r in words.filter(F.octet_length("w") <= LONGEST).orderBy(F.desc("n"), "w").limit(size).collect())
+    # a word that occurs once is not frequent; the counts of the others are cut at a bin's edge
+    words = cut(words.filter((F.col("n") > 1) & (F.octet_length("w") <= LONGEST)).withColumn("bin", F.floor(F.log2(F.col("n").cast("double")) * 64).cast("int")), "words")
+    taken, least = 0, None
+    for r in words.groupBy("bin").count().orderBy(F.desc("bin")).collect():
+        taken += r["count"]
+        if taken > size:
+            break
+        least = r["bin"]
+    return [] if least is None else sorted(bytes(r["w"]) for r in words.filter(F.col("bin") >= least).select("w").collect())
 
 
 def compiled(spark: SparkSession, words: list[bytes], bpe_path: str) -> str:
