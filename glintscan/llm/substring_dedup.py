@@ -119,7 +119,7 @@ def removed_ranges(docs: DataFrame, window: int, group: int) -> DataFrame:
     stats = found.groupBy("gram").agg(F.min("_id").alias("least"), F.max("_id").alias("most"), F.count("*").alias("n")).filter("least < most")
     some = found.withColumn("s", salt(F.struct("_id", "_h"), SALTS)).join(stats.select("gram", (F.col("n") > group).alias("large"), every_salt(SALTS).alias("s")), ["gram", "s"])
     wanted = cut(some.groupBy("_id", "_h").agg(F.collect_set(F.when(~F.col("large"), F.col("gram"))).alias("grams"), F.collect_set(F.when(F.col("large"), F.col("gram"))).alias("large")), "wanted")
-    looked = docs.join(wanted, ["_id", "_h"], "left")  # an outer join, so that its exchange of texts serves the last step too
+    looked = docs.join(wanted.hint("merge"), ["_id", "_h"], "left")  # an outer join, so that one exchange of texts serves all steps
 
     def contexts(column: str, whole: bool) -> object:
         def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,7 +168,8 @@ def removed_ranges(docs: DataFrame, window: int, group: int) -> DataFrame:
     fields = "gram long, _id long, _h long, start long, left long, wins long, context binary"
     ranges = looked.select("_id", "_h", "_t", "grams").mapInArrow(contexts("grams", False), fields).repartition("gram").mapInArrow(trees, "_id long, _h long, start long, end long")
     if not wanted.filter(F.size("large") > 0).isEmpty():
-        whole = cut(looked.select("_id", "_h", "_t", "large").mapInArrow(contexts("large", True), fields).select("_id", "_h", "start", "context"), "windows")
+        # used twice in one query: the exchange of texts is the same as above, so only the windows are made twice
+        whole = looked.select("_id", "_h", "_t", "large").mapInArrow(contexts("large", True), fields).select("_id", "_h", "start", "context")
         least = whole.groupBy("context").agg(F.min("_id").alias("least"), F.max("_id").alias("most")).filter("least < most").select("context", "least", every_salt(SALTS).alias("s"))
         again = whole.withColumn("s", salt(F.struct("_id", "start"), SALTS)).join(least, ["context", "s"]).filter("_id > least")
         ranges = ranges.union(again.select("_id", "_h", "start", F.col("start") + window))
@@ -195,4 +196,4 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: i
                 texts.append(b" ".join(words if gone[-1] == 0 else [words[i] for i in np.nonzero(stays)[0]]))
             yield pa.RecordBatch.from_arrays([b["_id"], pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(texts, pa.binary())], ["doc_id", "n_words", "n_removed", "kept"])
 
-    return given.join(ranges, ["_id", "_h"], "left").select("_id", "_t", "ranges").mapInArrow(kept, "doc_id long, n_words long, n_removed long, kept binary")
+    return given.join(ranges.hint("merge"), ["_id", "_h"], "left").select("_id", "_t", "ranges").mapInArrow(kept, "doc_id long, n_words long, n_removed long, kept binary")
