@@ -43,6 +43,16 @@ def bucket_count(df: DataFrame, least: int = 16) -> int:
     return max(least, min(1 << 22, -(-input_bytes(df) // BUCKET_BYTES)))
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Keeps Arrow batches of texts to a few MB, on both sides of the pipe to the Python workers.
+
+    The default of 10,000 rows is hundreds of MB for long texts. A setting of the session's own stays.
+    """
+    for key, default, small in (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000"), ("spark.sql.execution.arrow.maxBytesPerBatch", None, str(8 << 20))):
+        if spark.conf.get(key, default) == default or (default is None and int(spark.conf.get(key)) > 8 << 20):
+            spark.conf.set(key, small)
+
+
 def raw(column: pa.Array) -> list[bytes | None]:
     """UTF-8 bytes of a string column, without decoding them."""
     if isinstance(column, pa.ChunkedArray):

@@ -30,14 +30,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glintscan.llm.common import bucket_count, cut, every_salt, raw, salt
+from glintscan.llm.common import bucket_count, cut, every_salt, raw, salt, small_batches
 from glintscan.llm.components import components
 from glintscan.llm.shingles import WordHashes, mixed, shingle_set
 
 #: Documents of the sample, their longest text in bytes, and the sampled classes that make a token frequent.
 SAMPLE_ROWS, SAMPLE_BYTES, FREQUENT = 8_192, 1 << 16, 8
 #: Tokens that a task gathers before it deals them to buckets; members and tokens of a block of verification.
-FLUSH, BLOCK_MEMBERS, BLOCK_TOKENS = 1_000_000, 1_024, 2_000_000
+FLUSH, BLOCK_MEMBERS, BLOCK_TOKENS = 400_000, 1_024, 2_000_000
 SALTS = 16
 
 
@@ -221,6 +221,7 @@ def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5
     if not 50 < percent <= 100:
         raise ValueError("percent must lie above 50")
     spark = docs.sparkSession
+    small_batches(spark)
     given = docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).cast("string").alias("_t"))
     frequent = spark.sparkContext.broadcast(frequent_tokens(given, k))
     base = cut(described(given, k, frequent), "sets")

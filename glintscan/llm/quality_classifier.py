@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glintscan.llm.boosting import Forest, fit
-from glintscan.llm.common import raw
+from glintscan.llm.common import raw, small_batches
 from glintscan.llm.textstats import FEATURES, Document
 
 #: Labelled rows to learn from, at most.
@@ -43,6 +43,7 @@ def labelled(labels: DataFrame, label: str, rows: int, doc_id: str = "doc_id") -
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", doc_id: str = "doc_id", text: str = "text", rows: int = TRAIN_ROWS) -> Forest:
     """A forest from the labelled rows of ``labels``; pass only those that may be learnt from."""
+    small_batches(docs.sparkSession)
     chosen = docs.select(F.col(doc_id).alias("_id"), F.col(text).cast("string").alias("_t")).join(F.broadcast(labelled(labels, label, rows, doc_id)), "_id")
 
     @F.arrow_udf("array<double>")

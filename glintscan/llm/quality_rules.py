@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glintscan.llm.common import raw
+from glintscan.llm.common import raw, small_batches
 from glintscan.llm.textstats import Document
 
 #: Rows of the sample on which rules are measured, and the longest text (in bytes) that it takes.
@@ -71,6 +71,7 @@ def measure(texts: list[bytes | None], rules: tuple[Rule, ...] = RULES) -> list[
 
 def cascade(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> tuple[Rule, ...]:
     """The rules in the order in which to try them on ``docs``."""
+    small_batches(docs.sparkSession)
     t = F.col(text)
     sample = docs.filter(F.octet_length(t) <= SAMPLE_BYTES).filter(F.pmod(F.xxhash64(t), F.lit(8)) == 0).select(F.encode(t, "UTF-8")).take(SAMPLE_ROWS)
     return tuple(m.rule for m in sorted(measure([bytes(r[0]) for r in sample], rules), key=lambda m: (-m.gain, m.seconds)))
@@ -108,14 +109,17 @@ def assess(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rules: t
     base = tuple(r for r in rules if r.base)
     fields = ", ".join(f"{m} long" for m in MEASURES)
 
+    def one(text: bytes | None) -> tuple:
+        """The cascade first, then what it left out; the document's words go before the next one comes."""
+        d = Document(text)
+        failed = first_failed(d, order)
+        return (*(getattr(d, m) for m in MEASURES), failed is not None and (failed.base or any(r.rejects(d) for r in base)), failed is None)
+
     @F.arrow_udf(f"struct<{fields.replace(' ', ':').replace(',:', ',')},base_failed:boolean,kept:boolean>")
     def judged(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in batches:
-            docs = [Document(t) for t in raw(column)]
-            failed = [first_failed(d, order) for d in docs]
-            out = [pa.array([getattr(d, m) for d in docs], pa.int64()) for m in MEASURES]
-            out.append(pa.array([f is not None and (f.base or any(r.rejects(d) for r in base)) for d, f in zip(docs, failed, strict=True)], pa.bool_()))
-            out.append(pa.array([f is None for f in failed], pa.bool_()))
-            yield pa.StructArray.from_arrays(out, [*MEASURES, "base_failed", "kept"])
+            rows = list(map(one, raw(column)))
+            kinds = [pa.int64()] * len(MEASURES) + [pa.bool_()] * 2
+            yield pa.StructArray.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], [*MEASURES, "base_failed", "kept"])
 
     return docs.select(F.col(doc_id).alias("doc_id"), judged(F.col(text).cast("string")).alias("_q")).select("doc_id", "_q.*")

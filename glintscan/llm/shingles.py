@@ -12,7 +12,7 @@ class WordHashes(dict):
     """64-bit hash of each word; forgets all words when it has grown large."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 200_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glintscan.llm.common import cut, every_salt, raw, salt
+from glintscan.llm.common import cut, every_salt, raw, salt, small_batches
 from glintscan.llm.shingles import WordHashes, windows
 
 #: Words of a gram; suffixes that a task takes for one prefix; words looked at in one piece.
@@ -180,6 +180,7 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: i
     """Per row ``doc_id``, ``n_words``, ``n_removed`` and ``kept`` (the words that stay, joined by single spaces)."""
     if window < GRAM:
         raise ValueError(f"a window needs {GRAM} words")
+    small_batches(docs.sparkSession)
     given = docs.select(F.col(doc_id).cast("long").alias("_id"), F.xxhash64(text).alias("_h"), F.col(text).cast("string").alias("_t"))
     ranges = removed_ranges(given, window, group).groupBy("_id", "_h").agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glintscan.llm.common import cut, raw
+from glintscan.llm.common import cut, raw, small_batches
 from glintscan.llm.quality_classifier import remainder
 
 POSITIVES, UNLABELLED, VOCABULARY = 4_000, 16_000, 512
@@ -97,6 +97,7 @@ def nnpu(rows: np.ndarray, cols: np.ndarray, positive: np.ndarray, width: int, p
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str = "doc_id", text: str = "text") -> WordModel:
     """A model from the positives among ``labels`` and from unlabelled ``docs``; pass only labels that may be learnt from."""
+    small_batches(docs.sparkSession)
     key = F.col(doc_id)
     known = labels.filter(key.isNotNull() & F.col(label).isNotNull()).groupBy(key.alias("_id")).agg(F.max(label).alias("_y"))
     n, toxic = known.agg(F.count("*"), F.sum(F.col("_y").cast("int"))).first()

@@ -31,13 +31,13 @@ from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glintscan.llm.common import cut, raw
+from glintscan.llm.common import cut, raw, small_batches
 
 #: Words compiled into the automaton, and the longest of them in bytes.
 LEXICON, LONGEST = 100_000, 64
 _NEVER = (1 << 60, -1)
 #: Words that a task counts before it hands the counts on, and that a worker remembers.
-HELD = 1_000_000
+HELD, REMEMBERED = 500_000, 200_000
 _WHITE = "\t-\r\x20\x85\xa0  -     　"
 
 
@@ -241,7 +241,7 @@ class Words(dict):
         self.bpe, self.lexicon = bpe, lexicon
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) > HELD:
+        if len(self) > REMEMBERED:
             self.clear()
         key = word.encode("utf-8", "surrogatepass")
         out = self.lexicon.get(key) if self.lexicon else None
@@ -285,6 +285,7 @@ def frequent_words(docs: DataFrame, bpe_path: str, text: str, size: int = LEXICO
                     yield flush()
         yield flush()
 
+    small_batches(docs.sparkSession)
     words = docs.select(F.col(text).cast("string").alias("_t")).mapInArrow(counted, "w binary, n long").groupBy("w").agg(F.sum("n").alias("n"))
     # a word that occurs once is not frequent; the counts of the others are cut at a bin's edge
     words = cut(words.filter((F.col("n") > 1) & (F.octet_length("w") <= LONGEST)).withColumn("bin", F.floor(F.log2(F.col("n").cast("double")) * 64).cast("int")), "words")
