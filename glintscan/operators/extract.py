@@ -40,6 +40,7 @@ KEYWORDS = ("function", "return", "var", "let", "const", "if", "else", "for", "w
 SOURCE_MAP = r"(?m)^[\t ]*//[#@]\s*sourceMappingURL=([^\s]+)\s*$"
 ORIGIN_SKIPS = ("data:", "blob:", "mediastream:", "filesystem:", "ws:", "wss:", "self", "none", "nonce-", "sha256-", "sha384-", "sha512-", "strict-dynamic", "report-sample", "unsafe-")
 DIRECT_ADDRESS = r"""["'](https?://[^"'\s?]+\?[^"'\s]+)["']"""
+OPTION_CALL, OPTION_KEY = r"""axios\.(?:get|post|put|delete|patch)\(["']([^"']+)["'][^)]*params\s*:\s*\{([^}]+)\}""", r"([a-zA-Z0-9_\-]+)\s*:"
 
 
 def every(body: Column, patterns: tuple[str, ...], group: int = 1) -> Column:
@@ -114,6 +115,21 @@ def query_addresses(docs: DataFrame, source: str = "source", body: str = "body")
     return rows.filter(F.size(keys) > 0).select("source", F.concat(F.substring_index(a, "?", 1), F.lit("?"), F.array_join(F.transform(keys, lambda k: F.concat(k, F.lit("="))), "&")).alias("address")).distinct()
 
 
+def option_addresses(docs: DataFrame, source: str = "source", body: str = "body") -> DataFrame:
+    """(source, address): addresses of calls with an object of parameters, its keys in order as a query without values.
+
+    Paths belong to the source's origin and give no row without one; addresses of other base domains go.
+    """
+    hits = lambda g: F.regexp_extract_all(body, F.lit(to_java(OPTION_CALL)), F.lit(g))
+    rows = docs.select(F.col(source).alias("source"), F.explode(F.arrays_zip(hits(1).alias("to"), hits(2).alias("options"))).alias("c")).select("source", "c.*")
+    keys = F.array_sort(F.filter(F.regexp_extract_all("options", F.lit(to_java(OPTION_KEY)), F.lit(1)), _named))
+    to = F.when(F.col("to").startswith("http"), F.col("to")).otherwise(F.concat(F.nullif(F.regexp_extract("source", r"(?i)\Ahttps?://[^/?#]+", 0), F.lit("")), "to"))
+    told = rows.select("source", keys.alias("keys"), to.alias("to")).filter((F.size("keys") > 0) & F.col("to").isNotNull())
+    same = base_domain(host(F.col("source"))) == base_domain(host(F.col("to")))
+    mark = F.when(F.contains(F.col("to"), F.lit("?")), "&").otherwise("?")
+    return told.filter(F.coalesce(same, host(F.col("source")).isNull())).select("source", F.concat("to", mark, F.array_join("keys", "=&"), F.lit("=")).alias("address")).distinct()
+
+
 def links(docs: DataFrame, same_domain: bool = True, source: str = "source", body: str = "body") -> DataFrame:
     """(source, link): addresses outside comments, without trailing punctuation; by default of the source's base domain."""
     (pattern,) = EXTRA["links"].values()

@@ -171,6 +171,12 @@ def query_addresses(s: SparkSession, d: str) -> DataFrame:
     return extract.query_addresses(_script(s, d))
 
 
+def option_addresses(s: SparkSession, d: str) -> DataFrame:
+    k = F.col("c_custkey").cast("string")
+    body = F.concat(F.lit("axios.get('/find', {params: {size: 2, page"), k, F.lit(": 1}}); axios.post('https://other.org/x', {params: {a: 1}})"))
+    return extract.option_addresses(table(s, d, "customer").select(F.concat(F.lit("https://www.shop"), k, F.lit(".net/app.js")).alias("source"), body.alias("body")))
+
+
 def csp_origins(s: SparkSession, d: str) -> DataFrame:
     k = F.col("s_suppkey").cast("string")
     policy = F.concat(F.lit("default-src 'self' https://cdn"), k, F.lit(".example.net; script-src 'nonce-x' *.wild.net static"), k, F.lit(".net https:;img-src data: https://cdn"), k, F.lit(".example.net"))
@@ -222,7 +228,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         all_findings, token_locations, pack_matches, value_functions, findings_by_value, key_scan, key_dedupe, registry_vs_legacy, ignore_and_diff, stage_statistics, verify_fold, rule_selection,
         severity_order, sarif_places, ndjson_lines, csv_rows, email_matches, legacy_scan, page_scripts, page_domains, page_links, endpoints, parameter_names, parameter_groups,
-        links_same_domain, query_addresses, csp_origins, robots_rules, source_map_members, har_entries, comments_stripped, conversation_scan, host_failures,
+        links_same_domain, query_addresses, option_addresses, csp_origins, robots_rules, source_map_members, har_entries, comments_stripped, conversation_scan, host_failures,
     )
 }
 
@@ -281,6 +287,7 @@ ORACLE_SQL: dict[str, str] = {
         SELECT 'https://www.shop' || c_custkey || '.net/app.js' AS source, 'https://' || h || c_custkey || '.net/' || p AS link
         FROM customer, (VALUES ('api.shop', 'v1/'), ('www.shop', 'find?q=1&lang=en')) t(h, p)""",
     "query_addresses": "SELECT 'https://www.shop' || c_custkey || '.net/app.js' AS source, 'https://www.shop' || c_custkey || '.net/find?lang=&q=' AS address FROM customer",
+    "option_addresses": "SELECT 'https://www.shop' || c_custkey || '.net/app.js' AS source, 'https://www.shop' || c_custkey || '.net/find?page' || c_custkey || '=&size=' AS address FROM customer",
     "csp_origins": """
         SELECT s_suppkey::VARCHAR AS source, i AS position, CASE i WHEN 0 THEN 'https://cdn' || s_suppkey || '.example.net' WHEN 1 THEN 'static' || s_suppkey || '.net' ELSE 'https:' END AS origin
         FROM supplier, (SELECT unnest([0, 1, 2])::BIGINT AS i)""",

@@ -106,6 +106,12 @@ def test_parameter_groups_split_at_gap(spark):
     assert [r["parameters"] for r in rows] == [["a", "b"], ["c"]]
 
 
+def test_option_addresses(spark):
+    call = "axios.put('/a?x=1', {\n params: {z: 1, b-c: 2}})"
+    rows = extract.option_addresses(docs(spark, ("http://h.example/s.js", call + call), ("plain", call), ("plain2", "axios.get('http://o.org/p', {params: {q: 1}})"), ("n", None))).collect()
+    assert sorted(map(tuple, rows)) == [("http://h.example/s.js", "http://h.example/a?x=1&b-c=&z="), ("plain2", "http://o.org/p?q=")]
+
+
 def test_self_test(spark):
     rules = [r for r in catalog.built_in() if r.id == "aws.access_key_id"]
     ex = spark.createDataFrame([("aws.access_key_id", "tp", KEY), ("aws.access_key_id", "fp", "AKIA" + "IOSFODNN7EXAMPLE")], "rule_id string, kind string, value string")
