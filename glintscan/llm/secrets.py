@@ -1,7 +1,9 @@
 """Secret scans, with DataFrame functions only.
 
 Three fixed shapes (assignments, access keys, long hexadecimal runs) are located by regular expression. Other
-tokens that mix letters and digits are judged by a randomness battery: their encoding is inferred, and a
+tokens that mix letters and digits are judged by a randomness battery: a name or value ends at ``=`` unless that
+is padding, and what mixes the two base64 alphabets is judged as a whole and by its longest runs of one of them;
+no part is shorter than ``SHORTEST``. The encoding of each part is inferred, and a
 chi-squared test of uniformity over its alphabet, a runs test and a lag-1 serial correlation test are combined
 by Fisher's method. A low combined p-value means that a token is demonstrably not random. Those rejections are
 made by the Benjamini-Hochberg procedure within classes of token length, over the whole corpus, so that in
@@ -22,7 +24,10 @@ ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]+"
 #: Kinds in the order in which spans with the same start are listed, with their patterns and least lengths.
 KINDS = ("assign", "access", "hex", "random")
+SHORTEST = 20
 TOKEN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
+#: Parts of a token between inner ``=``, and runs of one alphabet in a part.
+PARTS, RUNS = r"[^=]+(?:=+$)?", (r"[A-Za-z0-9+/]+=*", r"[A-Za-z0-9_-]+=*")
 #: Alphabets by the pattern that tells them, narrowest first.
 ALPHABETS = (
     (r"^[0-9a-f]+$", "0123456789abcdef"),
@@ -32,6 +37,7 @@ ALPHABETS = (
     (r"^[A-Za-z0-9]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"),
     (r"^[A-Za-z0-9+/]+=*$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"),
     (r"^[A-Za-z0-9_-]+=*$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"),
+    (r"^[A-Za-z0-9+/_-]+=*$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_"),
 )
 #: Share of false rejections within a length class; the step (40: p = 0.01) from which on a token is never held to be random.
 Q, FLOOR_STEP = 0.05, 40
@@ -112,13 +118,28 @@ def length_class(length: Column) -> Column:
 
 
 def rounded(p: Column) -> Column:
-    """``p`` rounded up to one of 20 steps a power of ten: as the number of steps below 1, 400 at most."""
-    return F.least(F.lit(400), F.floor(-20 * F.log10(F.greatest(p, F.lit(1e-20)))).cast("int"))
+    """``p`` rounded up to one of 20 steps a power of ten: as the number of steps below 1, 400 at most; null stays null."""
+    return F.when(p.isNotNull(), F.least(F.lit(400), F.floor(-20 * F.log10(F.greatest(p, F.lit(1e-20)))).cast("int")))
+
+
+def parts(tokens: Column) -> Column:
+    """Of tokens (start, end, value), the parts to be judged, likewise, each once."""
+    plain = lambda v: ~v.rlike("=[^=]") & ~(v.rlike("[+/]") & v.rlike("[_-]")) & ~v.startswith("=")
+
+    def moved(x: Column, pattern: str) -> Column:
+        return F.transform(located(x["value"], pattern), lambda y: F.struct((x["start"] + y["start"]).alias("start"), (x["start"] + y["end"]).alias("end"), y["value"].alias("value")))
+
+    long = lambda found: F.filter(found, lambda y: F.length(y["value"]) >= SHORTEST)
+
+    def runs(x: Column) -> Column:
+        return F.when(plain(x["value"]), F.array(x)).otherwise(F.array_distinct(F.concat(F.array(x), *(long(moved(x, r)) for r in RUNS))))
+
+    return F.flatten(F.transform(tokens, lambda x: F.when(plain(x["value"]), F.array(x)).otherwise(F.flatten(F.transform(long(moved(x, PARTS)), runs)))))
 
 
 def candidates(text: Column, base: Column) -> Column:
     """Tokens to be judged: (start, end, class, step), outside the base spans."""
-    tokens = F.filter(located(text, TOKEN), lambda x: x["value"].rlike("[0-9]") & x["value"].rlike("[A-Za-z]") & ~F.exists(base, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
+    tokens = F.filter(parts(located(text, TOKEN)), lambda x: x["value"].rlike("[0-9]") & x["value"].rlike("[A-Za-z]") & ~F.exists(base, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
     judged = F.transform(tokens, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), length_class(x["end"] - x["start"]).alias("cls"), rounded(battery(x["value"])).alias("step")))
     return F.filter(judged, lambda x: x["step"].isNotNull())
 

@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from glintscan.llm import components, decontamination, licenses, ngram_join, quality_classifier, quality_rules, queries, secrets, substring_dedup, toxicity, warc, word_bpe
 from glintscan.llm.boosting import fit
@@ -157,6 +158,20 @@ def test_secrets(spark, none):
     assert secrets.scan(none).count() == 0
 
 
+def test_secrets_in_names_and_mixed_alphabets(spark):
+    rng = random.Random(8)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    secret = lambda more, n: "".join(rng.choice(letters + more) for _ in range(n - 4)) + "a1" + more
+    a, b, c, d = secret("+/", 40), secret("-_", 40), secret("+/", 42), secret("-_", 39)
+    cases = [f"AWS_SECRET_ACCESS_KEY={a}", f"PRIVATE_KEY={b} x", f"GET /v1?key={d}&sig={c}==", f"A={a}={b}", "=" + a, f"{a}{b}"]
+    rows = spark.createDataFrame([(i, t, "", "") for i, t in enumerate(cases)] + [(100 + i, f"LOG_LINE=g1{'g' * 30 + 'h' * 20}", "", "") for i in range(30)], DOCS)
+    got = {r["doc_id"]: r["text"] for r in secrets.redact(rows).collect()}
+    assert [got[i] for i in range(6)] == ["AWS_SECRET_ACCESS_KEY=[SECRET]", "PRIVATE_KEY=[SECRET] x", "GET /v1?key=[SECRET]&sig=[SECRET]", "A=[SECRET]=[SECRET]", "=[SECRET]", "[SECRET]"]
+    assert all("g1gggg" in got[100 + i] for i in range(30))
+    short = spark.createDataFrame([("a1" + "=" * 20,)], "t string").select(secrets.rounded(secrets.battery(F.col("t"))).alias("s"))
+    assert short.first()["s"] is None
+
+
 def test_licenses(spark, none):
     cases = ["Prose.\nLicensed under the Apache License, Version 2.0.\nMore.", "released under the mit license", "Nothing here", None, "", "This work is licensed under\nthe GNU General Public License, version 3"]
     rows = licenses.scan(spark.createDataFrame([(i, t, "", "") for i, t in enumerate(cases)], DOCS)).collect()
