@@ -172,6 +172,14 @@ def test_secrets_in_names_and_mixed_alphabets(spark):
     assert short.first()["s"] is None
 
 
+def test_random_tokens_are_not_thrown_out(spark):
+    rng = random.Random(9)
+    letters = "abcdefghijklmnopqrstuvwxyz0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    token = lambda k, n: "a1" + "".join(rng.choice(letters[:k]) for _ in range(n - 2))
+    rows = spark.createDataFrame([(i, token(*((62, 40), (36, 20))[i % 2]), "", "") for i in range(4000)], DOCS)
+    assert sum(r["n_random"] + r["n_hex"] for r in secrets.scan(rows).select("n_random", "n_hex").collect()) >= 3998
+
+
 def test_licenses(spark, none):
     cases = ["Prose.\nLicensed under the Apache License, Version 2.0.\nMore.", "released under the mit license", "Nothing here", None, "", "This work is licensed under\nthe GNU General Public License, version 3"]
     rows = licenses.scan(spark.createDataFrame([(i, t, "", "") for i, t in enumerate(cases)], DOCS)).collect()
