@@ -79,9 +79,13 @@ def _hits(body: Column, rule: Column) -> Column:
     return F.aggregate(zipped, begin, step, lambda acc: acc["out"])
 
 
-def matches(docs: DataFrame, rules: Iterable[Rule], source: str = "source", body: str = "body", comments: bool = True, max_bytes: int = MAX_BYTES) -> DataFrame:
-    """One row for each match: source, rule columns, value, byte offset, line, byte column, its line and ±96 bytes."""
-    text = capped(F.col(body).cast("string"), max_bytes)
+def matches(docs: DataFrame, rules: Iterable[Rule], source: str = "source", body: str = "body", comments: bool = True, max_bytes: int | None = None) -> DataFrame:
+    """One row for each match: source, rule columns, value, byte offset, line, byte column, its line and ±96 bytes.
+
+    Bodies are read whole unless ``max_bytes`` is given.
+    """
+    text = F.col(body).cast("string")
+    text = text if max_bytes is None else capped(text, max_bytes)
     given = docs.select(F.col(source).cast("string").alias("source"), (text if comments else without_comments(text)).alias("_b")).filter("_b <> ''")
     one = F.array(F.struct(F.col("_b").alias("body"), F.lower("_b").alias("low")))
     table = rule_array(rules)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glintscan.functions.text import host, public_target
-from glintscan.operators.scan import SCHEMA_VERSION
+from glintscan.operators.scan import MAX_BYTES, SCHEMA_VERSION, capped
 
 # Media types that count as script, and those that do not although their address may.
 SCRIPT_TYPES = ("application/javascript", "application/x-javascript", "text/javascript", "text/ecmascript", "application/ecmascript", "text/jscript")
@@ -33,6 +33,14 @@ def admitted(responses: DataFrame, inline_html: bool = False) -> DataFrame:
     return responses.filter(F.col("status").between(200, 299) & (script | page)).select(F.col("url").alias("source"), F.col("body").cast("string").alias("body"))
 
 
+def limited(docs: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """Documents of responses, HAR logs or source maps with at most ``max_bytes`` of body; ``truncated`` tells which were cut.
+
+    Only on request: no other reader and no scan cuts a body.
+    """
+    return docs.withColumn("truncated", F.octet_length("body") > max_bytes).withColumn("body", capped(F.col("body"), max_bytes))
+
+
 def har(spark: SparkSession, path: str) -> DataFrame:
     """Script bodies of a HAR log."""
     return har_entries(spark.read.schema(HAR).json(path, multiLine=True))

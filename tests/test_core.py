@@ -147,3 +147,13 @@ def test_scan_stream_dedupes(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(r["value"] for r in spark.table("scanned").collect()) == ["k123", "k456"]
+
+
+def test_hit_behind_32_mib(spark):
+    from glintscan.sources import readers
+
+    rule = [r for r in catalog.built_in() if r.id == "aws.access_key_id"]
+    long = spark.range(1).select(F.lit("a").alias("source"), F.concat(F.repeat(F.lit(" "), 33 << 20), F.lit(f"'{KEY}'")).alias("body"))
+    assert [r["start"] for r in scan.matches(long, rule).select("start").collect()] == [(33 << 20) + 1]
+    cut = readers.limited(docs(spark, ("a", "12345"), ("b", "123")), 4).orderBy("source").collect()
+    assert [(r["body"], r["truncated"]) for r in cut] == [("1234", True), ("123", False)]
