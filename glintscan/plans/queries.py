@@ -61,11 +61,19 @@ def value_functions(s: SparkSession, d: str) -> DataFrame:
 
 
 def all_findings(s: SparkSession, d: str) -> DataFrame:
+    return findings.find(documents(s, d), [*catalog.built_in(), *PACK])
+
+
+def conversation_findings(s: SparkSession, d: str) -> DataFrame:
+    return findings.find(_turns(s, d), [*catalog.built_in(), *PACK])
+
+
+def pack_findings(s: SparkSession, d: str) -> DataFrame:
     return findings.find(documents(s, d), PACK)
 
 
 def findings_by_value(s: SparkSession, d: str) -> DataFrame:
-    return all_findings(s, d).select("value_hash", "secret_type", "rule_id", F.size("locations").cast("long").alias("places"))
+    return pack_findings(s, d).select("value_hash", "secret_type", "rule_id", F.size("locations").cast("long").alias("places"))
 
 
 def key_scan(s: SparkSession, d: str) -> DataFrame:
@@ -105,8 +113,16 @@ def rule_selection(s: SparkSession, d: str) -> DataFrame:
     return catalog.as_table(s, catalog.only_and_disabled(catalog.built_in(), ["github.*", "stripe.*"], ["*.publishable_key"])).select("id", "severity", "validator")
 
 
+def _by_severity(found: DataFrame) -> DataFrame:
+    return found.groupBy("severity").agg(F.count("*").alias("n")).select("severity", "n", fn.severity_rank(F.col("severity")).cast("long").alias("rank"), fn.report_level(F.col("severity")).alias("level"))
+
+
 def severity_order(s: SparkSession, d: str) -> DataFrame:
-    return all_findings(s, d).groupBy("severity").agg(F.count("*").alias("n")).select("severity", "n", fn.severity_rank(F.col("severity")).cast("long").alias("rank"), fn.report_level(F.col("severity")).alias("level"))
+    return _by_severity(pack_findings(s, d))
+
+
+def all_severities(s: SparkSession, d: str) -> DataFrame:
+    return _by_severity(all_findings(s, d))
 
 
 def sarif_places(s: SparkSession, d: str) -> DataFrame:
@@ -208,9 +224,12 @@ def comments_stripped(s: SparkSession, d: str) -> DataFrame:
     return _script(s, d).select("source", F.sha2(scan.without_comments(F.col("body")), 256).alias("body_sha256"))
 
 
+def _turns(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("source"), F.col("text").alias("body"))
+
+
 def conversation_scan(s: SparkSession, d: str) -> DataFrame:
-    c = table(s, d, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("source"), F.col("text").alias("body"))
-    return scan.identified(scan.scored(scan.matches(c, PACK))).filter("drop_reason is null").select("source", "id", "value_hash")
+    return scan.identified(scan.scored(scan.matches(_turns(s, d), PACK))).filter("drop_reason is null").select("source", "id", "value_hash")
 
 
 def host_failures(s: SparkSession, d: str) -> DataFrame:
@@ -226,7 +245,7 @@ def host_failures(s: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        all_findings, token_locations, pack_matches, value_functions, findings_by_value, key_scan, key_dedupe, registry_vs_legacy, ignore_and_diff, stage_statistics, verify_fold, rule_selection,
+        all_findings, pack_findings, conversation_findings, all_severities, token_locations, pack_matches, value_functions, findings_by_value, key_scan, key_dedupe, registry_vs_legacy, ignore_and_diff, stage_statistics, verify_fold, rule_selection,
         severity_order, sarif_places, ndjson_lines, csv_rows, email_matches, legacy_scan, page_scripts, page_domains, page_links, endpoints, parameter_names, parameter_groups,
         links_same_domain, query_addresses, option_addresses, csp_origins, robots_rules, source_map_members, har_entries, comments_stripped, conversation_scan, host_failures,
     )

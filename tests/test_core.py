@@ -157,3 +157,16 @@ def test_hit_behind_32_mib(spark):
     assert [r["start"] for r in scan.matches(long, rule).select("start").collect()] == [(33 << 20) + 1]
     cut = readers.limited(docs(spark, ("a", "12345"), ("b", "123")), 4).orderBy("source").collect()
     assert [(r["body"], r["truncated"]) for r in cut] == [("1234", True), ("123", False)]
+
+
+def test_built_in_rules_reach_findings_and_sinks(spark, tmp_path):
+    from glintscan.plans import queries
+
+    texts = [f"x\nid = '{KEY}'", 'token = "0123456789abcdef0123456789abcdef01234567"', "nothing"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    places = {(f"doc://{i}", t[: m.start()].count("\n") + 1, m.start() - t.rfind("\n", 0, m.start())) for i, t in enumerate(texts) for m in re.finditer("AKIA[A-Z2-7]{16}", t)}
+    found = {r["rule_id"]: r for r in queries.all_findings(spark, str(tmp_path)).collect()}
+    assert {"aws.access_key_id", "doc.token"} <= set(found)
+    assert {(p["source"], p["line"], p["column"]) for p in found["aws.access_key_id"]["locations"]} == places
+    assert "aws.access_key_id" in {r["rule_id"] for r in queries.sarif_places(spark, str(tmp_path)).collect()}
+    assert [r["rule_id"] for r in queries.pack_findings(spark, str(tmp_path)).collect()] == ["doc.token"]
