@@ -144,7 +144,7 @@ def links(docs: DataFrame, same_domain: bool = True, source: str = "source", bod
 
 def csp_origins(docs: DataFrame, source: str = "source", policy: str = "policy") -> DataFrame:
     """(source, position, origin): origins that a content security policy names, in order, each once."""
-    parts = F.flatten(F.transform(F.split(policy, ";"), lambda d: F.slice(F.filter(F.split(F.trim(d), r"[ \t\n\r\f]+"), lambda x: x != ""), 2, 1000)))
+    parts = F.flatten(F.transform(F.split(policy, ";"), lambda d: F.filter(F.filter(F.split(F.trim(d), r"[ \t\n\r\f]+"), lambda x: x != ""), lambda x, i: i > 0)))
     kept = F.filter(F.transform(parts, lambda x: F.regexp_replace(x, r"""\A["']+|["']+\z""", "")), lambda x: (x != "") & ~x.startswith("*") & ~F.exists(F.array(*map(F.lit, ORIGIN_SKIPS)), lambda s: F.startswith(F.lower(x), s)))
     return docs.select(F.col(source).alias("source"), F.posexplode(F.array_distinct(kept)).alias("position", "origin"))
 

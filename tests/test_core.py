@@ -170,3 +170,9 @@ def test_built_in_rules_reach_findings_and_sinks(spark, tmp_path):
     assert {(p["source"], p["line"], p["column"]) for p in found["aws.access_key_id"]["locations"]} == places
     assert "aws.access_key_id" in {r["rule_id"] for r in queries.sarif_places(spark, str(tmp_path)).collect()}
     assert [r["rule_id"] for r in queries.pack_findings(spark, str(tmp_path)).collect()] == ["doc.token"]
+
+
+def test_policy_of_many_sources(spark):
+    policy = "script-src " + " ".join(f"https://h{i}.net" for i in range(1500)) + "; img-src;; font-src https://f.net"
+    rows = extract.csp_origins(spark.createDataFrame([("a", policy)], "source string, policy string")).orderBy("position").collect()
+    assert [r["origin"] for r in rows] == [f"https://h{i}.net" for i in range(1500)] + ["https://f.net"]
