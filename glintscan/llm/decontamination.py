@@ -92,8 +92,8 @@ class Items:
         self.seeds = dict(seeds)
         self.sorted = np.sort(np.fromiter(self.seeds, np.uint64, len(self.seeds)))
 
-    def best(self, text: bytes | None) -> tuple[float, int, int] | None:
-        """Coverage, item and number of tiles of the item that a text covers most (ties: the least id)."""
+    def best(self, text: bytes | None, coverage_least: float = COVERAGE) -> tuple[float, int, int] | None:
+        """Coverage, item and number of tiles of the item that a text covers most (ties: the least id); items that cannot reach ``coverage_least`` are left out."""
         get = self.number.get
         own = words(text)
         ids = np.fromiter((get(w, 0) for w in own), np.int64, len(own))
@@ -113,7 +113,7 @@ class Items:
         found = None
         for item, places in sorted(shared.items()):
             ids_item = self.items[item]
-            if LEAST * len(set(places)) < COVERAGE * len(ids_item):
+            if LEAST * len(set(places)) < coverage_least * len(ids_item):
                 continue
             # only words under seeds can lie under tiles; a break between them keeps runs apart
             under = np.unique(np.add.outer(places, np.arange(LEAST)).ravel())
@@ -135,31 +135,31 @@ def blocks(benchmark: DataFrame, item_id: str, text: str) -> Iterator[list[tuple
         yield [(r["i"], bytes(r["t"])) for r in rows.filter(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k).select("i", F.encode("t", "UTF-8").alias("t")).collect()]
 
 
-def _best(text: Column, items: object) -> Column:
+def _best(text: Column, items: object, coverage: float) -> Column:
     @F.arrow_udf("struct<coverage:double,item_id:long,tiles:long>")
     def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in batches:
-            found = [items.value.best(t) for t in raw(column)]
+            found = [items.value.best(t, coverage) for t in raw(column)]
             yield pa.array([None if f is None else {"coverage": f[0], "item_id": f[1], "tiles": f[2]} for f in found], pa.struct([("coverage", pa.float64()), ("item_id", pa.int64()), ("tiles", pa.int64())]))
 
     return of(text)
 
 
-def best_match(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> Column:
+def best_match(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", coverage: float = COVERAGE) -> Column:
     """Column with the coverage, item and tiles of the item that each text covers most; null without a shared seed."""
     sc = docs.sparkSession.sparkContext
-    found = [_best(F.col(text).cast("string"), sc.broadcast(Items(rows))) for rows in blocks(benchmark, item_id, item_text)]
+    found = [_best(F.col(text).cast("string"), sc.broadcast(Items(rows)), coverage) for rows in blocks(benchmark, item_id, item_text)]
     return F.greatest(*found) if len(found) > 1 else found[0]
 
 
 def assess(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", coverage: float = COVERAGE) -> DataFrame:
     """Per row ``contaminated``, and coverage (0 without a match), item and tiles of the best match."""
-    found = docs.select(F.col(doc_id).alias("doc_id"), best_match(docs, benchmark, text).alias("m"))
+    found = docs.select(F.col(doc_id).alias("doc_id"), best_match(docs, benchmark, text, coverage=coverage).alias("m"))
     share = F.coalesce("m.coverage", F.lit(0.0))
     return found.select("doc_id", (share >= coverage).alias("contaminated"), share.alias("coverage"), "m.item_id", F.coalesce("m.tiles", F.lit(0)).cast("long").alias("tiles"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", coverage: float = COVERAGE) -> DataFrame:
     """The rows of ``docs`` that cover no item."""
-    found = docs.withColumn("_m", best_match(docs, benchmark, text))
+    found = docs.withColumn("_m", best_match(docs, benchmark, text, coverage=coverage))
     return found.filter(F.coalesce("_m.coverage", F.lit(0.0)) < coverage).select(*docs.columns)

@@ -217,6 +217,15 @@ def test_decontamination(spark, none):
     assert decontamination.assess(none, bench).count() == 0 and decontamination.clean(rows, bench.limit(0)).count() == 7
 
 
+def test_decontamination_at_a_low_coverage(spark):
+    rng = random.Random(4)
+    item, noise = words(rng, 40), words(rng, 20, 10**6)
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    rows = spark.createDataFrame([(0, " ".join(item[:5] + noise[:9] + item[10:15] + noise[9:] + item[20:25]), "", "")], DOCS)
+    (r,) = decontamination.assess(rows, bench, coverage=0.3).collect()
+    assert r["contaminated"] and r["coverage"] == 0.375 and decontamination.clean(rows, bench, coverage=0.3).count() == 0
+
+
 def test_bpe_equals_the_library(spark, docs, none):
     tokenizers = pytest.importorskip("tokenizers")
     path = queries.vocabulary()
