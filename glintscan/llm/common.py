@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Text bytes that one partition of a hash-bucketed exchange should stand for.
 BUCKET_BYTES = 8 << 20
+#: Folders of the tables that ``cut`` has given back.
+_WRITTEN: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -30,7 +33,26 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: later jobs do not repeat its lineage."""
     path = scratch(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _WRITTEN[out] = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes what ``cut`` has written of tables that nothing will read again."""
+    for df in tables:
+        if path := _WRITTEN.pop(df, None):
+            jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(conf).delete(at, True)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while (name := "_" + name) in taken:
+        pass
+    return name
 
 
 def input_bytes(df: DataFrame) -> int:
@@ -38,9 +60,9 @@ def input_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def bucket_count(df: DataFrame, least: int = 16) -> int:
+def bucket_count(df: DataFrame, least: int = 16, each: int = BUCKET_BYTES) -> int:
     """Hash buckets in proportion to the input, so that a bucket's memory stays the same at any size."""
-    return max(least, min(1 << 22, -(-input_bytes(df) // BUCKET_BYTES)))
+    return max(least, min(1 << 26, -(-input_bytes(df) // each)))
 
 
 def small_batches(spark: SparkSession) -> None:

@@ -2,7 +2,7 @@
 
 (Kiveris et al., "Connected components in MapReduce and beyond", 2014.) Each round is a few group-bys whose
 groups only need a minimum, so no vertex's neighbours are ever gathered in one place; every round's edges are
-written to the shared folder, and nothing but their count and checksum comes to the driver.
+written to the shared folder, those of the round before deleted, and nothing but their count and checksum comes to the driver.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glintscan.llm.common import cut, every_salt, salt
+from glintscan.llm.common import cut, drop, every_salt, salt
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -39,7 +39,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
         if state[0] == state[2] and state == before or not state[0]:
             break
         before = state
-        e = cut(_star(_star(e, True).select("a", "b"), False), "edges")
+        before_cut, e = e, cut(_star(_star(e, True).select("a", "b"), False), "edges")
+        drop(before_cut)
     else:
         raise RuntimeError("components did not settle")
     return e.select(F.col("a").alias("node"), F.col("b").alias("component")).union(e.select("b", "b").distinct())

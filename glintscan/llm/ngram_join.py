@@ -13,9 +13,10 @@ Two documents link when the Jaccard similarity of their sets of word shingles re
 4. Classes that share an index key fall into one family; families come from components over (member, least
    member) edges, so keys with many members never yield pairs. Each family is verified exactly, in blocks,
    from counts of common tokens; only edges that join parts leave a task. In a family of more than one block,
-   all blocks meet the first one, and then only members outside the family's largest part meet the rest.
+   all blocks meet the first one. What is not joined by then meets another block only if it shares an index
+   key with a member there, and not if both are in the family's largest part.
 
-Sets are compared by 64-bit hashes of words and shingles. A null or empty text has no shingles and links with
+Sets are compared by 64-bit hashes of words and shingles, carried whole. A null or empty text has no shingles and links with
 nothing. Rows that share an id count as one node; rows without an id get a null component. Repeated rows
 come out once for each input row. An empty table gives an empty result.
 """
@@ -23,6 +24,7 @@ come out once for each input row. An empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -30,14 +32,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glintscan.llm.common import bucket_count, cut, every_salt, raw, salt, small_batches
+from glintscan.llm.common import bucket_count, cut, drop, every_salt, fresh, raw, salt, small_batches
 from glintscan.llm.components import components
 from glintscan.llm.shingles import WordHashes, mixed, shingle_set
 
 #: Documents of the sample, their longest text in bytes, and the sampled classes that make a token frequent.
 SAMPLE_ROWS, SAMPLE_BYTES, FREQUENT = 8_192, 1 << 16, 8
 #: Tokens that a task gathers before it deals them to buckets; members and tokens of a block of verification.
-FLUSH, BLOCK_MEMBERS, BLOCK_TOKENS = 400_000, 1_024, 2_000_000
+FLUSH, BLOCK_MEMBERS, BLOCK_TOKENS = 400_000, 1_024, 500_000
+#: Text bytes that a bucket of tokens stands for; rows of an Arrow batch that a task gives back.
+TOKEN_BUCKET, OUT_ROWS = 2 << 20, 50_000
 SALTS = 16
 
 
@@ -50,6 +54,19 @@ def _class(s: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
 
 
+def _among(s: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each of ``s`` stands in the sorted ``known``, and whether it does."""
+    if not len(known):
+        return np.zeros(len(s), np.int64), np.zeros(len(s), bool)
+    at = np.minimum(np.searchsorted(known, s), len(known) - 1)
+    return at, known[at] == s
+
+
+def _rows(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple]:
+    for b in batches:
+        yield from zip(*(b[c].to_pylist() for c in names), strict=True)
+
+
 def frequent_tokens(docs: DataFrame, k: int) -> np.ndarray:
     """Tokens of at least ``FREQUENT`` classes in the sample: at most a fixed share of the sample's tokens."""
 
@@ -76,19 +93,27 @@ def described(docs: DataFrame, k: int, frequent: object) -> DataFrame:
             for s in _sets(raw(b["_t"]), k, hashes):
                 n.append(len(s))
                 cls.append(_class(s) if len(s) else None)
-                hot.append(np.nonzero(np.isin(known, s, assume_unique=True))[0].astype("<u4").tobytes() if len(s) and len(known) else b"")
+                at, hit = _among(s, known)
+                hot.append(at[hit].astype("<u4").tobytes())
             yield pa.RecordBatch.from_arrays([b["_id"], pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(hot, pa.binary())], ["doc_id", "n", "cls", "hot"])
 
     return docs.mapInArrow(of, "doc_id long, n long, cls long, hot binary")
 
 
+def token_bytes(buckets: int) -> int:
+    """Bytes that hold what is left of a 64-bit token once its bucket is known."""
+    return -(-(((1 << 64) - 1) // buckets).bit_length() // 8)
+
+
 def shared_tokens(docs: DataFrame, k: int, frequent: object) -> DataFrame:
-    """(cls, df, token) for all tokens that at least two classes have, but for the frequent ones.
+    """(cls, rare): the tokens that at least two classes have, but for the frequent ones, from rare to frequent, as packed 64-bit hashes.
 
     Tasks deal packed tokens to buckets by hash: a row holds a bucket's classes, how many tokens each has, and
-    six bytes a token. A bucket stands for a fixed amount of input.
+    the tokens divided by the number of buckets, which loses nothing. A bucket stands for a fixed amount of
+    input; tasks sort their rows by bucket, or class, and hold one at a time.
     """
-    buckets = bucket_count(docs)
+    buckets = bucket_count(docs, least=256, each=TOKEN_BUCKET)
+    wide = token_bytes(buckets)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, known, seen = WordHashes(), frequent.value, set()
@@ -101,7 +126,7 @@ def shared_tokens(docs: DataFrame, k: int, frequent: object) -> DataFrame:
             at = (tokens % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(at, kind="stable")
             tokens, owner, at = tokens[order] // np.uint64(buckets), owner[order], at[order]
-            packed = np.ascontiguousarray(tokens.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :6]
+            packed = np.ascontiguousarray(tokens.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :wide]
             starts = np.nonzero(np.r_[True, at[1:] != at[:-1]])[0] if len(at) else np.zeros(0, np.int64)
             rows = {"bucket": [], "cls": [], "lens": [], "tokens": []}
             for i, j in zip(starts, [*starts[1:], len(at)], strict=False):
@@ -121,9 +146,9 @@ def shared_tokens(docs: DataFrame, k: int, frequent: object) -> DataFrame:
                 c = _class(s)
                 if not len(s) or c in seen:
                     continue
-                if len(seen) < 2_000_000:
+                if len(seen) < 500_000:
                     seen.add(c)
-                own.append(s[~np.isin(s, known, assume_unique=True)] if len(known) else s)
+                own.append(s[~_among(s, known)[1]])
                 classes.append(c)
                 held += len(own[-1])
                 if held >= FLUSH:
@@ -132,17 +157,15 @@ def shared_tokens(docs: DataFrame, k: int, frequent: object) -> DataFrame:
         yield flush()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[tuple[bytes, bytes, bytes]]] = {}
-        for b in batches:
-            for bucket, *row in zip(b["bucket"].to_pylist(), b["cls"].to_pylist(), b["lens"].to_pylist(), b["tokens"].to_pylist(), strict=True):
-                held.setdefault(bucket, []).append(tuple(row))
-        while held:
-            bucket, rows = held.popitem()
-            owner = np.concatenate([np.repeat(np.frombuffer(c, "<i8"), np.frombuffer(n, "<u4")) for c, n, _ in rows])
-            six = np.frombuffer(b"".join(t for _, _, t in rows), np.uint8).reshape(-1, 6)
-            eight = np.zeros((len(six), 8), np.uint8)
-            eight[:, :6] = six
-            token = eight.view("<u8").ravel()
+        for bucket, rows in groupby(_rows(batches, "bucket", "cls", "lens", "tokens"), key=lambda r: r[0]):
+            owners, packed = [], []
+            for _, cls, lens, tokens in rows:
+                owners.append(np.repeat(np.frombuffer(cls, "<i8"), np.frombuffer(lens, "<u4")))
+                packed.append(tokens)
+            eight = np.zeros((sum(map(len, owners)), 8), np.uint8)
+            eight[:, :wide] = np.frombuffer(b"".join(packed), np.uint8).reshape(-1, wide)
+            token, owner = eight.view("<u8").ravel(), np.concatenate(owners)
+            del eight, owners, packed
             order = np.argsort(token)
             token, owner = token[order], owner[order]
             equal = np.r_[False, token[1:] == token[:-1], False]
@@ -155,11 +178,31 @@ def shared_tokens(docs: DataFrame, k: int, frequent: object) -> DataFrame:
             _, back, df = np.unique(token, return_inverse=True, return_counts=True)
             df = df[back]
             many = df >= 2
-            full = token[many] ^ (np.uint64(bucket) << np.uint64(48))
-            yield pa.RecordBatch.from_arrays([pa.array(owner[many]), pa.array(np.minimum(df[many], 1 << 30).astype(np.int32)), pa.array(full.view(np.int64))], ["cls", "df", "token"])
+            full = token[many] * np.uint64(buckets) + np.uint64(bucket)
+            out = pa.RecordBatch.from_arrays([pa.array(owner[many]), pa.array(np.minimum(df[many], 1 << 30).astype(np.int32)), pa.array(full.view(np.int64))], ["cls", "df", "token"])
+            yield from (out.slice(i, OUT_ROWS) for i in range(0, out.num_rows, OUT_ROWS))
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cls, parts, held, done = [], [], 0, []
+        for b in batches:
+            c, t = b["cls"].to_numpy(), b["token"].to_numpy()
+            starts = np.nonzero(np.r_[True, c[1:] != c[:-1]])[0] if len(c) else []
+            for i, j in zip(starts, [*starts[1:], len(c)], strict=False):
+                if not cls or cls[-1] != c[i]:
+                    done += [b"".join(parts)] if cls else []
+                    parts = []
+                    if held >= FLUSH:
+                        yield pa.RecordBatch.from_pydict({"cls": pa.array(cls, pa.int64()), "rare": pa.array(done, pa.binary())})
+                        cls, done, held = [], [], 0
+                    cls.append(int(c[i]))
+                parts.append(t[i:j].astype("<i8").tobytes())
+                held += int(j - i)
+        done += [b"".join(parts)] if cls else []
+        yield pa.RecordBatch.from_pydict({"cls": pa.array(cls, pa.int64()), "rare": pa.array(done, pa.binary())})
 
     dealt = docs.select("_t").mapInArrow(deal, "bucket long, cls binary, lens binary, tokens binary")
-    return dealt.repartition("bucket").mapInArrow(count, "cls long, df int, token long")
+    counted = dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(count, "cls long, df int, token long")
+    return counted.repartition("cls").sortWithinPartitions("cls", "df", "token").mapInArrow(gather, "cls long, rare binary")
 
 
 def index_keys(n: int, rare: np.ndarray, hot: np.ndarray, percent: int) -> np.ndarray:
@@ -213,6 +256,25 @@ def verify(members: DataFrame, task: list[str], percent: int) -> DataFrame:
     return members.groupBy(*task).applyInArrow(of, "a long, b long")
 
 
+def across(large: DataFrame, keys: DataFrame, edges: DataFrame) -> DataFrame:
+    """Members of families of several blocks, once for each pair of blocks (low, high) in which they have still to be compared.
+
+    Two members of different blocks and parts (as linked by ``edges``) meet if they share an index key and one
+    of them is outside the largest part of the family; two members of that part are joined already.
+    """
+    part = components(edges).withColumnRenamed("node", "id")
+    parts = large.select("id", "family", "block").join(part, "id", "left").select("id", "family", "block", F.coalesce("component", "id").alias("part"))
+    main = parts.groupBy("family", "part").count().groupBy("family").agg(F.max_by("part", F.struct("count", "part")).alias("main"))
+    told = parts.join(main, "family").select("id", "family", "block", "part", (F.col("part") != F.col("main")).alias("rest"))
+    at = keys.join(told, "id").distinct()
+    there = at.groupBy("family", "key", F.col("block").alias("other")).agg(F.max("rest").alias("any"), F.min("part").alias("first"), F.max("part").alias("last"))
+    some = there.groupBy("family", "key").agg(F.max("any").alias("any"), F.min("first").alias("first"), F.max("last").alias("last")).filter("any and first < last").select("family", "key")
+    there = there.join(some, ["family", "key"], "left_semi").withColumn("s", every_salt(SALTS))
+    near = at.withColumn("s", salt(F.col("id"), SALTS)).join(there, ["family", "key", "s"])
+    visits = near.filter("block <> other and (rest or any) and not (first = last and first = part)").select("id", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")).distinct()
+    return large.select("family", "id", "n", "tokens").join(visits, "id")
+
+
 def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 75) -> DataFrame:
     """Per row ``doc_id``, ``n_shingles`` and ``component_id``; sets link at a Jaccard similarity of ``percent`` %.
 
@@ -227,22 +289,21 @@ def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5
     base = cut(described(given, k, frequent), "sets")
     classes = base.filter("cls is not null and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"), F.max("n").alias("n"), F.first("hot").alias("hot"))
 
-    named = given.filter("_id is not null")
-    shared = shared_tokens(named, k, frequent).groupBy("cls").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("rare"))
-    fit = F.coalesce(F.size("rare"), F.lit(0)) + F.octet_length("hot") / 4
+    shared = shared_tokens(given.filter("_id is not null"), k, frequent)
+    fit = F.coalesce(F.octet_length("rare") / 8, F.lit(0)) + F.octet_length("hot") / 4
     left = classes.join(shared, "cls", "left").filter(100 * fit >= percent * F.col("n"))
-    left = cut(left.select("id", "n", F.coalesce(F.col("rare.token"), F.expr("cast(array() as array<bigint>)")).alias("rare"), "hot"), "candidates")
+    left = cut(left.select("id", "n", F.coalesce("rare", F.lit(b"")).alias("rare"), "hot"), "candidates")
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            hot = [np.frombuffer(h, "<u4").astype(np.uint64) for h in b["hot"].to_pylist()]
-            keys = [index_keys(n, np.array(r, np.int64).view(np.uint64), h, percent) for n, r, h in zip(b["n"].to_pylist(), b["rare"].to_pylist(), hot, strict=True)]
-            ids = np.repeat(b["id"].to_numpy(), np.fromiter(map(len, keys), np.int64, len(keys)))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *keys]).view(np.int64)), pa.array(ids)], ["key", "id"])
+            for id_, n, rare, hot in _rows([b], "id", "n", "rare", "hot"):
+                keys = index_keys(n, np.frombuffer(rare, "<u8"), np.frombuffer(hot, "<u4").astype(np.uint64), percent)
+                if len(keys):
+                    yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(np.full(len(keys), id_))], ["key", "id"])
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [np.array(r, "<i8").tobytes() + (np.frombuffer(h, "<u4").astype("<u8") | np.uint64(1 << 63)).tobytes() for r, h in zip(b["rare"].to_pylist(), b["hot"].to_pylist(), strict=True)]
+            rows = [r + (np.frombuffer(h, "<u4").astype("<u8") | np.uint64(1 << 63)).tobytes() for r, h in _rows([b], "rare", "hot")]
             yield pa.RecordBatch.from_arrays([b["id"], b["n"], pa.array(rows, pa.binary())], ["id", "n", "tokens"])
 
     keys = cut(left.mapInArrow(keyed, "key long, id long"), "keys")
@@ -250,24 +311,17 @@ def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5
     stars = keys.withColumn("s", salt(F.col("id"), SALTS)).join(least, ["key", "s"]).select("id", "least").distinct()
     family = components(stars, "id", "least").select(F.col("node").alias("id"), F.col("component").alias("family"))
 
-    sized = family.join(left.select("id", "n"), "id").groupBy("family").agg(F.ceil(F.greatest(F.count("*") / BLOCK_MEMBERS, F.sum("n") / BLOCK_TOKENS)).alias("blocks"))
-    members = left.mapInArrow(packed, "id long, n long, tokens binary").join(family, "id").join(sized, "family").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    members = left.mapInArrow(packed, "id long, n long, tokens binary").join(family, "id")
     members = cut(members, "members")
+    drop(left)
+    sized = members.groupBy("family").agg(F.ceil(F.greatest(F.count("*") / BLOCK_MEMBERS, F.sum(F.octet_length("tokens") / 8) / BLOCK_TOKENS)).alias("blocks"))
+    placed = members.join(sized, "family").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
     meets = F.when(F.col("block") == 0, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))
-    edges = cut(verify(members.withColumn("task", F.explode(meets)), ["family", "task"], percent), "links")
-    large = members.filter("blocks > 2")
+    edges = cut(verify(placed.withColumn("task", F.explode(meets)), ["family", "task"], percent), "links")
+    large = placed.filter("blocks > 2")
     if not large.isEmpty():
-        part = components(edges).withColumnRenamed("node", "id")
-        parts = large.select("id", "family").join(part, "id", "left").select("id", "family", F.coalesce("component", "id").alias("part"))
-        sizes = parts.groupBy("family", "part").count().groupBy("family").agg(F.max_by("part", F.struct("count", "part")).alias("main"))
-        rest = parts.join(sizes, "family").filter("part <> main").select("id", F.lit(True).alias("rest")).distinct()
-        told = large.filter("block > 0").join(rest, "id", "left").withColumn("rest", F.coalesce("rest", F.lit(False)))
-        outside = told.filter("rest").select("family", F.col("block").alias("task")).distinct()
-        # the members outside the main part of a block meet all of every other block
-        every = told.drop("rest").join(outside, "family").filter("block <> task")
-        own = told.filter("rest").drop("rest").withColumn("other", F.explode(F.sequence(F.lit(1), F.col("blocks") - 1))).filter("other <> block")
-        both = every.select("family", "task", F.col("block").alias("other"), "id", "n", "tokens").union(own.select("family", F.col("block").alias("task"), "other", "id", "n", "tokens"))
-        edges = edges.union(cut(verify(both, ["family", "task", "other"], percent), "links"))
+        edges = edges.union(cut(verify(across(large, keys, edges), ["family", "low", "high"], percent), "links"))
+    drop(members, keys)
     found = components(edges).withColumnRenamed("node", "id")
 
     named_classes = classes.select("cls", "id", "copies").join(found, "id", "left").filter("copies > 1 or component is not null")
@@ -279,5 +333,6 @@ def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5
 
 def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay when one document of each component is kept: that with the least id."""
-    gone = link(docs, doc_id, text).filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col(doc_id) == F.col("_gone"), "left_anti")
+    own = fresh(docs, "gone")
+    gone = link(docs, doc_id, text).filter("doc_id <> component_id").select(F.col("doc_id").alias(own)).distinct()
+    return docs.join(gone, F.col(doc_id) == F.col(own), "left_anti")
