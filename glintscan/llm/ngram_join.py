@@ -13,8 +13,8 @@ Two documents link when the Jaccard similarity of their sets of word shingles re
 4. Classes that share an index key fall into one family; families come from components over (member, least
    member) edges, so keys with many members never yield pairs. Each family is verified exactly, in blocks,
    from counts of common tokens; only edges that join parts leave a task. In a family of more than one block,
-   all blocks meet the first one. What is not joined by then meets another block only if it shares an index
-   key with a member there, and not if both are in the family's largest part.
+   all blocks meet the first one. What is not joined by then meets another block only where one of both is not
+   in the family's largest part; in a family of many blocks, only if it shares an index key with a member there.
 
 Sets are compared by 64-bit hashes of words and shingles, carried whole. A null or empty text has no shingles and links with
 nothing. Rows that share an id count as one node; rows without an id get a null component. Repeated rows
@@ -42,6 +42,8 @@ SAMPLE_ROWS, SAMPLE_BYTES, FREQUENT = 8_192, 1 << 16, 8
 FLUSH, BLOCK_MEMBERS, BLOCK_TOKENS = 400_000, 1_024, 500_000
 #: Text bytes that a bucket of tokens stands for; rows of an Arrow batch that a task gives back.
 TOKEN_BUCKET, OUT_ROWS = 2 << 20, 50_000
+#: Blocks of a family up to which its members are compared with all blocks, whether they share an index key or not.
+FEW_BLOCKS = 16
 SALTS = 16
 
 
@@ -259,20 +261,28 @@ def verify(members: DataFrame, task: list[str], percent: int) -> DataFrame:
 def across(large: DataFrame, keys: DataFrame, edges: DataFrame) -> DataFrame:
     """Members of families of several blocks, once for each pair of blocks (low, high) in which they have still to be compared.
 
-    Two members of different blocks and parts (as linked by ``edges``) meet if they share an index key and one
-    of them is outside the largest part of the family; two members of that part are joined already.
+    All blocks have met the first one. Two members of other blocks and of different parts (as linked by ``edges``)
+    meet if one of them is outside the largest part of the family; two members of that part are joined already. In a
+    family of more than ``FEW_BLOCKS`` blocks they must share an index key too. To look that up takes a row for each
+    key of a member, which is more than a copy of the member for each of a few blocks.
     """
     part = components(edges).withColumnRenamed("node", "id")
-    parts = large.select("id", "family", "block").join(part, "id", "left").select("id", "family", "block", F.coalesce("component", "id").alias("part"))
-    main = parts.groupBy("family", "part").count().groupBy("family").agg(F.max_by("part", F.struct("count", "part")).alias("main"))
-    told = parts.join(main, "family").select("id", "family", "block", "part", (F.col("part") != F.col("main")).alias("rest"))
-    at = keys.join(told, "id").distinct()
-    there = at.groupBy("family", "key", F.col("block").alias("other")).agg(F.max("rest").alias("any"), F.min("part").alias("first"), F.max("part").alias("last"))
-    some = there.groupBy("family", "key").agg(F.max("any").alias("any"), F.min("first").alias("first"), F.max("last").alias("last")).filter("any and first < last").select("family", "key")
-    there = there.join(some, ["family", "key"], "left_semi").withColumn("s", every_salt(SALTS))
-    near = at.withColumn("s", salt(F.col("id"), SALTS)).join(there, ["family", "key", "s"])
-    visits = near.filter("block <> other and (rest or any) and not (first = last and first = part)").select("id", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")).distinct()
-    return large.select("family", "id", "n", "tokens").join(visits, "id")
+    parts = large.select("id", "family", "block", "blocks").join(part, "id", "left").select("id", "family", "block", "blocks", F.coalesce("component", "id").alias("part"))
+    main = parts.groupBy("family", "part").count().groupBy("family").agg(F.max_by("part", F.struct("count", "part")).alias("main")).withColumn("s", every_salt(SALTS))
+    told = parts.withColumn("s", salt(F.col("id"), SALTS)).join(main, ["family", "s"]).select("id", "family", "block", "blocks", "part", (F.col("part") != F.col("main")).alias("rest")).filter("block > 0")
+    told = cut(told, "parts")
+
+    def visits(at: DataFrame, *by: str) -> DataFrame:
+        there = at.groupBy(*by, F.col("block").alias("other")).agg(F.max("rest").alias("any"), F.min("part").alias("first"), F.max("part").alias("last")).withColumn("s", every_salt(SALTS))
+        near = at.withColumn("s", salt(F.col("id"), SALTS)).join(there, [*by, "s"])
+        return near.filter("block <> other and (rest or any) and not (first = last and first = part)").select("id", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+
+    few, many = told.filter(F.col("blocks") <= FEW_BLOCKS), told.filter(F.col("blocks") > FEW_BLOCKS)
+    found = visits(few, "family")
+    if not many.isEmpty():
+        held = keys.join(many.filter("rest").select("id"), "id", "left_semi").select("key").distinct()
+        found = found.union(visits(keys.join(held, "key", "left_semi").join(many, "id"), "family", "key"))
+    return large.select("family", "id", "n", "tokens").join(found.distinct(), "id")
 
 
 def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 75) -> DataFrame:
@@ -315,7 +325,8 @@ def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5
     members = cut(members, "members")
     drop(left)
     sized = members.groupBy("family").agg(F.ceil(F.greatest(F.count("*") / BLOCK_MEMBERS, F.sum(F.octet_length("tokens") / 8) / BLOCK_TOKENS)).alias("blocks"))
-    placed = members.join(sized, "family").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    sized = sized.withColumn("s", every_salt(SALTS))
+    placed = members.withColumn("s", salt(F.col("id"), SALTS)).join(sized, ["family", "s"]).drop("s").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
     meets = F.when(F.col("block") == 0, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))
     edges = cut(verify(placed.withColumn("task", F.explode(meets)), ["family", "task"], percent), "links")
     large = placed.filter("blocks > 2")

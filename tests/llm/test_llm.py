@@ -65,14 +65,53 @@ def test_ngram_join(docs, none, texts, monkeypatch):
     want = Counter((i, len(s), part[i]) for i, s in enumerate(sets))
     want[40, len(sets[40]), part[40]] += 1
     want[None, len(sets[10]), None] += 1
-    for members in (ngram_join.BLOCK_MEMBERS, 4):  # one block a family; many blocks
+    for members, few in ((ngram_join.BLOCK_MEMBERS, 16), (4, 16), (4, 2)):  # one block a family; many blocks; many that meet by keys
         monkeypatch.setattr(ngram_join, "BLOCK_MEMBERS", members)
+        monkeypatch.setattr(ngram_join, "FEW_BLOCKS", few)
         assert Counter(map(tuple, ngram_join.link(docs).collect())) == want
     assert ngram_join.link(none).count() == 0
     stay = {r["doc_id"] for r in ngram_join.representatives(docs.filter("doc_id is not null")).collect()}
     assert stay == {i for i in range(len(texts)) if part[i] == i}
 
 
+def components_of(sets, percent=75):
+    part = list(range(len(sets)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a and b and 100 * len(a & b) >= percent * len(a | b):
+                old, new = max(part[i], part[j]), min(part[i], part[j])
+                part = [new if p == old else p for p in part]
+    return part
+
+
+def test_ngram_join_of_a_chain_of_keys(spark, monkeypatch):
+    """Neighbours share keys all along, but only some of them link: one family, many blocks, few links."""
+    rng = random.Random(12)
+    pieces = [words(rng, 44, 10**6) for _ in range(60)]
+    texts = [" ".join(pieces[i] + pieces[i + 1] + words(rng, 4, 10**6)) for i in range(59)]
+    for i in rng.sample(range(59), 15):
+        w = texts[i].split()
+        w[rng.randrange(len(w))] = "changed"
+        texts.append(" ".join(w))
+    rng.shuffle(texts)
+    part = components_of([shingles(t) for t in texts])
+    rows = spark.createDataFrame([(i, t, "", "") for i, t in enumerate(texts)], DOCS)
+    for few in (16, 2):
+        monkeypatch.setattr(ngram_join, "BLOCK_MEMBERS", 6)
+        monkeypatch.setattr(ngram_join, "FEW_BLOCKS", few)
+        assert {r["doc_id"]: r["component_id"] for r in ngram_join.link(rows).collect()} == dict(enumerate(part))
+    assert 50 < len(set(part)) < 74
+
+
+def test_tokens_are_carried_whole():
+    for buckets in (256, 257, 65_535, 65_536, 100_003):
+        n = ngram_join.token_bytes(buckets)
+        for token in (0, 1, (1 << 64) - 1, 0x9E3779B97F4A7C15):
+            left = np.array([token], np.uint64) // np.uint64(buckets)
+            packed = left.view(np.uint8)[:n].tobytes()
+            assert int.from_bytes(packed, "little") * buckets + token % buckets == token
+
+
 def test_index_keys_keep_every_link():
     rng = random.Random(3)
     for _ in range(300):
