@@ -13,8 +13,9 @@ def entropy(v: Column) -> Column:
     """Shannon entropy of the characters, in bits; frequencies are taken over the number of bytes."""
     n = F.octet_length(v).cast("double")
     chars = F.filter(F.split(v, ""), lambda c: c != "")
-    share = lambda c: F.size(F.filter(chars, lambda d: d == c)) / n
-    return F.when(n > 0, F.aggregate(F.array_distinct(chars), F.lit(0.0), lambda acc, c: acc - share(c) * F.log2(share(c)))).otherwise(F.lit(0.0))
+    share = lambda c: (F.length(v) - F.length(F.replace(v, c, F.lit("")))) / n
+    shares = F.transform(F.array_distinct(chars), share)
+    return F.when(n > 0, F.aggregate(shares, F.lit(0.0), lambda acc, p: acc - p * F.log2(p))).otherwise(F.lit(0.0))
 
 
 def classes(v: Column) -> Column:

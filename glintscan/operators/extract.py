@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from glintscan.functions.arrays import each, numbered, running
 from glintscan.functions.text import base_domain, host
-from glintscan.rules.catalog import EXTRA
+from glintscan.operators.scan import LINK, assess, script, usable
+from glintscan.rules.catalog import EXTRA, legacy_rule
 from glintscan.rules.translate import to_java
 
 # Patterns of base addresses, endpoints, full addresses, getters and parameters, and what endpoints may not be.
@@ -39,7 +43,17 @@ QUERY_STRING, QUERY_KEY = r"""["']([^"']*\?[a-zA-Z0-9_\-]+=)""", r"([a-zA-Z0-9_\
 KEYWORDS = ("function", "return", "var", "let", "const", "if", "else", "for", "while")
 SOURCE_MAP = r"(?m)^[\t ]*//[#@]\s*sourceMappingURL=([^\s]+)\s*$"
 ORIGIN_SKIPS = ("data:", "blob:", "mediastream:", "filesystem:", "ws:", "wss:", "self", "none", "nonce-", "sha256-", "sha384-", "sha512-", "strict-dynamic", "report-sample", "unsafe-")
-DIRECT_ADDRESS = r"""["'](https?://[^"'\s?]+\?[^"'\s]+)["']"""
+DIRECT_ADDRESS = r"""["'](https?://[^"']+\?[^"']+)["']"""
+FETCH_ADDRESS = r"""fetch\(["'`]([^"'`]+)\?[^"'`]*["'`]"""
+OPEN_ADDRESS = r"""\.open\(["'](?:GET|POST|PUT|DELETE|PATCH)["']\s*,\s*["']([^"']+\?[^"']+)["']"""
+TEMPLATE_CALL, TEMPLATE_NAME = r"fetch\(`([^`]+)\$\{[^}]+\}[^`]*`\)", r"\$\{([a-zA-Z_][a-zA-Z0-9_]*)\}"
+ASSIGNED = r"""([a-zA-Z0-9_]*)\s*=\s*(?:urlParams|searchParams|params)\.get\(["']([^"']+)["']\)"""
+OBJECT_CALL, OBJECT_GROUP = r"new\s+URLSearchParams\([^)]*\{([^}]+)\}[^)]*\)", r"new\s+URLSearchParams\([^)]*\{([^}]+)\}"
+SITES = (
+    r"""["'](https?://[^"']+/[^"']*)["']""", r"""baseURL\s*[:=]\s*["']([^"']+)["']""", r"""apiBase\s*[:=]\s*["']([^"']+)["']""", r"""API_URL\s*[:=]\s*["']([^"']+)["']""",
+    r"""endpointBase\s*[:=]\s*["']([^"']+)["']""",
+)
+EVALUATED = r"""eval\s*\(\s*["']([^"']+)["']"""
 OPTION_CALL, OPTION_KEY = r"""axios\.(?:get|post|put|delete|patch)\(["']([^"']+)["'][^)]*params\s*:\s*\{([^}]+)\}""", r"([a-zA-Z0-9_\-]+)\s*:"
 
 
@@ -59,116 +73,251 @@ def valid_endpoint(e: Column) -> Column:
     return (F.octet_length(e) >= 2) & ~e.rlike(inside) & ~e.startswith("//") & ~e.rlike(r"""([=.:&?'";)/]|/a|/g)\z""") & ~e.isin(*VERBS) & (e.startswith("/") | e.startswith("http")) & ~F.exists(F.array(*map(F.lit, FOREIGN)), lambda d: F.contains(e, d)) & address
 
 
-def endpoints(docs: DataFrame, target: str | None = None, source: str = "source", body: str = "body") -> DataFrame:
-    """(source, endpoint): full addresses, and paths joined to the bases a body names, else to ``target``, else bare."""
-    b = F.col(body)
+def endpoints(docs: DataFrame, target: str | None = None, source: str = "source", body: str = "body", comments: bool = False, pattern: str | None = None) -> DataFrame:
+    """(source, endpoint): full addresses, and paths joined to the bases a body names, else to ``target``, else bare.
+
+    Comments are left out unless ``comments``. ``pattern`` keeps the endpoints that it matches; an unusable one keeps all.
+    """
+    b = F.col("_b")
     quote = lambda x: F.regexp_replace(x, r"""\A["']+|["']+\z""", "")
     bases = F.filter(F.transform(every(b, BASES), lambda x: F.regexp_replace(quote(x), "/+$", "")), lambda x: x != "")
     found = lambda xs: F.filter(F.transform(xs, lambda x: clean_endpoint(x)), lambda x: valid_endpoint(x))
-    rows = docs.select(F.col(source).alias("source"), bases.alias("bases"), found(every(b, ENDPOINTS)).alias("paths"), found(every(b, (ADDRESS,), 0)).alias("full"))
+    rows = _scripts(docs, source, body, comments).select("source", bases.alias("bases"), found(every(b, ENDPOINTS)).alias("paths"), found(every(b, (ADDRESS,), 0)).alias("full"))
     based = F.flatten(F.transform("bases", lambda x: F.transform(F.filter("paths", lambda p: p.startswith("/")), lambda p: F.concat(x, p))))
     alone = F.transform("paths", lambda p: F.when(p.startswith("/"), F.concat(F.lit(f"https://{target}"), p)).otherwise(p)) if target else F.when(F.size("bases") == 0, F.col("paths")).otherwise(F.filter("paths", lambda p: ~p.startswith("/")))
-    return rows.select("source", F.explode(F.array_distinct(F.concat("full", based, alone))).alias("endpoint"))
+    told = each(rows, F.array_distinct(F.concat("full", based, alone)), "endpoint", "source")
+    return told.filter(F.col("endpoint").rlike(to_java(pattern))) if pattern and usable(pattern) else told
+
+
+def _scripts(docs: DataFrame, source: str, body: str, comments: bool) -> DataFrame:
+    """(source, _b): the bodies as they are searched."""
+    return docs.select(F.col(source).cast("string").alias("source"), script(F.col(body).cast("string"), comments).alias("_b"))
 
 
 def _named(p: Column) -> Column:
     return F.octet_length(p).between(1, 99)
 
 
-def parameters(docs: DataFrame, source: str = "source", body: str = "body") -> DataFrame:
+def parameters(docs: DataFrame, source: str = "source", body: str = "body", comments: bool = False) -> DataFrame:
     """(source, parameter): names in query strings, call arguments and assignments, each once."""
-    b = F.col(body)
+    b = F.col("_b")
     keys = F.flatten(F.transform(F.regexp_extract_all(b, F.lit(to_java(QUERY_STRING)), F.lit(1)), lambda q: F.regexp_extract_all(q, F.lit(QUERY_KEY), F.lit(1))))
     common = F.filter(every(b, PARAMETERS[2:]), lambda p: (F.octet_length(p) > 1) & ~p.isin(*KEYWORDS))
     names = F.filter(F.array_distinct(F.concat(every(b, PARAMETERS[:2]), keys, common)), _named)
-    return docs.select(F.col(source).alias("source"), F.explode(names).alias("parameter"))
+    return each(_scripts(docs, source, body, comments), names, "parameter", "source")
+
+
+def _getters(body: Column) -> Column:
+    return F.filter(every(body, GETTERS), _named)
 
 
-def getter_parameters(docs: DataFrame, source: str = "source", body: str = "body") -> DataFrame:
+def getter_parameters(docs: DataFrame, source: str = "source", body: str = "body", comments: bool = False) -> DataFrame:
     """(source, parameter): names that code reads from its address."""
-    return docs.select(F.col(source).alias("source"), F.explode(F.filter(every(F.col(body), GETTERS), _named)).alias("parameter"))
+    return each(_scripts(docs, source, body, comments), _getters(F.col("_b")), "parameter", "source")
 
 
-def parameter_groups(docs: DataFrame, gap: int = 200, source: str = "source", body: str = "body") -> DataFrame:
-    """(source, group_no, parameters): getters less than ``gap`` bytes after the one before form a group.
+def _option_keys(text: Column) -> Column:
+    return F.filter(F.regexp_extract_all(text, F.lit(to_java(OPTION_KEY)), F.lit(1)), _named)
 
-    A parameter counts where it first occurs. Groups are sessions over offsets, numbered from 0.
+
+def _groups(body: Column, gap: int) -> Column:
+    """Names that code reads together: getters less than ``gap`` bytes after the one before, then keys of parameter objects.
+
+    A name counts where it first occurs; an object's keys only if a getter reads them and no group has them yet.
     """
-    pattern, b = to_java(GROUPED), F.col(body)
-    hits, names, gaps = F.regexp_extract_all(b, F.lit(pattern), F.lit(0)), F.regexp_extract_all(b, F.lit(pattern), F.lit(1)), F.split(b, pattern, -1)
+    pattern = F.lit(to_java(GROUPED))
+    hits, names, gaps = F.regexp_extract_all(body, pattern, F.lit(0)), F.regexp_extract_all(body, pattern, F.lit(1)), F.split(body, to_java(GROUPED), -1)
     zipped = F.arrays_zip(F.slice(gaps, F.lit(1), F.size(hits)).alias("gap"), hits.alias("hit"), names.alias("name"))
-    rows = docs.filter(b.rlike(pattern)).select(F.col(source).alias("source"), F.posexplode(zipped).alias("i", "z"))
-    order = Window.partitionBy("source").orderBy("i")
-    at = rows.withColumn("end", F.sum(F.octet_length("z.gap") + F.octet_length("z.hit")).over(order)).select("source", "i", F.col("z.name").alias("name"), (F.col("end") - F.octet_length("z.hit")).alias("pos"))
-    first = at.groupBy("source", "name").agg(F.min("pos").alias("pos"))
-    by = Window.partitionBy("source").orderBy("pos")
-    new = F.coalesce((F.col("pos") - F.lag("pos").over(by) >= gap).cast("int"), F.lit(0))
-    told = first.withColumn("new", new).withColumn("group_no", F.sum("new").over(by).cast("int"))
-    return told.groupBy("source", "group_no").agg(F.array_sort(F.collect_set("name")).alias("parameters"))
+    at = running(zipped, F.lit(0), "struct<name:string,pos:int>", lambda s, x: s + F.octet_length(x["gap"]) + F.octet_length(x["hit"]), lambda s, x: F.struct(x["name"].alias("name"), (s + F.octet_length(x["gap"])).alias("pos")))
+    first = F.filter(at, lambda x, i: F.array_position(names, x["name"]) == i + 1)
+    state = F.struct(F.lit(None).cast("int").alias("last"), F.lit(0).alias("group"))
+    number = lambda s, x: s["group"] + F.coalesce((x["pos"] - s["last"] >= gap).cast("int"), F.lit(0))
+    told = running(first, state, "struct<name:string,group:int>", lambda s, x: F.struct(x["pos"].alias("last"), number(s, x).alias("group")), lambda s, x: F.struct(x["name"].alias("name"), number(s, x).alias("group")))
+    one = F.array(F.struct(told.alias("told"), _getters(body).alias("known"), F.transform(F.regexp_extract_all(body, F.lit(to_java(OBJECT_GROUP)), F.lit(1)), _option_keys).alias("objects")))
+
+    def grouped(d: Column) -> Column:
+        numbers = F.array_distinct(F.transform(d["told"], lambda x: x["group"]))
+        read = F.transform(numbers, lambda g: F.array_sort(F.transform(F.filter(d["told"], lambda x: x["group"] == g), lambda x: x["name"])))
+        fresh = lambda used, keys: F.array_except(F.filter(F.array_distinct(keys), lambda k: F.array_contains(d["known"], k)), used)
+        objects = running(d["objects"], F.transform(d["told"], lambda x: x["name"]), "array<string>", lambda used, keys: F.concat(used, fresh(used, keys)), lambda used, keys: F.array_sort(fresh(used, keys)))
+        return F.concat(read, F.filter(objects, lambda g: F.size(g) > 0))
+
+    return F.element_at(F.transform(one, grouped), 1)
+
+
+def parameter_groups(docs: DataFrame, gap: int = 200, source: str = "source", body: str = "body", comments: bool = False) -> DataFrame:
+    """(source, group_no, parameters): names that code reads together, in groups numbered from 0."""
+    return numbered(_scripts(docs, source, body, comments), _groups(F.col("_b"), gap), "group_no", "parameters", "source")
+
+
+def _origin(source: Column) -> Column:
+    return F.nullif(F.regexp_extract(source, r"\Ahttps?://[^/?#]+", 0), F.lit(""))
+
+
+def _same_domain(source: Column, url: Column) -> Column:
+    """Whether an address is of the source's base domain, or the source of none."""
+    own = base_domain(host(source))
+    return own.isNull() | F.coalesce(base_domain(host(url)) == own, F.lit(False))
+
+
+def _absolute(source: Column, url: Column) -> Column:
+    """The address, behind the source's origin if it is a path; null if that has none."""
+    return F.when(url.startswith("http"), url).otherwise(F.concat(_origin(source), url))
+
+
+def _query(base: Column, keys: Column) -> Column:
+    """``base`` with sorted keys as a query without values; null without keys."""
+    mark = F.when(F.contains(base, F.lit("?")), "&").otherwise("?")
+    return F.when(F.size(keys) > 0, F.concat(base, mark, F.array_join(F.array_sort(keys), "=&"), F.lit("=")))
+
+
+def _without_values(source: Column, urls: Column) -> Column:
+    """Addresses with a query, its keys sorted and their values dropped; those of other base domains go."""
+    main = lambda u: F.substring_index(u, "#", 1)
+    query = lambda u: F.regexp_extract(main(u), r"(?s)\A[^?]*\?(.*)\z", 1)
+    keys = lambda u: F.array_distinct(F.filter(F.transform(F.filter(F.split(query(u), "&"), lambda k: ~F.contains(k, F.lit(";"))), lambda k: F.try_url_decode(F.substring_index(k, "=", 1))), _named))
+    base = lambda u: F.when(u.startswith("http"), F.substring_index(main(u), "?", 1)).otherwise(F.concat(F.lit("://"), F.substring_index(main(u), "?", 1)))
+    return F.array_compact(F.transform(urls, lambda u: F.when(_same_domain(source, u) & ~u.rlike(r"[\x00-\x1f\x7f]"), _query(base(u), keys(u)))))
+
+
+def _captured(body: Column, pattern: str, group: int = 1) -> Column:
+    return F.regexp_extract_all(body, F.lit(to_java(pattern)), F.lit(group))
+
+
+def _queried(source: Column, body: Column) -> Column:
+    """Addresses with a query: quoted ones, those of ``open`` calls, and of ``fetch`` calls with a second query mark."""
+    fetched = F.filter(_captured(body, FETCH_ADDRESS), lambda u: u.startswith("http"))
+    return _without_values(source, F.concat(_captured(body, DIRECT_ADDRESS), _captured(body, OPEN_ADDRESS), fetched))
+
+
+def _templates(source: Column, body: Column) -> Column:
+    """Addresses of ``fetch`` calls with a template: its query's keys, and the parameters that its variables were read from."""
+    calls = F.arrays_zip(_captured(body, TEMPLATE_CALL, 0).alias("call"), _captured(body, TEMPLATE_CALL).alias("url"))
+    read = F.arrays_zip(_captured(body, ASSIGNED).alias("name"), _captured(body, ASSIGNED, 2).alias("parameter"))
 
+    def address(c: Column, known: Column) -> Column:
+        base, query = F.substring_index(c["url"], "?", 1), F.get(F.split(c["url"], r"\?"), F.lit(1))
+        names = F.transform(_captured(c["call"], TEMPLATE_NAME), lambda v: F.get(F.filter(known, lambda a: F.endswith(a["name"], v)), F.lit(0))["parameter"])
+        keys = F.concat(F.array_compact(names), _captured(query, QUERY_KEY))
+        return F.when(F.contains(c["url"], F.lit("?")) & base.startswith("http") & _same_domain(source, base), _query(base, keys))
 
-def query_addresses(docs: DataFrame, source: str = "source", body: str = "body") -> DataFrame:
-    """(source, address): quoted addresses with a query, its keys sorted and their values dropped."""
-    a = F.col("a")
-    keys = F.array_sort(F.array_distinct(F.filter(F.transform(F.split(F.substring_index(a, "?", -1), "&"), lambda k: F.substring_index(k, "=", 1)), _named)))
-    rows = docs.select(F.col(source).alias("source"), F.explode(F.array_distinct(F.regexp_extract_all(body, F.lit(to_java(DIRECT_ADDRESS)), F.lit(1)))).alias("a"))
-    return rows.filter(F.size(keys) > 0).select("source", F.concat(F.substring_index(a, "?", 1), F.lit("?"), F.array_join(F.transform(keys, lambda k: F.concat(k, F.lit("="))), "&")).alias("address")).distinct()
+    return F.flatten(F.transform(F.array(read), lambda known: F.array_compact(F.transform(calls, lambda c: address(c, known)))))
 
 
-def option_addresses(docs: DataFrame, source: str = "source", body: str = "body") -> DataFrame:
+def _options(source: Column, body: Column) -> Column:
+    """Addresses of calls with an object of parameters."""
+    calls = F.arrays_zip(_captured(body, OPTION_CALL).alias("url"), _captured(body, OPTION_CALL, 2).alias("options"))
+    return F.array_compact(F.transform(calls, lambda c: F.when(_same_domain(source, _absolute(source, c["url"])), _query(_absolute(source, c["url"]), _option_keys(c["options"])))))
+
+
+def _objects(source: Column, body: Column) -> Column:
+    """Addresses of the nearest call before an object of search parameters."""
+    found = F.arrays_zip(_captured(body, OBJECT_CALL, 0).alias("call"), _captured(body, OBJECT_CALL).alias("options"))
+
+    def address(c: Column) -> Column:
+        before = F.left(body, F.instr(body, c["call"]) - 1)
+        behind = lambda mark: F.when(F.contains(before, F.lit(mark)), F.length(before) - F.length(F.substring_index(before, mark, -1)) - len(mark)).otherwise(-1)
+        start = F.greatest(behind("fetch("), behind("axios."))
+        url = _absolute(source, F.nullif(F.regexp_extract(F.substr(before, start + 1), r"""["']([^"']+)["']""", 1), F.lit("")))
+        return F.when((start > 0) & _same_domain(source, url), _query(url, _option_keys(c["options"])))
+
+    return F.array_compact(F.transform(found, address))
+
+
+def query_addresses(docs: DataFrame, source: str = "source", body: str = "body", comments: bool = False) -> DataFrame:
+    """(source, address): addresses with a query in strings and calls, its keys sorted and their values dropped."""
+    return _addresses(docs, source, body, comments, _queried)
+
+
+def template_addresses(docs: DataFrame, source: str = "source", body: str = "body", comments: bool = False) -> DataFrame:
+    """(source, address): addresses of calls with a template, with the parameters that the template is filled from."""
+    return _addresses(docs, source, body, comments, _templates)
+
+
+def option_addresses(docs: DataFrame, source: str = "source", body: str = "body", comments: bool = False) -> DataFrame:
     """(source, address): addresses of calls with an object of parameters, its keys in order as a query without values.
 
     Paths belong to the source's origin and give no row without one; addresses of other base domains go.
     """
-    hits = lambda g: F.regexp_extract_all(body, F.lit(to_java(OPTION_CALL)), F.lit(g))
-    rows = docs.select(F.col(source).alias("source"), F.explode(F.arrays_zip(hits(1).alias("to"), hits(2).alias("options"))).alias("c")).select("source", "c.*")
-    keys = F.array_sort(F.filter(F.regexp_extract_all("options", F.lit(to_java(OPTION_KEY)), F.lit(1)), _named))
-    to = F.when(F.col("to").startswith("http"), F.col("to")).otherwise(F.concat(F.nullif(F.regexp_extract("source", r"(?i)\Ahttps?://[^/?#]+", 0), F.lit("")), "to"))
-    told = rows.select("source", keys.alias("keys"), to.alias("to")).filter((F.size("keys") > 0) & F.col("to").isNotNull())
-    same = base_domain(host(F.col("source"))) == base_domain(host(F.col("to")))
-    mark = F.when(F.contains(F.col("to"), F.lit("?")), "&").otherwise("?")
-    return told.filter(F.coalesce(same, host(F.col("source")).isNull())).select("source", F.concat("to", mark, F.array_join("keys", "=&"), F.lit("=")).alias("address")).distinct()
-
-
-def links(docs: DataFrame, same_domain: bool = True, source: str = "source", body: str = "body") -> DataFrame:
-    """(source, link): addresses outside comments, without trailing punctuation; by default of the source's base domain."""
+    return _addresses(docs, source, body, comments, _options)
+
+
+def object_addresses(docs: DataFrame, source: str = "source", body: str = "body", comments: bool = False) -> DataFrame:
+    """(source, address): addresses of the nearest call before an object of search parameters, with its keys."""
+    return _addresses(docs, source, body, comments, _objects)
+
+
+def _addresses(docs: DataFrame, source: str, body: str, comments: bool, *kinds: Callable[[Column, Column], Column]) -> DataFrame:
+    found = F.concat(*(kind(F.col("source"), F.col("_b")) for kind in kinds))
+    return each(_scripts(docs, source, body, comments), F.array_distinct(found), "address", "source")
+
+
+def _site(source: Column, body: Column) -> Column:
+    """The first base address that a body names, without its query, else the source's origin."""
+    named = (F.nullif(F.regexp_extract(body, to_java(p), 1), F.lit("")) for p in SITES)
+    return F.coalesce(F.substring_index(F.coalesce(*named), "?", 1), _origin(source))
+
+
+def parameter_addresses(docs: DataFrame, gap: int = 200, source: str = "source", body: str = "body", comments: bool = False) -> DataFrame:
+    """(source, address): all addresses with the parameters that code gives or reads, without their values.
+
+    Names that are read together, and each alone, are joined to the base address; those of other base domains go.
+    """
+
+    def read(src: Column, b: Column) -> Column:
+        site = _site(src, b)
+        groups = F.concat(_groups(b, gap), F.transform(_getters(b), lambda p: F.array(p)))
+        return F.coalesce(F.transform(groups, lambda g: F.concat(site, F.lit("/?"), F.array_join(g, "=&"), F.lit("="))), F.array().cast("array<string>"))
+
+    told = _addresses(docs, source, body, comments, _queried, _templates, _options, _objects, read).filter(F.col("address").isNotNull())
+    away = base_domain(host(F.col("address"))) != base_domain(host(F.col("source")))
+    return told.filter(~F.coalesce(away, F.lit(False)))
+
+
+def links(docs: DataFrame, source: str = "source", body: str = "body", comments: bool = False) -> DataFrame:
+    """(source, link): well-formed addresses, cleaned, outside comments and of the source's base domain."""
     (pattern,) = EXTRA["links"].values()
-    quiet = F.regexp_replace(F.col(body), r"(?s)/\*.*?(\*/|\z)", " ")
-    lines = F.filter(F.split(quiet, "\n"), lambda x: F.contains(x, F.lit("http")))
-    bare = F.transform(lines, lambda x: F.regexp_extract(x, r"\A((?:(?!//).)*?https?://[^\s\"'<>,;\\()]+)", 1))
-    found = F.flatten(F.transform(bare, lambda x: F.regexp_extract_all(x, F.lit(to_java(pattern)), F.lit(1))))
-    rows = docs.select(F.col(source).alias("source"), F.explode(F.array_distinct(F.transform(found, lambda u: F.regexp_replace(u, r"""[,;\\|)"'\s]+\z""", "")))).alias("link")).filter(host(F.col("link")).isNotNull())
-    same = base_domain(host(F.col("source"))) == base_domain(host(F.col("link")))
-    return rows.filter(F.coalesce(same, F.lit(True))) if same_domain else rows
+    found = assess(docs, [legacy_rule(LINK, pattern)], source, body, comments)
+    return found.filter("drop_reason is null").select("source", F.col("value").alias("link")).distinct()
 
 
 def csp_origins(docs: DataFrame, source: str = "source", policy: str = "policy") -> DataFrame:
     """(source, position, origin): origins that a content security policy names, in order, each once."""
     parts = F.flatten(F.transform(F.split(policy, ";"), lambda d: F.filter(F.filter(F.split(F.trim(d), r"[ \t\n\r\f]+"), lambda x: x != ""), lambda x, i: i > 0)))
     kept = F.filter(F.transform(parts, lambda x: F.regexp_replace(x, r"""\A["']+|["']+\z""", "")), lambda x: (x != "") & ~x.startswith("*") & ~F.exists(F.array(*map(F.lit, ORIGIN_SKIPS)), lambda s: F.startswith(F.lower(x), s)))
-    return docs.select(F.col(source).alias("source"), F.posexplode(F.array_distinct(kept)).alias("position", "origin"))
+    return numbered(docs, F.array_distinct(kept), "position", "origin", F.col(source).alias("source"))
 
 
 def inline_scripts(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """(source, body): scripts inside pages, as ``url#inline[N]``; blank ones are counted but give no row."""
     pattern = r"(?is)<script(?![^>]*\ssrc\s*=)([^>]*)>(.*?)</script\s*>"
-    rows = pages.select(F.col(url).alias("u"), F.posexplode(F.regexp_extract_all(html, F.lit(pattern), F.lit(2))).alias("i", "body"))
+    rows = numbered(pages, F.regexp_extract_all(html, F.lit(pattern), F.lit(2)), "i", "body", F.col(url).alias("u"))
     return rows.filter(F.trim("body") != "").select(F.concat("u", F.lit("#inline["), "i", F.lit("]")).alias("source"), "body")
 
 
+def _attribute(tag: Column, name: str) -> Column:
+    """Value of an attribute of a tag, in any quotes or none; null without it."""
+    quoted = rf"""(?is)\s{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^"'\s>]+))"""
+    return F.when(tag.rlike(quoted), F.concat(*(F.regexp_extract(tag, quoted, k) for k in (1, 2, 3))))
+
+
 def script_references(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(source, kind, reference): external scripts, and preload, prefetch and modulepreload links."""
-    h = F.col(html)
-    src = F.transform(F.regexp_extract_all(h, F.lit(r"""(?is)<script[^>]*\ssrc\s*=\s*["']?([^"'\s>]+)"""), F.lit(1)), lambda x: F.struct(F.lit("script").alias("kind"), x.alias("reference")))
-    tags = F.filter(F.regexp_extract_all(h, F.lit(r"(?is)<link\s[^>]*>"), F.lit(0)), lambda t: t.rlike(r"""(?i)rel\s*=\s*["']?modulepreload""") | (t.rlike(r"""(?i)rel\s*=\s*["']?(preload|prefetch)""") & t.rlike(r"""(?i)\sas\s*=\s*["']?script""")))
-    link = F.transform(tags, lambda t: F.struct(F.lower(F.regexp_extract(t, r"""(?i)rel\s*=\s*["']?(\w+)""", 1)).alias("kind"), F.regexp_extract(t, r"""(?i)href\s*=\s*["']?([^"'\s>]+)""", 1).alias("reference")))
-    return pages.select(F.col(url).alias("source"), F.explode(F.concat(src, link)).alias("x")).select("source", "x.*").filter("reference <> ''")
+    """(source, kind, reference, type, integrity, nonce, is_async, is_defer): external scripts, and preload, prefetch and modulepreload links."""
+    tags = F.regexp_extract_all(html, F.lit(r"""(?is)<(?:script|link)\s(?:[^>"']|"[^"]*"|'[^']*')*>"""), F.lit(0))
+    rows = each(pages, tags, "tag", F.col(url).alias("source"))
+    bare = F.regexp_replace("tag", r"""(?s)=\s*(?:"[^"]*"|'[^']*')""", "= ")
+    rel, is_script = F.lower(F.trim(_attribute(F.col("tag"), "rel"))), F.col("tag").rlike(r"(?i)\A<script")
+    kind = F.when(is_script, "script").when((rel == "modulepreload") | (rel.isin("preload", "prefetch") & (F.lower(_attribute(F.col("tag"), "as")) == "script")), rel)
+    ref = F.coalesce(F.when(is_script, _attribute(F.col("tag"), "src")), F.when(~is_script, _attribute(F.col("tag"), "href")))
+    more = [_attribute(F.col("tag"), n).alias(n) for n in ("type", "integrity", "nonce")]
+    flags = [bare.rlike(rf"(?i)\s{n}[\s=>/]").alias(f"is_{n}") for n in ("async", "defer")]
+    return rows.select("source", kind.alias("kind"), ref.alias("reference"), *more, *flags).filter("kind is not null and reference <> ''")
 
 
 def meta_policies(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """(source, policy): content security policies of pages, as ``url#meta-csp``."""
     tags = F.filter(F.regexp_extract_all(html, F.lit(r"(?is)<meta\s[^>]*>"), F.lit(0)), lambda t: t.rlike(r"""(?i)http-equiv\s*=\s*["']?content-security-policy["'\s]"""))
-    rows = pages.select(F.col(url).alias("u"), F.explode(tags).alias("t"))
+    rows = each(pages, tags, "t", F.col(url).alias("u"))
     content = F.coalesce(F.nullif(F.regexp_extract("t", r'(?is)content\s*=\s*"([^"]*)"', 1), F.lit("")), F.regexp_extract("t", r"(?is)content\s*=\s*'([^']*)'", 1))
     return rows.select(F.concat("u", F.lit("#meta-csp")).alias("source"), content.alias("policy")).filter("policy <> ''")
 
@@ -181,32 +330,58 @@ def source_map_members(docs: DataFrame, source: str = "source", body: str = "bod
     shape = "struct<version:int,file:string,sourceRoot:string,sources:array<string>,sourcesContent:array<string>>"
     rows = docs.filter(ref.startswith("data:")).select(F.col(source).alias("s"), F.from_json(text, shape).alias("m"))
     zipped = F.arrays_zip(F.col("m.sources").alias("name"), F.col("m.sourcesContent").alias("body"))
-    each = rows.select("s", F.coalesce("m.sourceRoot", F.lit("")).alias("root"), F.posexplode(zipped).alias("i", "z")).filter("z.body <> ''")
+    members = numbered(rows, zipped, "i", "z", "s", F.coalesce("m.sourceRoot", F.lit("")).alias("root")).filter("z.body <> ''")
     name = F.when(F.coalesce("z.name", F.lit("")) == "", F.concat(F.lit("sources["), "i", F.lit("]"))).when((F.col("root") == "") | F.col("z.name").rlike(r"\A(/|[a-z]+://)"), F.col("z.name")).otherwise(F.concat(F.regexp_replace("root", "/+$", ""), F.lit("/"), "z.name"))
-    return each.select(F.concat("s", F.lit(".map#"), name).alias("source"), F.col("z.body").alias("body"))
+    return members.select(F.concat("s", F.lit(".map#"), name).alias("source"), F.col("z.body").alias("body"))
+
+
+def resolved(base: Column, reference: Column) -> Column:
+    """A reference resolved against an absolute address, dot segments removed (RFC 3986); null without a scheme in either."""
+    scheme, origin = F.regexp_extract(base, r"(?i)\A([a-z][a-z0-9+.-]*):", 1), F.regexp_extract(base, r"(?i)\A[a-z][a-z0-9+.-]*://[^/?#]*", 0)
+    path = F.substr(F.regexp_extract(base, r"\A[^?#]*", 0), F.length(origin) + 1)
+    folder = F.regexp_replace(path, r"[^/]*\z", "")
+    joined = (
+        F.when(reference.rlike(r"(?i)\A[a-z][a-z0-9+.-]*:"), reference).when(scheme == "", F.lit(None)).when(reference.startswith("//"), F.concat(scheme, F.lit(":"), reference))
+        .when(reference.startswith("/"), F.concat(origin, reference)).when(reference == "", F.regexp_extract(base, r"\A[^#]*", 0)).when(reference.startswith("?"), F.concat(origin, path, reference))
+        .when(reference.startswith("#"), F.concat(F.regexp_extract(base, r"\A[^#]*", 0), reference)).otherwise(F.concat(origin, F.when(folder == "", "/").otherwise(folder), reference))
+    )
+    head, tail = F.regexp_extract(joined, r"(?i)\A[a-z][a-z0-9+.-]*://[^/?#]*", 0), F.regexp_extract(joined, r"[?#].*\z", 0)
+    whole = F.substr(F.regexp_extract(joined, r"\A[^?#]*", 0), F.length(head) + 1)
+    parts = F.split(whole, "/")
+    step = lambda acc, x: F.when(x == ".", acc).when(x == "..", F.when(F.size(acc) > 1, F.slice(acc, F.lit(1), F.size(acc) - 1)).otherwise(acc)).otherwise(F.concat(acc, F.array(x)))
+    kept = F.aggregate(parts, F.expr("cast(array() as array<string>)"), step)
+    closed = F.when(whole.rlike(r"/\.\.?\z"), F.concat(kept, F.array(F.lit("")))).otherwise(kept)
+    return F.when(whole.rlike(r"(\A|/)\.\.?(/|\z)"), F.concat(head, F.array_join(closed, "/"), tail)).otherwise(joined)
+
+
+def source_map_references(docs: DataFrame, source: str = "source", body: str = "body") -> DataFrame:
+    """(source, url): where the source map of a body stands, unless it is embedded; resolved against the source's address."""
+    ref = F.regexp_extract(body, SOURCE_MAP.replace("$", r"(?:\z|$)"), 1)
+    return docs.select(F.col(source).alias("source"), ref.alias("ref")).filter((F.col("ref") != "") & ~F.col("ref").startswith("data:")).select("source", resolved(F.col("source"), F.col("ref")).alias("url")).filter("url is not null")
 
 
 def robots_rules(files: DataFrame, agent: str = "*", host_column: str = "host", body: str = "body") -> DataFrame:
     """(host, kind, path): what robots files allow and forbid ``agent``, and their sitemaps.
 
-    Consecutive user-agent lines form a group, which a blank line ends; sitemaps always count.
+    Lines up to a blank one form a group; its rules count from the first user-agent line on that names the agent or
+    ``*``. Lines without a colon are passed over; sitemaps always count.
     """
-    line = F.trim(F.regexp_replace("raw", "#.*", ""))
-    rows = files.select(F.col(host_column).alias("host"), F.posexplode(F.split(body, "\r?\n")).alias("i", "raw")).withColumn("line", line)
-    rows = rows.withColumn("key", F.lower(F.trim(F.substring_index("line", ":", 1)))).withColumn("value", F.trim(F.expr("substring(line, instr(line, ':') + 1)")))
-    order = Window.partitionBy("host").orderBy("i")
-    is_agent = (F.col("key") == "user-agent").cast("int")
-    starts = (is_agent == 1) & (F.coalesce(F.lag("key").over(order), F.lit("")) != "user-agent") | (F.col("line") == "")
-    rows = rows.withColumn("group", F.sum(starts.cast("int")).over(order))
-    mine = (F.col("key") == "user-agent") & F.lower("value").isin("*", agent.lower())
-    active = F.max(mine.cast("int")).over(Window.partitionBy("host", "group")) == 1
-    rows = rows.withColumn("active", active)
-    return rows.filter((F.col("value") != "") & ((F.col("key") == "sitemap") | (F.col("active") & F.col("key").isin("allow", "disallow")))).select("host", F.col("key").alias("kind"), F.col("value").alias("path"))
+    rows = files.select(F.col(host_column).alias("host"), F.split(body, "\r?\n").alias("lines"))
+
+    def told(raw: Column) -> Column:
+        t = F.regexp_replace(F.regexp_replace(raw, "#.*", ""), r"\A\s+|\s+\z", "")
+        return F.struct(F.when(F.contains(t, F.lit(":")), F.lower(F.regexp_replace(F.substring_index(t, ":", 1), r"\s+\z", ""))).alias("key"), F.regexp_extract(t, r"(?s)\A[^:]*:\s*(.*)\z", 1).alias("value"), (t == "").alias("blank"))
+
+    mine = lambda x: (x["key"] == "user-agent") & F.lower(x["value"]).isin("*", agent.lower())
+    after = lambda on, x: F.when(x["blank"], F.lit(False)).otherwise(on | F.coalesce(mine(x), F.lit(False)))
+    walked = running(F.transform("lines", told), F.lit(False), "struct<key:string,value:string,active:boolean>", after, lambda on, x: F.struct(x["key"].alias("key"), x["value"].alias("value"), on.alias("active")))
+    rows = each(rows, walked, "x", "host").select("host", "x.*")
+    return rows.filter(((F.col("key") == "sitemap") | (F.col("active") & F.col("key").isin("allow", "disallow") & (F.col("value") != "")))).select("host", F.col("key").alias("kind"), F.col("value").alias("path"))
 
 
 def eval_strings(docs: DataFrame, source: str = "source", body: str = "body") -> DataFrame:
     """(source, code): string arguments of eval."""
-    return docs.select(F.col(source).alias("source"), F.explode(F.regexp_extract_all(body, F.lit(r"""eval\(["']([^"']+)["']\)"""), F.lit(1))).alias("code"))
+    return each(docs, F.regexp_extract_all(body, F.lit(to_java(EVALUATED)), F.lit(1)), "code", F.col(source).alias("source"))
 
 
 def obfuscated(body: Column) -> Column:

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glintscan.functions.text import severity_rank
-from glintscan.operators.scan import SCHEMA_VERSION, identified, matches, scored
+from glintscan.operators.scan import MAX_BYTES, MIN_CONFIDENCE, SCHEMA_VERSION, assess, identified, matches, scored
 from glintscan.rules.catalog import glob_regex
 from glintscan.rules.model import Rule
 
@@ -19,7 +19,7 @@ VERIFIABLE = (
 )
 
 
-def ignored(entries: Iterable[str]) -> Column:
+def ignored(entries: Iterable[str], get: Callable[[str], Column] = F.col) -> Column:
     """Condition of an ignore list: ``hash:``, ``rule:``, ``source:`` and ``rule_value:<rule>:<glob>`` lines."""
     found = F.lit(False)
     for number, line in enumerate(entries, 1):
@@ -29,45 +29,72 @@ def ignored(entries: Iterable[str]) -> Column:
         kind, _, rest = line.partition(":")
         match = lambda column, glob: column.rlike(p) if (p := glob_regex(glob)) else F.lit(False)
         if kind == "hash" and rest:
-            found = found | (F.col("value_hash") == rest)
+            found = found | (get("value_hash") == rest)
         elif kind in ("rule", "source") and rest:
-            found = found | match(F.col("id" if kind == "rule" else "source"), rest)
+            found = found | match(get("id" if kind == "rule" else "source"), rest)
         elif kind == "rule_value" and ":" in rest:
             rule, _, value = rest.partition(":")
-            found = found | (match(F.col("id"), rule) & match(F.col("value"), value))
+            found = found | (match(get("id"), rule) & match(get("value"), value))
         else:
             raise ValueError(f"line {number}: {line!r} is no ignore entry")
     return found
 
 
+def ignore_entries(spark: SparkSession, path: str) -> list[str]:
+    """Lines of an ignore list. Lists are written by hand; their lines become conditions, so they are read whole."""
+    return [r["value"] for r in spark.read.text(path).collect()]
+
+
+KEY = ("value_hash", "secret_type")
+
+
 def merged(kept: DataFrame) -> DataFrame:
     """One finding for each (value, secret type): the first match names it, the most confident one gives the reasons.
 
-    First means by source, rule and offset. A value's places are gathered sorted; only they grow with its matches.
+    First means by source, rule and offset. Places are only counted, so that a value that very many documents hold
+    is merged before the shuffle; ``places`` and ``with_locations`` give them.
     """
     order = F.struct("source", "n", "start")
     first = lambda c: F.min_by(c, order).alias(c)
     best = F.max_by("reasons", F.struct("confidence", -F.col("n"), -F.col("start"))).alias("reasons")
-    place = F.struct("source", "n", "start", "line", "column")
-    rows = kept.groupBy("value_hash", "secret_type").agg(
+    return kept.groupBy(*KEY).agg(
         F.lit(SCHEMA_VERSION).alias("schema_version"), first("id").alias("rule_id"), first("name"), first("provider"), first("severity"), first("value"), first("redacted"),
-        first("source"), first("line"), first("column"), F.max("confidence").alias("confidence"), first("entropy"), F.lit(False).alias("verified"), best,
-        F.transform(F.array_sort(F.collect_list(place)), lambda p: F.struct(p["source"].alias("source"), p["line"].alias("line"), p["column"].alias("column"))).alias("locations"),
+        first("source"), first("line"), first("column"), F.max("confidence").alias("confidence"), first("entropy"), F.lit(False).alias("verified"), best, F.count("*").alias("places"),
     )
-    return rows
+
+
+def places(kept: DataFrame) -> DataFrame:
+    """Where each value was found, a row a place."""
+    return kept.select(*KEY, "source", "n", "start", "line", "column")
+
+
+def with_locations(findings: DataFrame, places: DataFrame) -> DataFrame:
+    """Findings with an array of their places, in order, for reports that nest them; it grows with a value's matches."""
+    at = F.struct("source", "n", "start", "line", "column")
+    each = places.groupBy(*KEY).agg(F.transform(F.array_sort(F.collect_list(at)), lambda p: F.struct(p["source"].alias("source"), p["line"].alias("line"), p["column"].alias("column"))).alias("locations"))
+    return findings.drop("places").join(each, [*KEY])
 
 
 def ordered(findings: DataFrame) -> DataFrame:
     return findings.orderBy(severity_rank(F.col("severity")).desc(), F.col("confidence").desc(), "name", "value_hash")
 
 
-def find(docs: DataFrame, rules: Iterable[Rule], ignore: Iterable[str] = (), known: DataFrame | None = None, **options: object) -> DataFrame:
-    """Findings of the non-legacy rules in ``docs`` (source, body); ``known`` has the value_hash of earlier ones."""
-    min_confidence = options.pop("min_confidence", 0.5)
+def strict_matches(docs: DataFrame, rules: Iterable[Rule], ignore: Iterable[str] = (), known: DataFrame | None = None, min_confidence: float = MIN_CONFIDENCE, **options: object) -> DataFrame:
+    """Kept matches of the non-legacy rules in ``docs`` (source, body); ``known`` has the value_hash of earlier ones."""
     rows = identified(scored(matches(docs, [r for r in rules if r.kind != "legacy"], **options), min_confidence)).filter("drop_reason is null").filter(~ignored(ignore))
-    if known is not None:
-        rows = rows.join(known.select("value_hash").distinct(), "value_hash", "left_anti")
-    return merged(rows)
+    return rows if known is None else rows.join(known.select("value_hash").distinct(), "value_hash", "left_anti")
+
+
+def find(docs: DataFrame, rules: Iterable[Rule], ignore: Iterable[str] = (), known: DataFrame | None = None, **options: object) -> DataFrame:
+    """Findings of the non-legacy rules in ``docs``, merged by value."""
+    return merged(strict_matches(docs, rules, ignore, known, **options))
+
+
+def all_matches(docs: DataFrame, rules: Iterable[Rule], ignore: Iterable[str] = (), known: DataFrame | None = None, **options: object) -> DataFrame:
+    """Kept matches of all rules, legacy ones after their filters; lists of ignored and of known values hold for both."""
+    entries = list(ignore)
+    rows = identified(assess(docs, rules, ignore=(lambda get: ignored(entries, get)) if entries else None, **options).filter("drop_reason is null"))
+    return rows if known is None else rows.join(known.select("value_hash").distinct(), "value_hash", "left_anti")
 
 
 def statistics(rows: DataFrame) -> DataFrame:
@@ -75,6 +102,32 @@ def statistics(rows: DataFrame) -> DataFrame:
     return rows.groupBy(F.coalesce("drop_reason", F.lit("kept")).alias("outcome")).agg(F.count("*").alias("matches"))
 
 
+def counters(rows: DataFrame) -> DataFrame:
+    """The counters of a run, one row: matches by kind and fate (``rows`` are all matches, kept and dropped)."""
+    n = lambda condition, name: F.count_if(condition).alias(name)
+    legacy, out = F.col("kind") == "legacy", F.col("drop_reason")
+    past = ("scope", "foreign_address", "encoded_media", "link", "unwanted_email", "covered")
+    fixture = F.array_contains("reasons", "surrounded by fixture/example wording") | F.array_contains("reasons", "context looks like a fixture/example")
+    scored_at_all = out.isNull() | out.isin("low_confidence", "ignored", "cross_domain", "pattern", "not_internal")
+    return rows.agg(
+        n(~legacy & out.isNull(), "registry_hits"), n(legacy & F.col("filtered") & (out.isNull() | ~out.isin(*past)), "legacy_raw"), n(out == "vendor_noise", "dropped_vendor_noise"),
+        n(fixture & scored_at_all, "fixtures"), n(out == "source_map_line", "dropped_source_map"), n(out.isin("entropy", "classes"), "dropped_entropy"), n(out == "context", "dropped_context"),
+        n(out == "low_confidence", "dropped_confidence"), n(out == "covered", "dropped_duplicate"), n(out.isNull(), "findings"), F.count_distinct(F.when(out.isNull() & ~legacy, F.struct("value", "secret_type"))).alias("findings_merged"),
+    )
+
+
+def fetch_counters(responses: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """Counters of responses (url, status, body): fetched, refused by the host, cut at ``max_bytes``, and bytes read."""
+    n = F.octet_length("body")
+    return responses.agg(F.count("*").alias("fetched"), F.count_if(F.col("status").isin(403, 429)).alias("blocked"), F.count_if(n > max_bytes).alias("truncated"), F.coalesce(F.sum(F.least(n, F.lit(max_bytes)).cast("long")), F.lit(0)).alias("bytes_parsed"))
+
+
+def verify_counters(results: DataFrame) -> DataFrame:
+    """Liveness results: attempts, alive, errors, dead."""
+    wrong = F.coalesce("error", F.lit("")) != ""
+    return results.filter(F.col("rule_id").isin(*VERIFIABLE)).agg(F.count("*").alias("attempts"), F.count_if("alive").alias("alive"), F.count_if(~F.col("alive") & wrong).alias("errors"), F.count_if(~F.col("alive") & ~wrong).alias("dead"))
+
+
 def verified(findings: DataFrame, results: DataFrame) -> DataFrame:
     """Folds liveness results (rule_id, value_hash, alive, status, account, note, error) in: what is alive is certain."""
     verify = results.filter(F.col("rule_id").isin(*VERIFIABLE)).select("rule_id", "value_hash", F.struct("alive", "status", "account", "note", "error").alias("verify"))

@@ -1,29 +1,46 @@
 """Matches of rules in documents, with places, scores and reasons.
 
-Rules stay data: those whose literal anchor a document holds are matched inside the row, so a document is read
-once and never multiplied by the rules. What comes out is one row for each match, kept or dropped; findings,
-statistics and reports are projections of it.
+Rules stay data. Literal patterns tell which rules a document holds; only those are matched inside the row, so a
+document is read once and never multiplied by the rules. What comes out is one row for each match, kept or
+dropped; findings, statistics and reports are projections of it. Whatever looks at all matches of a document
+(is a value covered by a stricter rule?) is decided inside the row too, without a join or a shuffle.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Iterable
+import re
+from collections.abc import Callable, Iterable
 from dataclasses import asdict
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glintscan.functions.text import classes, entropy, redact, value_hash
-from glintscan.functions.validators import valid
+from glintscan.functions.arrays import each, running
+from glintscan.functions.text import base_domain, classes, entropy, host, redact, value_hash
+from glintscan.functions.validators import approval, valid
 from glintscan.rules import noise
 from glintscan.rules.model import Rule
-from glintscan.rules.translate import anchor, to_java
+from glintscan.rules.translate import anchors, leading, to_java
 
+# Version of reports, least confidence, default cap of fetched bodies, bytes of context.
 SCHEMA_VERSION = 2
 MIN_CONFIDENCE, MAX_BYTES, WINDOW = 0.50, 32 << 20, 96
-_RULE = "struct<n:int,id:string,name:string,provider:string,secret_type:string,severity:string,java:string,grp:int,anchor:string,prior:double,min_entropy:double,min_len:int,max_len:int,high_fp:boolean,requires_context:boolean,words:array<string>,validator:string,kind:string,filtered:boolean>"
-_HIT = "struct<start:int,value:string,line:int,column:int,text_line:string,context:string>"
+FOREIGN_WINDOW, MEDIA_WINDOW = 50, 200
+# What marks encoded media near a match, words of placeholder addresses, and of internal ones.
+MEDIA = (
+    "data:image", "data:video", "data:audio", "base64,", "data:application/octet-stream", "png", "jpg", "jpeg", "gif", "webp", "svg", "mp4", "webm", "ogg", "wav", "mp3",
+    "font", "woff", "woff2", "ttf", "otf", "modernizr", "polyfill", "encoded", "binary",
+)
+PLACEHOLDERS = (
+    "servername", "hostname", "domain.com", "example.com", "example.org", "yourserver", "yourdomain", "localhost", "127.0.0.1", "0.0.0.0",
+    "server.com", "host.com", "domain.org", "site.com", "mydomain.com", ":port/", "accounturl", "username", "password", "${", "%{", "{{", "<%",
+)
+INTERNAL = ("internal", "private", "127.0.0.1", "localhost")
+LINK = "Link/URL"
+_RULE = "struct<n:int,id:string,name:string,provider:string,secret_type:string,severity:string,java:string,lead:string,grp:int,prior:double,min_entropy:double,min_len:int,max_len:int,high_fp:boolean,requires_context:boolean,words:array<string>,validator:string,kind:string,filtered:boolean>"
+_HIT = "struct<start:int,value:string,line:int,column:int,map_line:boolean,before:string,after:string,context:string,low:string,entropy:double,classes:int>"
+Get = Callable[[str], Column]
 
 
 def rule_array(rules: Iterable[Rule]) -> Column:
@@ -32,7 +49,7 @@ def rule_array(rules: Iterable[Rule]) -> Column:
     for n, r in enumerate(rules):
         d = asdict(r)
         words = [w.lower() for w in (r.context or (noise.CONTEXT if r.requires_context or (r.kind == "legacy" and r.high_fp) else ()))]
-        d |= {"n": n, "java": to_java(r.pattern), "grp": r.group, "anchor": anchor(r.pattern), "words": words, "filtered": "unfiltered" not in r.tags}
+        d |= {"n": n, "java": to_java(r.pattern), "lead": to_java(lead) if (lead := leading(r.pattern, r.group)) else "", "grp": r.group, "words": words, "filtered": "unfiltered" not in r.tags}
         rows.append(d)
     return F.from_json(F.lit(json.dumps(rows)), f"array<{_RULE}>")
 
@@ -45,106 +62,281 @@ def capped(body: Column, limit: int = MAX_BYTES) -> Column:
 def without_comments(body: Column) -> Column:
     """Comments of JavaScript turned into spaces; strings and line breaks stay, so offsets do too.
 
-    Strings and comments are found by one alternation, leftmost first; an unclosed quote takes the rest.
+    Strings and comments are found by one alternation, leftmost first; an unclosed quote takes the rest. A
+    comment's bytes become one space each, as offsets are in bytes.
     """
     pattern = r"""(?s)("(?:[^"\\]|\\.)*+(?:"|\\?\z)|'(?:[^'\\]|\\.)*+(?:'|\\?\z)|`(?:[^`\\]|\\.)*+(?:`|\\?\z)|//[^\n]*|/\*.*?(?:\*/|\z))"""
     gaps, hits = F.split(body, pattern, -1), F.regexp_extract_all(body, F.lit(pattern), F.lit(1))
-    blank = F.transform(hits, lambda h: F.when(h.startswith("//") | h.startswith("/*"), F.regexp_replace(h, r"[^\n]", " ")).otherwise(h))
-    return F.concat(F.array_join(F.zip_with(F.slice(gaps, F.lit(1), F.size(hits)), blank, lambda g, h: F.concat(g, h)), ""), F.element_at(gaps, -1))
+    wide = lambda h: F.regexp_replace(F.regexp_replace(F.regexp_replace(h, r"[\x{10000}-\x{10FFFF}]", "    "), r"[\u0800-\uFFFF]", "   "), r"[\u0080-\u07FF]", "  ")
+    blank = F.transform(hits, lambda h: F.when(h.startswith("//") | h.startswith("/*"), F.regexp_replace(wide(h), r"[^\n]", " ")).otherwise(h))
+    stripped = F.concat(F.array_join(F.zip_with(F.slice(gaps, F.lit(1), F.size(hits)), blank, lambda g, h: F.concat(g, h)), ""), F.element_at(gaps, -1))
+    return F.when(body.contains("//") | body.contains("/*"), stripped).otherwise(body)
 
 
-def _hits(body: Column, rule: Column) -> Column:
-    """Non-overlapping matches of one rule. A group's place is that of its text's first occurrence in the match."""
+def script(body: Column, comments: bool = False) -> Column:
+    """The body as it is scanned: without comments, unless they are asked for."""
+    return body if comments else without_comments(body)
+
+
+def _last(text: Column, n: int) -> Column:
+    """The last ``n`` bytes."""
+    return F.substring(F.encode(F.right(text, F.lit(n)), "UTF-8"), -n, n).cast("string")
+
+
+def _first(text: Column, n: int) -> Column:
+    """The first ``n`` bytes."""
+    return F.substring(F.encode(F.left(text, F.lit(n)), "UTF-8"), 1, n).cast("string")
+
+
+def _breaks(text: Column) -> Column:
+    return F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
+
+
+def _hits(body: Column, marked: Column, rule: Column) -> Column:
+    """Non-overlapping matches of one rule; ``marked`` are the numbers of lines that name a source map.
+
+    Texts between the matches are walked once from either side, carrying offsets and a bounded context. The
+    place of a group is measured by what its pattern matches before it; where a pattern does not allow that,
+    the first occurrence of its text in the match is taken.
+    """
     whole = F.regexp_extract_all(body, rule["java"], F.lit(0))
     part = F.regexp_extract_all(body, rule["java"], rule["grp"])
+    lead = F.when(rule["lead"] != "", F.regexp_extract_all(body, rule["lead"], F.lit(1)))
     gaps = F.split(body, rule["java"], F.lit(-1))
-    zipped = F.arrays_zip(F.slice(gaps, F.lit(1), F.size(whole)).alias("gap"), whole.alias("hit"), part.alias("part"))
-    begin = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as array<{_HIT}>)").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        value = F.when(x["part"] == "", x["hit"]).otherwise(x["part"])
-        open_ = acc["at"] + F.length(x["gap"])
-        start = open_ + F.instr(x["hit"], value) - 1
-        before = F.substr(body, F.lit(1), start)
-        behind = F.substr(body, start + F.length(value) + 1)
-        near = F.substring(F.encode(F.substr(before, F.greatest(F.length(before) - WINDOW + 1, F.lit(1))), "UTF-8"), -WINDOW, WINDOW).cast("string")
-        after = F.substring(F.encode(F.substr(behind, F.lit(1), F.lit(WINDOW)), "UTF-8"), 1, WINDOW).cast("string")
-        tail = F.substring_index(before, "\n", -1)
-        hit = F.struct(
-            F.octet_length(before).alias("start"), value.alias("value"), (F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))) + 1).alias("line"),
-            (F.octet_length(tail) + 1).alias("column"), F.concat(tail, value, F.substring_index(behind, "\n", 1)).alias("text_line"), F.concat(near, value, after).alias("context"),
+    zipped = F.arrays_zip(F.slice(gaps, F.lit(1), F.size(whole)).alias("gap"), whole.alias("hit"), part.alias("part"), F.coalesce(lead, F.expr("cast(array() as array<string>)")).alias("lead"))
+    value = lambda x: F.when(x["part"] == "", x["hit"]).otherwise(x["part"])
+    ahead = lambda x: F.when(x["part"] == "", F.lit("")).otherwise(F.coalesce(x["lead"], F.left(x["hit"], F.instr(x["hit"], x["part"]) - 1)))
+
+    following = lambda zipped: running(
+        F.reverse(zipped), _first(F.element_at(gaps, -1), WINDOW), "string",
+        lambda s, x: _first(F.concat(F.left(x["gap"], F.lit(WINDOW)), F.left(x["hit"], F.lit(WINDOW)), s), WINDOW),
+        lambda s, x: _first(F.concat(F.substr(x["hit"], F.length(ahead(x)) + F.length(value(x)) + 1), s), WINDOW),
+    )
+    both = lambda zipped: F.zip_with(zipped, F.reverse(following(zipped)), lambda x, after: F.struct(x.alias("x"), after.alias("after"), F.concat(x["gap"], ahead(x)).alias("pre"), value(x).alias("value")))
+
+    def advance(s: Column, y: Column) -> Column:
+        text = F.concat(y["x"]["gap"], y["x"]["hit"])
+        column = F.when(F.contains(text, F.lit("\n")), F.octet_length(F.substring_index(text, "\n", -1))).otherwise(s["column"] + F.octet_length(text))
+        return F.struct((s["at"] + F.octet_length(text)).alias("at"), (s["line"] + _breaks(text)).alias("line"), column.alias("column"), _last(F.concat(s["near"], text), MEDIA_WINDOW).alias("near"))
+
+    def emit(s: Column, y: Column) -> Column:
+        pre, v = y["pre"], y["value"]
+        line = s["line"] + _breaks(pre)
+        column = F.when(F.contains(pre, F.lit("\n")), F.octet_length(F.substring_index(pre, "\n", -1))).otherwise(s["column"] + F.octet_length(pre)) + 1
+        before = _last(F.concat(s["near"], pre), MEDIA_WINDOW)
+        context = F.concat(_last(before, WINDOW), v, y["after"])
+        on_map = F.exists(marked, lambda m: (m >= line) & (m <= line + _breaks(v)))
+        return F.struct(
+            (s["at"] + F.octet_length(pre)).alias("start"), v.alias("value"), line.alias("line"), column.alias("column"), on_map.alias("map_line"), before.alias("before"), y["after"].alias("after"),
+            context.alias("context"), F.lower(context).alias("low"), entropy(v).alias("entropy"), classes(v).alias("classes"),
         )
-        return F.struct((open_ + F.length(x["hit"])).alias("at"), F.concat(acc["out"], F.array(hit)).alias("out"))
 
-    return F.aggregate(zipped, begin, step, lambda acc: acc["out"])
+    begin = F.struct(F.lit(0).alias("at"), F.lit(1).alias("line"), F.lit(0).alias("column"), F.lit("").alias("near"))
+    return F.element_at(F.transform(F.array(zipped), lambda z: running(both(z), begin, _HIT, advance, emit)), 1)
 
 
-def matches(docs: DataFrame, rules: Iterable[Rule], source: str = "source", body: str = "body", comments: bool = True, max_bytes: int | None = None) -> DataFrame:
-    """One row for each match: source, rule columns, value, byte offset, line, byte column, its line and ±96 bytes.
+def _quoted(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
-    Bodies are read whole unless ``max_bytes`` is given.
-    """
+
+def _holds(r: Rule) -> str:
+    """Whether a body (_b; _l in lower case) matches a rule, as SQL: one text for all rules is quicker to build than columns."""
+    literals = " or ".join(f"contains(_l, {_quoted(a)})" for a in anchors(r.pattern))
+    match = f"rlike(_b, {_quoted(to_java(r.pattern))})"
+    return f"({literals}) and {match}" if literals else match
+
+
+def _found(docs: DataFrame, rules: Iterable[Rule], source: str, body: str, comments: bool, max_bytes: int | None, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(source, found): each document's matches as an array of (rule, hit)."""
+    rules = list(rules)
     text = F.col(body).cast("string")
     text = text if max_bytes is None else capped(text, max_bytes)
-    given = docs.select(F.col(source).cast("string").alias("source"), (text if comments else without_comments(text)).alias("_b")).filter("_b <> ''")
-    one = F.array(F.struct(F.col("_b").alias("body"), F.lower("_b").alias("low")))
+    given = docs.select(F.col(source).cast("string").alias("source"), *carry, text.alias("_b")).filter("_b <> ''").select("source", *carry, script(F.col("_b"), comments).alias("_b"))
+    given = given.select("source", *carry, "_b", F.lower("_b").alias("_l"))
+    which = F.expr("array_compact(array(" + ", ".join(f"if({_holds(r)}, {n}, null)" for n, r in enumerate(rules)) + "))") if rules else F.array().cast("array<int>")
+    marked = F.when(F.contains("_l", F.lit("url=")), F.array_compact(F.transform(F.split("_b", "\n"), lambda t, i: F.when(t.rlike(to_java(noise.SOURCE_MAP_LINE)), i + 1)))).otherwise(F.expr("cast(array() as array<int>)"))
     table = rule_array(rules)
-    found = F.flatten(F.transform(one, lambda d: F.flatten(F.transform(
-        F.filter(table, lambda r: ((r["anchor"] == "") | F.contains(d["low"], r["anchor"])) & F.rlike(d["body"], r["java"])),
-        lambda r: F.transform(_hits(d["body"], r), lambda h: F.struct(r.alias("r"), h.alias("h")))))))
-    return given.select("source", F.explode(found).alias("m")).select("source", "m.r.*", "m.h.*")
 
+    def of(d: Column, n: Column) -> Column:
+        # a one-element array names the rule, so that it is looked up once
+        return F.flatten(F.transform(F.array(F.element_at(table, n + 1)), lambda r: F.transform(_hits(d["body"], d["marked"], r), lambda h: F.struct(r.alias("r"), h.alias("h")))))
 
-def _any(text: Column, words: Column) -> Column:
-    return F.exists(words, lambda w: F.contains(text, w))
+    # likewise for what is known of the document; a filter on it would be moved down and compute it again for every rule
+    one = F.array(F.struct(F.col("_b").alias("body"), which.alias("which"), marked.alias("marked")))
+    return given.select("source", *carry, F.flatten(F.flatten(F.transform(one, lambda d: F.transform(d["which"], lambda n: of(d, n))))).alias("found"))
 
 
-def scored(hits: DataFrame, min_confidence: float = MIN_CONFIDENCE, fp_filter: bool = True) -> DataFrame:
-    """Adds entropy, confidence, reasons and, for what is not kept, ``drop_reason``. Gates run in a fixed order."""
-    v, low = F.col("value"), F.lower("context")
-    legacy = F.col("kind") == "legacy"
-    rows = hits.withColumn("entropy", entropy(v)).withColumn("classes", classes(v)).withColumn("fixture", _any(low, F.array(*map(F.lit, noise.FIXTURES))))
-    rows = rows.withColumn("vendor", F.col("source").rlike(to_java(noise.VENDOR_SOURCE))).withColumn("near", (F.size("words") == 0) | _any(low, F.col("words")))
-    placeholder = v.isin(*noise.SAMPLES) | _any(v, F.array(*map(F.lit, noise.FRAGMENTS)))
+def matches(docs: DataFrame, rules: Iterable[Rule], source: str = "source", body: str = "body", comments: bool = False, max_bytes: int | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row for each match: source, rule columns, value, byte offset, line, byte column and ±96 bytes.
+
+    Comments are blanked unless ``comments``; bodies are read whole unless ``max_bytes`` is given. Columns named in
+    ``carry`` come along.
+    """
+    return each(_found(docs, rules, source, body, comments, max_bytes, carry), F.col("found"), "m", "source", *carry).select("source", *carry, "m.r.*", "m.h.*")
+
+
+def _words(words: Iterable[str]) -> str:
+    """Pattern of any of the literal words."""
+    return "|".join(rf"\Q{w}\E" for w in words)
+
+
+def judged(x: Get, source: Column, min_confidence: float = MIN_CONFIDENCE, fp_filter: bool = True) -> dict[str, Column]:
+    """``drop_reason`` (null: kept), ``confidence`` and ``reasons`` of a match. Gates run in a fixed order."""
+    v, low = x("value"), x("low")
+    legacy = x("kind") == "legacy"
+    fixture, vendor = low.rlike(_words(noise.FIXTURES)), source.rlike(to_java(noise.VENDOR_SOURCE))
+    near = (F.size(x("words")) == 0) | F.exists(x("words"), lambda w: F.contains(low, w))
+    placeholder = v.isin(*noise.SAMPLES) | v.rlike(_words(noise.FRAGMENTS))
     n = F.octet_length(v)
     floor = F.when(legacy, 3.2).otherwise(3.0)
-    skip = legacy & (F.lit(not fp_filter) | ~F.col("filtered"))
+    skip = legacy & (F.lit(not fp_filter) | ~x("filtered"))
     drop = (
-        F.when(F.col("text_line").rlike(to_java(noise.SOURCE_MAP_LINE)), "source_map_line").when(v == "", "empty").when(skip, F.lit(None)).when(placeholder, "vendor_noise")
-        .when((F.col("min_len") > 0) & (n < F.col("min_len")), "length").when((F.col("max_len") > 0) & (n > F.col("max_len")), "length")
-        .when((F.col("min_entropy") > 0) & (F.col("entropy") < F.col("min_entropy")), "entropy")
-        .when(F.col("high_fp") & (F.col("classes") < 2), "classes").when(F.col("high_fp") & (F.col("entropy") < floor), "entropy")
-        .when((F.col("requires_context") | (legacy & F.col("high_fp"))) & ~F.col("near"), "context").when(~valid(F.col("validator"), v), "validator")
+        F.when(skip, F.lit(None)).when(~legacy & x("map_line"), "source_map_line").when(v == "", "empty").when(placeholder, "vendor_noise").when(x("map_line"), "source_map_line")
+        .when((x("min_len") > 0) & (n < x("min_len")), "length").when((x("max_len") > 0) & (n > x("max_len")), "length")
+        .when((x("min_entropy") > 0) & (x("entropy") < x("min_entropy")), "entropy")
+        .when(x("high_fp") & (x("classes") < 2), "classes").when(x("high_fp") & (x("entropy") < floor), "entropy")
+        .when((x("requires_context") | (legacy & x("high_fp"))) & ~near, "context").when(~valid(x("validator"), v), "validator")
     )
-    add = lambda when, x: F.when(when, F.lit(x)).otherwise(0.0)
+    add = lambda when, y: F.when(when, F.lit(y)).otherwise(0.0)
     score = (
-        F.col("prior") + add(F.col("vendor"), -0.15) + add(F.col("requires_context") & ~legacy, 0.05) + add(F.col("validator") != "", 0.10)
-        + add(F.col("fixture"), -0.30) + add(F.col("entropy") >= 4.5, 0.05) + add(~legacy & (F.col("classes") >= 3), 0.05)
+        x("prior") + add(vendor, -0.15) + add(x("requires_context") & ~legacy, 0.05) + add(x("validator") != "", 0.10)
+        + add(fixture, -0.30) + add(x("entropy") >= 4.5, 0.05) + add(~legacy & (x("classes") >= 3), 0.05)
     )
     said = lambda when, *text: F.when(when, F.concat(*text) if len(text) > 1 else text[0])
-    high = F.col("entropy") >= 4.5
     reasons = F.array_compact(F.array(
-        said(F.col("vendor"), F.when(legacy, "vendor/chunk bundle").otherwise("source looks like a vendor/chunk bundle")),
-        said(F.col("requires_context") & ~legacy, F.lit("context keyword present")), said(legacy & F.col("high_fp"), F.lit("context keyword present (generic-rule gate)")),
-        said(F.col("fixture"), F.when(legacy, "context looks like a fixture/example").otherwise("surrounded by fixture/example wording")),
-        said(high, F.lit("high entropy "), F.format_number("entropy", 2)), said(~legacy & (F.col("classes") >= 3), F.lit("diverse character classes")),
+        said(legacy & x("high_fp"), F.lit("context keyword present (generic-rule gate)")),
+        said(vendor, F.when(legacy, "vendor/chunk bundle").otherwise("source looks like a vendor/chunk bundle")),
+        said(x("requires_context") & ~legacy, F.lit("context keyword present")), approval(x("validator"), v),
+        said(fixture, F.when(legacy, "context looks like a fixture/example").otherwise("surrounded by fixture/example wording")),
+        said(x("entropy") >= 4.5, F.lit("high entropy "), F.format_number(x("entropy"), 2)), said(~legacy & (x("classes") >= 3), F.lit("diverse character classes")),
     ))
-    rows = rows.withColumn("_drop", drop).withColumn("confidence", F.when(skip, F.col("prior")).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score))))
-    below = ~skip & (F.col("confidence") < min_confidence)
-    return rows.withColumn("drop_reason", F.coalesce("_drop", F.when(below, "low_confidence"))).withColumn("reasons", F.when(skip, F.array().cast("array<string>")).otherwise(reasons)).drop("_drop")
+    confidence = F.when(skip, x("prior")).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)))
+    below = F.when(~skip & (confidence < min_confidence), "low_confidence")
+    return {"drop_reason": F.coalesce(drop, below), "confidence": confidence, "reasons": F.when(skip, F.array().cast("array<string>")).otherwise(reasons)}
+
+
+def scored(hits: DataFrame, min_confidence: float = MIN_CONFIDENCE, fp_filter: bool = True) -> DataFrame:
+    """Adds confidence, reasons and, for what is not kept, ``drop_reason`` to matches, each judged alone."""
+    return hits.withColumns(judged(F.col, F.col("source"), min_confidence, fp_filter))
 
 
 def unwanted_email(value: Column) -> Column:
     low = F.lower(value)
-    return F.exists(F.array(*map(F.lit, noise.EMAIL_PREFIXES)), lambda p: F.startswith(low, p)) | F.exists(F.array(*map(F.lit, noise.EMAIL_DOMAINS)), lambda d: F.endswith(low, F.concat(F.lit("@"), d)))
+    return low.rlike(r"\A(?:" + _words(noise.EMAIL_PREFIXES) + ")") | low.rlike("(?:" + _words("@" + d for d in noise.EMAIL_DOMAINS) + r")\z")
+
+
+def _like_base64(v: Column) -> Column:
+    return (F.octet_length(v) >= 16) & (F.length(F.regexp_replace(v, "[^A-Za-z0-9+/=]+", "")) / F.octet_length(v) > 0.95)
+
+
+def in_foreign_address(x: Get, source: Column) -> Column:
+    """Whether an address nearby that holds the value is of another base domain than the source."""
+    near = F.concat(_last(x("before"), FOREIGN_WINDOW), x("value"), _first(x("after"), FOREIGN_WINDOW))
+    own = base_domain(host(source))
+    urls = F.regexp_extract_all(near, F.lit(r"""https?://[^\t\n\f\r "'<>)]+"""), F.lit(0))
+    return own.isNotNull() & F.exists(urls, lambda u: F.contains(u, x("value")) & F.coalesce(base_domain(host(u)) != own, F.lit(False)))
+
+
+def encoded_media(x: Get) -> Column:
+    """Whether the value is a piece of encoded media: base64 near wording of media, or long, or inside more base64."""
+    v = x("value")
+    near = F.concat(x("before"), v, _first(x("after"), FOREIGN_WINDOW))
+    at, n = F.octet_length(F.left(near, F.instr(near, v) - 1)), F.octet_length(v)
+    piece = lambda before, after: F.substr(F.encode(near, "UTF-8"), F.greatest(at - before, F.lit(0)) + 1, at + n + after - F.greatest(at - before, F.lit(0))).cast("string")
+    wide = piece(FOREIGN_WINDOW, FOREIGN_WINDOW)
+    return _like_base64(v) & (F.lower(piece(MEDIA_WINDOW, MEDIA_WINDOW)).rlike(_words(MEDIA)) | ((n > 100) & (x("entropy") > 4.5)) | ((F.octet_length(wide) > 2 * n) & _like_base64(wide)))
+
+
+def clean_link(v: Column) -> Column:
+    bare = F.regexp_replace(v, r"[,;\\|)]+\z", "")
+    return F.regexp_replace(F.regexp_replace(bare, r"""\A["']+|["']+\z""", ""), r"[ \t\n\r]+\z", "")
+
+
+def valid_link(v: Column) -> Column:
+    """An http(s) address with a host, a numeric port if any, and no wording of a placeholder or template."""
+    return v.rlike(r"(?i)\Ahttps?://(?:[^/?#@]*@)?(?:\[[^\]/?#]*\]|[^/?#:\x00-\x20<>\"\\^`{|}]+)(?::[0-9]*)?(?:[/?#][^\x00-\x20]*)?\z") & ~v.rlike(r"%(?![0-9A-Fa-f]{2})") & ~F.lower(v).rlike(_words(PLACEHOLDERS))
+
+
+def unwanted_link(x: Get, source: Column) -> Column:
+    """Whether a link (cleaned already) is malformed, a placeholder, behind a comment mark, or of another base domain."""
+    v = x("value")
+    near = F.concat(_last(x("before"), FOREIGN_WINDOW), v, _first(x("after"), FOREIGN_WINDOW))
+    before = F.left(near, F.instr(near, v) - 1)
+    comment = F.contains(F.substring_index(before, "\n", -1), F.lit("//")) | before.rlike(r"(?s)/\*(?:(?!\*/).)*\z")
+    other = base_domain(host(v)) != base_domain(host(source))
+    return (v == "") | ~valid_link(v) | comment | F.coalesce(other, F.lit(False))
+
+
+def cross_domain(value: Column, source: Column) -> Column:
+    """Whether a value is an address, or an e-mail, of another base domain than the source."""
+    own = base_domain(host(source))
+    parts = F.split(value, "@")
+    mail = F.when(F.size(parts) == 2, F.nullif(base_domain(F.element_at(parts, -1)), F.lit("")))
+    return F.coalesce(F.when(value.rlike(r"""https?://[^\t\n\f\r "'<>]"""), base_domain(host(value)) != own).otherwise(mail != own), F.lit(False))
+
+
+def out_of_scope(source: Column, domain: str | None = None, extensions: Iterable[str] = ()) -> Column:
+    """Whether a source lacks ``domain`` or ends in none of ``extensions``."""
+    ends = [F.endswith(source, F.lit(e.strip())) for e in extensions]
+    lacks = ~F.contains(source, F.lit(domain)) if domain else F.lit(False)
+    one = F.lit(not ends)
+    for e in ends:
+        one = one | e
+    return lacks | ~one
+
+
+def assess(
+    docs: DataFrame, rules: Iterable[Rule], source: str = "source", body: str = "body", comments: bool = False, max_bytes: int | None = None, min_confidence: float = MIN_CONFIDENCE,
+    fp_filter: bool = True, ignore: Callable[[Get], Column] | None = None, domain: str | None = None, extensions: Iterable[str] = (), pattern: str | None = None, internal: bool = False,
+) -> DataFrame:
+    """All matches, scored, in one pass; legacy ones also go through the filters that only they have.
+
+    A legacy match is dropped outside ``domain`` and ``extensions``, in an address of another base domain, as
+    encoded media, as an unwanted link or e-mail, if a registry rule has kept its value in the same document, by
+    its score, as cross-domain, if ``pattern`` does not match it, and with ``internal`` if it names nothing internal.
+    ``ignore`` is a condition on a match's columns. An unusable ``pattern`` lets nothing pass.
+    """
+    src = F.col("source")
+    names = lambda shape: [f.split(":", 1)[0] for f in shape[7:-1].split(",")]
+    in_rule, in_hit = names(_RULE), names(_HIT)
+    matching = None if pattern is None else to_java(pattern) if usable(pattern) else r"\A\z."
+
+    def judge(m: Column) -> Column:
+        x = lambda name: m["r"][name] if name in in_rule else m["h"][name]
+        value = F.when(x("name") == LINK, clean_link(x("value"))).otherwise(x("value"))
+        now = lambda name: {"value": value, "source": src}[name] if name in ("value", "source") else value_hash(value) if name == "value_hash" else x(name)
+        legacy = x("kind") == "legacy"
+        hidden = F.when(out_of_scope(src, domain, extensions), "scope").when(in_foreign_address(x, src), "foreign_address").when(encoded_media(x), "encoded_media")
+        early = hidden.when((x("name") == LINK) & unwanted_link(now, src), "link").when((x("name") == "Email") & unwanted_email(value), "unwanted_email")
+        told = judged(x, src, min_confidence, fp_filter)
+        late = F.when(F.coalesce(ignore(now), F.lit(False)), "ignored") if ignore else F.lit(None).cast("string")
+        last = F.when(cross_domain(value, src), "cross_domain")
+        last = last.when(~value.rlike(matching), "pattern") if matching else last
+        last = last.when(~value.rlike(_words(INTERNAL)), "not_internal") if internal else last
+        return F.struct(
+            m["r"].alias("r"), m["h"].alias("h"), value.alias("value"), F.when(legacy, early).alias("early"), F.coalesce(told["drop_reason"], late, F.when(legacy, last)).alias("late"),
+            told["confidence"].alias("confidence"), told["reasons"].alias("reasons"),
+        )
+
+    rows = _found(docs, rules, source, body, comments, max_bytes).select("source", F.transform("found", judge).alias("found"))
+    strict = F.transform(F.filter("found", lambda m: (m["r"]["kind"] != "legacy") & m["late"].isNull()), lambda m: m["value"])
+    m = each(rows, F.col("found"), "m", "source", strict.alias("_strict"))
+    covered = F.when((F.col("m.r.kind") == "legacy") & F.array_contains("_strict", F.col("m.value")), "covered")
+    hit = [F.col("m.value" if f == "value" else f"m.h.{f}").alias(f) for f in in_hit]
+    return m.select("source", "m.r.*", *hit, F.coalesce("m.early", covered, "m.late").alias("drop_reason"), "m.confidence", "m.reasons")
+
+
+def usable(pattern: str) -> bool:
+    """Whether a pattern can be compiled."""
+    try:
+        re.compile(pattern)
+    except re.error:
+        return False
+    return True
 
 
-def uncovered(rows: DataFrame) -> DataFrame:
-    """Kept matches without the legacy ones whose value a registry rule kept in the same source, and unwanted e-mails."""
-    kept = rows.filter("drop_reason is null")
-    legacy = kept.filter((F.col("kind") == "legacy") & ~((F.col("name") == "Email") & unwanted_email(F.col("value"))))
-    registry = kept.filter("kind <> 'legacy'")
-    return registry.unionByName(legacy.join(registry.select("source", "value").distinct(), ["source", "value"], "left_anti"))
+def kept(rows: DataFrame) -> DataFrame:
+    return rows.filter("drop_reason is null")
 
 
 def identified(rows: DataFrame) -> DataFrame:

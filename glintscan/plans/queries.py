@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from glintscan.functions import text as fn
 from glintscan.operators import extract, findings, scan
-from glintscan.rules import catalog
+from glintscan.rules import catalog, noise, samples
 from glintscan.rules.model import Rule
 from glintscan.sinks import writers
 from glintscan.sources import readers
+from glintscan.streaming import streams
 
 #: A pack for the secrets, addresses and hosts that the tables hold.
 PACK = (
@@ -37,14 +38,16 @@ def derived_key(column: str = "o_orderkey") -> Column:
 
 
 def derived(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Script bodies made from order keys, each with one access key id; every third in a fixture."""
+    """Script bodies made from order keys, each with one access key id: near wording of a fixture in a comment, or in code, or alone; some in vendor bundles."""
     o = table(spark, sf_dir, "orders")
-    tail = F.when(F.col("o_orderkey") % 3 == 0, "'; // example").otherwise("';")
-    return o.select(F.concat(F.lit("js://"), (F.col("o_orderkey") % 97).cast("string")).alias("source"), F.concat(F.lit("var é = 1;\nvar key = '"), derived_key(), tail).alias("body"), "o_orderkey")
+    k = F.col("o_orderkey")
+    tail = F.when(k % 3 == 0, "'; // example").when(k % 3 == 1, "', kind = 'sample';").otherwise("';")
+    source = F.concat(F.lit("js://"), F.when(k % 97 == 5, "vendor-").otherwise(""), (k % 97).cast("string"))
+    return o.select(source.alias("source"), F.concat(F.lit("/* é\n // */ var é = 1;\nvar key = '"), derived_key(), tail).alias("body"), "o_orderkey")
 
 
 def _kept(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan.identified(scan.scored(scan.matches(documents(spark, sf_dir), PACK))).filter("drop_reason is null")
+    return findings.strict_matches(documents(spark, sf_dir), PACK, comments=True)
 
 
 def token_locations(s: SparkSession, d: str) -> DataFrame:
@@ -69,37 +72,41 @@ def conversation_findings(s: SparkSession, d: str) -> DataFrame:
 
 
 def pack_findings(s: SparkSession, d: str) -> DataFrame:
-    return findings.find(documents(s, d), PACK)
+    return findings.find(documents(s, d), PACK, comments=True)
 
 
 def findings_by_value(s: SparkSession, d: str) -> DataFrame:
-    return pack_findings(s, d).select("value_hash", "secret_type", "rule_id", F.size("locations").cast("long").alias("places"))
+    return pack_findings(s, d).select("value_hash", "secret_type", "rule_id", "places")
 
 
 def key_scan(s: SparkSession, d: str) -> DataFrame:
-    rows = scan.scored(scan.matches(derived(s, d).select("source", "body"), [r for r in catalog.built_in() if r.id == "aws.access_key_id"]))
+    rows = scan.kept(scan.scored(scan.matches(derived(s, d).select("source", "body"), [r for r in catalog.built_in() if r.id == "aws.access_key_id"]), min_confidence=0.3))
     return rows.select("source", "value", "line", "column", F.round("confidence", 4).alias("confidence"))
 
 
 def key_dedupe(s: SparkSession, d: str) -> DataFrame:
-    rows = findings.find(derived(s, d).select("source", "body"), [r for r in catalog.built_in() if r.id == "aws.access_key_id"])
-    return rows.select("value_hash", "source", F.size("locations").cast("long").alias("places"), F.round("confidence", 4).alias("confidence"))
+    rows = findings.find(derived(s, d).select("source", "body"), [r for r in catalog.built_in() if r.id == "aws.access_key_id"], min_confidence=0.3)
+    return rows.select("value_hash", "source", "places", F.round("confidence", 4).alias("confidence"))
 
 
 def registry_vs_legacy(s: SparkSession, d: str) -> DataFrame:
     rules = [r for r in catalog.built_in() if r.id in ("aws.access_key_id", "legacy:Aws Api Key")]
     body = derived(s, d).select("source", F.translate("body", "é", "e").alias("body"))
-    return scan.uncovered(scan.scored(scan.matches(body, rules))).groupBy("id").agg(F.count("*").alias("matches"))
+    return scan.kept(scan.assess(body, rules, min_confidence=0.3)).groupBy("id").agg(F.count("*").alias("matches"))
 
 
 def ignore_and_diff(s: SparkSession, d: str) -> DataFrame:
     known = _kept(s, d).filter("id = 'doc.email'").select("value_hash")
-    return findings.find(documents(s, d), PACK, ignore=["rule:doc.ip*", "# kept short"], known=known).select("value_hash", "rule_id")
+    return findings.find(documents(s, d), PACK, ignore=["rule:doc.ip*", "# kept short"], known=known, comments=True).select("value_hash", "rule_id")
 
 
 def stage_statistics(s: SparkSession, d: str) -> DataFrame:
     rules = [*PACK, Rule("doc.short", "Short hex", "Documents", "hex", "low", r"[0-9a-f]{10,}", min_len=40, max_len=40, prior=0.4, kind="external")]
-    return findings.statistics(scan.scored(scan.matches(documents(s, d), rules)))
+    return findings.statistics(scan.scored(scan.matches(documents(s, d), rules, comments=True)))
+
+
+def run_counters(s: SparkSession, d: str) -> DataFrame:
+    return findings.counters(scan.assess(derived(s, d).select("source", "body"), [r for r in catalog.built_in() if r.id in ("aws.access_key_id", "legacy:Aws Api Key")], min_confidence=0.6))
 
 
 def verify_fold(s: SparkSession, d: str) -> DataFrame:
@@ -109,6 +116,14 @@ def verify_fold(s: SparkSession, d: str) -> DataFrame:
     return findings.verified(found, results).groupBy("verified", "confidence").agg(F.count("*").alias("n"))
 
 
+def rule_listing(s: SparkSession, d: str) -> DataFrame:
+    return writers.rule_listing(s, catalog.built_in())
+
+
+def console_lines(s: SparkSession, d: str) -> DataFrame:
+    return writers.console(_kept(s, d), values=True)
+
+
 def rule_selection(s: SparkSession, d: str) -> DataFrame:
     return catalog.as_table(s, catalog.only_and_disabled(catalog.built_in(), ["github.*", "stripe.*"], ["*.publishable_key"])).select("id", "severity", "validator")
 
@@ -126,7 +141,20 @@ def all_severities(s: SparkSession, d: str) -> DataFrame:
 
 
 def sarif_places(s: SparkSession, d: str) -> DataFrame:
-    return writers.sarif_results(all_findings(s, d)).select("rule_id", "level", "uri", "start_line", "value_hash", "rule_secret_type")
+    rows = findings.strict_matches(documents(s, d), PACK, comments=True)
+    return writers.sarif_results(findings.merged(rows), findings.places(rows)).select("rule_id", "level", "uri", F.col("start_line").cast("long").alias("start_line"), "value_hash", "rule_secret_type")
+
+
+def sarif_documents(s: SparkSession, d: str) -> DataFrame:
+    rules = [*catalog.built_in(), *PACK]
+    rows = findings.strict_matches(documents(s, d), rules)
+    return writers.sarif(findings.merged(rows), findings.places(rows), rules)
+
+
+def envelopes(s: SparkSession, d: str) -> DataFrame:
+    rows = findings.all_matches(documents(s, d), [*catalog.built_in(), *PACK])
+    strict = rows.filter("kind <> 'legacy'")
+    return writers.envelope(rows, findings.merged(strict), findings.places(strict))
 
 
 def ndjson_lines(s: SparkSession, d: str) -> DataFrame:
@@ -139,11 +167,38 @@ def csv_rows(s: SparkSession, d: str) -> DataFrame:
 
 def email_matches(s: SparkSession, d: str) -> DataFrame:
     email = [r for r in catalog.built_in() if r.name == "Email"]
-    return scan.uncovered(scan.scored(scan.matches(documents(s, d), email))).select("source", "value")
+    return scan.kept(scan.assess(documents(s, d), email, comments=True)).select("source", "value")
 
 
 def legacy_scan(s: SparkSession, d: str) -> DataFrame:
-    return scan.uncovered(scan.scored(scan.matches(documents(s, d), catalog.built_in()))).groupBy("id").agg(F.count("*").alias("matches"))
+    return scan.kept(scan.assess(documents(s, d), catalog.built_in())).groupBy("id").agg(F.count("*").alias("matches"))
+
+
+def raw_matches(s: SparkSession, d: str) -> DataFrame:
+    """All matches of all built-in rules, before scores and filters."""
+    return scan.matches(documents(s, d), catalog.built_in(), comments=True).groupBy("id").agg(F.count("*").alias("matches"), F.countDistinct("value").alias("values"))
+
+
+def _sample(r: Rule) -> str:
+    return f"let token = '{samples.example(r.pattern)}';"
+
+
+def sampled_rules(s: SparkSession, d: str) -> DataFrame:
+    """Each built-in rule over bodies made from its pattern, one for each customer: matches by rule, of all rules."""
+    rules = catalog.built_in()
+    n = F.pmod(F.col("c_custkey"), F.lit(len(rules))).cast("int")
+    body = F.concat(F.element_at(F.array(*(F.lit(_sample(r)) for r in rules)), n + 1), F.lit(" "), F.col("c_custkey").cast("string"))
+    made = table(s, d, "customer").select(F.col("c_custkey").cast("string").alias("source"), body.alias("body"))
+    return scan.matches(made, rules, comments=True).groupBy("id").agg(F.count("*").alias("matches"), F.countDistinct("value").alias("values"))
+
+
+def scoped_matches(s: SparkSession, d: str) -> DataFrame:
+    """Legacy addresses of a source's own domain under scope, pattern and wording."""
+    k = F.col("c_custkey").cast("string")
+    body = F.concat(F.lit("a('https://internal.shop"), k, F.lit(".net/p');\n b('https://www.shop"), k, F.lit(".net/internal/q?id="), k, F.lit("');\n c('https://internal.other.org/z'); d('https://internal.example.com/'); e('https://internal.shop"), k, F.lit(".net:8x/')"))
+    docs = table(s, d, "customer").select(F.concat(F.lit("https://www.shop"), k, F.when(F.col("c_custkey") % 2 == 0, ".net/app.js").otherwise(".net/app.css")).alias("source"), body.alias("body"))
+    rule = catalog.legacy_rule(scan.LINK, catalog.EXTRA["links"][scan.LINK])
+    return scan.kept(scan.assess(docs, [rule], domain="shop", extensions=[".js", ".mjs"], pattern="shop[0-9]+", internal=True)).select("source", "value")
 
 
 def page_scripts(s: SparkSession, d: str) -> DataFrame:
@@ -160,68 +215,168 @@ def page_links(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "pages").select("page_id", F.explode(F.array_distinct(refs)).alias("reference"))
 
 
-def _script(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bodies with the calls that extraction looks for, made from customer keys."""
+def _shaped(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """Bodies of the shapes of ``SHAPES[name]``, one for each customer, with its key for ``{k}``."""
     k = F.col("c_custkey").cast("string")
-    body = F.concat(F.lit("const baseURL = 'https://api.shop"), k, F.lit(".net/v1/';\nfetch('/orders/"), k, F.lit("'); axios.get('/users/list');\nconst a = params.get('id"), k, F.lit("'); const b = params.get('page');"), F.repeat(F.lit(" "), 300), F.lit("params.get('sort'); // see https://docs.shop.net/x\nlet u = 'https://www.shop"), k, F.lit(".net/find?q=1&lang=en';\n"))
-    return table(spark, sf_dir, "customer").select(F.concat(F.lit("https://www.shop"), k, F.lit(".net/app.js")).alias("source"), body.alias("body"))
+    bodies = F.array(*(F.lit(body) for body, _ in SHAPES[name]))
+    shape = F.element_at(bodies, F.pmod(F.col("c_custkey"), F.lit(len(SHAPES[name]))).cast("int") + 1)
+    source = F.when(F.col("c_custkey") % 7 == 0, F.concat(F.lit("plain"), k)).otherwise(F.concat(F.lit("https://www.shop"), k, F.lit(".net/app.js"))) if name in PLAIN else F.concat(F.lit("https://www.shop"), k, F.lit(".net/app.js"))
+    return table(spark, sf_dir, "customer").select(source.alias("source"), F.replace(shape, F.lit("{k}"), k).alias("body"))
+
+
+#: Bodies by operator, and what each gives; ``{k}`` is a customer's key. The queries only see the bodies.
+SHAPES: dict[str, list[tuple[str, list[str]]]] = {
+    "endpoints": [
+        (
+            "const baseURL = 'https://api.shop{k}.net/v1/';\nfetch('/orders/{k}'); axios.get('/users/list'); // see https://docs.shop.net/x\nlet u = 'https://www.shop{k}.net/find?q=1&lang=en';\n",
+            ["https://api.shop{k}.net/v1/orders/{k}", "https://api.shop{k}.net/v1/users/list"],
+        ),
+        ("/* fetch('/old') */ request.post(\"/api/v{k}/items\"); x.open('GET', '/graphql{k}')", ["/api/v{k}/items", "/graphql{k}"]),
+        ("const a = 'https://cdn.shop{k}.net/files/list'; // 'https://x.net/a/b'\nfetch('/a'); fetch('relative/x'); y = '//cdn/x'; z = '/p+q'; w = 'https://www.w3.org/2000/svg'", ["https://cdn.shop{k}.net/files/list"]),
+        ("nothing to fetch here {k}", []),
+    ],
+    "getter_parameters": [
+        ("const a = params.get('id{k}'); // params.get('old')\nif (searchParams.has(\"page\")) {}", ["id{k}", "page"]),
+        ("urlParams.getAll('tags[]'); if (pair[0] === 'lang') x = getParam('q{k}');", ["tags[]", "lang", "q{k}"]),
+        ("new URL(location.href).searchParams.get('next'); { 'code': params.get(x) }", ["next", "code"]),
+        ("other.get('x'); params.get(name)", []),
+    ],
+    "parameter_groups": [
+        ("const a = params.get('id{k}'); const b = params.get('page');" + " " * 300 + "params.get('sort'); params.get('page');", ["id{k},page", "sort"]),
+        ("params.get('b'); params.get('a'); fetch(u + new URLSearchParams({a: 1, c: 2}))", ["a,b"]),
+        ("params.has('c{k}'); params.get('a'); y = new URLSearchParams(z, {c{k}: 1, d: 2}); w = new URLSearchParams({c{k}: 1})", ["a", "c{k}"]),
+        ("/* params.get('a') */ nothing", []),
+    ],
+    "query_addresses": [
+        ("let u = 'https://www.shop{k}.net/find?q=1&lang=en';", ["https://www.shop{k}.net/find?lang=&q="]),
+        ("r.open('GET', 'https://api.shop{k}.net/v?b=1&a=2#f?z=1'); r.open('GET', '/local?x=1');", ["https://api.shop{k}.net/v?a=&b="]),
+        ("fetch(`https://www.shop{k}.net/s?a=1?b=2`); v = 'https://other.org/x?y=1'; // 'https://www.shop{k}.net/c?d=1'", ["https://www.shop{k}.net/s?a="]),
+        ("w = 'https://www.shop{k}.net/p?=1&%41=2&;=3&b;c=4'; z = 'https://www.shop{k}.net/none?'", ["https://www.shop{k}.net/p?A="]),
+    ],
+    "option_addresses": [
+        ("axios.get('/find', {params: {size: 2, page{k}: 1}}); axios.post('https://other.org/x', {params: {a: 1}})", ["https://www.shop{k}.net/find?page{k}=&size="]),
+        ("axios.put(\"https://api.shop{k}.net/v?x=1\", {\n params: {z: 1, b-c: 2}})", ["https://api.shop{k}.net/v?x=1&b-c=&z="]),
+        ("axios.get('/find', {headers: {a: 1}}); // axios.get('/old', {params: {a: 1}})", []),
+    ],
+    "template_addresses": [
+        ("const pid = params.get('product'); fetch(`https://api.shop{k}.net/item?lang=en&id=${pid}`)", ["https://api.shop{k}.net/item?id=&lang=&product="]),
+        ("fetch(`/item?id=${pid}`); fetch(`https://www.shop{k}.net/item/${pid}`)", []),
+        ("const myid = searchParams.get(\"first\"), id = params.get('second'); fetch(`https://www.shop{k}.net/a?b=${id}${id}`)", ["https://www.shop{k}.net/a?b=&first=&first="]),
+        ("const b = params.get('c'); fetch(`https://other.org/x?a=${b}`)", []),
+    ],
+    "object_addresses": [
+        ("let x = 1; fetch('/search', {body: new URLSearchParams({q: 1, page: 2})})", ["https://www.shop{k}.net/search?page=&q="]),
+        ("y = 2; axios.post('https://api.shop{k}.net/v?x=1', new URLSearchParams({a: {k}}))", ["https://api.shop{k}.net/v?x=1&a="]),
+        ("new URLSearchParams({a: 1})", []),
+        ("z = 3; fetch('https://other.org/v', new URLSearchParams({a: 1})); fetch(u, new URLSearchParams({b: 1}))", []),
+    ],
+    "parameter_addresses": [
+        ("const api = 'https://api.shop{k}.net/v1?x=0'; a = params.get('b'); c = params.get('a');", ["https://api.shop{k}.net/v1?x=", "https://api.shop{k}.net/v1/?a=&b=", "https://api.shop{k}.net/v1/?a=", "https://api.shop{k}.net/v1/?b="]),
+        ("const baseURL = '/rest'; d = params.get('d{k}')", ["/rest/?d{k}="]),
+        ("e = params.has('e'); fetch('/f', {x: new URLSearchParams({g: 1})})", ["https://www.shop{k}.net/?e=", "https://www.shop{k}.net/f?g="]),
+        ("apiBase = 'https://other.org/r'; params.get('h')", []),
+    ],
+    "links_same_domain": [
+        ("a('https://api.shop{k}.net/v1/');\n b('https://www.shop{k}.net/find?q=1&lang=en'); // https://www.shop{k}.net/comment", ["https://api.shop{k}.net/v1/", "https://www.shop{k}.net/find?q=1&lang=en"]),
+        ("f('http://shop{k}.net/a|')\nf('https://other.net/b')\nf('https://www.shop{k}.net:80x/c')\nf('https://user:1@www.shop{k}.net:8080/d')", ["http://shop{k}.net/a", "https://user:1@www.shop{k}.net:8080/d"]),
+        ("x = 'https://www.shop{k}.net/yourdomain'; y = 'https://www.shop{k}.net/{{t}}/z';\n w = `https://www.shop{k}.net/${v}`", []),
+    ],
+    "csp_origins": [
+        ("default-src 'self' https://cdn{k}.example.net; script-src 'nonce-x' *.wild.net static{k}.net https:;img-src data: https://cdn{k}.example.net", ["https://cdn{k}.example.net", "static{k}.net", "https:"]),
+        ("upgrade-insecure-requests;; frame-src\t'none' \"https://f{k}.net\"\n'unsafe-inline' WSS://ws.net BLOB:", ["https://f{k}.net"]),
+        ("", []),
+    ],
+    "robots_rules": [
+        ("User-agent: other\nUser-agent: *\nDisallow: /p{k} # no\nAllow: /a\n\nUser-agent: nobody\nDisallow: /n\nSitemap: /s{k}", ["disallow /p{k}", "allow /a", "sitemap /s{k}"]),
+        ("User-agent: *\nDisallow: /a\nUser-agent: other{k}\nDisallow: /b\nDisallow:\nsitemap\nno colon", ["disallow /a", "disallow /b"]),
+        ("Disallow: /x\r\nUSER-AGENT : *\r\n  Allow :  /y{k}  \r\n# c\r\nAllow: /z", ["allow /y{k}"]),
+    ],
+    "resolved_addresses": [
+        ("../maps/./a{k}.map?x=1#f", ["https://www.shop{k}.net/maps/a{k}.map?x=1#f"]), ("/m/{k}.map", ["https://www.shop{k}.net/m/{k}.map"]), ("//cdn.net/../b.map", ["https://cdn.net/b.map"]),
+        ("http://x.net/c.map", ["http://x.net/c.map"]), ("d{k}.map", ["https://www.shop{k}.net/d{k}.map"]), ("?v={k}", ["https://www.shop{k}.net/app.js?v={k}"]),
+    ],
+}
+#: Operators whose sources are addresses but for every seventh.
+PLAIN = ("endpoints", "getter_parameters")
 
 
 def endpoints(s: SparkSession, d: str) -> DataFrame:
-    return extract.endpoints(_script(s, d))
+    return extract.endpoints(_shaped(s, d, "endpoints"))
+
+
+def endpoints_matching(s: SparkSession, d: str) -> DataFrame:
+    return extract.endpoints(_shaped(s, d, "endpoints"), pattern="orders|/api")
+
+
+def getter_parameters(s: SparkSession, d: str) -> DataFrame:
+    return extract.getter_parameters(_shaped(s, d, "getter_parameters"))
 
 
 def parameter_names(s: SparkSession, d: str) -> DataFrame:
-    return extract.getter_parameters(_script(s, d)).unionByName(extract.parameters(table(s, d, "pages").select(F.col("url").alias("source"), F.col("url").alias("body")))).groupBy("parameter").agg(F.count("*").alias("n"))
+    return extract.parameters(table(s, d, "pages").select(F.col("url").alias("source"), F.col("url").alias("body")), comments=True).groupBy("parameter").agg(F.count("*").alias("n"))
 
 
 def parameter_groups(s: SparkSession, d: str) -> DataFrame:
-    return extract.parameter_groups(_script(s, d)).select("source", F.col("group_no").cast("long").alias("group_no"), F.array_join("parameters", ",").alias("parameters"))
+    return extract.parameter_groups(_shaped(s, d, "parameter_groups")).select("source", F.col("group_no").cast("long").alias("group_no"), F.array_join("parameters", ",").alias("parameters"))
 
 
 def links_same_domain(s: SparkSession, d: str) -> DataFrame:
-    return extract.links(_script(s, d))
+    return extract.links(_shaped(s, d, "links_same_domain"))
 
 
 def query_addresses(s: SparkSession, d: str) -> DataFrame:
-    return extract.query_addresses(_script(s, d))
+    return extract.query_addresses(_shaped(s, d, "query_addresses"))
 
 
 def option_addresses(s: SparkSession, d: str) -> DataFrame:
-    k = F.col("c_custkey").cast("string")
-    body = F.concat(F.lit("axios.get('/find', {params: {size: 2, page"), k, F.lit(": 1}}); axios.post('https://other.org/x', {params: {a: 1}})"))
-    return extract.option_addresses(table(s, d, "customer").select(F.concat(F.lit("https://www.shop"), k, F.lit(".net/app.js")).alias("source"), body.alias("body")))
+    return extract.option_addresses(_shaped(s, d, "option_addresses"))
+
+
+def template_addresses(s: SparkSession, d: str) -> DataFrame:
+    return extract.template_addresses(_shaped(s, d, "template_addresses"))
+
+
+def object_addresses(s: SparkSession, d: str) -> DataFrame:
+    return extract.object_addresses(_shaped(s, d, "object_addresses"))
+
+
+def parameter_addresses(s: SparkSession, d: str) -> DataFrame:
+    return extract.parameter_addresses(_shaped(s, d, "parameter_addresses"))
 
 
 def csp_origins(s: SparkSession, d: str) -> DataFrame:
-    k = F.col("s_suppkey").cast("string")
-    policy = F.concat(F.lit("default-src 'self' https://cdn"), k, F.lit(".example.net; script-src 'nonce-x' *.wild.net static"), k, F.lit(".net https:;img-src data: https://cdn"), k, F.lit(".example.net"))
-    return extract.csp_origins(table(s, d, "supplier").select(k.alias("source"), policy.alias("policy"))).select("source", F.col("position").cast("long").alias("position"), "origin")
+    return extract.csp_origins(_shaped(s, d, "csp_origins").withColumnRenamed("body", "policy")).select("source", F.col("position").cast("long").alias("position"), "origin")
 
 
 def robots_rules(s: SparkSession, d: str) -> DataFrame:
-    k = F.col("s_suppkey").cast("string")
-    body = F.concat(F.lit("User-agent: other\nUser-agent: *\nDisallow: /p"), k, F.lit(" # no\nAllow: /a\n\nUser-agent: nobody\nDisallow: /n\nSitemap: /s"), k)
-    return extract.robots_rules(table(s, d, "supplier").select(k.alias("host"), body.alias("body")))
+    return extract.robots_rules(_shaped(s, d, "robots_rules").withColumnRenamed("source", "host")).select("host", F.concat_ws(" ", "kind", "path").alias("rule"))
+
+
+def resolved_addresses(s: SparkSession, d: str) -> DataFrame:
+    return _shaped(s, d, "resolved_addresses").select("source", extract.resolved(F.col("source"), F.col("body")).alias("url"))
 
 
 def source_map_members(s: SparkSession, d: str) -> DataFrame:
     k = F.col("s_suppkey").cast("string")
-    m = F.concat(F.lit('{"version":3,"sourceRoot":"src/","sources":["a'), k, F.lit('.js",""],"sourcesContent":["let a","let b"]}'))
-    body = F.concat(F.lit("x\n//# sourceMappingURL=data:application/json;base64,"), F.replace(F.base64(F.encode(m, "UTF-8")), F.lit("\r\n"), F.lit("")), F.lit("\n"))
-    return extract.source_map_members(table(s, d, "supplier").select(k.alias("source"), body.alias("body")))
+    m = F.concat(F.lit('{"version":3,"sourceRoot":"src/","sources":["a'), k, F.lit('.js","","/abs.js","webpack://x/y.js","gone.js"],"sourcesContent":["a()","b()","c()","d()"]}'))
+    body = F.concat(F.lit("x\n//# sourceMappingURL=data:application/json;base64,"), F.replace(F.base64(F.encode(m, "UTF-8")), F.lit("\r\n"), F.lit("")), F.lit("\n//# sourceMappingURL=second.map\n"))
+    plain = F.concat(F.lit("//# sourceMappingURL=data:application/json,"), F.url_encode(F.replace(m, F.lit("src/"), F.lit(""))))
+    return extract.source_map_members(table(s, d, "supplier").select(k.alias("source"), F.when(F.col("s_suppkey") % 3 == 0, plain).when(F.col("s_suppkey") % 3 == 1, body).otherwise("no map").alias("body")))
 
 
 def har_entries(s: SparkSession, d: str) -> DataFrame:
     k = F.col("s_suppkey")
-    text = F.when(k % 2 == 0, F.base64(F.encode(F.concat(F.lit("let x="), k.cast("string")), "UTF-8"))).otherwise(F.concat(F.lit("let x="), k.cast("string")))
-    content = F.struct(F.lit("text/javascript").alias("mimeType"), text.alias("text"), F.when(k % 2 == 0, "base64").otherwise("").alias("encoding"))
-    entry = F.struct(F.struct(F.concat(F.lit("https://h/"), k.cast("string"), F.lit(".js")).alias("url")).alias("request"), F.struct(F.when(k % 5 == 0, 404).otherwise(200).alias("status"), content.alias("content")).alias("response"))
+    plain = F.concat(F.lit("let x="), k.cast("string"))
+    text = F.when(k % 4 == 0, F.base64(F.encode(plain, "UTF-8"))).when(k % 4 == 2, F.concat(plain, F.lit("!"))).otherwise(plain)
+    content = F.struct(F.when(k % 3 == 0, "text/html").otherwise("text/javascript").alias("mimeType"), text.alias("text"), F.when(k % 2 == 0, "base64").otherwise("").alias("encoding"))
+    entry = F.struct(F.struct(F.concat(F.lit("https://h/"), k.cast("string"), F.when(k % 9 == 0, ".js?v=1").otherwise(".x")).alias("url")).alias("request"), F.struct(F.when(k % 5 == 0, 404).otherwise(200).alias("status"), content.alias("content")).alias("response"))
     return readers.har_entries(table(s, d, "supplier").select(F.struct(F.array(entry).alias("entries")).alias("log")))
 
 
 def comments_stripped(s: SparkSession, d: str) -> DataFrame:
-    return _script(s, d).select("source", F.sha2(scan.without_comments(F.col("body")), 256).alias("body_sha256"))
+    """Bodies of several shapes without their comments, as digests."""
+    made = _shaped(s, d, "endpoints").unionByName(_shaped(s, d, "query_addresses").withColumn("source", F.concat("source", F.lit("#2"))))
+    return made.select("source", F.sha2(scan.without_comments(F.col("body")), 256).alias("body_sha256"))
 
 
 def _turns(s: SparkSession, d: str) -> DataFrame:
@@ -229,7 +384,18 @@ def _turns(s: SparkSession, d: str) -> DataFrame:
 
 
 def conversation_scan(s: SparkSession, d: str) -> DataFrame:
-    return scan.identified(scan.scored(scan.matches(_turns(s, d), PACK))).filter("drop_reason is null").select("source", "id", "value_hash")
+    """Pack rules, and two for words, over conversations."""
+    words = (Rule("doc.que", "Word", "Documents", "word", "info", r"\bque[a-z]+\b", prior=0.9, kind="external"), Rule("doc.the", "Word", "Documents", "word", "info", r"(?i)\bthe[a-z]*", prior=0.9, kind="external"))
+    return findings.strict_matches(_turns(s, d), [*PACK, *words], comments=True).select("source", "id", "value_hash")
+
+
+def breaker_states(s: SparkSession, d: str) -> DataFrame:
+    """Circuit breaker over a stream of events: users stand for hosts, errors for failures."""
+    schema = table(s, d, "events").schema
+    e = s.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    outcomes = e.select(F.col("user_id").cast("string").alias("host"), F.col("ts").cast("timestamp").alias("ts"), F.when(F.col("event_type") == "error", 503).otherwise(200).alias("status"), F.lit(None).cast("int").alias("retry_after_s"))
+    states = streams.drained(streams.breaker(outcomes), "breaker")
+    return states.groupBy("host").agg(F.count("*").alias("outcomes"), F.count_if("benched").alias("benched"), F.sum(F.col("failures").cast("long")).alias("failures"))
 
 
 def host_failures(s: SparkSession, d: str) -> DataFrame:
@@ -245,9 +411,10 @@ def host_failures(s: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        all_findings, pack_findings, conversation_findings, all_severities, token_locations, pack_matches, value_functions, findings_by_value, key_scan, key_dedupe, registry_vs_legacy, ignore_and_diff, stage_statistics, verify_fold, rule_selection,
+        all_findings, pack_findings, conversation_findings, all_severities, sarif_documents, envelopes, raw_matches, sampled_rules, scoped_matches, run_counters, endpoints_matching, getter_parameters,
+        template_addresses, object_addresses, parameter_addresses, resolved_addresses, rule_listing, console_lines, token_locations, pack_matches, value_functions, findings_by_value, key_scan, key_dedupe, registry_vs_legacy, ignore_and_diff, stage_statistics, verify_fold, rule_selection,
         severity_order, sarif_places, ndjson_lines, csv_rows, email_matches, legacy_scan, page_scripts, page_domains, page_links, endpoints, parameter_names, parameter_groups,
-        links_same_domain, query_addresses, option_addresses, csp_origins, robots_rules, source_map_members, har_entries, comments_stripped, conversation_scan, host_failures,
+        links_same_domain, query_addresses, option_addresses, csp_origins, robots_rules, source_map_members, har_entries, comments_stripped, conversation_scan, host_failures, breaker_states,
     )
 }
 
@@ -259,7 +426,53 @@ _MATCHES = r"""
         UNION ALL SELECT source, body, 'doc.email', 'email', 'medium', 'E-mail', unnest(regexp_extract_all(body, '[A-Za-z0-9._-]+@[A-Za-z0-9-]+\.[A-Za-z0-9.]+')) FROM docs)
 """
 _KEY = "'AKIA' || translate(upper(substr(md5(cast(o_orderkey AS VARCHAR)), 1, 16)), '0189', 'GHIJ')"
-_FIXTURE = "(o_orderkey % 3 = 0)"
+_DERIVED = f"""
+    (SELECT {_KEY} AS k, 'js://' || CASE WHEN o_orderkey % 97 = 5 THEN 'vendor-' ELSE '' END || (o_orderkey % 97) AS source,
+            round(CASE WHEN o_orderkey % 3 = 1 THEN 0.65 ELSE 0.95 END - CASE WHEN o_orderkey % 97 = 5 THEN 0.15 ELSE 0 END, 4)::DOUBLE AS c,
+            o_orderkey % 3 = 1 AS fixture, o_orderkey % 97 = 5 AND o_orderkey % 3 = 1 AS low FROM orders)"""
+
+
+def _text(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+def _shape_sql(name: str, columns: str) -> str:
+    """SQL of what the shapes of an operator give; ``columns`` may use source, i (place in the list), and r."""
+    rows = ", ".join(f"({shape}, {i}, {_text(r)})" for shape, (_, found) in enumerate(SHAPES[name]) for i, r in enumerate(found))
+    plain = "CASE WHEN c_custkey % 7 = 0 THEN 'plain' || c_custkey ELSE 'https://www.shop' || c_custkey || '.net/app.js' END" if name in PLAIN else "'https://www.shop' || c_custkey || '.net/app.js'"
+    return f"""
+        SELECT {columns} FROM (
+            SELECT {plain} AS source, i::BIGINT AS i, replace(raw, '{{k}}', c_custkey::VARCHAR) AS r
+            FROM customer JOIN (VALUES {rows}) t(shape, i, raw) ON c_custkey % {len(SHAPES[name])} = shape)"""
+
+
+def _body_sql(name: str, suffix: str = "") -> str:
+    rows = ", ".join(f"({shape}, {_text(body)})" for shape, (body, _) in enumerate(SHAPES[name]))
+    plain = "CASE WHEN c_custkey % 7 = 0 THEN 'plain' || c_custkey ELSE 'https://www.shop' || c_custkey || '.net/app.js' END" if name in PLAIN else "'https://www.shop' || c_custkey || '.net/app.js'"
+    return f"SELECT {plain} || '{suffix}' AS source, replace(raw, '{{k}}', c_custkey::VARCHAR) AS body FROM customer JOIN (VALUES {rows}) t(shape, raw) ON c_custkey % {len(SHAPES[name])} = shape"
+
+
+def _rules_sql(docs: str) -> str:
+    """SQL of the matches of all built-in rules in ``docs`` (body)."""
+    part = "CASE WHEN coalesce(z[2], '') = '' THEN z[1] ELSE z[2] END"
+    each = " UNION ALL ".join(f"SELECT {_text(r.id)} AS id, unnest(list_zip(regexp_extract_all(body, {_text(r.pattern)}, 0), regexp_extract_all(body, {_text(r.pattern)}, {r.group}))) AS z FROM d" for r in catalog.built_in())
+    return f"WITH d AS ({docs}) SELECT id, count(*) AS matches, count(DISTINCT {part}) AS values FROM ({each}) GROUP BY id"
+
+
+def _email_sql() -> str:
+    (email,) = (r for r in catalog.built_in() if r.name == "Email")
+    starts = " OR ".join(f"starts_with(lower(value), {_text(p)})" for p in noise.EMAIL_PREFIXES)
+    ends = " OR ".join(f"ends_with(lower(value), {_text('@' + x)})" for x in noise.EMAIL_DOMAINS)
+    return f"SELECT source, value FROM (SELECT 'doc://' || doc_id AS source, unnest(regexp_extract_all(text, {_text(email.pattern)})) AS value FROM documents) WHERE NOT ({starts} OR {ends})"
+
+
+_PLACED = r"""
+    , pieces AS (
+        SELECT source, id, level, secret_type, unnest(range(1, len(v) + 1)) AS i, unnest(v) AS value, unnest(p[1:len(v)]) AS piece FROM (
+            SELECT 'doc://' || doc_id AS source, r.id, r.level, r.secret_type, regexp_extract_all(text, r.pattern, r.g) AS v, regexp_split_to_array(text, r.pattern) AS p
+            FROM documents, (VALUES ('doc.token', 'error', 'token', '\btoken = "([0-9a-f]{40})"', 1), ('doc.ipv4', 'note', 'ip', '\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\b', 0),
+                                    ('doc.email', 'warning', 'email', '[A-Za-z0-9._-]+@[A-Za-z0-9-]+\.[A-Za-z0-9.]+', 0)) r(id, level, secret_type, pattern, g)
+            WHERE text <> '') WHERE len(v) > 0)"""
 ORACLE_SQL: dict[str, str] = {
     "pack_matches": _MATCHES + "SELECT id, count(*) AS matches, count(DISTINCT value) AS values FROM hits GROUP BY id",
     "token_locations": _MATCHES + r"""
@@ -276,10 +489,14 @@ ORACLE_SQL: dict[str, str] = {
                sha256(value)[:16] AS value_hash
         FROM c GROUP BY value""",
     "findings_by_value": _MATCHES + "SELECT sha256(value)[:16] AS value_hash, secret_type, min(id) AS rule_id, count(*) AS places FROM hits GROUP BY value, secret_type",
-    "key_scan": f"SELECT 'js://' || (o_orderkey % 97) AS source, {_KEY} AS value, 2 AS line, 12 AS \"column\", CASE WHEN {_FIXTURE} THEN 0.65 ELSE 0.95 END::DOUBLE AS confidence FROM orders",
-    "key_dedupe": f"""
-        SELECT sha256(k)[:16] AS value_hash, min(source) AS source, count(*) AS places, max(c) AS confidence
-        FROM (SELECT {_KEY} AS k, 'js://' || (o_orderkey % 97) AS source, CASE WHEN {_FIXTURE} THEN 0.65 ELSE 0.95 END::DOUBLE AS c FROM orders) GROUP BY k""",
+    "key_scan": f"SELECT source, k AS value, 3 AS line, 12 AS \"column\", c AS confidence FROM {_DERIVED}",
+    "key_dedupe": f"SELECT sha256(k)[:16] AS value_hash, min(source) AS source, count(*) AS places, max(c) AS confidence FROM {_DERIVED} GROUP BY k",
+    "run_counters": f"""
+        SELECT count(*) FILTER (NOT low) AS registry_hits, count(*) FILTER (low AND k NOT LIKE '%GIF%') AS legacy_raw, 0::BIGINT AS dropped_vendor_noise,
+               count(*) FILTER (fixture) + count(*) FILTER (low AND k NOT LIKE '%GIF%') AS fixtures, 0::BIGINT AS dropped_source_map, 0::BIGINT AS dropped_entropy, 0::BIGINT AS dropped_context,
+               count(*) FILTER (low) + count(*) FILTER (low AND k NOT LIKE '%GIF%') AS dropped_confidence, count(*) FILTER (NOT low AND k NOT LIKE '%GIF%') AS dropped_duplicate,
+               count(*) FILTER (NOT low) AS findings, count(DISTINCT k) FILTER (NOT low) AS findings_merged
+        FROM {_DERIVED}""",
     "registry_vs_legacy": "SELECT 'aws.access_key_id' AS id, count(*) AS matches FROM orders",
     "ignore_and_diff": _MATCHES + "SELECT DISTINCT sha256(value)[:16] AS value_hash, id AS rule_id FROM hits WHERE id = 'doc.token'",
     "verify_fold": f"""
@@ -296,28 +513,73 @@ ORACLE_SQL: dict[str, str] = {
         SELECT regexp_extract(h, '([^.]+\.)?[^.]+$') AS domain, count(*) AS pages, count(DISTINCT h) AS hosts
         FROM (SELECT lower(regexp_extract(url, '^https?://([^/:?#]+)', 1)) AS h FROM pages) GROUP BY 1""",
     "page_links": """SELECT DISTINCT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS reference FROM pages""",
-    "endpoints": """
-        SELECT 'https://www.shop' || c_custkey || '.net/app.js' AS source, e AS endpoint FROM customer,
-        LATERAL (SELECT unnest(['https://api.shop' || c_custkey || '.net/v1/orders/' || c_custkey, 'https://api.shop' || c_custkey || '.net/v1/users/list', 'https://docs.shop.net/x']) AS e)""",
-    "parameter_groups": """
-        SELECT 'https://www.shop' || c_custkey || '.net/app.js' AS source, g AS group_no, CASE WHEN g = 0 THEN 'id' || c_custkey || ',page' ELSE 'sort' END AS parameters
-        FROM customer, (SELECT unnest([0, 1])::BIGINT AS g)""",
-    "links_same_domain": """
-        SELECT 'https://www.shop' || c_custkey || '.net/app.js' AS source, 'https://' || h || c_custkey || '.net/' || p AS link
-        FROM customer, (VALUES ('api.shop', 'v1/'), ('www.shop', 'find?q=1&lang=en')) t(h, p)""",
-    "query_addresses": "SELECT 'https://www.shop' || c_custkey || '.net/app.js' AS source, 'https://www.shop' || c_custkey || '.net/find?lang=&q=' AS address FROM customer",
-    "option_addresses": "SELECT 'https://www.shop' || c_custkey || '.net/app.js' AS source, 'https://www.shop' || c_custkey || '.net/find?page' || c_custkey || '=&size=' AS address FROM customer",
-    "csp_origins": """
-        SELECT s_suppkey::VARCHAR AS source, i AS position, CASE i WHEN 0 THEN 'https://cdn' || s_suppkey || '.example.net' WHEN 1 THEN 'static' || s_suppkey || '.net' ELSE 'https:' END AS origin
-        FROM supplier, (SELECT unnest([0, 1, 2])::BIGINT AS i)""",
-    "robots_rules": """
-        SELECT s_suppkey::VARCHAR AS host, k AS kind, p || CASE WHEN k = 'allow' THEN '' ELSE s_suppkey::VARCHAR END AS path
-        FROM supplier, (VALUES ('disallow', '/p'), ('allow', '/a'), ('sitemap', '/s')) t(k, p)""",
+    "endpoints": _shape_sql("endpoints", "source, r AS endpoint"),
+    "endpoints_matching": _shape_sql("endpoints", "source, r AS endpoint") + " WHERE r LIKE '%orders%' OR r LIKE '%/api%'",
+    "getter_parameters": _shape_sql("getter_parameters", "source, r AS parameter"),
+    "parameter_groups": _shape_sql("parameter_groups", "source, i AS group_no, r AS parameters"),
+    "links_same_domain": _shape_sql("links_same_domain", "source, r AS link"),
+    "query_addresses": _shape_sql("query_addresses", "source, r AS address"),
+    "option_addresses": _shape_sql("option_addresses", "source, r AS address"),
+    "template_addresses": _shape_sql("template_addresses", "source, r AS address"),
+    "object_addresses": _shape_sql("object_addresses", "source, r AS address"),
+    "parameter_addresses": _shape_sql("parameter_addresses", "source, r AS address"),
+    "csp_origins": _shape_sql("csp_origins", "source, i AS position, r AS origin"),
+    "robots_rules": _shape_sql("robots_rules", "source AS host, r AS rule"),
+    "resolved_addresses": _shape_sql("resolved_addresses", "source, r AS url"),
+    "scoped_matches": """
+        SELECT 'https://www.shop' || c_custkey || '.net/app.js' AS source, 'https://' || a || c_custkey || '.net/' || b || CASE WHEN a = 'www.shop' THEN c_custkey::VARCHAR ELSE '' END AS value
+        FROM customer, (VALUES ('internal.shop', 'p'), ('www.shop', 'internal/q?id=')) t(a, b) WHERE c_custkey % 2 = 0""",
+    "comments_stripped": f"""
+        WITH RECURSIVE b AS ({_body_sql("endpoints")} UNION ALL {_body_sql("query_addresses", "#2")}),
+        s AS (
+            SELECT source, body, 1 AS i, '' AS st, '' AS out FROM b
+            UNION ALL
+            SELECT source, body,
+                   i + CASE WHEN st = '' AND two IN ('//', '/*') OR st = '*' AND two = '*/' OR st IN ('"', chr(39), '`') AND c = '\\' THEN 2 ELSE 1 END,
+                   CASE WHEN st = '' THEN CASE WHEN two = '//' THEN '/' WHEN two = '/*' THEN '*' WHEN c IN ('"', chr(39), '`') THEN c ELSE '' END
+                        WHEN st = '/' THEN CASE WHEN c = chr(10) THEN '' ELSE st END WHEN st = '*' THEN CASE WHEN two = '*/' THEN '' ELSE st END
+                        WHEN c = st THEN '' ELSE st END,
+                   out || CASE WHEN st = '' AND two IN ('//', '/*') OR st = '*' AND two = '*/' THEN '  ' WHEN st IN ('/', '*') THEN CASE WHEN c = chr(10) THEN c ELSE ' ' END
+                               WHEN st <> '' AND c = '\\' THEN two ELSE c END
+            FROM (SELECT *, substr(body, i, 1) AS c, substr(body, i, 2) AS two FROM s WHERE i <= length(body)))
+        SELECT source, sha256(out) AS body_sha256 FROM s WHERE i > length(body)""",
     "source_map_members": """
-        SELECT s_suppkey || '.map#' || n AS source, b AS body FROM supplier,
-        LATERAL (SELECT unnest(['src/a' || s_suppkey || '.js', 'sources[1]']) AS n, unnest(['let a', 'let b']) AS b)""",
-    "har_entries": "SELECT 'https://h/' || s_suppkey || '.js' AS source, 'let x=' || s_suppkey AS body FROM supplier WHERE s_suppkey % 5 <> 0",
-    "conversation_scan": _MATCHES.replace("'doc://' || doc_id AS source, text AS body FROM documents", "conv_id || ':' || turn AS source, text AS body FROM conversations") + "SELECT source, id, sha256(value)[:16] AS value_hash FROM hits",
+        SELECT s_suppkey || '.map#' || n AS source, b AS body
+        FROM (SELECT s_suppkey, unnest([CASE WHEN s_suppkey % 3 = 1 THEN 'src/' ELSE '' END || 'a' || s_suppkey || '.js', 'sources[1]', '/abs.js', 'webpack://x/y.js']) AS n, unnest(['a()', 'b()', 'c()', 'd()']) AS b
+              FROM supplier WHERE s_suppkey % 3 <> 2)""",
+    "har_entries": """
+        SELECT 'https://h/' || s_suppkey || CASE WHEN s_suppkey % 9 = 0 THEN '.js?v=1' ELSE '.x' END AS source, 'let x=' || s_suppkey || CASE WHEN s_suppkey % 4 = 2 THEN '!' ELSE '' END AS body
+        FROM supplier WHERE s_suppkey % 5 <> 0 AND (s_suppkey % 3 <> 0 OR s_suppkey % 9 = 0)""",
+    "raw_matches": _rules_sql("SELECT text AS body FROM documents WHERE text <> ''"),
+    "sampled_rules": _rules_sql(
+        "SELECT raw || ' ' || c_custkey AS body FROM customer JOIN (VALUES " + ", ".join(f"({n}, {_text(_sample(r))})" for n, r in enumerate(catalog.built_in())) + f") t(n, raw) ON c_custkey % {len(catalog.built_in())} = n"
+    ),
+    "email_matches": _email_sql(),
+    "stage_statistics": _MATCHES + """
+        , short AS (SELECT unnest(regexp_extract_all(body, '[0-9a-f]{10,}')) AS value FROM docs),
+        o AS (SELECT 'kept' AS outcome FROM hits UNION ALL SELECT CASE WHEN length(value) = 40 THEN 'low_confidence' ELSE 'length' END FROM short)
+        SELECT outcome, count(*) AS matches FROM o GROUP BY outcome""",
+    "sarif_places": _MATCHES + _PLACED + """
+        SELECT id AS rule_id, level, source AS uri, 1 + sum(length(piece) - length(replace(piece, chr(10), ''))) OVER (PARTITION BY source, id ORDER BY i)::BIGINT AS start_line,
+               sha256(value)[:16] AS value_hash, id || ':' || secret_type AS rule_secret_type FROM pieces""",
+    "console_lines": _MATCHES + "SELECT min(source) AS source, 'Sensitive Data [' || name || ']: ' || value AS line FROM hits GROUP BY name, value",
+    "parameter_names": r"""
+        SELECT parameter, count(*) AS n FROM (
+            SELECT DISTINCT url, parameter FROM (
+                SELECT url, unnest(regexp_extract_all(url, '[?&]([a-zA-Z0-9_\-]+)\s*=', 1)) AS parameter FROM pages
+                UNION ALL SELECT url, p FROM (SELECT url, unnest(regexp_extract_all(url, '["'']?([a-zA-Z0-9_\-]{2,50})["'']?\s*[:=]\s*["'']?[^"'',}\s)]', 1)) AS p FROM pages)
+                WHERE p NOT IN ('function', 'return', 'var', 'let', 'const', 'if', 'else', 'for', 'while')))
+        GROUP BY parameter""",
+    "breaker_states": """
+        WITH e AS (SELECT user_id, ts, event_id, event_type = 'error' AS bad FROM events),
+        g AS (SELECT *, count(*) FILTER (NOT bad) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM e),
+        n AS (SELECT *, CASE WHEN bad THEN count(*) FILTER (bad) OVER (PARTITION BY user_id, run ORDER BY ts, event_id) ELSE 0 END AS pos FROM g),
+        u AS (SELECT *, max(CASE WHEN bad AND pos % 5 = 0 THEN ts + INTERVAL 30 SECOND END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS until FROM n)
+        SELECT user_id::VARCHAR AS host, count(*) AS outcomes, count(*) FILTER (coalesce(ts < until, false)) AS benched, sum(pos % 5)::BIGINT AS failures FROM u GROUP BY user_id""",
+    "conversation_scan": _MATCHES.replace("'doc://' || doc_id AS source, text AS body FROM documents", "conv_id || ':' || turn AS source, text AS body FROM conversations") + r"""
+        SELECT source, id, sha256(value)[:16] AS value_hash FROM hits
+        UNION ALL SELECT source, 'doc.que', sha256(unnest(regexp_extract_all(body, '\bque[a-z]+\b')))[:16] FROM docs
+        UNION ALL SELECT source, 'doc.the', sha256(unnest(regexp_extract_all(body, '(?i)\bthe[a-z]*')))[:16] FROM docs""",
     "host_failures": """
         WITH e AS (SELECT *, (event_type = 'error')::INT AS bad FROM events), r AS (SELECT user_id, bad, sum(1 - bad) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM e)
         SELECT user_id, max(n)::BIGINT AS longest FROM (SELECT user_id, run, sum(bad) AS n FROM r GROUP BY user_id, run) GROUP BY user_id""",

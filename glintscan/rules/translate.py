@@ -19,7 +19,7 @@ def to_java(pattern: str) -> str:
         if c == "\\" and i + 1 < len(pattern):
             d = pattern[i + 1]
             if d == "b" and not in_class:
-                out.append(_BOUND)
+                out.append(_bound(pattern, i))
             elif d == "s":
                 out.append(_WHITE if in_class else f"[{_WHITE}]")
             elif d == "S" and not in_class:
@@ -57,27 +57,96 @@ def to_java(pattern: str) -> str:
     return "".join(out)
 
 
-def anchor(pattern: str) -> str:
-    """The longest literal (lower case, three letters at least) that every match holds at its top level, or "".
+def _bound(pattern: str, i: int) -> str:
+    """A word bound; where a word character is sure to stand on one side, a look at the other side will do."""
+    if re.match(r"[0-9A-Za-z_]", pattern[i + 2 : i + 3]) and not re.match(r"[?*{|]", pattern[i + 3 : i + 4]) and "(?i" not in pattern:
+        return f"(?<![{_WORD}])"
+    if re.search(r"\[[0-9A-Za-z_-]*[0-9A-Za-z_]\](?:\{[1-9]\d*(?:,\d*)?\}|\+)?\Z", pattern[:i]) and not re.search(r"\[[^\]]*[^0-9A-Za-z]-[^\]]*\][^\]]*\Z|\[-[^\]]*\][^\]]*\Z", pattern[:i]) and "(?i" not in pattern:
+        return f"(?![{_WORD}])"
+    return _BOUND
 
-    Under case folding ``k`` and ``s`` have non-ASCII forms, so they end a literal there.
+
+def leading(pattern: str, group: int) -> str | None:
+    """The pattern with all that stands before a group captured as its first group; None where that can't be done.
+
+    The group must stand at the top level of a pattern without alternatives there. Its length gives the group's place.
+    """
+    flags = m[0] if (m := re.match(r"\(\?[a-z]+\)", pattern)) else ""
+    depth = count = 0
+    at, in_class, i = None, False, len(flags)
+    while i < len(pattern):
+        c = pattern[i]
+        if c == "\\":
+            i += 2
+            continue
+        if in_class:
+            in_class = c != "]" or i == first
+        elif c == "[":
+            in_class, first = True, i + 1 + pattern.startswith("^", i + 1)
+        elif c == "(":
+            if not pattern.startswith("(?", i) or pattern.startswith("(?P<", i):
+                count += 1
+                if count == group:
+                    at = i if depth == 0 else None
+            depth += 1
+        elif c == ")":
+            depth -= 1
+        elif c == "|" and depth == 0:
+            return None
+        i += 1
+    return f"{flags}({pattern[len(flags) : at]}){pattern[at:]}" if at is not None and group else None
+
+
+def anchors(pattern: str) -> tuple[str, ...]:
+    """Literals (lower case, three letters at least) of which every match holds at least one; none if there are no such.
+
+    Alternatives and small classes give several. Under case folding ``k`` and ``s`` have non-ASCII forms, so they end a
+    literal there.
     """
     tree = parser.parse(pattern.encode().decode("latin-1"))
     folds = bool(tree.state.flags & re.IGNORECASE)
-    best, run = "", ""
+    good = lambda c: c < 128 and not (folds and chr(c) in "ksKS")
 
-    def walk(items: object) -> None:
-        nonlocal best, run
+    def better(a: set[str], b: set[str]) -> set[str]:
+        rank = lambda x: (min(map(len, x), default=0) >= 3, -len(x) if min(map(len, x), default=0) >= 3 else 0, min(map(len, x), default=0))
+        return max(a, b, key=rank)
+
+    def heads(items: object) -> set[str]:
+        """Literals with which a sequence begins."""
+        runs = {""}
+        for kind, arg in items:
+            if kind is not op.LITERAL or not good(arg):
+                break
+            runs = {r + chr(arg).lower() for r in runs}
+        return runs
+
+    def best(items: object) -> set[str]:
+        found, runs = set(), {""}
         for kind, arg in items:
-            if kind is op.LITERAL and arg < 128 and not (folds and chr(arg) in "ksKS"):
-                run += chr(arg).lower()
-                best = max(best, run, key=len)
-            elif kind is op.SUBPATTERN and not arg[1]:
-                walk(arg[3])
+            if kind is op.LITERAL and good(arg):
+                options = {chr(arg).lower()}
+            elif kind is op.IN and arg[0][0] is not op.NEGATE and all(k is op.LITERAL and good(c) for k, c in arg):
+                options = {chr(c).lower() for _, c in arg}
             elif kind is op.AT:
                 continue
             else:
-                run = ""
+                options = set()
+            if options and len(runs) * len(options) <= 16:
+                runs = {r + o for r in runs for o in options}
+                found = better(found, runs)
+                continue
+            before, runs = runs, {""}
+            if kind is op.SUBPATTERN and not arg[1]:
+                found = better(found, best(arg[3]))
+            elif kind is op.BRANCH:
+                begun = {r + h for r in before for x in arg[1] for h in heads(x)}
+                found = better(found, begun) if len(begun) <= 32 else found
+                each = [best(x) for x in arg[1]]
+                if all(min(map(len, e), default=0) >= 3 for e in each):
+                    found = better(found, set().union(*each))
+            elif kind is op.MAX_REPEAT and arg[0] >= 1:
+                found = better(found, best(arg[2]))
+        return found
 
-    walk(tree)
-    return best if len(best) >= 3 else ""
+    found = best(tree)
+    return tuple(sorted(found)) if min(map(len, found), default=0) >= 3 else ()

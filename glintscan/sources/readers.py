@@ -51,7 +51,7 @@ def har_entries(logs: DataFrame) -> DataFrame:
     script = F.lower(F.coalesce("mimeType", F.lit(""))).rlike("javascript|ecmascript") | F.lower("url").rlike(r"\.js(\z|\?)")
     raw = F.regexp_replace(F.translate("text", "-_", "+/"), r"[\s=]", "")
     decoded = F.try_to_binary(F.concat(raw, F.repeat(F.lit("="), F.pmod(-F.length(raw), F.lit(4)))), F.lit("base64")).cast("string")
-    body = F.when(F.lower(F.coalesce("encoding", F.lit(""))) == "base64", decoded).otherwise(F.col("text"))
+    body = F.when(F.lower(F.coalesce("encoding", F.lit(""))) == "base64", F.coalesce(decoded, F.col("text"))).otherwise(F.col("text"))
     return e.filter(F.col("status").between(200, 399) & script).select(F.col("url").alias("source"), body.alias("body")).filter("body <> ''")
 
 

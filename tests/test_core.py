@@ -1,4 +1,7 @@
+import hashlib
+import json
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -9,10 +12,13 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from glintscan.functions import text as fn
+from glintscan.functions import validators
 from glintscan.operators import extract, findings, scan
 from glintscan.rules import catalog
 from glintscan.rules.model import Rule
-from glintscan.rules.translate import anchor, to_java
+from glintscan.rules.samples import example
+from glintscan.rules.translate import anchors, leading, to_java
+from glintscan.sinks import writers
 
 KEY = "AKIA" + "ABCDEFGH234567MN"
 
@@ -35,8 +41,21 @@ def test_translation(spark, pattern, text, hit):
 
 
 def test_anchor_is_in_every_match():
-    assert anchor(r"\bglpat-[0-9A-Za-z_\-]{20,40}\b") == "glpat-"
-    assert anchor(r"(?i)(?:a|b)c") == ""
+    assert anchors(r"\bglpat-[0-9A-Za-z_\-]{20,40}\b") == ("glpat-",)
+    assert anchors(r"(?i)(?:a|b)c") == () and set(anchors(r"\b(?:AKIA|ASIA|A3T[A-Z0-9])x")) == {"akia", "asia", "a3t"}
+    for r in catalog.built_in():
+        for seed in range(3):
+            low = example(r.pattern, seed).lower()
+            assert not anchors(r.pattern) or any(a in low for a in anchors(r.pattern)), r.id
+
+
+def test_place_of_a_group():
+    assert leading(r"(?i)ab([cd])", 1) == r"(?i)(ab)([cd])" and leading(r"a|b(c)", 1) is None and leading(r"(?:a(b))", 1) is None and leading(r"[(](x)", 1) == "([(])(x)"
+    for r in catalog.built_in():
+        if lead := leading(r.pattern, r.group):
+            text = "..." + example(r.pattern) + " ..."
+            a, b = re.search(r.pattern, text), re.search(lead, text)
+            assert a.start(r.group) == b.end(1) and a[r.group] == b[r.group + 1]
 
 
 def test_places_are_bytes_and_scores_follow_context(spark):
@@ -45,10 +64,46 @@ def test_places_are_bytes_and_scores_follow_context(spark):
     assert [(r["source"], r["start"], r["line"], r["column"], round(r["confidence"], 4)) for r in rows] == [("a", 6, 1, 7, 0.95), ("b", 4, 3, 3, 0.65)]
 
 
+def brute_matches(source, body, rules):
+    """(id, value, byte offset, line, byte column) by Python's re, without comments in mind."""
+    out = []
+    for r in rules:
+        for m in re.finditer(r.pattern, body, re.ASCII if "(?i" not in r.pattern else 0):
+            g = r.group if r.group and m.group(r.group) else 0
+            before = body[: m.start(g)]
+            out.append((source, r.id, m[g], len(before.encode()), before.count("\n") + 1, len(before.rpartition("\n")[2].encode()) + 1))
+    return out
+
+
+def test_every_rule_against_python(spark):
+    rules = catalog.built_in()
+    rows = []
+    for n, r in enumerate(rules):
+        e = example(r.pattern, 5)
+        rows += [(f"hit{n}", f"é\n a = '{e}';\n{e} {e[:-1]}"), (f"cut{n}", f"'{e[: len(e) // 2]}' x{e}x")]
+    got = scan.matches(docs(spark, *rows).repartition(8), rules, comments=True).select("source", "id", "value", "start", "line", "column").collect()
+    assert Counter(map(tuple, got)) == Counter(x for s, b in rows for x in brute_matches(s, b, rules))
+    assert {r["id"] for r in got} == {r.id for r in rules}
+
+
+def test_places_of_many_matches(spark):
+    rng = random.Random(1)
+    body = "".join(rng.choice(["k%03d" % rng.randrange(1000), " ", "é", "\n", "//# sourceMappingURL=k777"]) for _ in range(3000))
+    rule = Rule("r", "r", "", "t", "low", r"k([0-9]{3})", group=1, prior=0.9)
+    got = scan.scored(scan.matches(docs(spark, ("a", body)), [rule], comments=True)).orderBy("start").collect()
+    raw, lines = body.encode(), body.split("\n")
+    want = [(m.start(1), raw[: m.start(1)].count(b"\n") + 1, m.start(1) - (raw.rfind(b"\n", 0, m.start(1)) + 1) + 1) for m in re.finditer(rb"k([0-9]{3})", raw)]
+    assert [(r["start"], r["line"], r["column"]) for r in got] == want and len(want) > 500
+    for r in got:
+        assert (r["drop_reason"] == "source_map_line") == ("sourceMappingURL=" in lines[r["line"] - 1])
+        assert r["context"].encode() == raw[max(0, r["start"] - 96) : r["start"] + 3 + 96] or "\ufffd" in r["context"]
+
+
 def test_findings_merge_by_value_and_type(spark):
     rule = [r for r in catalog.built_in() if r.id == "aws.access_key_id"]
     given = docs(spark, ("b", f"'{KEY}' '{KEY}'"), ("a", f"'{KEY}' example"))
-    (f,) = findings.find(given, rule).collect()
+    rows = findings.strict_matches(given, rule)
+    (f,) = findings.with_locations(findings.merged(rows), findings.places(rows)).collect()
     assert (f["source"], round(f["confidence"], 2), [(x["source"], x["column"]) for x in f["locations"]]) == ("a", 0.95, [("a", 2), ("b", 2), ("b", 25)])
     assert findings.find(given, rule, ignore=[f"hash:{f['value_hash']}"]).count() == 0
     assert findings.find(given, rule, ignore=["rule:gitlab.*", "# note", ""]).count() == 1
@@ -96,8 +151,112 @@ def test_pack_defaults():
 
 def test_registry_covers_legacy(spark):
     rules = [r for r in catalog.built_in() if r.id in ("aws.access_key_id", "legacy:Aws Api Key")]
-    kept = scan.uncovered(scan.scored(scan.matches(docs(spark, ("a", f"k='{KEY}'")), rules)))
-    assert [r["id"] for r in kept.collect()] == ["aws.access_key_id"]
+    both = docs(spark, ("a", f"k='{KEY}'"), ("b", f"k='{KEY}' example mock_"))
+    told = {(r["source"], r["id"]): r["drop_reason"] for r in scan.assess(both, rules, min_confidence=0.7).collect()}
+    assert told == {("a", "aws.access_key_id"): None, ("a", "legacy:Aws Api Key"): "covered", ("b", "aws.access_key_id"): "low_confidence", ("b", "legacy:Aws Api Key"): "low_confidence"}
+
+
+def test_filters_of_legacy_matches(spark):
+    rule = [catalog.legacy_rule("Hex", r"x([0-9a-f]{20,})"), next(r for r in catalog.built_in() if r.name == "Email")]
+    own, h = "https://www.a.net/app.js", "0123456789abcdef0123"
+    rows = [
+        (own, f"u = 'https://cdn.b.org/x{h}'"), (own + "?1", f"u = 'https://cdn.a.net/x{h}'"), (own + "?2", f"p = 'font x{h}'"), (own + "?3", "m = 'joe@b.org'; n = 'joe@mail.a.net'; o = 'info@a.net'"),
+        ("plain", f"u = 'https://cdn.b.org/x{h}'; m = 'joe@b.org'"), (own + "?4", f"y = '{'Z' * 60}x{h}{'Z' * 60}'"), (own + "?5", f"// x{h}\nz = 'x{h}';"),
+    ]
+    got = Counter((r["source"].replace(own, ""), r["value"], r["drop_reason"]) for r in scan.assess(docs(spark, *rows), rule).collect())
+    want = [("", h, "foreign_address"), ("?1", h, None), ("?2", h, "encoded_media"), ("?3", "joe@b.org", "cross_domain"), ("?3", "joe@mail.a.net", None), ("?3", "info@a.net", "unwanted_email"), ("plain", h, None), ("plain", "joe@b.org", None), ("?4", h, "encoded_media"), ("?5", h, None)]
+    assert got == Counter(want)
+    kept = lambda **o: sorted(r["source"].replace(own, "") for r in scan.kept(scan.assess(docs(spark, *rows), rule[:1], **o)).collect())
+    assert kept(domain="a.net") == ["?1", "?5"] and kept(extensions=[".js", "?1"]) == ["?1"] and kept(pattern="^0") == ["?1", "?5", "plain"] and kept(pattern="(") == [] and kept(internal=True) == []
+    hashes = spark.createDataFrame([(hashlib.sha256(h.encode()).hexdigest()[:16],)], "value_hash string")
+    assert findings.all_matches(docs(spark, *rows), rule[:1], known=hashes).count() == 0 and findings.all_matches(docs(spark, *rows), rule[:1], ignore=["rule:legacy:*"]).count() == 0
+
+
+def strip(body):
+    out, state, i = [], "", 0
+    while i < len(body):
+        c, two = body[i], body[i : i + 2]
+        if not state and two in ("//", "/*"):
+            out, state, i = [*out, "  "], two[1], i + 2
+            continue
+        if state == "*" and two == "*/":
+            out, state, i = [*out, "  "], "", i + 2
+            continue
+        if state in ("/", "*"):
+            out.append(c if c == "\n" else " " * len(c.encode()))
+            state = "" if state == "/" and c == "\n" else state
+        elif state and c == "\\":
+            out.append(two)
+            i += 2
+            continue
+        else:
+            out.append(c)
+            state = "" if state == c else c if not state and c in "\"'`" else state
+        i += 1
+    return "".join(out)
+
+
+@settings(max_examples=10, deadline=None)
+@given(st.lists(st.text(st.sampled_from("ab/*\\\"'`\né😀"), max_size=60), min_size=1, max_size=40))
+def test_comments_against_an_automaton(spark, bodies):
+    rows = spark.createDataFrame([(b,) for b in bodies], "b string").select("b", scan.without_comments(F.col("b")).alias("s")).collect()
+    for r in rows:
+        assert r["s"] == strip(r["b"]), r["b"]
+
+
+@pytest.mark.parametrize("name, good, bad", [
+    ("AWSSecretKey", "wJalrXUtnFEMI/K7MDENG/bPxRfiCYabcdefghij", "a" * 40), ("StripeKey", "sk_live_" + "aB3" * 8, "sk_live_short"), ("SlackToken", "xoxb-123-456-" + "a1" * 10, "xoxb-12a-456-" + "a1" * 10),
+    ("TwilioSK", "SK0123456789abcdef0123456789abcdef", "SK" + "0" * 32), ("JWT", "eyJhbGciOiJIUzI1NiJ9.eyJhIjoxfQ.x", "eyJhIjoxfQ.eyJhIjoxfQ.x"), ("AWSAccessKeyID", KEY, "AKIA" + "0" * 16),
+])
+def test_validators(spark, name, good, bad):
+    rows = spark.createDataFrame([(good,), (bad,)], "x string").select(validators.valid(F.lit(name), F.col("x")).alias("v"), validators.approval(F.lit(name), F.col("x")).alias("a")).collect()
+    assert [r["v"] for r in rows] == [True, False] and rows[0]["a"]
+
+
+def test_github_checksum_and_user_validators(spark):
+    body = "ghp_" + "a" * 30
+    c, digits = zlib.crc32(body.encode()), ""
+    for _ in range(6):
+        c, d = divmod(c, 62)
+        digits = fn.BASE62[d] + digits
+    rows = spark.createDataFrame([(body + digits,), (body + "000000",)], "other string").select(validators.valid(F.lit("GitHubToken"), F.col("other")).alias("v")).collect()
+    assert [r["v"] for r in rows] == [True, False]
+    validators.register("Even", lambda v: F.length(v) % 2 == 0)
+    try:
+        rule = Rule("r", "r", "", "t", "low", r"k[0-9]+", prior=0.9, validator="Even")
+        assert [r["value"] for r in scan.kept(scan.scored(scan.matches(docs(spark, ("a", "k1 k12")), [rule]))).collect()] == ["k1"]
+    finally:
+        validators.USER.clear()
+
+
+def test_aws_pairs_and_reports(spark):
+    secret = "wJalrXUtnFEMI/K7MDENG/bPxRfiCYabcdefghij"
+    given = docs(spark, ("a", f"id = '{KEY}'\naws_secret_access_key = '{secret}'"), ("b", f"'{KEY}'"))
+    rows = findings.strict_matches(given, catalog.built_in())
+    found = findings.merged(rows)
+    (pair,) = findings.aws_pairs(found).collect()
+    assert (pair["source"], pair["akid"], pair["secret"]) == ("a", KEY, secret)
+    (report,) = [json.loads(r["value"]) for r in writers.sarif(found, findings.places(rows), catalog.built_in()).collect()]
+    run = report["runs"][0]
+    assert report["version"] == "2.1.0" and len(run["tool"]["driver"]["rules"]) == 42 and {r["ruleId"] for r in run["results"]} <= {r["id"] for r in run["tool"]["driver"]["rules"]}
+    places = sorted((r["ruleId"], p["artifactLocation"]["uri"], p["region"]["startLine"]) for r in run["results"] for p in [r["locations"][0]["physicalLocation"]])
+    assert ("aws.access_key_id", "a", 1) in places and ("aws.access_key_id", "b", 1) in places and ("aws.secret_access_key", "a", 2) in places
+    assert writers.sarif(found, findings.places(rows), catalog.built_in(), per_document=1).count() == len(places)
+    assert json.loads(writers.sarif(found.limit(0), findings.places(rows).limit(0), []).first()["value"])["runs"][0]["results"] == []
+    every = findings.all_matches(given, catalog.built_in())
+    told = {r["source"]: json.loads(r["value"]) for r in writers.envelope(every, found, findings.places(rows)).collect()}
+    assert set(told) == {"a", "b"} and told["b"]["findings"] == [] and told["a"]["schema_version"] == 2 and told["a"]["tool"]["name"]
+    assert {f["rule_id"] for f in told["a"]["findings"]} == {r["id"] for r in rows.collect()} and "AWS" in " ".join(told["b"]["matches"])
+    assert KEY not in str(told) and KEY in str(writers.envelope(every, found, findings.places(rows), values=True).collect())
+    assert "URL: b\nSensitive Data" in "".join(r["value"] for r in writers.text_blocks(rows).collect())
+    assert sorted(r["value"] for r in writers.robots_lines(spark.createDataFrame([("https://h/", "allow", "/a"), ("https://h", "sitemap", "s")], "host string, kind string, path string")).collect()) == ["Allow    https://h/a", "Sitemap  s"]
+    assert json.loads(writers.explained(spark, catalog.built_in()).filter("rule_id = 'aws.access_key_id'").first()["value"])["has_validator"]
+
+
+def test_script_references(spark):
+    html = """<script async src='/a.js' integrity="sha" ></script><script>1</script><SCRIPT SRC=b.js defer></SCRIPT><link rel="preload" as="script" href="c.js"><link rel=modulepreload href='d.js'><link rel="preload" as="font" href="e.woff"><script data-src="x">2</script>"""
+    rows = extract.script_references(spark.createDataFrame([("u", html)], "url string, html string")).collect()
+    assert [(r["kind"], r["reference"], r["integrity"], r["is_async"], r["is_defer"]) for r in rows] == [("script", "/a.js", "sha", True, False), ("script", "b.js", None, False, True), ("preload", "c.js", None, False, False), ("modulepreload", "d.js", None, False, False)]
 
 
 def test_parameter_groups_split_at_gap(spark):
@@ -167,11 +326,35 @@ def test_built_in_rules_reach_findings_and_sinks(spark, tmp_path):
     places = {(f"doc://{i}", t[: m.start()].count("\n") + 1, m.start() - t.rfind("\n", 0, m.start())) for i, t in enumerate(texts) for m in re.finditer("AKIA[A-Z2-7]{16}", t)}
     found = {r["rule_id"]: r for r in queries.all_findings(spark, str(tmp_path)).collect()}
     assert {"aws.access_key_id", "doc.token"} <= set(found)
-    assert {(p["source"], p["line"], p["column"]) for p in found["aws.access_key_id"]["locations"]} == places
-    assert "aws.access_key_id" in {r["rule_id"] for r in queries.sarif_places(spark, str(tmp_path)).collect()}
+    assert found["aws.access_key_id"]["places"] == len(places)
+    (report,) = [json.loads(r["value"]) for r in queries.sarif_documents(spark, str(tmp_path)).collect()]
+    at = [(r["ruleId"], r["locations"][0]["physicalLocation"]) for r in report["runs"][0]["results"]]
+    assert {(p["artifactLocation"]["uri"], p["region"]["startLine"], p["region"]["startColumn"]) for i, p in at if i == "aws.access_key_id"} == places
     assert [r["rule_id"] for r in queries.pack_findings(spark, str(tmp_path)).collect()] == ["doc.token"]
 
 
+def test_stream_by_event_time(spark, tmp_path):
+    from glintscan.streaming import streams
+
+    rule = Rule("r", "r", "", "t", "low", r"k[0-9]{3}", prior=0.9)
+    shape = "source string, body string, ts timestamp"
+
+    def put(n, *rows):
+        spark.createDataFrame(list(rows), "source string, body string, ts string").withColumn("ts", F.to_timestamp("ts")).coalesce(1).write.mode("append").parquet(str(tmp_path / f"in/{n}"))
+
+    put(1, ("a", "k123", "2024-01-01 00:00:00"), ("b", "k123", "2024-01-01 00:10:00"))
+    stream = spark.readStream.schema(shape).parquet(str(tmp_path / "in/*"))
+    q = streams.scan(stream, [rule], event_time="ts", delay="1 hour").writeStream.format("memory").queryName("timed").option("checkpointLocation", str(tmp_path / "cp")).start()
+    q.processAllAvailable()
+    put(2, ("c", "k123 k777", "2024-01-02 00:00:00"))
+    q.processAllAvailable()
+    put(3, ("d", "k888", "2024-01-01 01:00:00"), ("e", "k999", "2024-01-02 00:01:00"), ("f", "k123", "2024-01-02 00:02:00"))
+    q.processAllAvailable()
+    q.stop()
+    told = sorted((r["source"], r["value"]) for r in spark.table("timed").collect())
+    assert ("e", "k999") in told and ("d", "k888") not in told and sum(v == "k123" for _, v in told) == 2
+
+
 def test_policy_of_many_sources(spark):
     policy = "script-src " + " ".join(f"https://h{i}.net" for i in range(1500)) + "; img-src;; font-src https://f.net"
     rows = extract.csp_origins(spark.createDataFrame([("a", policy)], "source string, policy string")).orderBy("position").collect()
