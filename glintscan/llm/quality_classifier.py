@@ -45,6 +45,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", doc_id: st
     """A forest from the labelled rows of ``labels``; pass only those that may be learnt from."""
     small_batches(docs.sparkSession)
     chosen = docs.select(F.col(doc_id).alias("_id"), F.col(text).cast("string").alias("_t")).join(F.broadcast(labelled(labels, label, rows, doc_id)), "_id")
+    # an id that stands in many rows counts once, with its least text
+    chosen = chosen.groupBy("_id").agg(F.first("_y").alias("_y"), F.min("_t").alias("_t"))
 
     @F.arrow_udf("array<double>")
     def vectors(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:

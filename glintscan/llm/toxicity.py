@@ -3,11 +3,11 @@
 Confirmed toxic documents are the positives, any text is unlabelled. With the class prior ``pi`` the risk is
 ``pi * R+(positives) + max(0, R-(unlabelled) - pi * R-(positives))``: the part for negatives is corrected for
 the positives that hide among the unlabelled, and where over-fitting drives it below zero its gradient is
-turned round (Kiryo et al., 2017). Features are the counts of words (ASCII lower-cased, ASCII punctuation
-dropped) and word beginnings, from a vocabulary of those that mark positives against unlabelled text best.
+turned round (Kiryo et al., 2017). Features are the counts (up to ``SATURATED``) of words (ASCII lower-cased, ASCII
+punctuation dropped) and word beginnings, from a vocabulary of those that mark positives against unlabelled text best.
 
-Training takes at most ``POSITIVES`` and ``UNLABELLED`` documents, those with the smallest id hashes; every
-text is scored whole, inside tasks. A null or empty text has no word and gets the model's score for that.
+Training takes at most ``POSITIVES`` and ``UNLABELLED`` documents, those with the smallest id hashes (parameters of
+``train``); every text is scored whole, inside tasks. A null or empty text has no word and gets the model's score for that.
 Repeated rows get equal scores. Without a positive document the score is the prior (0.5 without labels).
 """
 
@@ -25,9 +25,12 @@ from pyspark.sql import functions as F
 from glintscan.llm.common import cut, raw, small_batches
 from glintscan.llm.quality_classifier import remainder
 
+#: Bounds of the fit, and parameters of ``train``: positive documents, unlabelled documents, features.
 POSITIVES, UNLABELLED, VOCABULARY = 4_000, 16_000, 512
 #: A word must occur in so many of the chosen documents.
 LEAST_DOCUMENTS = 6
+#: Occurrences of a feature in a text from which more make no difference: else one very long text decides the fit.
+SATURATED = 16
 #: Standard errors by which its share among the positives must exceed that among the unlabelled.
 LEAST_Z = 5.0
 _SPACES = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
@@ -56,7 +59,8 @@ class Hits(dict):
         return own
 
     def of(self, text: bytes | None) -> list[int]:
-        return sorted(i for w in words(text) for i in self[w])
+        count = Counter(i for w in words(text) for i in self[w])
+        return sorted(i for i, n in count.items() for _ in range(min(n, SATURATED)))
 
 
 @dataclass(frozen=True)
@@ -80,7 +84,7 @@ def nnpu(rows: np.ndarray, cols: np.ndarray, positive: np.ndarray, width: int, p
     m, v = np.zeros_like(w), np.zeros_like(w)
     for step in range(1, steps + 1):
         z = np.bincount(rows, w[cols], n) + w[-1]
-        s = 1 / (1 + np.exp(-z))  # d/dz of log(1+e^z); that of log(1+e^-z) is s - 1
+        s = 1 / (1 + np.exp(-np.clip(z, -700, 700)))  # d/dz of log(1+e^z); that of log(1+e^-z) is s - 1
         negative = np.logaddexp(0, z)
         slack = negative[u].mean() - prior * negative[p].mean()
         g = np.zeros(n)
@@ -95,8 +99,14 @@ def nnpu(rows: np.ndarray, cols: np.ndarray, positive: np.ndarray, width: int, p
     return w[:-1], float(w[-1])
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str = "doc_id", text: str = "text") -> WordModel:
-    """A model from the positives among ``labels`` and from unlabelled ``docs``; pass only labels that may be learnt from."""
+def train(
+    docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str = "doc_id", text: str = "text", positives: int = POSITIVES, unlabelled: int = UNLABELLED, vocabulary_size: int = VOCABULARY
+) -> WordModel:
+    """A model from the positives among ``labels`` and from unlabelled ``docs``; pass only labels that may be learnt from.
+
+    At most ``positives`` and ``unlabelled`` documents enter the fit, each id once (with its least text if it stands
+    in several rows); class prior and scores cover all rows.
+    """
     small_batches(docs.sparkSession)
     key = F.col(doc_id)
     known = labels.filter(key.isNotNull() & F.col(label).isNotNull()).groupBy(key.alias("_id")).agg(F.max(label).alias("_y"))
@@ -106,10 +116,11 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str
         return WordModel([], np.zeros(0), float(np.log(prior / (1 - prior))))
     by_hash = (F.xxhash64("_id"), F.col("_id"))
     chosen = (
-        known.filter("_y = 1").select("_id", F.lit(True).alias("_p")).orderBy(*by_hash).limit(POSITIVES)
-        .union(docs.filter(key.isNotNull()).select(key.alias("_id"), F.lit(False)).orderBy(*by_hash).limit(UNLABELLED))
+        known.filter("_y = 1").select("_id", F.lit(True).alias("_p")).orderBy(*by_hash).limit(positives)
+        .union(docs.filter(key.isNotNull()).select(key.alias("_id"), F.lit(False)).distinct().orderBy(*by_hash).limit(unlabelled))
     )
-    sample = cut(docs.select(key.alias("_id"), F.col(text).cast("string").alias("_t")).join(F.broadcast(chosen), "_id"), "toxicity")
+    texts = docs.select(key.alias("_id"), F.col(text).cast("string").alias("_t"))
+    sample = cut(texts.join(F.broadcast(chosen), "_id").groupBy("_id", "_p").agg(F.min("_t").alias("_t")), "toxicity")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = {True: Counter(), False: Counter()}
@@ -124,7 +135,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str
     share = (F.col("p") + F.col("u")) / (np_ + nu)
     apart = (F.col("p") / np_ - F.col("u") / nu) / F.sqrt(share * (1 - share) * (1 / np_ + 1 / nu) + 1e-12)
     told = sample.select("_p", "_t").mapInArrow(counted, "w binary, p long, u long").groupBy("w").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
-    vocabulary = [bytes(r["w"]) for r in told.filter((F.col("p") + F.col("u") >= LEAST_DOCUMENTS) & (apart >= LEAST_Z)).orderBy(apart.desc(), "w").limit(VOCABULARY).collect()]
+    vocabulary = [bytes(r["w"]) for r in told.filter((F.col("p") + F.col("u") >= LEAST_DOCUMENTS) & (apart >= LEAST_Z)).orderBy(apart.desc(), "w").limit(vocabulary_size).collect()]
 
     @F.arrow_udf("array<int>")
     def present(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
