@@ -20,6 +20,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from glintscan.functions.arrays import each, running
+from glintscan.llm.common import fresh
+
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]+"
@@ -59,14 +62,14 @@ def located(text: Column, pattern: str, group: int = 0) -> Column:
     whole, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
     value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else whole
     parts = F.arrays_zip(F.slice(gaps, F.lit(1), F.size(whole)).alias("gap"), whole.alias("hit"), value.alias("value"))
-    begin = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,end:int,value:string>>)").alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.length(x["hit"])
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["value"].alias("value")))).alias("out"))
+    def emit(at: Column, x: Column) -> Column:
+        start = at + F.length(x["gap"])
+        return F.struct(start.alias("start"), (start + F.length(x["hit"])).alias("end"), x["value"].alias("value"))
 
-    return F.when(text.rlike(pattern), F.aggregate(parts, begin, step, lambda acc: acc["out"])).otherwise(begin["out"])
+    kind = "struct<start:int,end:int,value:string>"
+    found = running(parts, F.lit(0), kind, lambda at, x: at + F.length(x["gap"]) + F.length(x["hit"]), emit)
+    return F.when(text.rlike(pattern), found).otherwise(F.expr(f"cast(array() as array<{kind}>)"))
 
 
 def _span(kind: str) -> object:
@@ -168,7 +171,7 @@ def thresholds(docs: DataFrame, text: str = "text") -> dict[int, int]:
     a class, and there are no more classes than bits in a length.
     """
     t = F.coalesce(F.col(text), F.lit(""))
-    tokens = docs.filter(t.rlike(TOKEN)).select(F.explode(candidates(t, base_spans(t))).alias("c")).groupBy("c.cls", "c.step").count()
+    tokens = each(docs.filter(t.rlike(TOKEN)), candidates(t, base_spans(t)), "c").groupBy("c.cls", "c.step").count()
     up = Window.partitionBy("cls").orderBy(F.col("step").desc())
     ranked = tokens.select("cls", "step", F.sum("count").over(up).alias("rank"), F.sum("count").over(Window.partitionBy("cls")).alias("m"))
     rejected = ranked.filter(F.pow(F.lit(10.0), -F.col("step") / 20) * F.col("m") <= Q * F.col("rank"))
@@ -213,6 +216,7 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
         out = F.when(fresh, F.concat(acc["out"], F.substr(t, acc["at"] + 1, s["start"] - acc["at"]), F.lit(MASK))).otherwise(acc["out"])
         return F.struct(out.alias("out"), F.greatest(acc["at"], s["end"]).alias("at"))
 
-    found = docs.withColumn("_spans", spans(t, thresholds(docs, text)))
-    masked = F.aggregate("_spans", begin, step, lambda acc: F.concat(acc["out"], F.substr(t, acc["at"] + 1)))
-    return found.withColumn(text, F.when(F.size("_spans") > 0, masked).otherwise(t)).select(*docs.columns)
+    own = fresh(docs, "spans")
+    found = docs.withColumn(own, spans(t, thresholds(docs, text)))
+    masked = F.aggregate(own, begin, step, lambda acc: F.concat(acc["out"], F.substr(t, acc["at"] + 1)))
+    return found.withColumn(text, F.when(F.size(own) > 0, masked).otherwise(t)).select(*docs.columns)
