@@ -2,7 +2,9 @@
 
 Texts are normalised (lower case, everything but letters and digits is a space) and compared to licence
 templates by the Dice coefficient of their sets of word bigrams. Compared are each line, each block of lines
-between blank lines, and the whole text. A coefficient of ``t`` bounds the size of a set to between
+between blank lines, and the whole text; and inside each of these the runs of as many words as a template has that
+are placed where one of its marks (see below) would stand, so that a notice within a line or a header that touches
+code is found. A coefficient of ``t`` bounds the size of a set to between
 ``t / (2 - t)`` and ``(2 - t) / t`` times the template's, so most templates are never compared; and at least
 one of any ``b - ceil(t b / (2 - t)) + 1`` of a template's ``b`` bigrams must be there, so texts without a word
 of those are not cut up at all. Neither bound loses a match.
@@ -18,6 +20,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from glintscan.functions.arrays import each
+
 THRESHOLD = 0.8
 #: Notices and short texts of public licences.
 TEMPLATES = {
@@ -95,10 +99,39 @@ def units(text: Column) -> Column:
     return F.concat(lines, blocks, whole)
 
 
+def places(threshold: float = THRESHOLD, templates: dict[str, str] | None = None) -> list[tuple[str, str, int, int]]:
+    """(template, word, its place, words of the template): where a template's words stand that a text is searched for."""
+    single = {m for m in marks(threshold, templates) if "[" not in m}
+    out = []
+    for name, text in (templates or TEMPLATES).items():
+        own = re.sub(r"[^a-z0-9]+", " ", text.lower()).split()
+        rare = [i for i, w in enumerate(own) if w in single] or [0]
+        out += [(name, own[i], i, len(own)) for i in rare]
+    return out
+
+
+def windows(words: Column, known: dict[str, list[str]], threshold: float = THRESHOLD, templates: dict[str, str] | None = None) -> Column:
+    """The best (dice, license) among runs of words as long as a template, placed where one of its marks would stand; null under ``threshold``."""
+
+    def of(name: str, word: str, at: int, length: int) -> Column:
+        grams = F.array(*map(F.lit, known[name]))
+
+        def judge(i: Column) -> Column:
+            own = F.slice(words, F.greatest(i - at, F.lit(1)), F.lit(length))
+            pairs = F.array_distinct(F.zip_with(F.slice(own, F.lit(1), F.size(own) - 1), F.slice(own, F.lit(2), F.size(own) - 1), lambda a, b: F.concat_ws(" ", a, b)))
+            return F.transform(F.array(pairs), lambda g: F.struct((2 * F.size(F.array_intersect(g, grams)) / (F.size(g) + F.size(grams))).alias("dice"), F.lit(name).alias("license")))
+
+        where = F.filter(F.transform(words, lambda w, i: F.when(w == word, i + 1)), lambda i: i.isNotNull())
+        return F.flatten(F.transform(where, judge))
+
+    found = [of(*place) for place in places(threshold, templates)]
+    return F.array_max(F.filter(F.concat(*found), lambda x: x["dice"] >= threshold))
+
+
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, templates: dict[str, str] | None = None) -> DataFrame:
     """(doc_id, license, dice, line): the licences that a text holds, with the best coefficient and the first line that
-    reaches it (0: a block or the whole text). A line or block counts for the template it is most like (ties: the
-    last name)."""
+    reaches it (0: a block or the whole text). A line or block counts for the template it is most like, and for the
+    one that a run of its words is most like (ties: the last name)."""
     known = {k: g for k, v in (templates or TEMPLATES).items() if (g := bigrams(v))}
     low, high = threshold / (2 - threshold), (2 - threshold) / threshold
     least, most = low * min(map(len, known.values())), high * max(map(len, known.values()))
@@ -107,13 +140,14 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold:
     rows = docs.filter(marked(lower, threshold, templates)).select(F.col(doc_id).alias("doc_id"), F.explode(units(lower)).alias("u")).select("doc_id", "u.line", F.explode(F.array(F.split(F.trim(F.regexp_replace("u.unit", "[^a-z0-9]+", " ")), " "))).alias("w"))
     rows = rows.filter(F.size("w") >= math.floor(least) + 1)
     pairs = F.array_distinct(F.zip_with(F.slice("w", F.lit(1), F.size("w") - 1), F.slice("w", F.lit(2), F.size("w") - 1), lambda a, b: F.concat_ws(" ", a, b)))
-    # exploding a single array keeps the bigrams from being computed again for every template
-    rows = rows.select("doc_id", "line", F.explode(F.array(pairs)).alias("g")).filter((F.size("g") >= math.floor(least)) & (F.size("g") <= math.ceil(most)))
+    # a single array that is exploded keeps the bigrams from being computed again for every template
+    rows = rows.select("doc_id", "line", "w", F.explode(F.array(pairs)).alias("g")).filter(F.size("g") >= math.floor(least))
     judged = []
     for name, grams in known.items():
         fits = F.size("g").between(math.ceil(low * len(grams) - 1e-9), math.floor(high * len(grams) + 1e-9))
         dice = 2 * F.size(F.array_intersect("g", F.array(*map(F.lit, grams)))) / (F.size("g") + len(grams))
         judged.append(F.when(fits, F.struct(F.lit(name).alias("license"), dice.alias("dice"))))
     best = F.array_max(F.transform(F.filter(F.array(*judged), lambda x: x["dice"] >= threshold), lambda x: F.struct(x["dice"].alias("dice"), x["license"].alias("license"))))
-    hits = rows.select("doc_id", "line", best.alias("h")).filter("h is not null")
-    return hits.groupBy("doc_id", F.col("h.license").alias("license")).agg(F.max("h.dice").alias("dice"), F.min_by("line", F.struct(-F.col("h.dice"), "line")).alias("line"))
+    whole = F.when(F.size("g") <= math.ceil(most), best)
+    hits = each(rows, F.array_compact(F.array(whole, windows(F.col("w"), known, threshold, templates))), "h", "doc_id", "line")
+    return hits.groupBy("doc_id", F.col("h.license").alias("license")).agg(F.max("h.dice").alias("dice"), F.min_by("line", F.struct(-F.col("h.dice"), F.col("line") == 0, "line")).alias("line"))
