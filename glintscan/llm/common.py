@@ -24,6 +24,8 @@ def scratch(spark: SparkSession, name: str) -> str:
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -68,7 +70,8 @@ def bucket_count(df: DataFrame, least: int = 16, each: int = BUCKET_BYTES) -> in
 def small_batches(spark: SparkSession) -> None:
     """Keeps Arrow batches of texts to a few MB, on both sides of the pipe to the Python workers.
 
-    The default of 10,000 rows is hundreds of MB for long texts. A setting of the session's own stays.
+    The default of 10,000 rows is hundreds of MB for long texts. A setting of the session's own stays. Queries are
+    lazy, so the settings stay with the session; they change batches, never results.
     """
     for key, default, small in (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000"), ("spark.sql.execution.arrow.maxBytesPerBatch", None, str(8 << 20))):
         if spark.conf.get(key, default) == default or (default is None and int(spark.conf.get(key)) > 8 << 20):

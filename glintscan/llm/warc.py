@@ -7,7 +7,9 @@ the last chunk carries the digest of the whole. Files are streamed through the f
 URI names, and each attempt of a task writes files of its own; only those of finished tasks are listed.
 
 A null payload counts as empty. Payloads under ``LEAST`` bytes are always stored. Rows that share an id and a
-payload are all responses; a row without an id is a response that nothing refers to. Empty tables give no files.
+payload are all responses; a row without an id is a response that nothing refers to. The first record of an id and
+a payload in a task is named after both, so that others can refer to it; the rest get names of their own. Empty
+tables give no files.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glintscan.llm.common import cut, every_salt, salt, scratch
+from glintscan.llm.common import cut, every_salt, salt, scratch, small_batches
 
 #: Payload bytes from which equal payloads are stored once; bytes of a chunk; payload bytes of a file.
 LEAST, CHUNK, FILE_BYTES = 100, 1 << 18, 1 << 28
@@ -49,8 +51,8 @@ def _open(path: str, mode: str) -> pa.NativeFile:
     return fs.open_output_stream(at, buffer_size=1 << 20, compression=None)
 
 
-def urn(page: object) -> str:
-    return f"<urn:uuid:{uuid.uuid5(_NAMESPACE, f'page:{page}')}>"
+def urn(page: object, digest: str) -> str:
+    return f"<urn:uuid:{uuid.uuid5(_NAMESPACE, f'page:{page}:{digest}')}>"
 
 
 def write(pages: DataFrame, folder: str) -> DataFrame:
@@ -59,16 +61,22 @@ def write(pages: DataFrame, folder: str) -> DataFrame:
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, path, n, held = None, "", 0, 0
         done: list[tuple[str, int]] = []
+        named: set[str] = set()  # of this task's records: some hundred bytes each, against their payloads
         for b in batches:
             for page, digest, size, first, url, i in zip(*(b[c].to_pylist() for c in ("_id", "digest", "bytes", "first", "_url")), range(len(b)), strict=True):
                 if out is None:
                     path, n, held = f"{folder}/{uuid.uuid4().hex}.warc.gz", 0, 0
                     out = _open(path, "w")
-                fields = [("WARC-Type", "response" if first is None else "revisit"), ("WARC-Record-ID", urn(page)), ("WARC-Date", DATE), ("WARC-Payload-Digest", f"sha256:{digest}")]
+                own = urn(page, digest)
+                if page is None or own in named:  # nothing refers to this record
+                    own = f"<urn:uuid:{uuid.uuid4()}>"
+                else:
+                    named.add(own)
+                fields = [("WARC-Type", "response" if first is None else "revisit"), ("WARC-Record-ID", own), ("WARC-Date", DATE), ("WARC-Payload-Digest", f"sha256:{digest}")]
                 if url:
                     fields.append(("WARC-Target-URI", "".join(c if c.isprintable() and c != " " else f"%{ord(c):02X}" for c in url)))
                 if first is not None:
-                    fields += [("WARC-Profile", PROFILE), ("WARC-Refers-To", urn(first)), ("Page-Refers-To", str(first))]
+                    fields += [("WARC-Profile", PROFILE), ("WARC-Refers-To", urn(first, digest)), ("Page-Refers-To", str(first))]
                 if page is not None:
                     fields.append(("Page-ID", str(page)))
                 fields += [("Page-Payload-Length", str(size)), ("Content-Type", "text/html"), ("Content-Length", str(size if first is None else 0))]
@@ -184,6 +192,7 @@ def chunks(files: DataFrame) -> DataFrame:
 def archive(pages: DataFrame, page_id: str = "page_id", payload: str = "html", url: str | None = "url", folder: str | None = None) -> DataFrame:
     """Writes all pages and gives the chunk table read back from the archives."""
     spark = pages.sparkSession
+    small_batches(spark)
     given = pages.select(F.col(page_id).cast("long").alias("_id"), F.coalesce(F.col(payload).cast("string"), F.lit("")).alias("_t"), (F.col(url).cast("string") if url else F.lit(None).cast("string")).alias("_url"))
     files = write(decided(given), folder or scratch(spark, "warc"))
     # a file is a task's work; there are as many as tasks that wrote
