@@ -7,23 +7,25 @@ order does not matter, so reordered passages count in full. The share of an item
 coverage; a document is contaminated when it covers an item to at least ``COVERAGE``.
 
 Words are runs of ASCII letters, digits and non-ASCII characters, lower-cased in ASCII. Items of fewer than
-``LEAST`` words, null items and null or empty texts match nothing. Rows are judged one by one; repeated rows
-and repeated items change nothing. Items go to the tasks in blocks of at most ``BLOCK_BYTES`` of text, one
-broadcast after the other, however many there are.
+``LEAST`` words are matched whole, as one tile; null items, items without words, and null or empty texts match
+nothing. Rows are judged one by one; repeated rows and repeated items change nothing. Ties go to the least item id.
+Items go to the tasks in blocks of at most ``BLOCK_BYTES`` of text; where there are several, each block's matches are
+written down, by the digest of the text, before the next block is sent out, so that one is held at a time.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glintscan.llm.common import raw
-from glintscan.llm.shingles import windows
+from glintscan.llm.common import cut, fresh, raw, small_batches
+from glintscan.llm.shingles import rolled
 
 LEAST, COVERAGE, BLOCK_BYTES = 5, 0.5, 32 << 20
 _SPACES = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
@@ -36,7 +38,7 @@ def words(text: bytes | None) -> list[bytes]:
 def _matches(item: np.ndarray, text: np.ndarray, free_item: np.ndarray, free_text: np.ndarray, length: int) -> list[tuple[int, int, int]]:
     """Maximal common runs of at least ``length`` free words: (words, place in the item, place in the text)."""
     at_item = [np.nonzero(np.convolve(f, np.ones(length, int), "valid") == length)[0] if len(f) >= length else np.zeros(0, int) for f in (free_item, free_text)]
-    hi, ht = windows(item.astype(np.uint64), length)[at_item[0]], windows(text.astype(np.uint64), length)[at_item[1]]
+    hi, ht = rolled(item.astype(np.uint64), length)[at_item[0]], rolled(text.astype(np.uint64), length)[at_item[1]]
     places = defaultdict(list)
     for h, p in zip(hi.tolist(), at_item[0].tolist(), strict=True):
         places[h].append(p)
@@ -77,18 +79,22 @@ def tiles(item: np.ndarray, text: np.ndarray, least: int = LEAST, length: int =
 
 
 class Items:
-    """A block of benchmark items: their words numbered from 1, and their seeds by hash."""
+    """A block of benchmark items: their words numbered from 1, their seeds by hash, and short ones by length and hash."""
 
     def __init__(self, rows: list[tuple[int, bytes]]):
         self.number: dict[bytes, int] = {}
         self.items: dict[int, np.ndarray] = {}
         seeds = defaultdict(set)
+        self.short: dict[int, dict[int, int]] = defaultdict(dict)
         for item_id, text in rows:
             ids = np.array([self.number.setdefault(w, len(self.number) + 1) for w in words(text)], np.int64)
             if len(ids) >= LEAST:
                 self.items[item_id] = ids
-                for h in windows(ids.astype(np.uint64), LEAST).tolist():
+                for h in rolled(ids.astype(np.uint64), LEAST).tolist():
                     seeds[h].add(item_id)
+            elif len(ids):
+                (h,) = rolled(ids.astype(np.uint64), len(ids)).tolist()
+                self.short[len(ids)][h] = min(item_id, self.short[len(ids)].get(h, item_id))
         self.seeds = dict(seeds)
         self.sorted = np.sort(np.fromiter(self.seeds, np.uint64, len(self.seeds)))
 
@@ -97,20 +103,21 @@ class Items:
         get = self.number.get
         own = words(text)
         ids = np.fromiter((get(w, 0) for w in own), np.int64, len(own))
+        whole = [self.short[n][h] for n in list(self.short) for h in self.short[n].keys() & set(rolled(ids.astype(np.uint64), n).tolist())]
+        found = (1.0, min(whole), 1) if whole else None
         if len(ids) < LEAST or not len(self.sorted):
-            return None
+            return found
         known = np.convolve(ids > 0, np.ones(LEAST, int), "valid") == LEAST
         at = np.nonzero(known)[0]
         if not len(at):
-            return None
-        h = windows(ids.astype(np.uint64), LEAST)[at]
+            return found
+        h = rolled(ids.astype(np.uint64), LEAST)[at]
         near = np.minimum(np.searchsorted(self.sorted, h), len(self.sorted) - 1)
         hit = self.sorted[near] == h
         shared = defaultdict(list)
         for p, x in zip(at[hit].tolist(), h[hit].tolist(), strict=True):
             for item in self.seeds[x]:
                 shared[item].append(p)
-        found = None
         for item, places in sorted(shared.items()):
             ids_item = self.items[item]
             if LEAST * len(set(places)) < coverage_least * len(ids_item):
@@ -121,18 +128,18 @@ class Items:
             part = np.insert(ids[under], breaks, -np.arange(1, len(breaks) + 1))
             found_tiles = tiles(ids_item, part)
             coverage = sum(n for n, _, _ in found_tiles) / len(ids_item)
-            if found is None or coverage > found[0]:
+            if found is None or (coverage, -item) > (found[0], -found[1]):
                 found = (coverage, item, len(found_tiles))
         return found
 
 
-def blocks(benchmark: DataFrame, item_id: str, text: str) -> Iterator[list[tuple[int, bytes]]]:
-    """All items, a bounded block at a time."""
+def blocks(benchmark: DataFrame, item_id: str, text: str) -> tuple[Iterator[list[tuple[int, bytes]]], int]:
+    """All items, a bounded block at a time, and the number of blocks."""
     rows = benchmark.select(F.col(item_id).cast("long").alias("i"), F.col(text).cast("string").alias("t")).filter("i is not null and t is not null").distinct()
     size = rows.agg(F.sum(F.octet_length("t").cast("long"))).first()[0] or 0
     n = 2 * size // BLOCK_BYTES + 1
-    for k in range(n):
-        yield [(r["i"], bytes(r["t"])) for r in rows.filter(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k).select("i", F.encode("t", "UTF-8").alias("t")).collect()]
+    block = lambda k: [(r["i"], bytes(r["t"])) for r in rows.filter(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k).select("i", F.encode("t", "UTF-8").alias("t")).collect()]
+    return map(block, range(n)), n
 
 
 def _best(text: Column, items: object, coverage: float) -> Column:
@@ -145,21 +152,35 @@ def _best(text: Column, items: object, coverage: float) -> Column:
     return of(text)
 
 
-def best_match(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", coverage: float = COVERAGE) -> Column:
-    """Column with the coverage, item and tiles of the item that each text covers most; null without a shared seed."""
-    sc = docs.sparkSession.sparkContext
-    found = [_best(F.col(text).cast("string"), sc.broadcast(Items(rows)), coverage) for rows in blocks(benchmark, item_id, item_text)]
-    return F.greatest(*found) if len(found) > 1 else found[0]
+def matched(docs: DataFrame, benchmark: DataFrame, name: str, text: str = "text", item_id: str = "item_id", item_text: str = "text", coverage: float = COVERAGE) -> DataFrame:
+    """``docs`` with a column ``name``: coverage, item and tiles of the item that each text covers most, of those that
+    can reach ``coverage``; null without one."""
+    small_batches(docs.sparkSession)
+    sc, t = docs.sparkSession.sparkContext, F.col(text).cast("string")
+    known, n = blocks(benchmark, item_id, item_text)
+    if n == 1:
+        return docs.withColumn(name, _best(t, sc.broadcast(Items(next(known))), coverage))
+    found = []
+    for rows in known:
+        held = sc.broadcast(Items(rows))
+        told = docs.select(F.sha2(t, 256).alias("_digest"), _best(t, held, coverage).alias("_match")).filter("_match is not null").distinct()
+        found.append(cut(told, "matches"))
+        held.unpersist()
+    key = fresh(docs, "digest")
+    best = F.max_by("_match", F.struct("_match.coverage", -F.col("_match.item_id"))).alias(name)
+    every = reduce(DataFrame.union, found).groupBy(F.col("_digest").alias(key)).agg(best)
+    return docs.withColumn(key, F.sha2(t, 256)).join(every, key, "left").select(*(F.col(c) for c in (*docs.columns, name)))
 
 
 def assess(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", coverage: float = COVERAGE) -> DataFrame:
     """Per row ``contaminated``, and coverage (0 without a match), item and tiles of the best match."""
-    found = docs.select(F.col(doc_id).alias("doc_id"), best_match(docs, benchmark, text, coverage=coverage).alias("m"))
+    found = matched(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_t")), benchmark, "m", "_t", coverage=coverage)
     share = F.coalesce("m.coverage", F.lit(0.0))
     return found.select("doc_id", (share >= coverage).alias("contaminated"), share.alias("coverage"), "m.item_id", F.coalesce("m.tiles", F.lit(0)).cast("long").alias("tiles"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", coverage: float = COVERAGE) -> DataFrame:
     """The rows of ``docs`` that cover no item."""
-    found = docs.withColumn("_m", best_match(docs, benchmark, text, coverage=coverage))
-    return found.filter(F.coalesce("_m.coverage", F.lit(0.0)) < coverage).select(*docs.columns)
+    own = fresh(docs, "match")
+    found = matched(docs, benchmark, own, text, coverage=coverage)
+    return found.filter(F.coalesce(f"{own}.coverage", F.lit(0.0)) < coverage).select(*docs.columns)
