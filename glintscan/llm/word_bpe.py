@@ -227,6 +227,12 @@ def _bpe(path: str) -> Bpe:
     return Bpe(path)
 
 
+def _shipped(path: str) -> str:
+    """Where a task finds the vocabulary file that the driver has handed out."""
+    own = SparkFiles.get(os.path.basename(path))
+    return own if os.path.exists(own) else path
+
+
 @lru_cache(maxsize=1)
 def _words(bpe_path: str, lexicon: str) -> Words:
     """One memory of words for all tasks of a worker."""
@@ -266,8 +272,10 @@ def frequent_words(docs: DataFrame, bpe_path: str, text: str, size: int = LEXICO
     Only a histogram of the counts (64 bins a power of two) and the words taken come to the driver.
     """
 
+    docs.sparkSession.sparkContext.addFile(bpe_path)
+
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, count = _bpe(bpe_path), Counter()
+        bpe, count = _bpe(_shipped(bpe_path)), Counter()
 
         def flush() -> pa.RecordBatch:
             found: Counter = Counter()
@@ -295,7 +303,9 @@ def frequent_words(docs: DataFrame, bpe_path: str, text: str, size: int = LEXICO
         if taken > size:
             break
         least = r["bin"]
-    return [] if least is None else sorted(bytes(r["w"]) for r in words.filter(F.col("bin") >= least).select("w").collect())
+    # where the top bin alone holds too many words, the most frequent of it, ties in the order of words
+    few = words.orderBy(F.desc("n"), "w").limit(size) if least is None else words.filter(F.col("bin") >= least)
+    return sorted(bytes(r["w"]) for r in few.select("w").collect())
 
 
 def compiled(spark: SparkSession, words: list[bytes], bpe_path: str) -> str:
@@ -304,6 +314,7 @@ def compiled(spark: SparkSession, words: list[bytes], bpe_path: str) -> str:
     path = os.path.join(tempfile.mkdtemp(prefix="spark-"), name)
     Lexicon.build(words, map(bpe.merge, words), path)
     spark.sparkContext.addFile(path)
+    spark.sparkContext.addFile(bpe_path)
     return name
 
 
@@ -312,7 +323,8 @@ def encoded(text: Column, lexicon: str, bpe_path: str) -> Column:
 
     @F.arrow_udf("struct<ids:binary,decoded:binary>")
     def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        bpe, words = _bpe(bpe_path), _words(bpe_path, lexicon)
+        path = _shipped(bpe_path)
+        bpe, words = _bpe(path), _words(path, lexicon)
         for column in batches:
             ids = [words.encode((t or b"").decode("utf-8", "replace")) for t in raw(column)]
             texts = [bpe.decode(np.frombuffer(x, "<u4")) for x in ids]
