@@ -28,7 +28,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
+    d = readers.spread(table(spark, sf_dir, "documents"))
     return d.select(F.concat(F.lit("doc://"), F.col("doc_id").cast("string")).alias("source"), F.col("text").alias("body"))
 
 
@@ -39,7 +39,7 @@ def derived_key(column: str = "o_orderkey") -> Column:
 
 def derived(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Script bodies made from order keys, each with one access key id: near wording of a fixture in a comment, or in code, or alone; some in vendor bundles."""
-    o = table(spark, sf_dir, "orders")
+    o = readers.spread(table(spark, sf_dir, "orders"))
     k = F.col("o_orderkey")
     tail = F.when(k % 3 == 0, "'; // example").when(k % 3 == 1, "', kind = 'sample';").otherwise("';")
     source = F.concat(F.lit("js://"), F.when(k % 97 == 5, "vendor-").otherwise(""), (k % 97).cast("string"))
@@ -188,7 +188,7 @@ def sampled_rules(s: SparkSession, d: str) -> DataFrame:
     rules = catalog.built_in()
     n = F.pmod(F.col("c_custkey"), F.lit(len(rules))).cast("int")
     body = F.concat(F.element_at(F.array(*(F.lit(_sample(r)) for r in rules)), n + 1), F.lit(" "), F.col("c_custkey").cast("string"))
-    made = table(s, d, "customer").select(F.col("c_custkey").cast("string").alias("source"), body.alias("body"))
+    made = readers.spread(table(s, d, "customer")).select(F.col("c_custkey").cast("string").alias("source"), body.alias("body"))
     return scan.matches(made, rules, comments=True).groupBy("id").agg(F.count("*").alias("matches"), F.countDistinct("value").alias("values"))
 
 
@@ -380,7 +380,7 @@ def comments_stripped(s: SparkSession, d: str) -> DataFrame:
 
 
 def _turns(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("source"), F.col("text").alias("body"))
+    return readers.spread(table(s, d, "conversations")).select(F.concat_ws(":", "conv_id", "turn").alias("source"), F.col("text").alias("body"))
 
 
 def conversation_scan(s: SparkSession, d: str) -> DataFrame:

@@ -14,6 +14,12 @@ OTHER_TYPES = ("text/html", "application/xhtml+xml", "application/json", "text/c
 HAR = "log struct<entries:array<struct<request:struct<url:string>,response:struct<status:int,content:struct<mimeType:string,text:string,encoding:string>>>>>"
 
 
+def spread(docs: DataFrame) -> DataFrame:
+    """Rows dealt over all cores where a table comes in fewer pieces than there are cores, as scans are bound by CPU; else as it is."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
+
+
 def files(spark: SparkSession, path: str) -> DataFrame:
     """Whole text files."""
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("source"), F.col("value").alias("body"))
