@@ -8,12 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glintscan.llm import decontamination, licenses, ngram_join, quality_classifier, quality_rules, secrets, substring_dedup, toxicity, warc, word_bpe
+from glintscan.sources.readers import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents, dealt over all cores where they come in fewer pieces."""
+    return spread(table(spark, sf_dir, "documents"))
+
+
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
     """Place of a public tokenizer's vocabulary file."""
     import public_tokenizers
@@ -22,23 +28,23 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.assess(table(spark, sf_dir, "documents"))
+    return quality_rules.assess(documents(spark, sf_dir))
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return quality_classifier.classify(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return toxicity.classify(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
 def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.scan(table(spark, sf_dir, "documents"))
+    return secrets.scan(documents(spark, sf_dir))
 
 
 def op5_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan(table(spark, sf_dir, "documents"))
+    return licenses.scan(documents(spark, sf_dir))
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,20 +52,20 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontamination.assess(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontamination.assess(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return word_bpe.roundtrip(table(spark, sf_dir, "documents"), vocabulary())
+    return word_bpe.roundtrip(documents(spark, sf_dir), vocabulary())
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = substring_dedup.dedup(table(spark, sf_dir, "documents"))
+    kept = substring_dedup.dedup(documents(spark, sf_dir))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.link(table(spark, sf_dir, "documents"))
+    return ngram_join.link(documents(spark, sf_dir))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
