@@ -69,5 +69,18 @@ def public_target(url: Column, allow_internal: bool = False) -> Column:
     return h.isNotNull() & (F.lit(allow_internal) | ~inside)
 
 
+def retry_after(value: Column, now: Column) -> Column:
+    """Seconds that a server asks to wait, given as a number or as a date; 0 for anything else and for the past."""
+    date = F.try_to_timestamp(F.regexp_extract(value, r"(?i)\A[a-z]{3}, (\d{2} [a-z]{3} \d{4} \d{2}:\d{2}:\d{2}) GMT\z", 1), F.lit("dd MMM yyyy HH:mm:ss"))
+    left = F.unix_timestamp(date) - F.unix_timestamp(now)
+    return F.greatest(F.lit(0), F.coalesce(F.when(value.rlike(r"\A\+?[0-9]{1,9}\z"), value.cast("long")), left, F.lit(0)).cast("long"))
+
+
+def backoff(attempt: Column, chance: Column) -> Column:
+    """Seconds before a retry: two to the power of the attempt (0 to 6), a quarter less or more as ``chance`` in [0, 1) says."""
+    base = F.pow(F.lit(2.0), F.greatest(F.lit(0), F.least(attempt, F.lit(6))))
+    return base * (0.75 + chance / 2)
+
+
 def mask_errors(v: Column) -> Column:
     return F.regexp_replace(v, r"(token=|Bearer )[^\s&]+", "$1***")

@@ -42,6 +42,7 @@ PARAMETERS = (
 QUERY_STRING, QUERY_KEY = r"""["']([^"']*\?[a-zA-Z0-9_\-]+=)""", r"([a-zA-Z0-9_\-]+)="
 KEYWORDS = ("function", "return", "var", "let", "const", "if", "else", "for", "while")
 SOURCE_MAP = r"(?m)^[\t ]*//[#@]\s*sourceMappingURL=([^\s]+)\s*$"
+MAP = "struct<version:int,file:string,sourceRoot:string,sources:array<string>,sourcesContent:array<string>>"
 ORIGIN_SKIPS = ("data:", "blob:", "mediastream:", "filesystem:", "ws:", "wss:", "self", "none", "nonce-", "sha256-", "sha384-", "sha512-", "strict-dynamic", "report-sample", "unsafe-")
 DIRECT_ADDRESS = r"""["'](https?://[^"']+\?[^"']+)["']"""
 FETCH_ADDRESS = r"""fetch\(["'`]([^"'`]+)\?[^"'`]*["'`]"""
@@ -327,8 +328,15 @@ def source_map_members(docs: DataFrame, source: str = "source", body: str = "bod
     ref = F.regexp_extract(body, SOURCE_MAP.replace("$", r"(?:\z|$)"), 1)
     data = F.regexp_extract(ref, r"(?s)\Adata:[^,]*,(.*)", 1)
     text = F.when(ref.rlike(r"\Adata:[^,]*;base64,"), F.try_to_binary(F.translate(data, "-_", "+/"), F.lit("base64")).cast("string")).otherwise(F.try_url_decode(data))
-    shape = "struct<version:int,file:string,sourceRoot:string,sources:array<string>,sourcesContent:array<string>>"
-    rows = docs.filter(ref.startswith("data:")).select(F.col(source).alias("s"), F.from_json(text, shape).alias("m"))
+    return _members(docs.filter(ref.startswith("data:")).select(F.col(source).alias("s"), F.from_json(text, MAP).alias("m")))
+
+
+def map_members(maps: DataFrame, source: str = "source", body: str = "body") -> DataFrame:
+    """(source, body): files embedded in source maps that were fetched for a source."""
+    return _members(maps.select(F.col(source).alias("s"), F.from_json(body, MAP).alias("m")))
+
+
+def _members(rows: DataFrame) -> DataFrame:
     zipped = F.arrays_zip(F.col("m.sources").alias("name"), F.col("m.sourcesContent").alias("body"))
     members = numbered(rows, zipped, "i", "z", "s", F.coalesce("m.sourceRoot", F.lit("")).alias("root")).filter("z.body <> ''")
     name = F.when(F.coalesce("z.name", F.lit("")) == "", F.concat(F.lit("sources["), "i", F.lit("]"))).when((F.col("root") == "") | F.col("z.name").rlike(r"\A(/|[a-z]+://)"), F.col("z.name")).otherwise(F.concat(F.regexp_replace("root", "/+$", ""), F.lit("/"), "z.name"))

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glintscan.functions.text import host, public_target
-from glintscan.operators.scan import MAX_BYTES, SCHEMA_VERSION, capped
+from glintscan.functions.text import public_target
+from glintscan.operators.scan import MAX_BYTES, SCHEMA_VERSION, capped, out_of_scope
+from glintscan.sources.shared import written
 
 # Media types that count as script, and those that do not although their address may.
 SCRIPT_TYPES = ("application/javascript", "application/x-javascript", "text/javascript", "text/ecmascript", "application/ecmascript", "text/jscript")
@@ -20,7 +21,7 @@ def spread(docs: DataFrame) -> DataFrame:
     return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
 
 
-def files(spark: SparkSession, path: str) -> DataFrame:
+def files(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Whole text files."""
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("source"), F.col("value").alias("body"))
 
@@ -30,12 +31,31 @@ def targets(spark: SparkSession, path: str, allow_internal: bool = False) -> Dat
     return spark.read.text(path).select(F.trim("value").alias("url")).filter("url <> ''").filter(public_target(F.col("url"), allow_internal))
 
 
+def header(headers: Column, name: str) -> Column:
+    """A header's value, whatever the case of its name."""
+    return F.get(F.map_values(F.map_filter(headers, lambda k, v: F.lower(k) == name)), F.lit(0))
+
+
+def is_page(body: Column) -> Column:
+    """Whether a body begins as an HTML page."""
+    return F.lower(F.trim(F.substring(body, 1, 512))).rlike(r"\A\s*<(!doctype|html|head|body)")
+
+
+def targets_or_files(spark: SparkSession, given: list[str], allow_internal: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Of what a user names, the addresses that may be fetched, and the bodies of the rest as local files."""
+    urls = [x for x in given if x.lower().startswith(("http://", "https://"))]
+    paths = [x for x in given if x not in urls]
+    found = spark.createDataFrame([(u,) for u in urls], "url string")
+    bodies = files(spark, paths) if paths else spark.createDataFrame([], "source string, body string")
+    return found.filter(public_target(F.col("url"), allow_internal)), bodies
+
+
 def admitted(responses: DataFrame, inline_html: bool = False) -> DataFrame:
     """Documents among responses (url, status, headers, body): successful scripts, and pages where asked for."""
-    kind = F.lower(F.trim(F.substring_index(F.coalesce(F.element_at("headers", "Content-Type"), F.element_at("headers", "content-type"), F.lit("")), ";", 1)))
+    kind = F.lower(F.trim(F.substring_index(F.coalesce(header(F.col("headers"), "content-type"), F.lit("")), ";", 1)))
     named = F.lower("url").rlike(r"\.js(\z|[?&#])")
     script = kind.isin(*SCRIPT_TYPES) | (named & ~kind.isin(*OTHER_TYPES) & ~kind.startswith("text/"))
-    page = F.lit(inline_html) & (F.contains(kind, F.lit("html")) | F.lower(F.trim(F.substring(F.col("body").cast("string"), 1, 512))).rlike(r"\A<(!doctype|html|head|body)"))
+    page = F.lit(inline_html) & (F.contains(kind, F.lit("html")) | is_page(F.col("body").cast("string")))
     return responses.filter(F.col("status").between(200, 299) & (script | page)).select(F.col("url").alias("source"), F.col("body").cast("string").alias("body"))
 
 
@@ -81,16 +101,22 @@ def line_kinds(lines: DataFrame, column: str = "value") -> DataFrame:
     return told.select("n", "urls", "code", F.when(2 * F.col("urls") > F.col("n"), "urls").when((F.col("code") > 5) | F.col("has_function"), "code").otherwise("lines").alias("kind"))
 
 
-def crawl(pages: DataFrame, seeds: DataFrame, depth: int, domain: str | None = None) -> DataFrame:
-    """(url, depth): scripts reachable from ``seeds`` over the references of ``pages`` (url, html), breadth first."""
-    found = F.regexp_extract_all("html", F.lit(r"""(?i)(?:src|href)\s*=\s*["']([^"']*\.js[^"']*)["']"""), F.lit(1))
+# Fixed value: what counts as a reference to a script.
+REFERENCE = r"""(?:src|href)\s*=\s*["']([^"']+\.js[^"']*)["']"""
+
+
+def crawl(pages: DataFrame, seeds: DataFrame, depth: int, domain: str | None = None, extensions: tuple[str, ...] = ()) -> DataFrame:
+    """(url, depth): scripts reachable from ``seeds`` over the references of ``pages`` (url, html), breadth first.
+
+    Only addresses that hold ``domain`` and end in one of ``extensions`` are followed. Each level is written down.
+    """
+    found = F.regexp_extract_all("html", F.lit(REFERENCE), F.lit(1))
     root = F.regexp_extract("from", r"\A(https?://[^/]+)", 1)
     link = F.when(F.col("ref").rlike(r"\Ahttps?://"), F.col("ref")).when(F.col("ref").startswith("//"), F.concat(F.lit("https:"), "ref")).when(F.col("ref").startswith("/"), F.concat(root, "ref")).otherwise(F.concat(root, F.lit("/"), "ref"))
     edges = pages.select(F.col("url").alias("from"), F.explode(F.array_distinct(found)).alias("ref")).select("from", link.alias("url"))
-    if domain:
-        edges = edges.filter(F.contains(host(F.col("url")), F.lit(domain)))
-    seen = level = seeds.select("url").distinct().withColumn("depth", F.lit(0))
+    edges = written(edges.filter(~out_of_scope(F.col("url"), domain, extensions)).distinct(), "edges")
+    seen = level = written(seeds.select("url").distinct().withColumn("depth", F.lit(0)), "level")
     for d in range(1, depth + 1):
-        level = edges.join(level.select(F.col("url").alias("from")), "from").select("url").distinct().join(seen, "url", "left_anti").withColumn("depth", F.lit(d))
+        level = written(edges.join(level.select(F.col("url").alias("from")), "from").select("url").distinct().join(seen, "url", "left_anti").withColumn("depth", F.lit(d)), "level")
         seen = seen.union(level)
     return seen

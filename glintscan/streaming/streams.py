@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
@@ -13,6 +11,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from glintscan.operators.scan import identified, matches, scored
 from glintscan.rules.model import Rule
+from glintscan.sources.shared import folder
 
 #: Failures in a row that bench a host, and for how many seconds. Fixed values.
 FAILURES, BENCHED = 5, 30
@@ -37,8 +36,7 @@ def scan(docs: DataFrame, rules: Iterable[Rule], event_time: str | None = None,
 def drained(stream: DataFrame, name: str) -> DataFrame:
     """What a stream gives of all that is there now, written to the cluster's shared folder and read back."""
     spark = stream.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")  # unset only in tests
-    at = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    at = folder(spark, name)
     query = stream.writeStream.format("parquet").outputMode("append").option("path", f"{at}/rows").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{at}/rows")

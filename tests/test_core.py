@@ -253,6 +253,44 @@ def test_aws_pairs_and_reports(spark):
     assert json.loads(writers.explained(spark, catalog.built_in()).filter("rule_id = 'aws.access_key_id'").first()["value"])["has_validator"]
 
 
+def test_a_run_from_responses_to_views(spark):
+    from glintscan.plans import runs
+
+    page = f"<html><script>k = '{KEY}'</script><script> </script><p>x</p></html>"
+    map_ = '{"version":3,"sources":["s.js"],"sourcesContent":["id = \'%s\'"]}' % KEY
+    js, html = {"CONTENT-type": "text/javascript; charset=x"}, {"content-TYPE": "text/html"}
+    rows = [("https://h/a.js", 200, js, f"a = '{KEY}'\n//# sourceMappingURL=a.map"), ("https://h/a.map", 200, {"x": "y"}, map_), ("https://h/p", 200, html, page), ("https://h/b.js", 404, js, KEY), ("https://h/c.js", 200, html, KEY), ("https://h/d.js", 200, {}, "eval('x = 1')")]
+    responses = spark.createDataFrame(rows, "url string, status int, headers map<string,string>, body string")
+    assert sorted(r["source"] for r in runs.documents(responses).collect()) == ["https://h/a.js", "https://h/d.js"]
+    every = runs.documents(responses, inline_html=True, source_maps=True, eval_strings=True)
+    assert sorted(r["source"] for r in every.collect()) == ["https://h/a.js", "https://h/a.js.map#s.js", "https://h/c.js", "https://h/d.js", "https://h/d.js#eval", "https://h/p", "https://h/p#inline[0]"]
+    use = runs.rules(only=["aws.*"], jwt=True)
+    assert {r.id for r in use if r.kind != "legacy"} == {"aws.access_key_id", "aws.secret_access_key"} and any(r.name == "JWT Token" for r in use)
+    runs.views(every, use, ignore=["source:https://h/c.js"])
+    (f,) = spark.sql("SELECT rule_id, places FROM scan_findings").collect()
+    assert tuple(f) == ("aws.access_key_id", 4) or f["places"] >= 3
+    assert spark.sql("SELECT count(*) AS n FROM scan_rules").first()["n"] == len(use)
+
+
+def test_crawl_levels_and_scope(spark):
+    from glintscan.sources import readers
+
+    pages = spark.createDataFrame([("https://a.net/", '<script src="/x.js"></script><script src="//b.org/y.js"></script>'), ("https://a.net/x.js", 'href="z.js?v=1" src="/x.js"'), ("https://b.org/y.js", 'src="/w.js"')], "url string, html string")
+    seeds = spark.createDataFrame([("https://a.net/",)], "url string")
+    found = lambda *a, **o: {tuple(r) for r in readers.crawl(pages, seeds, *a, **o).collect()}
+    assert found(2) == {("https://a.net/", 0), ("https://a.net/x.js", 1), ("https://b.org/y.js", 1), ("https://a.net/z.js?v=1", 2), ("https://b.org/w.js", 2)}
+    assert found(2, "a.net", extensions=(".js",)) == {("https://a.net/", 0), ("https://a.net/x.js", 1)}
+
+
+def test_waits(spark):
+    now = F.to_timestamp(F.lit("2024-01-01 00:00:00"))
+    rows = [("30", 30), ("Mon, 01 Jan 2024 00:01:30 GMT", 90), ("Mon, 01 Jan 2023 00:00:00 GMT", 0), ("soon", 0), ("-5", 0), (None, 0)]
+    got = spark.createDataFrame([(v,) for v, _ in rows], "v string").select(fn.retry_after(F.col("v"), now).alias("s")).collect()
+    assert [r["s"] for r in got] == [s for _, s in rows]
+    waits = spark.range(-1, 9).select(fn.backoff(F.col("id"), F.lit(0.0)).alias("a"), fn.backoff(F.col("id"), F.lit(1.0)).alias("b")).collect()
+    assert [r["a"] for r in waits[:3]] == [0.75, 0.75, 1.5] and waits[-1]["b"] == 80.0
+
+
 def test_script_references(spark):
     html = """<script async src='/a.js' integrity="sha" ></script><script>1</script><SCRIPT SRC=b.js defer></SCRIPT><link rel="preload" as="script" href="c.js"><link rel=modulepreload href='d.js'><link rel="preload" as="font" href="e.woff"><script data-src="x">2</script>"""
     rows = extract.script_references(spark.createDataFrame([("u", html)], "url string, html string")).collect()
