@@ -13,6 +13,7 @@ from glintscan.rules import catalog, noise, samples
 from glintscan.rules.model import Rule
 from glintscan.sinks import writers
 from glintscan.sources import readers
+from glintscan.sources.shared import written
 from glintscan.streaming import streams
 
 #: A pack for the secrets, addresses and hosts that the tables hold.
@@ -141,18 +142,18 @@ def all_severities(s: SparkSession, d: str) -> DataFrame:
 
 
 def sarif_places(s: SparkSession, d: str) -> DataFrame:
-    rows = findings.strict_matches(documents(s, d), PACK, comments=True)
+    rows = written(findings.strict_matches(documents(s, d), PACK, comments=True), "matches")
     return writers.sarif_results(findings.merged(rows), findings.places(rows)).select("rule_id", "level", "uri", F.col("start_line").cast("long").alias("start_line"), "value_hash", "rule_secret_type")
 
 
 def sarif_documents(s: SparkSession, d: str) -> DataFrame:
     rules = [*catalog.built_in(), *PACK]
-    rows = findings.strict_matches(documents(s, d), rules)
+    rows = written(findings.strict_matches(documents(s, d), rules), "matches")
     return writers.sarif(findings.merged(rows), findings.places(rows), rules)
 
 
 def envelopes(s: SparkSession, d: str) -> DataFrame:
-    rows = findings.all_matches(documents(s, d), [*catalog.built_in(), *PACK])
+    rows = written(findings.all_matches(documents(s, d), [*catalog.built_in(), *PACK]), "matches")
     strict = rows.filter("kind <> 'legacy'")
     return writers.envelope(rows, findings.merged(strict), findings.places(strict))
 
