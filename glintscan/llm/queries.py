@@ -82,6 +82,34 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op9_substring_dedup": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        p AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS word, len(w) AS n FROM d),
+        k AS (SELECT doc_id, i, word, n, CASE WHEN i + 49 <= n THEN md5(array_to_string(list(word) OVER (
+                  PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 49 FOLLOWING), ' ')) END AS h FROM p),
+        f AS (SELECT h, min(doc_id) AS least FROM k WHERE h IS NOT NULL GROUP BY h),
+        g AS (SELECT doc_id, i, word, max(CASE WHEN least < doc_id THEN 1 ELSE 0 END) OVER (
+                  PARTITION BY doc_id ORDER BY i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS gone FROM k LEFT JOIN f USING (h)),
+        r AS (SELECT doc_id, sum(gone)::BIGINT AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (gone = 0) AS kept FROM g GROUP BY doc_id)
+        SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+        FROM d LEFT JOIN r USING (doc_id)
+    """,
+    "op10_ngram_jaccard_join": r"""
+        WITH RECURSIVE d AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        p AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS word, len(w) AS n FROM d),
+        s AS (SELECT DISTINCT doc_id, md5(gram) AS gram FROM (
+                  SELECT doc_id, i, n, array_to_string(list(word) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING), ' ') AS gram FROM p)
+              WHERE i + 4 <= n OR n < 5 AND i = 1),
+        c AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        m AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS same FROM s a JOIN s b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY ALL),
+        e AS (SELECT x, y FROM m JOIN c cx ON cx.doc_id = x JOIN c cy ON cy.doc_id = y WHERE 100 * same >= 75 * (cx.n + cy.n - same)),
+        r(doc_id, root) AS (
+            SELECT doc_id, doc_id FROM d
+            UNION SELECT v.y, r.root FROM r JOIN (SELECT x, y FROM e UNION ALL SELECT y, x FROM e) v ON r.doc_id = v.x)
+        SELECT d.doc_id, coalesce(c.n, 0)::BIGINT AS n_shingles, min(r.root) AS component_id
+        FROM d JOIN r USING (doc_id) LEFT JOIN c USING (doc_id) GROUP BY d.doc_id, c.n
+    """,
     "op6_warc": r"""
         WITH p AS (SELECT page_id, coalesce(html, '') AS t, octet_length(encode(coalesce(html, ''))) AS n FROM pages),
         f AS (SELECT *, min(page_id) OVER (PARTITION BY t) AS first FROM p)
