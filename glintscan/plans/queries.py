@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from glintscan.functions import text as fn
 from glintscan.operators import extract, findings, scan
+from glintscan.plans import runs
 from glintscan.rules import catalog, noise, samples
 from glintscan.rules.model import Rule
 from glintscan.sinks import writers
@@ -184,15 +185,34 @@ def _sample(r: Rule) -> str:
     return f"let token = '{samples.example(r.pattern)}';"
 
 
+def _extras() -> list[Rule]:
+    """The detectors that only a flag adds."""
+    return [catalog.legacy_rule(n, p) for group in catalog.EXTRA.values() for n, p in group.items()]
+
+
 def sampled_rules(s: SparkSession, d: str) -> DataFrame:
     """Each built-in rule over bodies made from its pattern, one for each customer: matches by rule, of all rules."""
-    rules = catalog.built_in()
+    return _sampled(s, d, catalog.built_in())
+
+
+def sampled_extras(s: SparkSession, d: str) -> DataFrame:
+    """Likewise for the detectors that only a flag adds."""
+    return _sampled(s, d, _extras())
+
+
+def _sampled(s: SparkSession, d: str, rules: list[Rule]) -> DataFrame:
     n = F.pmod(F.col("c_custkey"), F.lit(len(rules))).cast("int")
     body = F.concat(F.element_at(F.array(*(F.lit(_sample(r)) for r in rules)), n + 1), F.lit(" "), F.col("c_custkey").cast("string"))
     made = readers.spread(table(s, d, "customer")).select(F.col("c_custkey").cast("string").alias("source"), body.alias("body"))
     return scan.matches(made, rules, comments=True).groupBy("id").agg(F.count("*").alias("matches"), F.countDistinct("value").alias("values"))
 
 
+def response_documents(s: SparkSession, d: str) -> DataFrame:
+    """Pages as responses, some of them failed: what a run scans in them, as digests."""
+    answers = table(s, d, "pages").select("url", F.when(F.col("page_id") % 4 == 0, 404).otherwise(200).alias("status"), F.create_map(F.lit("content-TYPE"), F.lit("text/html; charset=utf-8")).alias("headers"), F.col("html").alias("body"))
+    return runs.documents(answers, inline_html=True, source_maps=True, eval_strings=True).filter("body <> ''").select("source", F.sha2("body", 256).alias("body_sha256"))
+
+
 def scoped_matches(s: SparkSession, d: str) -> DataFrame:
     """Legacy addresses of a source's own domain under scope, pattern and wording."""
     k = F.col("c_custkey").cast("string")
@@ -412,7 +432,7 @@ def host_failures(s: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        all_findings, pack_findings, conversation_findings, all_severities, sarif_documents, envelopes, raw_matches, sampled_rules, scoped_matches, run_counters, endpoints_matching, getter_parameters,
+        all_findings, pack_findings, conversation_findings, all_severities, sarif_documents, envelopes, raw_matches, sampled_rules, sampled_extras, response_documents, scoped_matches, run_counters, endpoints_matching, getter_parameters,
         template_addresses, object_addresses, parameter_addresses, resolved_addresses, rule_listing, console_lines, token_locations, pack_matches, value_functions, findings_by_value, key_scan, key_dedupe, registry_vs_legacy, ignore_and_diff, stage_statistics, verify_fold, rule_selection,
         severity_order, sarif_places, ndjson_lines, csv_rows, email_matches, legacy_scan, page_scripts, page_domains, page_links, endpoints, parameter_names, parameter_groups,
         links_same_domain, query_addresses, option_addresses, csp_origins, robots_rules, source_map_members, har_entries, comments_stripped, conversation_scan, host_failures, breaker_states,
@@ -453,10 +473,15 @@ def _body_sql(name: str, suffix: str = "") -> str:
     return f"SELECT {plain} || '{suffix}' AS source, replace(raw, '{{k}}', c_custkey::VARCHAR) AS body FROM customer JOIN (VALUES {rows}) t(shape, raw) ON c_custkey % {len(SHAPES[name])} = shape"
 
 
-def _rules_sql(docs: str) -> str:
-    """SQL of the matches of all built-in rules in ``docs`` (body)."""
+def _sampled_sql(rules: list[Rule]) -> str:
+    rows = ", ".join(f"({n}, {_text(_sample(r))})" for n, r in enumerate(rules))
+    return _rules_sql(f"SELECT raw || ' ' || c_custkey AS body FROM customer JOIN (VALUES {rows}) t(n, raw) ON c_custkey % {len(rules)} = n", rules)
+
+
+def _rules_sql(docs: str, rules: list[Rule] | None = None) -> str:
+    """SQL of the matches of rules (all built-in ones) in ``docs`` (body)."""
     part = "CASE WHEN coalesce(z[2], '') = '' THEN z[1] ELSE z[2] END"
-    each = " UNION ALL ".join(f"SELECT {_text(r.id)} AS id, unnest(list_zip(regexp_extract_all(body, {_text(r.pattern)}, 0), regexp_extract_all(body, {_text(r.pattern)}, {r.group}))) AS z FROM d" for r in catalog.built_in())
+    each = " UNION ALL ".join(f"SELECT {_text(r.id)} AS id, unnest(list_zip(regexp_extract_all(body, {_text(r.pattern)}, 0), regexp_extract_all(body, {_text(r.pattern)}, {r.group}))) AS z FROM d" for r in rules or catalog.built_in())
     return f"WITH d AS ({docs}) SELECT id, count(*) AS matches, count(DISTINCT {part}) AS values FROM ({each}) GROUP BY id"
 
 
@@ -552,9 +577,14 @@ ORACLE_SQL: dict[str, str] = {
         SELECT 'https://h/' || s_suppkey || CASE WHEN s_suppkey % 9 = 0 THEN '.js?v=1' ELSE '.x' END AS source, 'let x=' || s_suppkey || CASE WHEN s_suppkey % 4 = 2 THEN '!' ELSE '' END AS body
         FROM supplier WHERE s_suppkey % 5 <> 0 AND (s_suppkey % 3 <> 0 OR s_suppkey % 9 = 0)""",
     "raw_matches": _rules_sql("SELECT text AS body FROM documents WHERE text <> ''"),
-    "sampled_rules": _rules_sql(
-        "SELECT raw || ' ' || c_custkey AS body FROM customer JOIN (VALUES " + ", ".join(f"({n}, {_text(_sample(r))})" for n, r in enumerate(catalog.built_in())) + f") t(n, raw) ON c_custkey % {len(catalog.built_in())} = n"
-    ),
+    "sampled_rules": _sampled_sql(catalog.built_in()),
+    "sampled_extras": _sampled_sql(_extras()),
+    "response_documents": """
+        WITH p AS (SELECT url, html FROM pages WHERE page_id % 4 <> 0 AND html <> '')
+        SELECT url AS source, sha256(html) AS body_sha256 FROM p
+        UNION ALL
+        SELECT url || '#inline[' || (i - 1) || ']', sha256(s[i])
+        FROM (SELECT url, s, unnest(range(1, len(s) + 1)) AS i FROM (SELECT url, regexp_extract_all(html, '(?is)<script>(.*?)</script\\s*>', 1) AS s FROM p)) WHERE trim(s[i]) <> ''""",
     "email_matches": _email_sql(),
     "stage_statistics": _MATCHES + """
         , short AS (SELECT unnest(regexp_extract_all(body, '[0-9a-f]{10,}')) AS value FROM docs),
