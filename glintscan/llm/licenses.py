@@ -113,18 +113,24 @@ def places(threshold: float = THRESHOLD, templates: dict[str, str] | None = None
 def windows(words: Column, known: dict[str, list[str]], threshold: float = THRESHOLD, templates: dict[str, str] | None = None) -> Column:
     """The best (dice, license) among runs of words as long as a template, placed where one of its marks would stand; null under ``threshold``."""
 
-    def of(name: str, word: str, at: int, length: int) -> Column:
-        grams = F.array(*map(F.lit, known[name]))
+    none = F.expr("cast(array() as array<struct<dice:double,license:string>>)")
+    by: dict[str, list[tuple[str, int, int]]] = {}
+    for name, word, at, length in places(threshold, templates):
+        by.setdefault(word, []).append((name, at, length))
 
-        def judge(i: Column) -> Column:
-            own = F.slice(words, F.greatest(i - at, F.lit(1)), F.lit(length))
-            pairs = F.array_distinct(F.zip_with(F.slice(own, F.lit(1), F.size(own) - 1), F.slice(own, F.lit(2), F.size(own) - 1), lambda a, b: F.concat_ws(" ", a, b)))
-            return F.transform(F.array(pairs), lambda g: F.struct((2 * F.size(F.array_intersect(g, grams)) / (F.size(g) + F.size(grams))).alias("dice"), F.lit(name).alias("license")))
+    def judge(i: Column, name: str, at: int, length: int) -> Column:
+        grams = F.array(*map(F.lit, known[name]))
+        own = F.slice(words, F.greatest(i - at, F.lit(1)), F.lit(length))
+        pairs = F.array_distinct(F.zip_with(F.slice(own, F.lit(1), F.size(own) - 1), F.slice(own, F.lit(2), F.size(own) - 1), lambda a, b: F.concat_ws(" ", a, b)))
+        return F.element_at(F.transform(F.array(pairs), lambda g: F.struct((2 * F.size(F.array_intersect(g, grams)) / (F.size(g) + F.size(grams))).alias("dice"), F.lit(name).alias("license"))), 1)
 
+    def of(word: str) -> Column:
         where = F.filter(F.transform(words, lambda w, i: F.when(w == word, i + 1)), lambda i: i.isNotNull())
-        return F.flatten(F.transform(where, judge))
+        told = F.flatten(F.transform(where, lambda i: F.array(*(judge(i, *place) for place in by[word]))))
+        # to look for a word is much quicker than to number its places, and most are not there
+        return F.when(F.array_contains(words, word), told).otherwise(none)
 
-    found = [of(*place) for place in places(threshold, templates)]
+    found = [of(word) for word in by]
     return F.array_max(F.filter(F.concat(*found), lambda x: x["dice"] >= threshold))
 
 
