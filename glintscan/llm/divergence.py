@@ -19,7 +19,7 @@ at. Texts are counted in sections, so a very long one takes memory for its disti
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +31,7 @@ from glintscan.llm.common import cut, drop, raw, small_batches
 #: Documents of a language that a term must be in, parts that shares are counted in, and added to each count.
 LEAST_DOCUMENTS, SCALE, SMOOTH = 10, 1_000_000_000, 2
 #: Terms listed for each source; sources of a block; distinct terms and matrices that a task holds.
-TOP, BLOCK, HELD, MATRICES = 10, 64, 500_000, 256
+TOP, BLOCK, HELD, MATRICES = 10, 64, 1_000_000, 256
 _SECTION = 1 << 20
 #: Letters in lower case and bytes of other scripts stay, all else parts terms.
 _TERMS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -138,6 +138,13 @@ class Sums:
         self.held.clear()
 
 
+def _lists(column: pa.ListArray) -> Callable[[int], list[np.ndarray]]:
+    """The three number fields of each row's list of structs, as views of the whole column."""
+    at, values = column.offsets.to_numpy(), column.values
+    fields = [f.to_numpy(zero_copy_only=False) for f in (values.field(0), values.field(1), values.field(2))]
+    return lambda k: [f[at[k] : at[k + 1]] for f in fields]
+
+
 def one_sided(cells: DataFrame, blocks: DataFrame) -> DataFrame:
     """Prices of each source's terms as if other sources lacked them, less the constant; and that constant, from bare rows."""
 
@@ -167,17 +174,15 @@ def overlaps(postings: DataFrame) -> DataFrame:
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = Sums()
         for batch in batches:
-            for r in batch.to_pylist():
-                ia, pa_, a0 = (np.array([x[k] for x in r["a"]], np.int64) for k in ("i", "p", "p0"))
-                ib, pb, b0 = (np.array([x[k] for x in r["b"]], np.int64) for k in ("i", "p", "p0"))
-                base = a0[:, None] - b0[None, :]
-                base = base * base // np.maximum(a0[:, None] + b0[None, :], 1)
-                left, right = pa_[:, None] - b0[None, :], a0[:, None] - pb[None, :]
-                left, right = left * left // (pa_[:, None] + b0[None, :]), right * right // (a0[:, None] + pb[None, :])
-                value = _distances(pa_, pb) - left - right + base
-                if r["x"] == r["y"]:  # within a block a pair is met from either side
+            left, right = _lists(batch["a"]), _lists(batch["b"])
+            where = zip(batch["lang"].to_pylist(), batch["x"].to_pylist(), batch["y"].to_pylist(), strict=True)
+            for k, (lang, x, y) in enumerate(where):
+                (ia, p, p0), (ib, q, q0) = (side(k) for side in (left, right))
+                # both there, less one or the other alone, and neither once more
+                value = _distances(p, q) - _distances(p, q0) - _distances(p0, q) + _distances(p0, q0)
+                if x == y:  # within a block a pair is met from either side
                     value *= ia[:, None] < ib[None, :]
-                yield from sums.add(r["lang"], r["x"], r["y"], ia, ib, value)
+                yield from sums.add(lang, x, y, ia, ib, value)
         yield from sums.flush()
 
     side = lambda block, name: postings.select("lang", "term", F.col("block").alias(block), F.col("entries").alias(name))
