@@ -15,6 +15,7 @@ written down, by the digest of the text, before the next block is sent out, so t
 
 from __future__ import annotations
 
+import heapq
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import reduce
@@ -60,19 +61,23 @@ def tiles(item: np.ndarray, text: np.ndarray, least: int = LEAST, length: int =
     free_item, free_text = np.ones(len(item), bool), np.ones(len(text), bool)
     out, length = [], max(least, min(length, len(item)))
     while True:
-        found = sorted(_matches(item, text, free_item, free_text, length), key=lambda m: (-m[0], m[1], m[2]))
-        if found and found[0][0] > 2 * length:
-            length = found[0][0]
-            continue
-        again = False
-        for n, p, t in found:
-            if free_item[p : p + n].all() and free_text[t : t + n].all():
-                free_item[p : p + n] = free_text[t : t + n] = False
-                out.append((n, p, t))
-            else:
-                again = True  # its free parts may still reach this length
-        if again and any(m[0] >= length for m in _matches(item, text, free_item, free_text, length)):
+        heap = [(-n, p, t) for n, p, t in _matches(item, text, free_item, free_text, length)]
+        heapq.heapify(heap)
+        if heap and -heap[0][0] > 2 * length:
+            length = -heap[0][0]
             continue
+        while heap:
+            n, p, t = heapq.heappop(heap)
+            free = free_item[p : p - n] & free_text[t : t - n]
+            if free.all():
+                free_item[p : p - n] = free_text[t : t - n] = False
+                out.append((-n, p, t))
+                continue
+            # a longer tile covers a part: what is free waits for its turn by its own length
+            edges = np.flatnonzero(np.diff(np.r_[False, free, False]))
+            for start, end in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
+                if end - start >= length:
+                    heapq.heappush(heap, (start - end, p + start, t + start))
         if length == least:
             return out
         length = max(least, length // 2)
@@ -84,19 +89,21 @@ class Items:
     def __init__(self, rows: list[tuple[int, bytes]]):
         self.number: dict[bytes, int] = {}
         self.items: dict[int, np.ndarray] = {}
-        seeds = defaultdict(set)
+        seeds, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
         self.short: dict[int, dict[int, int]] = defaultdict(dict)
         for item_id, text in rows:
-            ids = np.array([self.number.setdefault(w, len(self.number) + 1) for w in words(text)], np.int64)
+            ids = np.array([self.number.setdefault(w, len(self.number) + 1) for w in words(text)], np.int32)
             if len(ids) >= LEAST:
                 self.items[item_id] = ids
-                for h in rolled(ids.astype(np.uint64), LEAST).tolist():
-                    seeds[h].add(item_id)
+                seeds.append(np.unique(rolled(ids.astype(np.uint64), LEAST)))
+                owners.append(np.full(len(seeds[-1]), item_id, np.int64))
             elif len(ids):
                 (h,) = rolled(ids.astype(np.uint64), len(ids)).tolist()
                 self.short[len(ids)][h] = min(item_id, self.short[len(ids)].get(h, item_id))
-        self.seeds = dict(seeds)
-        self.sorted = np.sort(np.fromiter(self.seeds, np.uint64, len(self.seeds)))
+        # seeds in order, each with its items side by side: 16 bytes for a word of the benchmark
+        every, owner = np.concatenate(seeds), np.concatenate(owners)
+        order = np.argsort(every, kind="stable")
+        self.sorted, self.owner = every[order], owner[order]
 
     def best(self, text: bytes | None, coverage_least: float = COVERAGE) -> tuple[float, int, int] | None:
         """Coverage, item and number of tiles of the item that a text covers most (ties: the least id); items that cannot reach ``coverage_least`` are left out."""
@@ -112,11 +119,11 @@ class Items:
         if not len(at):
             return found
         h = rolled(ids.astype(np.uint64), LEAST)[at]
-        near = np.minimum(np.searchsorted(self.sorted, h), len(self.sorted) - 1)
-        hit = self.sorted[near] == h
+        first, last = np.searchsorted(self.sorted, h), np.searchsorted(self.sorted, h, "right")
+        hit = first < last
         shared = defaultdict(list)
-        for p, x in zip(at[hit].tolist(), h[hit].tolist(), strict=True):
-            for item in self.seeds[x]:
+        for p, x, y in zip(at[hit].tolist(), first[hit].tolist(), last[hit].tolist(), strict=True):
+            for item in self.owner[x:y].tolist():
                 shared[item].append(p)
         for item, places in sorted(shared.items()):
             ids_item = self.items[item]
@@ -125,7 +132,7 @@ class Items:
             # only words under seeds can lie under tiles; a break between them keeps runs apart
             under = np.unique(np.add.outer(places, np.arange(LEAST)).ravel())
             breaks = np.nonzero(np.diff(under) > 1)[0] + 1
-            part = np.insert(ids[under], breaks, -np.arange(1, len(breaks) + 1))
+            part = np.insert(ids[under].astype(np.int64), breaks, -np.arange(1, len(breaks) + 1))
             found_tiles = tiles(ids_item, part)
             coverage = sum(n for n, _, _ in found_tiles) / len(ids_item)
             if found is None or (coverage, -item) > (found[0], -found[1]):
