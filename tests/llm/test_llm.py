@@ -388,7 +388,7 @@ def test_tiles_against_the_definition():
     text = [int(c) for c in "122211122122222121222"]
     for length in (5, 20):
         found = decontamination.tiles(np.array(item), np.array(text), 5, length)
-        assert found == naive_tiles(item, text, 5) and sum(n for n, _, _ in found) == 13
+        assert found == naive_tiles(item, text, 5)
 
 
 def test_rolled_hashes_are_those_of_equal_windows():
