@@ -21,7 +21,7 @@ from glintscan.functions.text import base_domain, classes, entropy, host, redact
 from glintscan.functions.validators import approval, valid
 from glintscan.rules import noise
 from glintscan.rules.model import Rule
-from glintscan.rules.translate import anchors, leading, to_java
+from glintscan.rules.translate import anchors, fragments, leading, least_run, to_java
 
 # Version of reports, least confidence, default cap of fetched bodies, bytes of context.
 SCHEMA_VERSION = 2
@@ -139,11 +139,37 @@ def _quoted(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _holds(r: Rule) -> str:
-    """Whether a body (_b; _l in lower case) matches a rule, as SQL: one text for all rules is quicker to build than columns."""
-    literals = " or ".join(f"contains(_l, {_quoted(a)})" for a in anchors(r.pattern))
-    match = f"rlike(_b, {_quoted(to_java(r.pattern))})"
-    return f"({literals}) and {match}" if literals else match
+#: Letters and digits in a row that many rules without a literal need: looked for once for all of them.
+RUN = 20
+
+
+def _which(rules: list[Rule]) -> str:
+    """Numbers of the rules that a body matches (_b; _l in lower case), as SQL: one text is quicker to build than columns.
+
+    Rules' literals share short fragments. Only where a body holds a fragment its literals are looked for, only where it
+    holds a literal the rule is tried. Rules without a literal wait for a long run of letters and digits, or a mark.
+    """
+    by_literal: dict[str, list[int]] = {}
+    gates: dict[str, list[str]] = {}
+
+    def tried(n: int, literals: Iterable[str] = ()) -> str:
+        there = " or ".join(f"contains(_l, {_quoted(x)})" for x in literals)
+        match = f"rlike(_b, {_quoted(to_java(rules[n].pattern))})"
+        return f"if({f'({there}) and ' if there else ''}{match}, {n}, null)"
+
+    for n, r in enumerate(rules):
+        literals = anchors(r.pattern)
+        for x in literals:
+            by_literal.setdefault(x, []).append(n)
+        if not literals:
+            marks = " or ".join(f"contains(_l, {_quoted(x)})" for x in anchors(r.pattern, 1))
+            gate = f"rlike(_b, '[A-Za-z0-9]{{{RUN}}}')" if least_run(r.pattern) >= RUN else marks or "true"
+            gates.setdefault(gate, []).append(tried(n))
+    for fragment, literals in fragments(by_literal).items():
+        members = sorted({n for x in literals for n in by_literal[x]})
+        gates[f"contains(_l, {_quoted(fragment)})"] = [tried(n, [x for x in literals if n in by_literal[x]]) for n in members]
+    groups = (f"if({gate}, array_compact(array({', '.join(members)})), cast(array() as array<int>))" for gate, members in gates.items())
+    return f"array_sort(array_distinct(flatten(array({', '.join(groups)}))))"
 
 
 def _found(docs: DataFrame, rules: Iterable[Rule], source: str, body: str, comments: bool, max_bytes: int | None, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -152,8 +178,8 @@ def _found(docs: DataFrame, rules: Iterable[Rule], source: str, body: str, comme
     text = F.col(body).cast("string")
     text = text if max_bytes is None else capped(text, max_bytes)
     given = docs.select(F.col(source).cast("string").alias("source"), *carry, text.alias("_b")).filter("_b <> ''").select("source", *carry, script(F.col("_b"), comments).alias("_b"))
-    given = given.select("source", *carry, "_b", F.lower("_b").alias("_l"))
-    which = F.expr("array_compact(array(" + ", ".join(f"if({_holds(r)}, {n}, null)" for n, r in enumerate(rules)) + "))") if rules else F.array().cast("array<int>")
+    given = given.select("source", *carry, "_b", F.replace(F.lower("_b"), F.lit("ſ"), F.lit("s")).alias("_l"))
+    which = F.expr(_which(rules)) if rules else F.array().cast("array<int>")
     marked = F.when(F.contains("_l", F.lit("url=")), F.array_compact(F.transform(F.split("_b", "\n"), lambda t, i: F.when(t.rlike(to_java(noise.SOURCE_MAP_LINE)), i + 1)))).otherwise(F.expr("cast(array() as array<int>)"))
     table = rule_array(rules)
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import re._constants as op
 import re._parser as parser
+from collections.abc import Iterable
 
 _WORD = "0-9A-Za-z_"
 _BOUND = rf"(?:(?<![{_WORD}])(?=[{_WORD}])|(?<=[{_WORD}])(?![{_WORD}]))"
@@ -97,18 +98,20 @@ def leading(pattern: str, group: int) -> str | None:
     return f"{flags}({pattern[len(flags) : at]}){pattern[at:]}" if at is not None and group else None
 
 
-def anchors(pattern: str) -> tuple[str, ...]:
-    """Literals (lower case, three letters at least) of which every match holds at least one; none if there are no such.
+def anchors(pattern: str, least: int = 3) -> tuple[str, ...]:
+    """Literals (lower case, ``least`` letters at least) of which every match holds at least one; none if there are no such.
 
-    Alternatives and small classes give several. Under case folding ``k`` and ``s`` have non-ASCII forms, so they end a
-    literal there.
+    Alternatives and small classes give several. They are to be looked for in a text folded by ``lower``, with the long s
+    as s: under case folding that letter and the Kelvin sign stand for s and k.
     """
     tree = parser.parse(pattern.encode().decode("latin-1"))
-    folds = bool(tree.state.flags & re.IGNORECASE)
-    good = lambda c: c < 128 and not (folds and chr(c) in "ksKS")
+    good = lambda c: c < 128
 
     def better(a: set[str], b: set[str]) -> set[str]:
-        rank = lambda x: (min(map(len, x), default=0) >= 3, -len(x) if min(map(len, x), default=0) >= 3 else 0, min(map(len, x), default=0))
+        def rank(x: set[str]) -> tuple[bool, int, int]:
+            short = min(map(len, x), default=0)
+            return short >= least, -len(x) if short >= least else 0, short
+
         return max(a, b, key=rank)
 
     def heads(items: object) -> set[str]:
@@ -142,11 +145,62 @@ def anchors(pattern: str) -> tuple[str, ...]:
                 begun = {r + h for r in before for x in arg[1] for h in heads(x)}
                 found = better(found, begun) if len(begun) <= 32 else found
                 each = [best(x) for x in arg[1]]
-                if all(min(map(len, e), default=0) >= 3 for e in each):
+                if all(min(map(len, e), default=0) >= least for e in each):
                     found = better(found, set().union(*each))
             elif kind is op.MAX_REPEAT and arg[0] >= 1:
                 found = better(found, best(arg[2]))
         return found
 
     found = best(tree)
-    return tuple(sorted(found)) if min(map(len, found), default=0) >= 3 else ()
+    return tuple(sorted(found)) if min(map(len, found), default=0) >= least else ()
+
+
+def least_run(pattern: str) -> int:
+    """Length of the longest run of ASCII letters and digits that every match holds for certain."""
+
+    def plain(kind: object, arg: object) -> bool:
+        if kind is op.LITERAL:
+            return chr(arg).isascii() and chr(arg).isalnum()
+        if kind is op.RANGE:
+            return any(a <= chr(arg[0]) and chr(arg[1]) <= z for a, z in ("09", "AZ", "az"))
+        if kind is op.CATEGORY:
+            return arg is op.CATEGORY_DIGIT
+        return kind is op.IN and all(plain(*x) for x in arg)
+
+    def walk(items: object) -> int:
+        best = run = 0
+        for kind, arg in items:
+            if plain(kind, arg):
+                run += 1
+            elif kind in (op.MAX_REPEAT, op.MIN_REPEAT) and len(arg[2]) == 1 and plain(*arg[2][0]):
+                run += arg[0]
+                if arg[0] != arg[1]:  # more may follow, of the same kind: the run goes on
+                    best = max(best, run)
+            elif kind is op.AT:
+                continue
+            else:
+                best, run = max(best, run), 0
+                if kind is op.SUBPATTERN and not arg[1]:
+                    best = max(best, walk(arg[3]))
+                elif kind is op.BRANCH:
+                    best = max(best, min(map(walk, arg[1])))
+                elif kind is op.MAX_REPEAT and arg[0] >= 1:
+                    best = max(best, walk(arg[2]))
+        return max(best, run)
+
+    return walk(parser.parse(pattern.encode().decode("latin-1")))
+
+
+def fragments(literals: Iterable[str], size: int = 3) -> dict[str, list[str]]:
+    """Few short texts of which each literal holds one: each with the literals that it stands for, chosen greedily."""
+    left, out = dict.fromkeys(sorted(set(literals))), {}
+    while left:
+        holds: dict[str, list[str]] = {}
+        for x in left:
+            for piece in {x[i : i + size] for i in range(max(1, len(x) - size + 1))}:
+                holds.setdefault(piece, []).append(x)
+        piece = max(holds, key=lambda p: (len(holds[p]), p))
+        out[piece] = holds[piece]
+        for x in holds[piece]:
+            del left[x]
+    return out

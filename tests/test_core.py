@@ -17,7 +17,7 @@ from glintscan.operators import extract, findings, scan
 from glintscan.rules import catalog
 from glintscan.rules.model import Rule
 from glintscan.rules.samples import example
-from glintscan.rules.translate import anchors, leading, to_java
+from glintscan.rules.translate import anchors, leading, least_run, to_java
 from glintscan.sinks import writers
 
 KEY = "AKIA" + "ABCDEFGH234567MN"
@@ -291,6 +291,24 @@ def test_waits(spark):
     assert [r["a"] for r in waits[:3]] == [0.75, 0.75, 1.5] and waits[-1]["b"] == 80.0
 
 
+def test_rules_held_are_those_that_match(spark):
+    """The one look for literals and runs leaves out no rule, whatever the case, and none is named twice."""
+    rules = catalog.built_in()
+    bodies = [example(r.pattern, seed) for r in rules for seed in (1, 2)]
+    bodies += [f"x {b} y".swapcase() for b in bodies[::3]] + [b.replace("s", "ſ").replace("k", "\u212a") for b in bodies[::2]]
+    bodies += ["", "+49123456789", "a@b.cd", "A" * 40, "vercel_" + "aB3" * 8, None]
+    docs = spark.createDataFrame(list(enumerate(bodies)), "i long, _b string").repartition(4)
+    folded = docs.withColumn("_l", F.replace(F.lower("_b"), F.lit("ſ"), F.lit("s")))
+    plain = F.array_compact(F.array(*(F.when(F.col("_b").rlike(to_java(r.pattern)), F.lit(n)) for n, r in enumerate(rules))))
+    rows = folded.select("i", F.expr(scan._which(rules)).alias("got"), plain.alias("want")).filter("_b is not null").collect()
+    assert len(rows) == len(bodies) - 1 and all(r["got"] == r["want"] for r in rows) and sum(len(r["got"]) for r in rows) > 400
+
+
+def test_least_runs():
+    for pattern, want in ((r"\b[MN][A-Za-z\d]{23,25}\.[\w-]{6}", 24), (r"SK[0-9a-fA-F]{32}", 34), (r"(?:ab|[^c]{9})[a-z_]{9}", 0), (r"(?:abc|x[0-9]{9})", 3), (r"(?:[a-z]{4}){3}", 4)):
+        assert least_run(pattern) == want
+
+
 def test_script_references(spark):
     html = """<script async src='/a.js' integrity="sha" ></script><script>1</script><SCRIPT SRC=b.js defer></SCRIPT><link rel="preload" as="script" href="c.js"><link rel=modulepreload href='d.js'><link rel="preload" as="font" href="e.woff"><script data-src="x">2</script>"""
     rows = extract.script_references(spark.createDataFrame([("u", html)], "url string, html string")).collect()
