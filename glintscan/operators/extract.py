@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from glintscan.functions.html import attribute, tags
 from glintscan.functions.arrays import each, numbered, running
 from glintscan.functions.text import base_domain, host
 from glintscan.operators.scan import LINK, assess, script, usable
@@ -290,37 +291,33 @@ def csp_origins(docs: DataFrame, source: str = "source", policy: str = "policy")
 
 
 def inline_scripts(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(source, body): scripts inside pages, as ``url#inline[N]``; blank ones are counted but give no row."""
-    pattern = r"(?is)<script(?![^>]*\ssrc\s*=)([^>]*)>(.*?)</script\s*>"
-    rows = numbered(pages, F.regexp_extract_all(html, F.lit(pattern), F.lit(2)), "i", "body", F.col(url).alias("u"))
-    return rows.filter(F.trim("body") != "").select(F.concat("u", F.lit("#inline["), "i", F.lit("]")).alias("source"), "body")
+    """(source, body): scripts inside pages, as ``url#inline[N]``.
 
-
-def _attribute(tag: Column, name: str) -> Column:
-    """Value of an attribute of a tag, in any quotes or none; null without it."""
-    quoted = rf"""(?is)\s{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^"'\s>]+))"""
-    return F.when(tag.rlike(quoted), F.concat(*(F.regexp_extract(tag, quoted, k) for k in (1, 2, 3))))
+    Blank and unfinished ones are counted but give no row; those with an address or that close themselves are not counted.
+    """
+    own = lambda t: (F.coalesce(attribute(t, "src"), F.lit("")) == "") & ~t["closes_itself"]
+    rows = numbered(pages, F.filter(tags(F.col(html), "script"), own), "i", "t", F.col(url).alias("u"))
+    found = rows.filter(F.col("t.ended") & (F.regexp_replace("t.text", r"\A\s+", "") != ""))
+    return found.select(F.concat("u", F.lit("#inline["), "i", F.lit("]")).alias("source"), F.col("t.text").alias("body"))
 
 
 def script_references(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """(source, kind, reference, type, integrity, nonce, is_async, is_defer): external scripts, and preload, prefetch and modulepreload links."""
-    tags = F.regexp_extract_all(html, F.lit(r"""(?is)<(?:script|link)\s(?:[^>"']|"[^"]*"|'[^']*')*>"""), F.lit(0))
-    rows = each(pages, tags, "tag", F.col(url).alias("source"))
-    bare = F.regexp_replace("tag", r"""(?s)=\s*(?:"[^"]*"|'[^']*')""", "= ")
-    rel, is_script = F.lower(F.trim(_attribute(F.col("tag"), "rel"))), F.col("tag").rlike(r"(?i)\A<script")
-    kind = F.when(is_script, "script").when((rel == "modulepreload") | (rel.isin("preload", "prefetch") & (F.lower(_attribute(F.col("tag"), "as")) == "script")), rel)
-    ref = F.coalesce(F.when(is_script, _attribute(F.col("tag"), "src")), F.when(~is_script, _attribute(F.col("tag"), "href")))
-    more = [_attribute(F.col("tag"), n).alias(n) for n in ("type", "integrity", "nonce")]
-    flags = [bare.rlike(rf"(?i)\s{n}[\s=>/]").alias(f"is_{n}") for n in ("async", "defer")]
-    return rows.select("source", kind.alias("kind"), ref.alias("reference"), *more, *flags).filter("kind is not null and reference <> ''")
+    rows = each(pages, tags(F.col(html), "script", "link"), "t", F.col(url).alias("source"))
+    t = F.col("t")
+    is_script, rel = t["name"] == "script", F.lower(attribute(t, "rel"))
+    kind = F.when(is_script, "script").when((rel == "modulepreload") | (rel.isin("preload", "prefetch") & (F.lower(attribute(t, "as")) == "script")), rel)
+    reference = F.when(is_script, attribute(t, "src")).otherwise(attribute(t, "href"))
+    more = [attribute(t, n).alias(n) for n in ("type", "integrity", "nonce")]
+    flags = [attribute(t, n).isNotNull().alias(f"is_{n}") for n in ("async", "defer")]
+    return rows.select("source", kind.alias("kind"), reference.alias("reference"), *more, *flags).filter("kind is not null and reference <> ''")
 
 
 def meta_policies(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """(source, policy): content security policies of pages, as ``url#meta-csp``."""
-    tags = F.filter(F.regexp_extract_all(html, F.lit(r"(?is)<meta\s[^>]*>"), F.lit(0)), lambda t: t.rlike(r"""(?i)http-equiv\s*=\s*["']?content-security-policy["'\s]"""))
-    rows = each(pages, tags, "t", F.col(url).alias("u"))
-    content = F.coalesce(F.nullif(F.regexp_extract("t", r'(?is)content\s*=\s*"([^"]*)"', 1), F.lit("")), F.regexp_extract("t", r"(?is)content\s*=\s*'([^']*)'", 1))
-    return rows.select(F.concat("u", F.lit("#meta-csp")).alias("source"), content.alias("policy")).filter("policy <> ''")
+    named = lambda t: F.lower(F.coalesce(attribute(t, "http-equiv"), F.lit(""))) == "content-security-policy"
+    rows = each(pages, F.filter(tags(F.col(html), "meta"), named), "t", F.col(url).alias("u"))
+    return rows.select(F.concat("u", F.lit("#meta-csp")).alias("source"), attribute(F.col("t"), "content").alias("policy")).filter("policy <> ''")
 
 
 def source_map_members(docs: DataFrame, source: str = "source", body: str = "body") -> DataFrame:

@@ -492,6 +492,34 @@ def _email_sql() -> str:
     return f"SELECT source, value FROM (SELECT 'doc://' || doc_id AS source, unnest(regexp_extract_all(text, {_text(email.pattern)})) AS value FROM documents) WHERE NOT ({starts} OR {ends})"
 
 
+#: A walk over pages ``p`` from mark to mark: over text to the next tag, over its attributes, over what only an end tag ends.
+_SCRIPT_WALK = r"""
+    , w AS (
+        SELECT url, html, lower(html) AS low, 1 AS i, 'text' AS mode, '' AS tag, 1 AS head, 1 AS start, NULL::VARCHAR AS body FROM p
+        UNION ALL
+        SELECT url, html, low,
+               CASE WHEN mode = 'text' THEN
+                        CASE WHEN k = 0 THEN n + 1 WHEN four = '<!--' THEN i + k + 6 + nullif(instr(substr(rest, k + 4), '-->'), 0) - 2
+                             WHEN left(four, 2) IN ('<!', '<?') THEN i + k - 1 + nullif(instr(substr(rest, k), '>'), 0) WHEN name <> '' THEN i + k - 1 + length(name) ELSE i + k END
+                    WHEN mode = 'tag' THEN
+                        CASE WHEN g = 0 THEN n + 1 WHEN e = 0 OR e > g THEN i + g
+                             WHEN left(v, 1) IN ('"', chr(39)) THEN i + e + length(substr(rest, e + 1)) - length(v) + 1 + nullif(instr(substr(v, 2), left(v, 1)), 0) ELSE i + e END
+                    ELSE CASE WHEN r = 0 THEN n + 1 ELSE i + r - 1 END END,
+               CASE WHEN mode = 'text' THEN CASE WHEN k > 0 AND name <> '' THEN 'tag' ELSE 'text' END
+                    WHEN mode = 'tag' THEN CASE WHEN g > 0 AND (e = 0 OR e > g) THEN CASE WHEN tag IN ('script', 'style', 'title', 'textarea', 'iframe', 'noembed', 'noframes', 'xmp') THEN 'raw' ELSE 'text' END ELSE 'tag' END
+                    ELSE 'text' END,
+               CASE WHEN mode = 'text' THEN ltrim(name, '<') ELSE tag END, CASE WHEN mode = 'text' THEN i + k - 1 ELSE head END,
+               CASE WHEN mode = 'tag' THEN i + g ELSE start END,
+               CASE WHEN mode = 'raw' AND r > 0 AND tag = 'script' AND NOT regexp_matches(substr(low, head, start - head), '[\s"'']src\s*=|/>$') THEN substr(html, start, i + r - 1 - start) END
+        FROM (SELECT *, length(html) AS n, substr(html, i) AS rest, instr(substr(html, i), '<') AS k, substr(low, i + instr(substr(html, i), '<') - 1, 4) AS four,
+                     regexp_extract(substr(low, i + instr(substr(html, i), '<') - 1, 40), '^</?[a-z][^\s/>]*') AS name,
+                     instr(substr(html, i), '>') AS g, instr(substr(html, i), '=') AS e, instr(substr(low, i), '</' || tag) AS r,
+                     ltrim(substr(html, i + instr(substr(html, i), '=')), ' ' || chr(9) || chr(10) || chr(12) || chr(13)) AS v
+              FROM w WHERE i <= length(html))),
+    scripts AS (SELECT url || '#inline[' || (row_number() OVER (PARTITION BY url, html ORDER BY i) - 1) || ']' AS source, body FROM w WHERE body IS NOT NULL)
+"""
+
+
 _PLACED = r"""
     , pieces AS (
         SELECT source, id, level, secret_type, unnest(range(1, len(v) + 1)) AS i, unnest(v) AS value, unnest(p[1:len(v)]) AS piece FROM (
@@ -532,9 +560,7 @@ ORACLE_SQL: dict[str, str] = {
         SELECT severity, count(DISTINCT value) AS n, CASE severity WHEN 'high' THEN 4 WHEN 'medium' THEN 3 ELSE 2 END::BIGINT AS rank,
                CASE severity WHEN 'high' THEN 'error' WHEN 'medium' THEN 'warning' ELSE 'note' END AS level FROM hits GROUP BY severity""",
     "csv_rows": _MATCHES + 'SELECT DISTINCT source AS "Source", name AS "Type", value AS "Value" FROM hits',
-    "page_scripts": """
-        SELECT url || '#inline[' || (i - 1) || ']' AS source, s[i] AS body
-        FROM (SELECT url, s, unnest(range(1, len(s) + 1)) AS i FROM (SELECT url, regexp_extract_all(html, '(?is)<script>(.*?)</script\\s*>', 1) AS s FROM pages)) WHERE trim(s[i]) <> ''""",
+    "page_scripts": "WITH RECURSIVE p AS (SELECT url, html FROM pages)" + _SCRIPT_WALK + "SELECT source, body FROM scripts WHERE ltrim(body, ' ' || chr(9) || chr(10) || chr(13)) <> ''",
     "page_domains": r"""
         SELECT regexp_extract(h, '([^.]+\.)?[^.]+$') AS domain, count(*) AS pages, count(DISTINCT h) AS hosts
         FROM (SELECT lower(regexp_extract(url, '^https?://([^/:?#]+)', 1)) AS h FROM pages) GROUP BY 1""",
@@ -579,12 +605,10 @@ ORACLE_SQL: dict[str, str] = {
     "raw_matches": _rules_sql("SELECT text AS body FROM documents WHERE text <> ''"),
     "sampled_rules": _sampled_sql(catalog.built_in()),
     "sampled_extras": _sampled_sql(_extras()),
-    "response_documents": """
-        WITH p AS (SELECT url, html FROM pages WHERE page_id % 4 <> 0 AND html <> '')
+    "response_documents": "WITH RECURSIVE p AS (SELECT url, html FROM pages WHERE page_id % 4 <> 0 AND html <> '')" + _SCRIPT_WALK + """
         SELECT url AS source, sha256(html) AS body_sha256 FROM p
         UNION ALL
-        SELECT url || '#inline[' || (i - 1) || ']', sha256(s[i])
-        FROM (SELECT url, s, unnest(range(1, len(s) + 1)) AS i FROM (SELECT url, regexp_extract_all(html, '(?is)<script>(.*?)</script\\s*>', 1) AS s FROM p)) WHERE trim(s[i]) <> ''""",
+        SELECT source, sha256(body) FROM scripts WHERE ltrim(body, ' ' || chr(9) || chr(10) || chr(13)) <> ''""",
     "email_matches": _email_sql(),
     "stage_statistics": _MATCHES + """
         , short AS (SELECT unnest(regexp_extract_all(body, '[0-9a-f]{10,}')) AS value FROM docs),

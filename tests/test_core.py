@@ -309,6 +309,129 @@ def test_least_runs():
         assert least_run(pattern) == want
 
 
+def walked_scripts(html):
+    """Inline scripts by a plain walk over a page, letter by letter: (number, text)."""
+    white, out, i, number, low = " \n\r\t\f", [], 0, 0, html.lower()
+
+    def tag(i):
+        """Place after the tag whose attributes begin at i (none: unfinished), and its attributes."""
+        found = {}
+        while True:
+            while i < len(html) and html[i] in white + "/":
+                i += 1
+            if i >= len(html):
+                return None, found
+            if html[i] == ">":
+                return i + 1, found
+            start = i
+            while i < len(html) and html[i] not in white + "/>" and (html[i] != "=" or i == start):
+                i += 1
+            key, value, j = low[start:i], "", i
+            while j < len(html) and html[j] in white:
+                j += 1
+            if j < len(html) and html[j] == "=":
+                j += 1
+                while j < len(html) and html[j] in white:
+                    j += 1
+                if j >= len(html):
+                    return None, found
+                if html[j] in "'\"":
+                    end = html.find(html[j], j + 1)
+                    if end < 0:
+                        return None, found
+                    value, i = html[j + 1 : end], end + 1
+                else:
+                    i = j
+                    while i < len(html) and html[i] not in white + ">":
+                        i += 1
+                    value = html[j:i]
+            found[key] = value
+
+    def ends(i, name):
+        return low.startswith(f"</{name}", i) and i + len(name) + 2 < len(html) and html[i + len(name) + 2] in white + "/>"
+
+    while (i := html.find("<", i)) >= 0:
+        nxt = low[i + 1 : i + 2]
+        if low.startswith("<!--", i):
+            if html[i + 4 : i + 5] == ">" or html[i + 4 : i + 6] == "->":
+                i = html.index(">", i) + 1
+                continue
+            at = [x for x in (html.find("-->", i + 4), html.find("--!>", i + 4)) if x >= 0]
+            if not at:
+                break
+            i = html.index(">", min(at)) + 1
+        elif nxt in ("!", "?") or nxt == "/" and not (low[i + 2 : i + 3].isascii() and low[i + 2 : i + 3].isalpha()) and low[i + 2 : i + 3]:
+            i = html.find(">", i) + 1
+            if not i:
+                break
+        elif nxt == "/" and low[i + 2 : i + 3] or nxt.isascii() and nxt.isalpha():
+            start = i + 1 + (nxt == "/")
+            j = start
+            while j < len(html) and html[j] not in white + "/>":
+                j += 1
+            name = low[start:j]
+            i, attributes = tag(j)
+            if i is None:
+                break
+            if nxt == "/":
+                continue
+            if name == "script":
+                k, deep, hidden = i, False, False
+                while k < len(html):
+                    if not hidden and low.startswith("<!--", k):
+                        hidden, k = True, k + 2
+                    elif hidden and low.startswith("-->", k):
+                        hidden, deep, k = False, False, k + 3
+                    elif hidden and not deep and low.startswith("<script", k) and html[k + 7 : k + 8] and html[k + 7] in white + "/>":
+                        deep, k = True, k + 7
+                    elif deep and ends(k, name):
+                        deep, k = False, k + 8
+                    elif ends(k, name):
+                        break
+                    else:
+                        k += 1
+                after = tag(k + 8)[0] if k < len(html) else None
+                if not attributes.get("src") and html[i - 2] != "/":
+                    if after and html[i:k].strip():
+                        out.append((number, html[i:k].replace("\r\n", "\n").replace("\r", "\n")))
+                    number += 1
+                if not after:
+                    break
+                i = after
+            elif name in ("iframe", "noembed", "noframes", "style", "textarea", "title", "xmp", "plaintext"):
+                while i < len(html) and (name == "plaintext" or not ends(i, name)):
+                    i += 1
+        else:
+            i += 1
+    return out
+
+
+HTML = (
+    """<!-- <script>var old=1</script> --><script data-x="a>b">var n=2</script><textarea><script>t()</script></textarea><title></title><script>z</script>""",
+    "<script src=a.js></script><script/>gone()</script><script src='' >a<b</script ><SCRIPT\n>c</ScRiPt x='>'>d", "<script>open('</scriptx>')", "<script>x</script", "<p a='<script>1</script>'>",
+    "<script><!-- <script>a</script> b --> c</script>d<script>e<!--f</script>", "<!--><script>1</script><!---><script>2</script><!-- a --!><script>3</script>", "<a b=\"<script>1</script>", "a < b <3 <script>q\r\nr</script>",
+    "<plaintext><script>1</script>", "<style><script>1</script></style><script> \n</script><script>k</script>", "<?x <script>1</script>", "</ <script>1</script><script>2</script>", "<script x/>1</script>", "", "<",
+)
+
+
+def test_inline_scripts_against_a_walk(spark):
+    rng = random.Random(5)
+    parts = ["<script>", "</script>", "<script src=a>", "<script a='>' b=\"'\">", "<!--", "-->", "--!>", "<title>", "</title>", "<textarea x>", "</textarea >", "<p a=b>", "</p>", "'", '"', ">", "<", "x", " ", "=", "<script/>", "<!x>", "</SCRIPT\n>", "\r\n"]
+    pages = [*HTML, *("".join(rng.choice(parts) for _ in range(rng.randrange(1, 16))) for _ in range(3000)), "<script>" + "a<b;<!--x-->'" * 40000 + "</script>" + "<i a=b c='d'>" * 20000]
+    rows = spark.createDataFrame([(f"{i}:", p) for i, p in enumerate(pages)] + [("n:", None)], "url string, html string").repartition(4)
+    got = {(r["source"], r["body"]) for r in extract.inline_scripts(rows).collect()}
+    want = {(f"{i}:#inline[{n}]", body) for i, p in enumerate(pages) for n, body in walked_scripts(p)}
+    assert {p for p in (got ^ want)} == set()
+    assert ("0:#inline[0]", "var n=2") in got and ("0:#inline[1]", "z") in got
+
+
+def test_attributes(spark):
+    html = """<meta http-equiv='Content-Security-Policy' content="default-src 'self'; script-src a.com?x&amp;y"><!-- <meta http-equiv=content-security-policy content=b> --><link rel=MODULEPRELOAD href=&#x2f;d&#46;js><script SRC="x>y" src=last async></script>"""
+    pages = spark.createDataFrame([("u", html)], "url string, html string")
+    assert [r["policy"] for r in extract.meta_policies(pages).collect()] == ["default-src 'self'; script-src a.com?x&y"]
+    assert [(r["kind"], r["reference"], r["is_async"]) for r in extract.script_references(pages).collect()] == [("modulepreload", "/d.js", False), ("script", "last", True)]
+
+
 def test_script_references(spark):
     html = """<script async src='/a.js' integrity="sha" ></script><script>1</script><SCRIPT SRC=b.js defer></SCRIPT><link rel="preload" as="script" href="c.js"><link rel=modulepreload href='d.js'><link rel="preload" as="font" href="e.woff"><script data-src="x">2</script>"""
     rows = extract.script_references(spark.createDataFrame([("u", html)], "url string, html string")).collect()
