@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+import re
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,24 +47,110 @@ def ignore_entries(spark: SparkSession, path: str) -> list[str]:
     return [r["value"] for r in spark.read.text(path).collect()]
 
 
+#: Lengths of literal beginnings by which globs are looked up.
+_BEGINNINGS = (32, 16, 8, 4, 2, 1, 0)
+
+
+def ignore_table(lines: DataFrame, column: str = "value") -> DataFrame:
+    """An ignore list of any length as a table, from its lines: (kind, rule, pattern, length, begins).
+
+    ``pattern`` is a value hash, or the pattern of a glob over sources or values; ``rule`` that of a glob over rules.
+    ``begins`` is how what the glob matches must begin, cut to ``length``. Malformed globs match nothing.
+    """
+
+    @F.arrow_udf("struct<pattern:string,length:int,begins:string>")
+    def compiled(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for globs in batches:
+            out = []
+            for g in globs.to_pylist():
+                literal = re.match(r"[^*?\\[]*", g or "")[0]
+                length = next(n for n in _BEGINNINGS if n <= len(literal))
+                out.append({"pattern": None if g is None else glob_regex(g), "length": length, "begins": literal[:length]})
+            yield pa.array(out, pa.struct([("pattern", pa.string()), ("length", pa.int32()), ("begins", pa.string())]))
+
+    line = F.trim(F.col(column))
+    kind, rest = F.substring_index(line, ":", 1), F.substr(line, F.instr(line, F.lit(":")) + 1)
+    wrong = F.raise_error(F.concat(F.lit("no ignore entry: "), line)).cast("string")
+    good = (kind.isin("hash", "rule", "source") & (rest != "") | ((kind == "rule_value") & rest.contains(":"))) & line.contains(":")
+    rows = lines.filter((line != "") & ~line.startswith("#")).select(F.when(good, kind).otherwise(wrong).alias("kind"), rest.alias("rest"))
+    both = F.col("kind") == "rule_value"
+    rule = F.when(both, F.substring_index("rest", ":", 1)).when(F.col("kind") == "rule", F.col("rest"))
+    glob = F.when(both, F.substr("rest", F.instr("rest", F.lit(":")) + 1)).when(F.col("kind") == "source", F.col("rest"))
+    told = rows.select("kind", "rest", compiled(rule).alias("r"), compiled(glob).alias("g"))
+    pattern = F.when(F.col("kind") == "hash", F.col("rest")).otherwise(F.col("g.pattern"))
+    return told.select("kind", F.col("r.pattern").alias("rule"), pattern.alias("pattern"), F.col("g.length").alias("length"), F.col("g.begins").alias("begins"))
+
+
+def unignored(rows: DataFrame, entries: DataFrame, rules: Iterable[Rule]) -> DataFrame:
+    """The rows (id, source, value, value_hash) that no entry of an ``ignore_table`` names.
+
+    Hashes are an equi join. Globs over rules are tried on the rules, which are few. Other globs are looked up by their
+    literal beginnings, and only what begins like one is held against its pattern.
+    """
+    ids = rows.sparkSession.createDataFrame([(r.id,) for r in rules], "id string")
+    of = lambda kind: entries.filter(F.col("kind") == kind)
+    begins = F.explode(F.array(*map(F.lit, _BEGINNINGS))).alias("length")
+
+    def named(kind: str, text: str, *more: str) -> DataFrame:
+        """What globs of a kind match among the distinct texts, of the same rule where that is given."""
+        known = of(kind).filter("pattern is not null")
+        if more:
+            matching = known.select("rule").distinct().join(F.broadcast(ids), F.rlike(F.col("id"), F.col("rule")))
+            known = known.join(matching, "rule")
+        texts = rows.select(text, *more).distinct().select(text, *more, begins).withColumn("begins", F.left(text, F.col("length")))
+        texts = texts.filter(F.length(text) >= F.col("length"))
+        return texts.join(known, [*more, "length", "begins"]).filter(F.rlike(F.col(text), F.col("pattern"))).select(text, *more).distinct()
+
+    left = rows.join(of("hash").select(F.col("pattern").alias("value_hash")).distinct(), "value_hash", "left_anti")
+    ruled = of("rule").select("rule").distinct().join(F.broadcast(ids), F.rlike(F.col("id"), F.col("rule"))).select("id").distinct()
+    left = left.join(F.broadcast(ruled), "id", "left_anti")
+    left = left.join(named("source", "source"), "source", "left_anti")
+    return left.join(named("rule_value", "value", "id"), ["value", "id"], "left_anti").select(*rows.columns)
+
+
 KEY = ("value_hash", "secret_type")
 
 
-def merged(kept: DataFrame) -> DataFrame:
-    """One finding for each (value, secret type): the first match names it, the most confident one gives the reasons.
+def partial(kept: DataFrame) -> DataFrame:
+    """One row for each (value, secret type) of some matches, from which ``folded`` makes findings together with others.
 
-    First means by source, rule and offset. Places are only counted, so that a value that very many documents hold
-    is merged before the shuffle; ``places`` and ``with_locations`` give them.
+    The first match, by source, rule and offset, names a finding; the most confident one gives the reasons. Places are only
+    counted, so that a value that very many documents hold is merged before the shuffle; ``places`` gives them.
     """
-    order = F.struct("source", "n", "start")
-    first = lambda c: F.min_by(c, order).alias(c)
-    best = F.max_by("reasons", F.struct("confidence", -F.col("n"), -F.col("start"))).alias("reasons")
+    at = F.struct("source", "n", "start")
+    named = F.struct(F.col("id").alias("rule_id"), "name", "provider", "severity", "value", "redacted", "source", "line", "column", "entropy")
+    sure = F.struct("confidence", (-F.col("n")).alias("n"), (-F.col("start")).alias("start"), F.col("source"))
     return kept.groupBy(*KEY).agg(
-        F.lit(SCHEMA_VERSION).alias("schema_version"), first("id").alias("rule_id"), first("name"), first("provider"), first("severity"), first("value"), first("redacted"),
-        first("source"), first("line"), first("column"), F.max("confidence").alias("confidence"), first("entropy"), F.lit(False).alias("verified"), best, F.count("*").alias("places"),
+        F.min(at).alias("first_at"), F.min_by(named, at).alias("first"), F.max(sure).alias("best_at"), F.max_by("reasons", sure).alias("reasons"),
+        F.lit(False).alias("verified"), F.count("*").alias("places"),
+    )
+
+
+def refolded(partials: DataFrame) -> DataFrame:
+    """Partial rows of several sets of matches as those of their union; the order of the sets does not matter."""
+    return partials.groupBy(*KEY).agg(
+        F.min("first_at").alias("first_at"), F.min_by("first", "first_at").alias("first"), F.max("best_at").alias("best_at"), F.max_by("reasons", "best_at").alias("reasons"),
+        F.max("verified").alias("verified"), F.sum("places").alias("places"),
+    )
+
+
+def _finding(partials: DataFrame) -> DataFrame:
+    first = [F.col(f"first.{c}").alias(c) for c in ("rule_id", "name", "provider", "severity", "value", "redacted", "source", "line", "column")]
+    return partials.select(
+        *KEY, F.lit(SCHEMA_VERSION).alias("schema_version"), *first, F.col("best_at.confidence").alias("confidence"), F.col("first.entropy").alias("entropy"), "verified", "reasons", "places",
     )
 
 
+def merged(kept: DataFrame) -> DataFrame:
+    """One finding for each (value, secret type)."""
+    return _finding(partial(kept))
+
+
+def folded(partials: DataFrame) -> DataFrame:
+    """The findings of several sets of matches, from their ``partial`` rows."""
+    return _finding(refolded(partials))
+
+
 def places(kept: DataFrame) -> DataFrame:
     """Where each value was found, a row a place."""
     return kept.select(*KEY, "source", "n", "start", "line", "column")
@@ -79,9 +167,14 @@ def ordered(findings: DataFrame) -> DataFrame:
     return findings.orderBy(severity_rank(F.col("severity")).desc(), F.col("confidence").desc(), "name", "value_hash")
 
 
-def strict_matches(docs: DataFrame, rules: Iterable[Rule], ignore: Iterable[str] = (), known: DataFrame | None = None, min_confidence: float = MIN_CONFIDENCE, **options: object) -> DataFrame:
-    """Kept matches of the non-legacy rules in ``docs`` (source, body); ``known`` has the value_hash of earlier ones."""
-    rows = identified(scored(matches(docs, [r for r in rules if r.kind != "legacy"], **options), min_confidence)).filter("drop_reason is null").filter(~ignored(ignore))
+def strict_matches(docs: DataFrame, rules: Iterable[Rule], ignore: Iterable[str] | DataFrame = (), known: DataFrame | None = None, min_confidence: float = MIN_CONFIDENCE, **options: object) -> DataFrame:
+    """Kept matches of the non-legacy rules in ``docs`` (source, body); ``known`` has the value_hash of earlier ones.
+
+    ``ignore`` are the lines of a short list, or the ``ignore_table`` of one of any length.
+    """
+    rules = [r for r in rules if r.kind != "legacy"]
+    rows = identified(scored(matches(docs, rules, **options), min_confidence)).filter("drop_reason is null")
+    rows = unignored(rows, ignore, rules) if isinstance(ignore, DataFrame) else rows.filter(~ignored(ignore))
     return rows if known is None else rows.join(known.select("value_hash").distinct(), "value_hash", "left_anti")
 
 

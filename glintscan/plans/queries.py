@@ -9,12 +9,14 @@ from pyspark.sql import functions as F
 
 from glintscan.functions import text as fn
 from glintscan.operators import extract, findings, scan
+from glintscan.operators.ledger import Ledger
 from glintscan.plans import runs
 from glintscan.rules import catalog, noise, samples
 from glintscan.rules.model import Rule
+from glintscan.rules.translate import to_java
 from glintscan.sinks import writers
-from glintscan.sources import readers
-from glintscan.sources.shared import written
+from glintscan.sources import cache, readers
+from glintscan.sources.shared import folder, written
 from glintscan.streaming import streams
 
 #: A pack for the secrets, addresses and hosts that the tables hold.
@@ -102,6 +104,43 @@ def ignore_and_diff(s: SparkSession, d: str) -> DataFrame:
     return findings.find(documents(s, d), PACK, ignore=["rule:doc.ip*", "# kept short"], known=known, comments=True).select("value_hash", "rule_id")
 
 
+def ledger_findings(s: SparkSession, d: str) -> DataFrame:
+    """The findings of all documents, written in four batches out of order, one of them twice, and compacted on the way."""
+    ledger, docs = Ledger(s, folder(s, "ledger")), documents(s, d)
+    part = F.pmod(F.xxhash64("source"), F.lit(4))
+    for step, batch in enumerate((2, 0, 2, 3, 1)):
+        ledger.write(findings.strict_matches(docs.filter(part == batch), PACK, comments=True), batch)
+        if step == 2:
+            ledger.compact()
+    return ledger.findings().select("value_hash", "secret_type", "rule_id", "places")
+
+
+def ignored_by_table(s: SparkSession, d: str) -> DataFrame:
+    """Findings that an ignore list leaves, which names many values and sources one by one, and some by pattern."""
+    docs, mail = table(s, d, "documents"), PACK[2].pattern
+    seen = F.regexp_extract("text", to_java(mail), 0)
+    lines = docs.filter((F.col("lang") == "de") & (seen != "")).select(F.concat(F.lit("hash:"), fn.value_hash(seen)).alias("value"))
+    lines = lines.union(docs.filter("source in ('src1', 'src0')").select(F.concat(F.lit("source:doc://"), F.col("doc_id").cast("string"))))
+    lines = lines.union(s.createDataFrame([("rule_value:doc.e*:*@*.org",), ("# kept: rule:doc.token",), ("rule:doc.ip*",), ("source:doc://1*7",)], "value string"))
+    return findings.find(documents(s, d), PACK, ignore=findings.ignore_table(lines), comments=True).select("value_hash", "rule_id")
+
+
+def cache_rounds(s: SparkSession, d: str) -> DataFrame:
+    """Three rounds of pages through the cache: what each serves, as digests; unchanged pages come from the cache while it has them."""
+    pages = table(s, d, "pages").select("page_id", "url", "html")
+    cached, out = s.createDataFrame([], cache.SCHEMA), []
+    for n in range(3):
+        i = F.pmod(F.col("page_id") + n, F.lit(5))
+        status = F.when(i.isin(0, 4) & F.lit(n > 0), 304).when(i == 1, 500).otherwise(200)
+        head = F.create_map(F.lit("ETag"), F.concat(F.lit(f"v{n}-"), F.col("page_id").cast("string")), F.lit("Set-cookie"), F.when(i == 2, "a=b").otherwise(""))
+        body = F.when(status == 304, F.lit("")).otherwise(F.concat(F.lit(f"{n}"), F.coalesce("html", F.lit(""))))
+        at = F.to_timestamp(F.lit(f"2024-01-0{n + 1} 00:00:00"))
+        round_ = pages.select("url", status.alias("status"), head.alias("headers"), body.alias("body"), at.alias("fetched_at"))
+        out.append(cache.served(round_, cached).select(F.lit(n).alias("round"), "url", F.sha2("body", 256).alias("body_sha256"), "from_cache"))
+        cached = written(cache.refreshed(cached, round_, at, "12 hours"), "cache")
+    return out[0].union(out[1]).union(out[2])
+
+
 def stage_statistics(s: SparkSession, d: str) -> DataFrame:
     rules = [*PACK, Rule("doc.short", "Short hex", "Documents", "hex", "low", r"[0-9a-f]{10,}", min_len=40, max_len=40, prior=0.4, kind="external")]
     return findings.statistics(scan.scored(scan.matches(documents(s, d), rules, comments=True)))
@@ -436,6 +475,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         template_addresses, object_addresses, parameter_addresses, resolved_addresses, rule_listing, console_lines, token_locations, pack_matches, value_functions, findings_by_value, key_scan, key_dedupe, registry_vs_legacy, ignore_and_diff, stage_statistics, verify_fold, rule_selection,
         severity_order, sarif_places, ndjson_lines, csv_rows, email_matches, legacy_scan, page_scripts, page_domains, page_links, endpoints, parameter_names, parameter_groups,
         links_same_domain, query_addresses, option_addresses, csp_origins, robots_rules, source_map_members, har_entries, comments_stripped, conversation_scan, host_failures, breaker_states,
+        ledger_findings, ignored_by_table, cache_rounds,
     )
 }
 
@@ -543,6 +583,21 @@ ORACLE_SQL: dict[str, str] = {
                sha256(value)[:16] AS value_hash
         FROM c GROUP BY value""",
     "findings_by_value": _MATCHES + "SELECT sha256(value)[:16] AS value_hash, secret_type, min(id) AS rule_id, count(*) AS places FROM hits GROUP BY value, secret_type",
+    "ledger_findings": _MATCHES + "SELECT sha256(value)[:16] AS value_hash, secret_type, min(id) AS rule_id, count(*) AS places FROM hits GROUP BY value, secret_type",
+    "ignored_by_table": _MATCHES + r"""
+        SELECT DISTINCT sha256(value)[:16] AS value_hash, id AS rule_id FROM hits
+        WHERE id <> 'doc.ipv4' AND NOT (id = 'doc.email' AND regexp_full_match(value, '[^/]*@[^/]*\.org')) AND NOT regexp_full_match(source, 'doc://1[^/]*7')
+          AND source NOT IN (SELECT 'doc://' || doc_id FROM documents WHERE source IN ('src0', 'src1'))
+          AND value NOT IN (SELECT regexp_extract(text, '[A-Za-z0-9._-]+@[A-Za-z0-9-]+\.[A-Za-z0-9.]+') FROM documents WHERE lang = 'de')""",
+    "cache_rounds": """
+        WITH r AS (SELECT n AS round, page_id, url, coalesce(html, '') AS html, (page_id + n) % 5 AS i,
+                          CASE WHEN n > 0 AND (page_id + n) % 5 IN (0, 4) THEN 304 WHEN (page_id + n) % 5 = 1 THEN 500 ELSE 200 END AS status
+                   FROM pages, (SELECT unnest([0, 1, 2]) AS n)),
+        kept AS (SELECT *, status = 200 AND i <> 2 AS stored FROM r),
+        old AS (SELECT r.*, CASE WHEN a.stored THEN r.round - 1 WHEN r.round = 2 AND a.status = 304 AND b.stored THEN 0 END AS version
+                FROM r LEFT JOIN kept a ON a.page_id = r.page_id AND a.round = r.round - 1 LEFT JOIN kept b ON b.page_id = r.page_id AND b.round = r.round - 2)
+        SELECT round::INTEGER AS round, url, sha256(CASE WHEN status = 200 THEN round ELSE version END || html) AS body_sha256, status = 304 AS from_cache
+        FROM old WHERE status = 200 OR status = 304 AND version IS NOT NULL""",
     "key_scan": f"SELECT source, k AS value, 3 AS line, 12 AS \"column\", c AS confidence FROM {_DERIVED}",
     "key_dedupe": f"SELECT sha256(k)[:16] AS value_hash, min(source) AS source, count(*) AS places, max(c) AS confidence FROM {_DERIVED} GROUP BY k",
     "run_counters": f"""

@@ -3,6 +3,7 @@ import json
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -14,11 +15,13 @@ from pyspark.sql import functions as F
 from glintscan.functions import text as fn
 from glintscan.functions import validators
 from glintscan.operators import extract, findings, scan
+from glintscan.operators.ledger import Ledger
 from glintscan.rules import catalog
 from glintscan.rules.model import Rule
 from glintscan.rules.samples import example
 from glintscan.rules.translate import anchors, leading, least_run, to_java
 from glintscan.sinks import writers
+from glintscan.sources import cache
 
 KEY = "AKIA" + "ABCDEFGH234567MN"
 
@@ -432,6 +435,72 @@ def test_attributes(spark):
     assert [(r["kind"], r["reference"], r["is_async"]) for r in extract.script_references(pages).collect()] == [("modulepreload", "/d.js", False), ("script", "last", True)]
 
 
+def test_ledger_is_what_one_batch_gives(spark, tmp_path):
+    rng = random.Random(8)
+    pool = [f"token {'ab'[k % 2]}{k:03d}" for k in range(12)]
+    rule = Rule("x.token", "X", "X", "token", "high", r"token ([ab][0-9]{3})", group=1, prior=0.9, kind="external")
+    rows = [(f"s{i}", " ; ".join(rng.choices(pool, k=rng.randrange(4)))) for i in range(60)] + [("s1", pool[0]), ("e", ""), ("n", None)]
+    every = docs(spark, *rows)
+    want = sorted(map(str, findings.find(every, [rule]).collect()))
+    for order, compact in (((0, 1, 2), ()), ((2, 1, 1, 0, 2), (1, 3)), ((1, 0, 2, 0), (0, 1, 2, 3))):
+        ledger = Ledger(spark, str(tmp_path / f"ledger{order}"))
+        with pytest.raises(ValueError):
+            ledger.findings()
+        ledger.compact()
+        for step, batch in enumerate(order):
+            ledger.write(findings.strict_matches(docs(spark, *rows[batch::3]), [rule]), batch)
+            if step in compact:
+                ledger.compact()
+        assert sorted(map(str, ledger.findings().collect())) == want
+        assert ledger.places().count() == sum(r["places"] for r in ledger.findings().collect())
+    # as the sink of a stream, whose batches come again
+    for k in range(3):
+        docs(spark, *rows[k::3]).coalesce(1).write.parquet(str(tmp_path / "in" / f"f{k}"))
+    ledger = Ledger(spark, str(tmp_path / "stream"))
+    for _ in range(2):
+        stream = spark.readStream.schema("source string, body string").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*"))
+        stream.writeStream.foreachBatch(ledger.sink([rule])).option("checkpointLocation", str(tmp_path / f"c{_}")).trigger(availableNow=True).start().awaitTermination()
+    assert sorted(map(str, ledger.findings().collect())) == want
+
+
+def test_cache(spark):
+    schema = "url string, status int, headers map<string,string>, body string, fetched_at timestamp"
+    rounds = spark.createDataFrame([
+        (1, "a", 200, {"ETAG": "1"}, "A", "2024-01-01"), (1, "b", 200, {"Set-Cookie": "x"}, "B", "2024-01-01"), (1, "c", 200, {}, "", "2024-01-01"), (1, "d", 404, {}, "D", "2024-01-01"),
+        (1, "e", 200, {"Last-Modified": "then"}, "E", "2024-01-01"), (1, "e", 200, {"etag": "2"}, "E2", "2024-01-02"), (1, None, 200, {}, "N", "2024-01-01"), (1, "f", 200, None, "F", "2024-01-01"),
+        (2, "a", 304, {}, None, "2024-01-05"), (2, "b", 304, {}, None, "2024-01-05"), (2, "e", 200, {}, "E3", "2024-01-05"), (2, "z", 200, {}, "Z", "2024-01-05"),
+    ], "n int, url string, status int, headers map<string,string>, body string, day string").withColumn("fetched_at", F.to_timestamp("day"))
+    one, two = (rounds.filter(F.col("n") == n).select(*(f.split()[0] for f in schema.replace("map<string,string>", "map").split(", "))) for n in (1, 2))
+    first = cache.refreshed(spark.createDataFrame([], cache.SCHEMA), one)
+    assert {(r["url"], r["body"]) for r in first.collect()} == {("a", "A"), ("e", "E2"), (None, "N"), ("f", "F")}
+    asked = {tuple(r) for r in cache.conditions(spark.createDataFrame([("a",), ("e",), ("q",)], "url string"), first).collect()}
+    assert asked == {("a", "1", None), ("e", "2", None), ("q", None, None)}
+    assert {tuple(r) for r in cache.served(two, first).collect()} == {("a", "A", True), ("e", "E3", False), ("z", "Z", False)}
+    later = cache.refreshed(first, two, F.to_timestamp(F.lit("2024-01-06")), "2 days")
+    assert {(r["url"], r["body"]) for r in later.collect()} == {("a", "A"), ("e", "E3"), ("z", "Z")}
+    assert cache.refreshed(first, two).count() == 5
+
+
+def test_ignore_tables_are_the_lists_of_conditions(spark):
+    rng = random.Random(9)
+    rules = [Rule(f"p{k % 3}.r{k}", "n", "p", "t", "low", "x") for k in range(9)]
+    word = lambda n: "".join(rng.choice("ab/.") for _ in range(n))
+    glob = lambda: "".join(rng.choice(["a", "b", "/", ".", "*", "?", "[ab]", "[", "\\a", "a" * 9]) for _ in range(rng.randrange(1, 6)))
+    rows = [(rng.choice(rules).id, word(rng.randrange(0, 9)) + "a" * rng.choice([0, 0, 30]), word(rng.randrange(0, 6)), f"h{rng.randrange(30)}") for _ in range(400)] + [("p0.r0", None, None, None)]
+    found = spark.createDataFrame(rows, "id string, source string, value string, value_hash string")
+    lines = ["", "# x", "hash:h3", " hash:h4 ", "hash:none", "rule:p1.*5", "rule:[", "source:" + "a" * 33] + [f"source:{glob()}" for _ in range(15)] + [f"rule_value:{r}:{glob()}" for r in ("p*", "*", "p0.r3", "[", "p?.r[12]") for _ in range(6)]
+    for use in (lines, lines[:1], lines[5:6]):
+        table = findings.ignore_table(spark.createDataFrame([(x,) for x in use], "value string"))
+        got = Counter(map(tuple, findings.unignored(found, table, rules).collect()))
+        assert got == Counter(map(tuple, found.filter(~F.coalesce(findings.ignored(use), F.lit(False))).collect()))
+    with pytest.raises(Exception, match="no ignore entry"):
+        findings.ignore_table(spark.createDataFrame([("nonsense",)], "value string")).collect()
+    began = time.time()
+    many = findings.ignore_table(spark.range(100_000).select(F.concat(F.lit("source:https://h"), F.col("id").cast("string"), F.lit("/*.js")).alias("value")))
+    findings.unignored(found, many, rules)._jdf.queryExecution().executedPlan()
+    assert time.time() - began < 5 and findings.unignored(found, many, rules).count() == len(rows)
+
+
 def test_script_references(spark):
     html = """<script async src='/a.js' integrity="sha" ></script><script>1</script><SCRIPT SRC=b.js defer></SCRIPT><link rel="preload" as="script" href="c.js"><link rel=modulepreload href='d.js'><link rel="preload" as="font" href="e.woff"><script data-src="x">2</script>"""
     rows = extract.script_references(spark.createDataFrame([("u", html)], "url string, html string")).collect()
