@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from glintscan.llm import decontamination, ngram_join, quality_rules, secrets, word_bpe
-from glintscan.llm.common import scratch
+from glintscan.llm.common import cut, drop
 from glintscan.llm.queries import table, vocabulary
 
 
@@ -53,10 +53,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on ``documents``, each one's result written to the shared folder."""
+    """All stages on ``documents``, each one's result written to the shared folder; what the next has read goes."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        path = scratch(spark, f"stage-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+    for _, stage in STAGES:
+        done, docs = docs, cut(stage(spark, docs, sf_dir), "stage")
+        drop(done)
     return docs
