@@ -6,7 +6,7 @@ import re
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from glintscan.functions.text import severity_rank
@@ -167,6 +167,33 @@ def ordered(findings: DataFrame) -> DataFrame:
     return findings.orderBy(severity_rank(F.col("severity")).desc(), F.col("confidence").desc(), "name", "value_hash")
 
 
+#: Bits of the bitmap for each known value, and bytes up to which it is sent to all tasks.
+BITS, BITMAP_BYTES = 16, 64 << 20
+_PAGE = 1 << 15
+
+
+def unknown(rows: DataFrame, known: DataFrame, most: int = BITMAP_BYTES) -> DataFrame:
+    """The rows whose ``value_hash`` is not among those of ``known``.
+
+    Known hashes are folded into a bitmap by aggregation and sent out once. Rows whose bit is not set are new for
+    certain and never exchanged; only the others go to the exact anti join. Where the bitmap would be larger than
+    ``most`` bytes, all rows do.
+    """
+    mine = known.select("value_hash").filter("value_hash is not null").distinct()
+    bits = BITS * max(1, mine.count())
+    if bits > 8 * most:
+        return rows.join(mine, "value_hash", "left_anti").select(*rows.columns)
+    place = lambda: F.pmod(F.xxhash64("value_hash"), F.lit(bits)) + 1
+    pages = mine.select(F.bitmap_bucket_number(place()).alias("_page"), F.bitmap_bit_position(place()).alias("_bit"))
+    pages = pages.groupBy("_page").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
+    bit = F.bitmap_bit_position(place())
+    byte = F.conv(F.hex(F.substring(F.col("_bits"), (bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    told = rows.withColumn("_page", F.bitmap_bucket_number(place())).join(F.broadcast(pages), "_page", "left")
+    told = told.withColumn("_maybe", F.coalesce(F.getbit(byte, (bit % 8).cast("int")) == 1, F.lit(False))).drop("_page", "_bits")
+    new = told.filter(~F.col("_maybe")).select(*rows.columns)
+    return new.union(told.filter("_maybe").join(mine, "value_hash", "left_anti").select(*rows.columns))
+
+
 def strict_matches(docs: DataFrame, rules: Iterable[Rule], ignore: Iterable[str] | DataFrame = (), known: DataFrame | None = None, min_confidence: float = MIN_CONFIDENCE, **options: object) -> DataFrame:
     """Kept matches of the non-legacy rules in ``docs`` (source, body); ``known`` has the value_hash of earlier ones.
 
@@ -175,7 +202,7 @@ def strict_matches(docs: DataFrame, rules: Iterable[Rule], ignore: Iterable[str]
     rules = [r for r in rules if r.kind != "legacy"]
     rows = identified(scored(matches(docs, rules, **options), min_confidence)).filter("drop_reason is null")
     rows = unignored(rows, ignore, rules) if isinstance(ignore, DataFrame) else rows.filter(~ignored(ignore))
-    return rows if known is None else rows.join(known.select("value_hash").distinct(), "value_hash", "left_anti")
+    return rows if known is None else unknown(rows, known)
 
 
 def find(docs: DataFrame, rules: Iterable[Rule], ignore: Iterable[str] = (), known: DataFrame | None = None, **options: object) -> DataFrame:
@@ -187,7 +214,7 @@ def all_matches(docs: DataFrame, rules: Iterable[Rule], ignore: Iterable[str] =
     """Kept matches of all rules, legacy ones after their filters; lists of ignored and of known values hold for both."""
     entries = list(ignore)
     rows = identified(assess(docs, rules, ignore=(lambda get: ignored(entries, get)) if entries else None, **options).filter("drop_reason is null"))
-    return rows if known is None else rows.join(known.select("value_hash").distinct(), "value_hash", "left_anti")
+    return rows if known is None else unknown(rows, known)
 
 
 def statistics(rows: DataFrame) -> DataFrame:
@@ -195,18 +222,32 @@ def statistics(rows: DataFrame) -> DataFrame:
     return rows.groupBy(F.coalesce("drop_reason", F.lit("kept")).alias("outcome")).agg(F.count("*").alias("matches"))
 
 
-def counters(rows: DataFrame) -> DataFrame:
-    """The counters of a run, one row: matches by kind and fate (``rows`` are all matches, kept and dropped)."""
+def _counted() -> list[Column]:
+    """Matches by kind and fate."""
     n = lambda condition, name: F.count_if(condition).alias(name)
     legacy, out = F.col("kind") == "legacy", F.col("drop_reason")
     past = ("scope", "foreign_address", "encoded_media", "link", "unwanted_email", "covered")
     fixture = F.array_contains("reasons", "surrounded by fixture/example wording") | F.array_contains("reasons", "context looks like a fixture/example")
     scored_at_all = out.isNull() | out.isin("low_confidence", "ignored", "cross_domain", "pattern", "not_internal")
-    return rows.agg(
+    return [
         n(~legacy & out.isNull(), "registry_hits"), n(legacy & F.col("filtered") & (out.isNull() | ~out.isin(*past)), "legacy_raw"), n(out == "vendor_noise", "dropped_vendor_noise"),
         n(fixture & scored_at_all, "fixtures"), n(out == "source_map_line", "dropped_source_map"), n(out.isin("entropy", "classes"), "dropped_entropy"), n(out == "context", "dropped_context"),
-        n(out == "low_confidence", "dropped_confidence"), n(out == "covered", "dropped_duplicate"), n(out.isNull(), "findings"), F.count_distinct(F.when(out.isNull() & ~legacy, F.struct("value", "secret_type"))).alias("findings_merged"),
-    )
+        n(out == "low_confidence", "dropped_confidence"), n(out == "covered", "dropped_duplicate"), n(out.isNull(), "findings"),
+    ]
+
+
+def counters(rows: DataFrame) -> DataFrame:
+    """The counters of a run, one row: matches by kind and fate (``rows`` are all matches, kept and dropped)."""
+    once = F.when(F.col("drop_reason").isNull() & (F.col("kind") != "legacy"), F.struct("value", "secret_type"))
+    return rows.agg(*_counted(), F.count_distinct(once).alias("findings_merged"))
+
+
+def find_counted(rows: DataFrame) -> tuple[DataFrame, Callable[[], dict[str, int]]]:
+    """Findings of assessed matches, and the run's counters from the same job: ask for them once the findings have been used."""
+    matched, found = Observation(), Observation()
+    seen = rows.observe(matched, *_counted())
+    merged_ = merged(identified(seen.filter("drop_reason is null and kind <> 'legacy'"))).observe(found, F.count("*").alias("findings_merged"))
+    return merged_, lambda: {**matched.get, **found.get}
 
 
 def fetch_counters(responses: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:

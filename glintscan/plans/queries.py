@@ -146,8 +146,30 @@ def stage_statistics(s: SparkSession, d: str) -> DataFrame:
     return findings.statistics(scan.scored(scan.matches(documents(s, d), rules, comments=True)))
 
 
+def _assessed_keys(s: SparkSession, d: str) -> DataFrame:
+    rules = [r for r in catalog.built_in() if r.id in ("aws.access_key_id", "legacy:Aws Api Key")]
+    return scan.assess(derived(s, d).select("source", "body"), rules, min_confidence=0.6)
+
+
 def run_counters(s: SparkSession, d: str) -> DataFrame:
-    return findings.counters(scan.assess(derived(s, d).select("source", "body"), [r for r in catalog.built_in() if r.id in ("aws.access_key_id", "legacy:Aws Api Key")], min_confidence=0.6))
+    return findings.counters(_assessed_keys(s, d))
+
+
+def observed_counters(s: SparkSession, d: str) -> DataFrame:
+    """The same counters, taken along by the job that writes the findings."""
+    found, counts = findings.find_counted(_assessed_keys(s, d))
+    written(found, "findings")
+    kinds = ", ".join(f"{name} long" for name in counts())
+    return s.createDataFrame([tuple(counts().values())], kinds)
+
+
+def new_keys(s: SparkSession, d: str) -> DataFrame:
+    """Findings of keys that are not among the known ones, which are those of every order with an even customer."""
+    rule = [r for r in catalog.built_in() if r.id == "aws.access_key_id"]
+    known = table(s, d, "orders").filter("o_custkey % 2 = 0").select(fn.value_hash(derived_key()).alias("value_hash"))
+    return findings.find(derived(s, d).select("source", "body"), rule, known=known, min_confidence=0.3).select("value_hash", "places")
+
+
 
 
 def verify_fold(s: SparkSession, d: str) -> DataFrame:
@@ -475,7 +497,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         template_addresses, object_addresses, parameter_addresses, resolved_addresses, rule_listing, console_lines, token_locations, pack_matches, value_functions, findings_by_value, key_scan, key_dedupe, registry_vs_legacy, ignore_and_diff, stage_statistics, verify_fold, rule_selection,
         severity_order, sarif_places, ndjson_lines, csv_rows, email_matches, legacy_scan, page_scripts, page_domains, page_links, endpoints, parameter_names, parameter_groups,
         links_same_domain, query_addresses, option_addresses, csp_origins, robots_rules, source_map_members, har_entries, comments_stripped, conversation_scan, host_failures, breaker_states,
-        ledger_findings, ignored_by_table, cache_rounds,
+        ledger_findings, ignored_by_table, cache_rounds, observed_counters, new_keys,
     )
 }
 
@@ -606,6 +628,15 @@ ORACLE_SQL: dict[str, str] = {
                count(*) FILTER (low) + count(*) FILTER (low AND k NOT LIKE '%GIF%') AS dropped_confidence, count(*) FILTER (NOT low AND k NOT LIKE '%GIF%') AS dropped_duplicate,
                count(*) FILTER (NOT low) AS findings, count(DISTINCT k) FILTER (NOT low) AS findings_merged
         FROM {_DERIVED}""",
+    "observed_counters": f"""
+        SELECT count(*) FILTER (NOT low) AS registry_hits, count(*) FILTER (low AND k NOT LIKE '%GIF%') AS legacy_raw, 0::BIGINT AS dropped_vendor_noise,
+               count(*) FILTER (fixture) + count(*) FILTER (low AND k NOT LIKE '%GIF%') AS fixtures, 0::BIGINT AS dropped_source_map, 0::BIGINT AS dropped_entropy, 0::BIGINT AS dropped_context,
+               count(*) FILTER (low) + count(*) FILTER (low AND k NOT LIKE '%GIF%') AS dropped_confidence, count(*) FILTER (NOT low AND k NOT LIKE '%GIF%') AS dropped_duplicate,
+               count(*) FILTER (NOT low) AS findings, count(DISTINCT k) FILTER (NOT low) AS findings_merged
+        FROM {_DERIVED}""",
+    "new_keys": f"""
+        SELECT sha256(k)[:16] AS value_hash, count(*) AS places FROM (SELECT {_KEY} AS k FROM orders)
+        WHERE k NOT IN (SELECT {_KEY} FROM orders WHERE o_custkey % 2 = 0) GROUP BY k""",
     "registry_vs_legacy": "SELECT 'aws.access_key_id' AS id, count(*) AS matches FROM orders",
     "ignore_and_diff": _MATCHES + "SELECT DISTINCT sha256(value)[:16] AS value_hash, id AS rule_id FROM hits WHERE id = 'doc.token'",
     "verify_fold": f"""

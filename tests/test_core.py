@@ -501,6 +501,27 @@ def test_ignore_tables_are_the_lists_of_conditions(spark):
     assert time.time() - began < 5 and findings.unignored(found, many, rules).count() == len(rows)
 
 
+def test_unknown_is_the_plain_anti_join(spark, monkeypatch):
+    known = spark.range(20_000).select(F.substring(F.sha2(F.col("id").cast("string"), 256), 1, 16).alias("value_hash")).union(spark.createDataFrame([(None,), ("x",), ("x",)], "value_hash string"))
+    rows = spark.range(15_000, 60_000).select("id", F.when(F.col("id") % 1000 != 0, F.substring(F.sha2(F.col("id").cast("string"), 256), 1, 16)).alias("value_hash"))
+    want = {r["id"] for r in rows.join(known, "value_hash", "left_anti").collect()}
+    for most in (findings.BITMAP_BYTES, 1):  # with the bitmap; without
+        got = [r["id"] for r in findings.unknown(rows, known, most).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+    assert findings.unknown(rows, known.limit(0)).count() == 45_000
+    # with few known values only few new rows go to the exact join
+    maybe = findings.unknown(rows.filter("id >= 20000 and value_hash is not null"), known)._jdf.queryExecution().optimizedPlan().toString()
+    assert "_maybe" in maybe or "getbit" in maybe.lower()
+
+
+def test_counters_of_the_same_job(spark):
+    rule = Rule("x.token", "X", "X", "token", "high", r"token ([ab0-9]+)", group=1, prior=0.9, min_len=4, kind="external")
+    rows = scan.assess(docs(spark, ("s", "token a123 token b1 token a123"), ("t", "token b777 // example"), ("u", None)), [rule], comments=True)
+    found, counts = findings.find_counted(rows)
+    assert found.count() == 2
+    assert counts() == findings.counters(rows).first().asDict() and counts()["findings"] == 3
+
+
 def test_script_references(spark):
     html = """<script async src='/a.js' integrity="sha" ></script><script>1</script><SCRIPT SRC=b.js defer></SCRIPT><link rel="preload" as="script" href="c.js"><link rel=modulepreload href='d.js'><link rel="preload" as="font" href="e.woff"><script data-src="x">2</script>"""
     rows = extract.script_references(spark.createDataFrame([("u", html)], "url string, html string")).collect()
