@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -180,15 +181,24 @@ def verify_fold(s: SparkSession, d: str) -> DataFrame:
 
 
 def rule_listing(s: SparkSession, d: str) -> DataFrame:
-    return writers.rule_listing(s, catalog.built_in())
+    """The strict rules, each with its matches in all documents."""
+    hits = raw_matches(s, d).select(F.col("id").alias("rule_id"), "matches")
+    return writers.rule_listing(s, catalog.built_in()).join(hits, "rule_id", "left").fillna(0, ["matches"])
 
 
 def console_lines(s: SparkSession, d: str) -> DataFrame:
     return writers.console(_kept(s, d), values=True)
 
 
+#: Rules chosen and left out, by pattern of their ids.
+ONLY, DISABLED = ["github.*", "stripe.*"], ["*.publishable_key"]
+
+
 def rule_selection(s: SparkSession, d: str) -> DataFrame:
-    return catalog.as_table(s, catalog.only_and_disabled(catalog.built_in(), ["github.*", "stripe.*"], ["*.publishable_key"])).select("id", "severity", "validator")
+    """The chosen ones of the rules, each with its matches in bodies made for every rule."""
+    hits = sampled_rules(s, d).select("id", "matches")
+    chosen = catalog.as_table(s, catalog.only_and_disabled(catalog.built_in(), ONLY, DISABLED)).select("id", "severity", "validator")
+    return chosen.join(hits, "id", "left").fillna(0, ["matches"])
 
 
 def _by_severity(found: DataFrame) -> DataFrame:
@@ -547,6 +557,12 @@ def _rules_sql(docs: str, rules: list[Rule] | None = None) -> str:
     return f"WITH d AS ({docs}) SELECT id, count(*) AS matches, count(DISTINCT {part}) AS values FROM ({each}) GROUP BY id"
 
 
+def _listed_sql(hits: str, columns: str, rows: list[tuple]) -> str:
+    """SQL of a list of rules with their matches; the first column is the rule's id."""
+    values = ", ".join("(" + ", ".join(map(_text, r)) + ")" for r in rows)
+    return f"SELECT l.*, coalesce(h.matches, 0)::BIGINT AS matches FROM (VALUES {values}) l({columns}) LEFT JOIN ({hits}) h ON h.id = l.{columns.split(',')[0]}"
+
+
 def _email_sql() -> str:
     (email,) = (r for r in catalog.built_in() if r.name == "Email")
     starts = " OR ".join(f"starts_with(lower(value), {_text(p)})" for p in noise.EMAIL_PREFIXES)
@@ -688,6 +704,18 @@ ORACLE_SQL: dict[str, str] = {
     "har_entries": """
         SELECT 'https://h/' || s_suppkey || CASE WHEN s_suppkey % 9 = 0 THEN '.js?v=1' ELSE '.x' END AS source, 'let x=' || s_suppkey || CASE WHEN s_suppkey % 4 = 2 THEN '!' ELSE '' END AS body
         FROM supplier WHERE s_suppkey % 5 <> 0 AND (s_suppkey % 3 <> 0 OR s_suppkey % 9 = 0)""",
+    "rule_listing": _listed_sql(
+        _rules_sql("SELECT text AS body FROM documents WHERE text <> ''", [r for r in catalog.built_in() if r.kind != "legacy"]),
+        "rule_id, severity, provider, name, flags",
+        [
+            (r.id, r.severity, r.provider, r.name, ",".join(m for m, on in (("ctx", r.requires_context), ("validate", r.validator), ("high-fp", r.high_fp), ("verify", r.id in findings.VERIFIABLE)) if on))
+            for r in catalog.built_in() if r.kind != "legacy"
+        ],
+    ),
+    "rule_selection": _listed_sql(
+        _sampled_sql(catalog.built_in()), "id, severity, validator",
+        [(r.id, r.severity, r.validator) for r in catalog.built_in() if re.fullmatch(r"(github|stripe)\.[^/]*", r.id) and not r.id.endswith(".publishable_key")],
+    ),
     "raw_matches": _rules_sql("SELECT text AS body FROM documents WHERE text <> ''"),
     "sampled_rules": _sampled_sql(catalog.built_in()),
     "sampled_extras": _sampled_sql(_extras()),
