@@ -252,7 +252,7 @@ def find_counted(rows: DataFrame) -> tuple[DataFrame, Callable[[], dict[str, int
 
 def fetch_counters(responses: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
     """Counters of responses (url, status, body): fetched, refused by the host, cut at ``max_bytes``, and bytes read."""
-    n = F.octet_length("body")
+    n = F.coalesce(F.octet_length("body"), F.lit(0))
     return responses.agg(F.count("*").alias("fetched"), F.count_if(F.col("status").isin(403, 429)).alias("blocked"), F.count_if(n > max_bytes).alias("truncated"), F.coalesce(F.sum(F.least(n, F.lit(max_bytes)).cast("long")), F.lit(0)).alias("bytes_parsed"))
 
 

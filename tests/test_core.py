@@ -21,7 +21,7 @@ from glintscan.rules.model import Rule
 from glintscan.rules.samples import example
 from glintscan.rules.translate import anchors, leading, least_run, to_java
 from glintscan.sinks import writers
-from glintscan.sources import cache
+from glintscan.sources import cache, readers
 
 KEY = "AKIA" + "ABCDEFGH234567MN"
 
@@ -522,6 +522,27 @@ def test_counters_of_the_same_job(spark):
     assert counts() == findings.counters(rows).first().asDict() and counts()["findings"] == 3
 
 
+def test_bodies_that_hide_something(spark):
+    bodies = [r"a\x41\u0042", "x" * 1001 + r"\x41" * 51, "x" * 900 + r"\x41" * 20, "eval(" + "String.fromCharCode(1)," * 11, "eval(" + "String.fromCharCode(1)," * 10, ""]
+    rows = spark.createDataFrame(list(enumerate(bodies)), "i int, b string").select("i", extract.obfuscated(F.col("b")).alias("o"), extract.unescaped(F.col("b")).alias("u")).orderBy("i").collect()
+    assert [r["o"] for r in rows] == [False, True, False, True, False, False] and rows[0]["u"] == "a410042"
+
+
+def test_kinds_of_lines(spark):
+    kind = lambda *lines: readers.line_kinds(spark.createDataFrame([(x,) for x in lines], "value string")).first()["kind"]
+    assert kind("https://a/b.js", " http://c ", "plain", "") == "urls" and kind("https://a", "plain") == "lines"
+    assert kind("function f() {", "x") == "code" and kind(*["let a = 1;"] * 6) == "code" and kind(*["let a = 1;"] * 5) == "lines"
+
+
+def test_counters_of_responses_and_liveness(spark):
+    answers = spark.createDataFrame([("a", 200, "xyz"), ("b", 403, ""), ("c", 429, "éé"), ("d", 200, None)], "url string, status int, body string")
+    assert tuple(findings.fetch_counters(answers, 3).first()) == (4, 2, 1, 6)
+    assert tuple(findings.fetch_counters(answers.limit(0)).first()) == (0, 0, 0, 0)
+    told = [("stripe.secret_key", True, ""), ("stripe.secret_key", False, "timeout"), ("slack.app_token", False, None), ("no.such", True, "")]
+    results = spark.createDataFrame(told, "rule_id string, alive boolean, error string")
+    assert tuple(findings.verify_counters(results).first()) == (3, 1, 1, 1)
+
+
 def test_script_references(spark):
     html = """<script async src='/a.js' integrity="sha" ></script><script>1</script><SCRIPT SRC=b.js defer></SCRIPT><link rel="preload" as="script" href="c.js"><link rel=modulepreload href='d.js'><link rel="preload" as="font" href="e.woff"><script data-src="x">2</script>"""
     rows = extract.script_references(spark.createDataFrame([("u", html)], "url string, html string")).collect()
