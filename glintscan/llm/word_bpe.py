@@ -6,7 +6,13 @@ into a minimal acyclic automaton whose words with equal endings share states. Nu
 word's ordinal, which points to its ids. The automaton is written once, handed to the executors as a file and
 memory-mapped there by their workers. Words outside it are merged exactly, so results never depend on it.
 
-A null text counts as empty and has no ids. Rows are encoded one by one; repeated rows have equal ids.
+Letters, numbers, lower case and NFC are those of the tokenizers library, whose Unicode version is not Python's: where
+the two classify a code point differently (``Unicode``), a text that holds one is normalised by the library's normalisers
+and cut by classes that the library was asked for. A vocabulary file with another normaliser, another split or other
+model options is refused.
+
+A null text counts as empty and has no ids. Rows are encoded one by one; repeated rows have equal ids. Very long texts
+are encoded whole. An empty table gives no rows; further columns of any name are not read.
 """
 
 from __future__ import annotations
@@ -15,6 +21,7 @@ import heapq
 import json
 import mmap
 import os
+import re
 import tempfile
 import unicodedata
 import uuid
@@ -30,6 +37,7 @@ import regex
 from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from tokenizers import Regex, normalizers, pre_tokenizers
 
 from glintscan.llm.common import cut, raw, small_batches
 
@@ -41,6 +49,86 @@ HELD, REMEMBERED = 500_000, 200_000
 _WHITE = "\t-\r\x20\x85\xa0  -     　"
 
 
+# The one normaliser and the one split that are encoded here, as vocabulary files write them.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLIT = {
+    "type": "Split",
+    "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"},
+    "behavior": "Removed",
+    "invert": True,
+}
+
+
+def supported(spec: dict) -> None:
+    """Raises where a vocabulary file asks for anything that is not done here."""
+    model, cuts = spec["model"], spec.get("pre_tokenizer") or {}
+    steps = cuts.get("pretokenizers", [])
+    refused = []
+    if model.get("type", "BPE") != "BPE":
+        refused.append("model type")
+    refused += [k for k in ("unk_token", "dropout", "continuing_subword_prefix", "byte_fallback", "ignore_merges") if model.get(k)]
+    if spec.get("normalizer") != NORMALIZER:
+        refused.append("normalizer")
+    if cuts.get("type") != "Sequence" or steps[:1] != [SPLIT] or [s["type"] for s in steps[1:]] != ["ByteLevel"] or steps[1].get("add_prefix_space") or steps[1].get("use_regex"):
+        refused.append("pre_tokenizer")
+    refused += ["added_tokens." + k for k in ("single_word", "lstrip", "rstrip", "normalized") if any(t.get(k) for t in spec.get("added_tokens", []))]
+    if refused:
+        raise ValueError(f"vocabulary file not supported: {', '.join(refused)}")
+
+
+def _class(points: Iterable[str]) -> str:
+    """The inside of a regular expression's class of these code points, as ranges."""
+    runs: list[list[int]] = []
+    for c in sorted(map(ord, points)):
+        if runs and runs[-1][1] == c - 1:
+            runs[-1][1] = c
+        else:
+            runs.append([c, c])
+    return "".join(rf"\U{a:08x}-\U{b:08x}" for a, b in runs)
+
+
+@lru_cache(maxsize=1)
+def unicode_classes() -> dict[str, str]:
+    """The library's ``letters`` and ``numbers``, and code points ``unsettled`` between it and Python, each as a class.
+
+    The library is asked about every code point that any version of Unicode has assigned: planes 0 to 3 and 14.
+    """
+    points = [chr(c) for c in (*range(0xD800), *range(0xE000, 0x40000), *range(0xE0000, 0xE1000)) if c != 10]
+    text = "".join(points)
+
+    def members(kind: str) -> set[str]:
+        others = pre_tokenizers.Split(Regex(rf"\p{{{kind}}}+"), "removed").pre_tokenize_str(text)
+        return set(points) - set("".join(part for part, _ in others))
+
+    def differ(asked: list[tuple[str, str]], there, here) -> set[str]:
+        """Code points whose probe the library answers otherwise than Python."""
+        answers = there("\n".join(probe for _, probe in asked)).split("\n")
+        return {c for (c, probe), answer in zip(asked, answers, strict=True) if answer != here(probe)}
+
+    def nfc(probe: str) -> str:
+        return unicodedata.normalize("NFC", probe)
+
+    letters, numbers = members("L"), members("N")
+    unsettled = (letters ^ set(regex.findall(r"\p{L}", text))) | (numbers ^ set(regex.findall(r"\p{N}", text)))
+    unsettled |= {c for c in points if unicodedata.category(c) == "Cn"}
+    unsettled |= differ([(c, c) for c in points], normalizers.Lowercase().normalize_str, lambda c: c.replace("Σ", "σ").lower())
+    whole = normalizers.NFC().normalize_str
+    unsettled |= differ([(c, c) for c in points], whole, nfc)
+    unsettled |= differ([(c, unicodedata.normalize("NFD", c)) for c in points if unicodedata.decomposition(c)], whole, nfc)
+    marks = [c for c in points if unicodedata.combining(c)]
+    unsettled |= differ([(c, "\u0345" + c) for c in marks], whole, nfc) | differ([(c, c + "\u0334") for c in marks], whole, nfc)
+    return {"letters": _class(letters), "numbers": _class(numbers), "unsettled": _class(unsettled)}
+
+
+class Unicode:
+    """The library's view of texts that hold a code point on which it and Python disagree."""
+
+    def __init__(self, letters: str, numbers: str, unsettled: str):
+        self.unsettled = re.compile(f"[{unsettled}]").search
+        self.words = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^{_WHITE}{letters}{numbers}]+").findall
+        self.normal = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()]).normalize_str
+
+
 def byte_letters() -> list[str]:
     """The printable letter that stands for each byte in the vocabulary."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -54,6 +142,7 @@ class Bpe:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        supported(spec)
         model = spec["model"]
         self.vocab: dict[str, int] = model["vocab"]
         self.suffix: str = model.get("end_of_word_suffix") or ""
@@ -148,7 +237,7 @@ class Lexicon:
             kind, at, n = head[name]
             size = n * int(kind[-1])
             setattr(self, name, held[base + at : base + at + size].cast("B" if size == n else "I"))
-        self.root = head["root"]
+        self.root, self.classes = head["root"], head["classes"]
 
     def get(self, word: bytes) -> bytes | None:
         state, ordinal, first, label = self.root, 0, self.first, self.label
@@ -211,7 +300,7 @@ class Lexicon:
             "label": np.array([a[0] for a in arcs_], "u1"), "target": np.array([a[1] for a in arcs_], "<u4"), "number": np.array([a[2] for a in arcs_], "<u4"),
             "offset": np.cumsum([0, *(len(x) // 4 for x in ids)]).astype("<u4"), "ids": np.frombuffer(b"".join(ids), "<u4"),
         }
-        head, at = {"root": len(rows) - 1}, 0
+        head, at = {"root": len(rows) - 1, "classes": unicode_classes()}, 0
         for name, array in arrays.items():
             head[name] = (array.dtype.str, at, len(array))
             at += -(-array.nbytes // 8) * 8
@@ -245,6 +334,7 @@ class Words(dict):
     def __init__(self, bpe: Bpe, lexicon: Lexicon | None):
         super().__init__()
         self.bpe, self.lexicon = bpe, lexicon
+        self.unicode = Unicode(**(lexicon.classes if lexicon else unicode_classes()))
 
     def __missing__(self, word: str) -> bytes:
         if len(self) > REMEMBERED:
@@ -262,9 +352,14 @@ class Words(dict):
             if special is not None:
                 out.append(np.array([special], "<u4").tobytes())
             elif part:
-                out.append(b"".join(map(self.__getitem__, self.bpe.words(self.bpe.normal(part)))))
+                out.append(b"".join(map(self.__getitem__, self.words(part))))
         return b"".join(out)
 
+    def words(self, text: str) -> list[str]:
+        if text.isascii() or not self.unicode.unsettled(text):
+            return self.bpe.words(self.bpe.normal(text))
+        return self.unicode.words(self.unicode.normal(text))
+
 
 def frequent_words(docs: DataFrame, bpe_path: str, text: str, size: int = LEXICON) -> list[bytes]:
     """The most frequent words of the whole corpus, at most ``size`` of them, in ascending order.
