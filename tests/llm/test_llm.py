@@ -1,6 +1,7 @@
 """The operators against brute force on small fixtures, with the awkward cases of each."""
 
 import hashlib
+import json
 import random
 import re
 from collections import Counter
@@ -210,6 +211,38 @@ def test_risk_goes_down_by_its_gradient():
             assert risk(moved[:-1], moved[-1]) >= best - 1e-5
 
 
+def test_weights_stand_for_repeated_rows():
+    rng = np.random.default_rng(3)
+    grid, positive, weight = (rng.random((40, 5)) < 0.4).astype(int), np.arange(40) < 10, rng.integers(1, 6, 40)
+    one, many = np.nonzero(grid), np.nonzero(np.repeat(grid, weight, axis=0))
+    want = toxicity.nnpu(*many, np.repeat(positive, weight), 5, 0.2)
+    got = toxicity.nnpu(*one, positive, 5, 0.2, weight=weight)
+    assert np.allclose(want[0], got[0]) and abs(want[1] - got[1]) < 1e-9
+
+
+def test_unlabelled_rows_are_dealt_whole_and_evenly(spark):
+    counts = {(): 70_001, (1,): 5, (1, 2): 1, (3,): 3, (2, 2): 12}
+    rows = spark.createDataFrame([(list(c), n) for c, n in counts.items()], "_c array<int>, _n long")
+    for shards in (1, 2, 7, 50):
+        got, load = dict.fromkeys(counts, 0), dict.fromkeys(range(shards), 0)
+        for r in toxicity.dealt(rows, shards).collect():
+            got[tuple(r["_c"])] += r["_n"]
+            load[r["_s"]] += r["_n"]
+        assert got == counts and max(load.values()) - min(load.values()) <= 2 * len(counts)
+
+
+def test_toxicity_does_not_depend_on_the_order_of_rows_and_uses_all_shards(spark):
+    rng = random.Random(4)
+    rows = [(i, " ".join(words(rng, 40) + (["vile"] * 4 if i % 4 == 0 else [])), "", "") for i in range(400)] + [(None, "plain", "", "")]
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(200)], "doc_id long, toxic int")
+    docs = spark.createDataFrame(rows, DOCS)
+    models = [toxicity.train(d, labels, shard=100) for d in (docs, docs.repartition(5))]
+    assert models[0].vocabulary == models[1].vocabulary and (models[0].weights == models[1].weights).all() and models[0].bias == models[1].bias
+    whole = toxicity.train(docs, labels)
+    vile = whole.vocabulary.index(b"vile")
+    assert models[0].weights[vile] > 0.5 and whole.weights[vile] > 0.5 and models[0].weights[vile] != whole.weights[vile]
+
+
 def test_repeated_ids_are_learnt_from_once(spark):
     rng = random.Random(2)
     rows = [(i, " ".join(words(rng, 60) + (["vile"] * 4 if i % 3 == 0 else [])), "", "") for i in range(120)]
@@ -453,6 +486,26 @@ def test_bpe_equals_the_library(spark, docs, none):
     assert word_bpe.roundtrip(none, path).count() == 0
 
 
+def test_bpe_equals_the_library_on_code_points_new_and_old():
+    """The check over all code points finds none that differ; here every 31st, and those that Python does not know."""
+    tokenizers = pytest.importorskip("tokenizers")
+    library, words = tokenizers.Tokenizer.from_file(queries.vocabulary()), word_bpe.Words(word_bpe.Bpe(queries.vocabulary()), None)
+    points = [*range(0, 0xD800, 31), *range(0xE000, 0x33480, 31), *range(0xE0000, 0xE0200, 31), 0x558, 0x58B, 0x88F, 0xC5C, 0x1C89, 0xA7CB, 0x10940, 0x10D50]
+    texts = [f"x{chr(c)}1 {chr(c)}b\u0301{chr(c)}\u0316" for c in points] + ["\U0001f44d\U00010d50 " * 3_000]
+    for text, e in zip(texts, library.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert np.frombuffer(words.encode(text), "<u4").tolist() == e.ids, ascii(text[:20])
+    assert not words.unicode.unsettled("é 中文 \U0001f44d") and words.unicode.unsettled("\u1c89")
+
+
+def test_other_vocabulary_files_are_refused(tmp_path):
+    with open(queries.vocabulary(), encoding="utf-8") as f:
+        spec = json.load(f)
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": None}, {"model": spec["model"] | {"byte_fallback": True}}):
+        (tmp_path / "other.json").write_text(json.dumps(spec | change))
+        with pytest.raises(ValueError, match=next(iter(change)) if "model" not in change else "byte_fallback"):
+            word_bpe.Bpe(str(tmp_path / "other.json"))
+
+
 def test_lexicon_is_exact_and_shares_endings(tmp_path):
     bpe = word_bpe.Bpe(queries.vocabulary())
     known = sorted({(a + b).encode() for a in ("walk", "talk", "jump", "é") for b in ("", "ed", "ing", "ings")})
