@@ -124,10 +124,16 @@ class Unicode:
     """The library's view of texts that hold a code point on which it and Python disagree."""
 
     def __init__(self, letters: str, numbers: str, unsettled: str):
-        self.unsettled = re.compile(f"[{unsettled}]").search
+        # a class with many ranges beyond the 16-bit code points is slow: those are told apart among distinct letters
+        low = re.sub(r"\\U000[1-9a-f]\w{4}-\\U\w{8}|\\U0010\w{4}-\\U\w{8}", "", unsettled)
+        self._maybe = re.compile(f"[{low}\U00010000-\U0010ffff]").search
+        self._surely = re.compile(f"[{unsettled}]").search
         self.words = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^{_WHITE}{letters}{numbers}]+").findall
         self.normal = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()]).normalize_str
 
+    def unsettled(self, text: str) -> bool:
+        return not text.isascii() and self._maybe(text) is not None and self._surely("".join(set(text))) is not None
+
 
 def byte_letters() -> list[str]:
     """The printable letter that stands for each byte in the vocabulary."""
@@ -356,9 +362,9 @@ class Words(dict):
         return b"".join(out)
 
     def words(self, text: str) -> list[str]:
-        if text.isascii() or not self.unicode.unsettled(text):
-            return self.bpe.words(self.bpe.normal(text))
-        return self.unicode.words(self.unicode.normal(text))
+        if self.unicode.unsettled(text):
+            return self.unicode.words(self.unicode.normal(text))
+        return self.bpe.words(self.bpe.normal(text))
 
 
 def frequent_words(docs: DataFrame, bpe_path: str, text: str, size: int = LEXICON) -> list[bytes]:
