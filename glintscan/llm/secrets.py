@@ -6,10 +6,14 @@ is padding, and what mixes the two base64 alphabets is judged as a whole and by
 no part is shorter than ``SHORTEST``. The encoding of each part is inferred, and a
 chi-squared test of uniformity over its alphabet, a runs test and a lag-1 serial correlation test are combined
 by Fisher's method; as the tests are dependent and their tails approximate, the p-value of the combined statistic
-is read off a table measured on random tokens (``TAIL``). A low combined p-value means that a token is demonstrably not random. Those rejections are
-made by the Benjamini-Hochberg procedure within classes of token length, over the whole corpus, so that in
-each class at most a share ``Q`` of what is thrown out can be expected to be random strings; what is not
-thrown out is reported as kind ``random``.
+is read off a table measured on random tokens (``TAIL``). A low combined p-value means that a token is demonstrably
+not random. What is controlled is the share of ordinary names among what is reported, within classes of token length
+and over the whole corpus: random tokens have p-values spread evenly, names have few high ones, so the count of
+p-values above ``UPPER`` tells how many random tokens a class holds (Storey's estimate; the smaller of two, each with
+two standard errors added, so that few tokens are not lost by chance). Tokens above a p-value are reported as kind ``random`` while, by that estimate, no more
+than a share ``Q`` of them is not random; the lowest such p-value is the class's limit. What the Benjamini-Hochberg
+procedure rejects at ``Q`` is never reported, which tells in classes of very few tokens. A class without tokens has
+no limit and reports nothing.
 
 Offsets are code points, ends exclusive. A null text counts as empty and has no spans. Rows are scanned one by
 one; repeated rows have equal spans, and only the named columns are looked at.
@@ -43,14 +47,18 @@ ALPHABETS = (
     (r"^[A-Za-z0-9_-]+=*$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"),
     (r"^[A-Za-z0-9+/_-]+=*$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_"),
 )
-#: Share of false rejections within a length class.
+#: Share of tokens that are not random among those reported of a length class, and of false rejections.
 Q = 0.05
+#: Steps (see ``rounded``) below which p-values are taken as those of random tokens: above about 0.5 and 0.8.
+UPPER = (6, 2)
+#: Standard errors added to the count of random tokens, so that a class of few tokens does not lose them by chance.
+ERRORS = 2
 #: (statistic, -log p): the largest quantiles of Fisher's sum among 2,000,000 random tokens each of 16, 36, 62 and 66 letters
-#: and of 18 to 150 characters; for shorter tokens of 8 characters or more, those of all lengths. Behind the last pair the
+#: and of 18 to 150 characters (the first three of 100,000); for shorter tokens of 8 characters or more, those of all lengths. Behind the last pair the
 #: p-value is extrapolated, by a power lower than that between the last pairs.
-_LOGS = (0.69, 1.60, 2.30, 2.99, 3.91, 4.60, 5.29, 6.21, 6.90, 7.60, 8.51, 9.21, 10.41, 11.51)
-TAIL = tuple(zip((2.48, 4.41, 5.84, 7.25, 9.16, 10.66, 12.20, 14.86, 17.75, 21.05, 27.29, 33.56, 46.78, 57.51), _LOGS, strict=True))
-TAIL_SHORT = tuple(zip((2.48, 4.41, 5.84, 7.25, 9.16, 11.81, 13.29, 20.80, 26.21, 30.36, 59.83, 61.36, 82.78, 102.77), _LOGS, strict=True))
+_LOGS = (0.105, 0.223, 0.431, 0.69, 1.60, 2.30, 2.99, 3.91, 4.60, 5.29, 6.21, 6.90, 7.60, 8.51, 9.21, 10.41, 11.51)
+TAIL = tuple(zip((0.93, 1.31, 1.85, 2.48, 4.41, 5.84, 7.25, 9.16, 10.66, 12.20, 14.86, 17.75, 21.05, 27.29, 33.56, 46.78, 57.51), _LOGS, strict=True))
+TAIL_SHORT = tuple(zip((0.91, 1.28, 1.79, 2.48, 4.41, 5.84, 7.25, 9.16, 11.81, 13.29, 20.80, 26.21, 30.36, 59.83, 61.36, 82.78, 102.77), _LOGS, strict=True))
 MASK = "[SECRET]"
 
 
@@ -164,18 +172,38 @@ def candidates(text: Column, base: Column) -> Column:
     return F.filter(judged, lambda x: x["step"].isNotNull())
 
 
+def limits_of(counts: DataFrame) -> DataFrame:
+    """Of (cls, step, count), each class's ``limit``: tokens of lower steps are reported. Classes that report nothing have no row.
+
+    ``cut`` is the p-value that all tokens of a step or a lower one exceed. Only counts by step are looked at, at most 401 a class.
+    """
+    low, high = Window.partitionBy("cls").orderBy("step"), Window.partitionBy("cls").orderBy(F.col("step").desc())
+    every = Window.partitionBy("cls")
+    cut = lambda step: F.pow(F.lit(10.0), -step / 20)
+
+    def random_tokens(step: int) -> Column:
+        above = F.sum(F.when(F.col("step") < step, F.col("count")).otherwise(0)).over(every)
+        return (above + ERRORS * F.sqrt(above + 1)) / (1 - 10 ** (-step / 20))
+
+    rows = counts.select(
+        "cls", "step", F.sum("count").over(low).alias("reported"), F.sum("count").over(high).alias("below"), F.sum("count").over(every).alias("m"),
+        F.least(*map(random_tokens, UPPER)).alias("random"),
+    )
+    ordinary = F.col("reported") - F.col("random") * (1 - cut(F.col("step") + 1))
+    rejected = F.max(F.when(cut(F.col("step")) * F.col("m") <= Q * F.col("below"), F.lit(True)).otherwise(False)).over(low)
+    good = rows.withColumn("rejected", rejected).filter(~F.col("rejected") & (ordinary <= Q * F.col("reported")))
+    return good.groupBy("cls").agg((F.max("step") + 1).alias("limit"))
+
+
 def thresholds(docs: DataFrame, text: str = "text") -> dict[int, int]:
-    """By length class, the step from which on tokens are rejected (Benjamini-Hochberg over the whole corpus).
+    """By length class, the step under which tokens are reported, over the whole corpus.
 
-    p-values are rounded up to steps, which is conservative, and only counted: the result has at most 401 rows
-    a class, and there are no more classes than bits in a length.
+    p-values are rounded up to steps and only counted: the result has a row a class, and there are no more
+    classes than bits in a length.
     """
     t = F.coalesce(F.col(text), F.lit(""))
-    tokens = each(docs.filter(t.rlike(TOKEN)), candidates(t, base_spans(t)), "c").groupBy("c.cls", "c.step").count()
-    up = Window.partitionBy("cls").orderBy(F.col("step").desc())
-    ranked = tokens.select("cls", "step", F.sum("count").over(up).alias("rank"), F.sum("count").over(Window.partitionBy("cls")).alias("m"))
-    rejected = ranked.filter(F.pow(F.lit(10.0), -F.col("step") / 20) * F.col("m") <= Q * F.col("rank"))
-    return {r["cls"]: r["step"] for r in rejected.groupBy("cls").agg(F.min("step").alias("step")).collect()}
+    counts = each(docs.filter(t.rlike(TOKEN)), candidates(t, base_spans(t)), "c").groupBy("c.cls", "c.step").count()
+    return {r["cls"]: r["limit"] for r in limits_of(counts).collect()}
 
 
 def spans(text: Column, limits: dict[int, int]) -> Column:
@@ -183,7 +211,7 @@ def spans(text: Column, limits: dict[int, int]) -> Column:
     t = F.coalesce(text, F.lit(""))
     base = base_spans(t)
     def passes(x: Column) -> Column:
-        least = F.lit(401)
+        least = F.lit(0)
         for cls, step in sorted(limits.items()):
             least = F.when(x["cls"] == cls, F.lit(step)).otherwise(least)
         return x["step"] < least
