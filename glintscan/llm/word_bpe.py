@@ -6,6 +6,10 @@ into a minimal acyclic automaton whose words with equal endings share states. Nu
 word's ordinal, which points to its ids. The automaton is written once, handed to the executors as a file and
 memory-mapped there by their workers. Words outside it are merged exactly, so results never depend on it.
 
+A batch of texts is cut at ASCII white space. No word, composed letter or small letter depends on what stands beyond it, so
+each distinct run in between is looked up once for the batch. Runs are remembered with their ids; those that are new are
+normalised and cut into words, which go through the automaton, or are merged, side by side.
+
 Letters, numbers, lower case and NFC are those of the tokenizers library, whose Unicode version is not Python's: where
 the two classify a code point differently (``Unicode``), a text that holds one is normalised by the library's normalisers
 and cut by classes that the library was asked for. A vocabulary file with another normaliser, another split or other
@@ -28,11 +32,13 @@ import uuid
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from bisect import bisect_left
-from functools import lru_cache
+from functools import cached_property, lru_cache
+from itertools import chain
 from struct import pack
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -44,8 +50,12 @@ from glintscan.llm.common import cut, raw, small_batches
 #: Words compiled into the automaton, and the longest of them in bytes.
 LEXICON, LONGEST = 100_000, 64
 _NEVER = (1 << 60, -1)
-#: Words that a task counts before it hands the counts on, and that a worker remembers.
-HELD, REMEMBERED = 500_000, 200_000
+#: No id, and no part of two: ids have less than 24 bits.
+_BETWEEN = b"\xff" * 4
+#: Runs that a task counts before it hands the counts on, and that a worker remembers, twice over at most.
+HELD, REMEMBERED = 500_000, 500_000
+#: Words that go through the automaton, or are merged, side by side: what they take fits a processor's cache.
+ABREAST = 2048
 _WHITE = "\t-\r\x20\x85\xa0  -     　"
 
 
@@ -120,6 +130,14 @@ def unicode_classes() -> dict[str, str]:
     return {"letters": _class(letters), "numbers": _class(numbers), "unsettled": _class(unsettled)}
 
 
+def joined(values: pa.Array, counts: np.ndarray) -> tuple[list[int], memoryview]:
+    """Where the next ``counts`` of ``values`` (large_binary, made just now) begin and end in all of them one after another."""
+    _, offsets, held = values.buffers()
+    ends = np.concatenate([[0], np.cumsum(counts)])
+    at = np.frombuffer(offsets, "<i8")[ends].tolist() if len(values) else [0] * len(ends)
+    return at, memoryview(held or b"")
+
+
 class Unicode:
     """The library's view of texts that hold a code point on which it and Python disagree."""
 
@@ -158,12 +176,17 @@ class Bpe:
             a, b = merge.split(" ") if isinstance(merge, str) else merge
             self.pairs[self.vocab[a], self.vocab[b]] = rank, self.vocab[a + b]
         names = {**{i: t for t, i in self.vocab.items()}, **{i: t for t, i in self.special.items()}}
-        self.names = [names.get(i, "").encode() for i in range(max(names) + 1)]
+        self.names = pa.array([names.get(i, "").encode() + b" " for i in range(max(names) + 1)], pa.large_binary())
+        if len(self.names) >> 24:
+            raise ValueError("vocabulary file not supported: ids of over 24 bits")
         letters = byte_letters()
         self.inner = [self.vocab.get(c) for c in letters]
         self.final = [self.vocab.get(c + self.suffix) for c in letters]
         self.cut = regex.compile("|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True))) if self.special else None
         self.words = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{_WHITE}\p{{L}}\p{{N}}]+").findall
+        # the same for texts of many runs, with the spaces between them
+        self.words_between = regex.compile(rf" |'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{_WHITE}\p{{L}}\p{{N}}]+").findall
+        self.ascii_between = re.compile(rb" |[a-z]+|'s|'t|'re|'ve|'m|'ll|'d|[0-9]|[^\t-\r a-z0-9]+").findall
 
     def merge(self, word: bytes) -> bytes:
         """Ids of a word, little-endian in four bytes each: the leftmost pair of least rank is merged first."""
@@ -209,6 +232,67 @@ class Bpe:
                     heapq.heappush(heap, (rank, k, *p, made))
         return np.array([i for i in ids if i >= 0], "<u4").tobytes()
 
+    @cached_property
+    def _ranked(self) -> tuple[np.ndarray, np.ndarray]:
+        """All pairs as ascending numbers, and for each its rank and new id as one number; a pair above all others closes both."""
+        n = len(self.names) + 1
+        found = sorted((a * n + b, rank * n + new) for (a, b), (rank, new) in self.pairs.items())
+        return np.array([k for k, _ in found] + [n * n], np.int64), np.array([v for _, v in found] + [_NEVER[0]], np.int64)
+
+    def merge_all(self, words: list[bytes]) -> list[bytes]:
+        """The same for many words at once, those of about equal length side by side."""
+        if None in self.inner or None in self.final:
+            return list(map(self.merge, words))
+        out: list[bytes] = [b""] * len(words)
+        groups: dict[int, list[int]] = {}
+        for i, w in enumerate(words):
+            groups.setdefault((len(w) + 3) // 4, []).append(i)
+        for quarter, places in groups.items():
+            for k in range(0, len(places), ABREAST):
+                few = [words[i] for i in places[k : k + ABREAST]]
+                found = map(self.merge, few) if quarter > 8 or len(few) < 16 else self._merge_rows(few, 4 * quarter)
+                for i, ids in zip(places[k : k + ABREAST], found, strict=True):
+                    out[i] = ids
+        return out
+
+    def _merge_rows(self, words: list[bytes], width: int) -> Iterator[bytes]:
+        """Merges a row for each word, its ids from the left, one pair in every row at a time; ``n - 1`` is no id."""
+        n, (keys, ranks) = len(self.names) + 1, self._ranked
+        letters = np.frombuffer(b"".join(w.ljust(width, b"\0") for w in words), "u1").reshape(-1, width)
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        ids = np.full((len(words), width + 1), n - 1, np.int64)
+        column = np.arange(width)
+        ids[:, :-1] = np.where(column < size[:, None] - 1, np.array(self.inner, np.int64)[letters], n - 1)
+        every = np.arange(len(words))
+        ids[every, size - 1] = np.array(self.final, np.int64)[letters[every, size - 1]]
+
+        def ranked(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            pair = a * n + b
+            at = np.searchsorted(keys, pair)
+            return np.where(keys[at] == pair, ranks[at], _NEVER[0])
+
+        done, open_ = np.empty((len(words), width), "<u4"), every
+        rank = ranked(ids[:, :-1], ids[:, 1:])
+        while len(open_):
+            first = rank.argmin(1)
+            best = rank[every[: len(first)], first]
+            more = best < _NEVER[0]
+            done[open_[~more]] = ids[~more, :-1]
+            open_, ids, rank, first, best = open_[more], ids[more], rank[more], first[more], best[more]
+            row, new = every[: len(first)], best % n
+            # what stands behind the pair's left moves up by one place
+            moved = column + (column > first[:, None])
+            ids[:, :-1] = np.take_along_axis(ids, moved, 1)
+            rank[:, :-1] = np.take_along_axis(rank, moved[:, :-1], 1)
+            ids[row, first], rank[:, -1] = new, _NEVER[0]
+            rank[row, first] = ranked(new, ids[row, first + 1])
+            inside = first > 0
+            row, first = row[inside], first[inside]
+            rank[row, first - 1] = ranked(ids[row, first - 1], new[inside])
+        kept, held = (done != n - 1).sum(1).tolist(), done.tobytes()
+        for i, k in enumerate(kept):
+            yield held[4 * width * i : 4 * (width * i + k)]
+
     @staticmethod
     def normal(text: str) -> str:
         """NFC and lower case, letter by letter (a final sigma is no exception)."""
@@ -225,8 +309,10 @@ class Bpe:
             at = m.end()
         yield text[at:], None
 
-    def decode(self, ids: np.ndarray) -> bytes:
-        return b" ".join(map(self.names.__getitem__, ids.tolist()))
+    def decode(self, rows: list[bytes]) -> list[bytes]:
+        """The texts of rows of ids: names with a space between them, all rows' names taken at once."""
+        at, text = joined(self.names.take(pa.array(np.frombuffer(b"".join(rows), "<u4"))), np.array([len(x) // 4 for x in rows], np.int64))
+        return [bytes(text[a : max(a, b - 1)]) for a, b in zip(at, at[1:], strict=False)]
 
 
 class Lexicon:
@@ -258,6 +344,35 @@ class Lexicon:
             return None
         return self.ids[self.offset[ordinal] : self.offset[ordinal + 1]].tobytes()
 
+    @cached_property
+    def _arcs(self) -> tuple[np.ndarray, ...]:
+        """State and label of each arc as one number, ascending, with a last one above all; its target and number; final states."""
+        first = np.asarray(self.first, np.int64)
+        keys = np.repeat(np.arange(len(first) - 1), np.diff(first)) * 256 + np.asarray(self.label)
+        return np.append(keys, len(first) * 256), np.asarray(self.target, np.int64), np.asarray(self.number, np.int64), np.asarray(self.final, bool)
+
+    def get_all(self, words: list[bytes]) -> list[bytes | None]:
+        """The same for many words: each step takes the next byte of all that are still under way."""
+        keys, target, number, final = self._arcs
+        out: list[bytes | None] = []
+        for k in range(0, len(words), ABREAST):
+            few = words[k : k + ABREAST]
+            letters, size = np.frombuffer(b"".join(few), "u1"), np.fromiter(map(len, few), np.int64, len(few))
+            start, found = np.cumsum(size) - size, np.full(len(few), -1)
+            at, state, ordinal, step = np.arange(len(few)), np.full(len(few), self.root), np.zeros(len(few), np.int64), 0
+            while len(at):
+                over = size[at] == step
+                there = over & final[state]
+                found[at[there]] = ordinal[there]
+                at, state, ordinal = at[~over], state[~over], ordinal[~over]
+                key = state * 256 + letters[start[at] + step]
+                arc = np.searchsorted(keys, key)
+                on = keys[arc] == key
+                arc = arc[on]
+                at, state, ordinal, step = at[on], target[arc], ordinal[on] + number[arc], step + 1
+            out += [self.ids[self.offset[n] : self.offset[n + 1]].tobytes() if n >= 0 else None for n in found.tolist()]
+        return out
+
     @staticmethod
     def build(words: Iterable[bytes], outputs: Iterable[bytes], path: str) -> None:
         """Writes the automaton of distinct ``words`` in ascending order, each with its ids.
@@ -335,36 +450,74 @@ def _words(bpe_path: str, lexicon: str) -> Words:
 
 
 class Words(dict):
-    """Ids of each word as bytes: remembered, else from the automaton, else merged."""
+    """Ids of each run without ASCII white space, as bytes: remembered, else of its words, from the automaton or merged.
+
+    What is remembered is set aside when it is too much, and taken back where it occurs again.
+    """
 
     def __init__(self, bpe: Bpe, lexicon: Lexicon | None):
         super().__init__()
         self.bpe, self.lexicon = bpe, lexicon
         self.unicode = Unicode(**(lexicon.classes if lexicon else unicode_classes()))
-
-    def __missing__(self, word: str) -> bytes:
-        if len(self) > REMEMBERED:
-            self.clear()
-        key = word.encode("utf-8", "surrogatepass")
-        out = self.lexicon.get(key) if self.lexicon else None
-        if out is None:
-            out = self.bpe.merge(key)
-        self[word] = out
+        self.aside: dict[bytes, bytes] = {}
+
+    def rows(self, texts: pa.Array) -> list[bytes]:
+        """Ids of each text; a null has none."""
+        texts = pc.fill_null(texts, "")
+        runs = pc.ascii_split_whitespace(texts)
+        coded = runs.flatten().cast(pa.large_binary() if pa.types.is_large_string(texts.type) else pa.binary()).dictionary_encode()
+        found = pa.array(self.lookup(coded.dictionary.to_pylist()), pa.large_binary())
+        at, held = joined(found.take(coded.indices), np.asarray(runs.value_lengths(), np.int64))
+        out = [bytes(held[a:b]) for a, b in zip(at, at[1:], strict=False)]
+        special = {i for s in self.bpe.special for i in np.flatnonzero(pc.match_substring(texts, s)).tolist()}
+        for i in special:
+            out[i] = self.encode(raw(texts.slice(i, 1))[0].decode("utf-8", "replace"))
         return out
 
     def encode(self, text: str) -> bytes:
         out = []
         for part, special in self.bpe.parts(text):
-            if special is not None:
-                out.append(np.array([special], "<u4").tobytes())
-            elif part:
-                out.append(b"".join(map(self.__getitem__, self.words(part))))
+            out += [pack("<I", special)] if special is not None else self.lookup(part.encode("utf-8", "surrogatepass").split())
         return b"".join(out)
 
-    def words(self, text: str) -> list[str]:
-        if self.unicode.unsettled(text):
-            return self.unicode.words(self.unicode.normal(text))
-        return self.bpe.words(self.bpe.normal(text))
+    def lookup(self, runs: list[bytes]) -> list[bytes]:
+        out = list(map(self.get, runs))
+        absent = [i for i, ids in enumerate(out) if ids is None]
+        for i in absent:
+            out[i] = self.aside.get(runs[i])
+        new = [i for i in absent if out[i] is None]
+        for i, ids in zip(new, self.fresh([runs[i] for i in new]), strict=True):
+            out[i] = ids
+        self.update((runs[i], out[i]) for i in absent if len(runs[i]) <= LONGEST)
+        if len(self) > REMEMBERED:
+            self.aside = dict(self)
+            self.clear()
+        return out
+
+    def fresh(self, runs: list[bytes]) -> list[bytes]:
+        """Ids of new runs, whose words are found for many runs at once."""
+        kinds: tuple[list[int], list[int], list[int]] = [], [], []
+        texts = ["" if r.isascii() else r.decode("utf-8", "replace") for r in runs]
+        for i, text in enumerate(texts):
+            kinds[0 if not text else 1 + self.unicode.unsettled(text)].append(i)
+        plain, settled, unsettled = kinds
+        words = [self.bpe.ascii_between(b" ".join([runs[i] for i in plain]).lower())]
+        words.append([w.encode("utf-8", "surrogatepass") for w in self.bpe.words_between(self.bpe.normal(" ".join([texts[i] for i in settled])))])
+        words.append([w.encode("utf-8", "surrogatepass") for i in unsettled for w in (*self.unicode.words(self.unicode.normal(texts[i])), " ")][:-1])
+        ids = self.of_words(list(set(chain.from_iterable(words)) - {b" "}))
+        ids[b" "] = _BETWEEN
+        out = [b""] * len(runs)
+        for places, found in zip(kinds, words, strict=True):
+            if places:
+                for i, x in zip(places, b"".join(map(ids.__getitem__, found)).split(_BETWEEN), strict=True):
+                    out[i] = x
+        return out
+
+    def of_words(self, words: list[bytes]) -> dict[bytes, bytes]:
+        found = dict(zip(words, self.lexicon.get_all(words), strict=True)) if self.lexicon else dict.fromkeys(words)
+        rest = [w for w, ids in found.items() if ids is None]
+        found.update(zip(rest, self.bpe.merge_all(rest), strict=True))
+        return found
 
 
 def frequent_words(docs: DataFrame, bpe_path: str, text: str, size: int = LEXICON) -> list[bytes]:
@@ -381,7 +534,7 @@ def frequent_words(docs: DataFrame, bpe_path: str, text: str, size: int = LEXICO
         def flush() -> pa.RecordBatch:
             found: Counter = Counter()
             for chunk, n in count.items():  # runs between white space, in which words are found once for all
-                for w in bpe.words(bpe.normal(chunk.decode("utf-8", "replace"))):
+                for w in (chunk.decode(),) if chunk.isalpha() else bpe.words(bpe.normal(chunk.decode("utf-8", "replace"))):
                     if len(w) <= LONGEST:
                         found[w] += n
             count.clear()
@@ -427,9 +580,8 @@ def encoded(text: Column, lexicon: str, bpe_path: str) -> Column:
         path = _shipped(bpe_path)
         bpe, words = _bpe(path), _words(path, lexicon)
         for column in batches:
-            ids = [words.encode((t or b"").decode("utf-8", "replace")) for t in raw(column)]
-            texts = [bpe.decode(np.frombuffer(x, "<u4")) for x in ids]
-            yield pa.StructArray.from_arrays([pa.array(ids, pa.binary()), pa.array(texts, pa.binary())], ["ids", "decoded"])
+            ids = words.rows(column)
+            yield pa.StructArray.from_arrays([pa.array(ids, pa.binary()), pa.array(bpe.decode(ids), pa.binary())], ["ids", "decoded"])
 
     return of(text.cast("string"))
 

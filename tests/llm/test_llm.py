@@ -8,6 +8,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -571,6 +572,38 @@ def test_bpe_equals_the_library_on_code_points_new_and_old():
     assert not words.unicode.unsettled("é 中文 \U0001f44d") and words.unicode.unsettled("\u1c89")
 
 
+def test_bpe_of_batches_equals_the_library_and_merges_a_word_once(monkeypatch, tmp_path):
+    tokenizers = pytest.importorskip("tokenizers")
+    library, bpe, rng = tokenizers.Tokenizer.from_file(queries.vocabulary()), word_bpe.Bpe(queries.vocabulary()), random.Random(8)
+    known = sorted({w.encode() for w in ("the", "then", "é", "don", "'t", "!", *words(rng, 30))})
+    word_bpe.Lexicon.build(known, map(bpe.merge, known), str(tmp_path / "lex"))
+    lexicon = word_bpe.Lexicon(str(tmp_path / "lex"))
+    assert lexicon.get_all([*known, b"", b"th", b"thex", b"zz", b"\xff"]) == [*map(bpe.merge, known), *[None] * 5]
+    some = [bytes(rng.choice(b"abet'\xc3\xa9!") for _ in range(rng.randrange(1, 60))) for _ in range(5000)]
+    assert bpe.merge_all(some) == list(map(bpe.merge, some))
+
+    monkeypatch.setattr(word_bpe, "REMEMBERED", 300)
+    merged, merge_all = Counter(), bpe.merge_all
+    monkeypatch.setattr(bpe, "merge_all", lambda ws: merged.update(ws) or merge_all(ws))
+    letters = "aeéÉ̖İΣσς'stTld1٣½.!-_ \n\t\x0b\x1c\x85　 Ᲊ\U00010d50中\U0001f44dÅÅ"
+    for batch in range(40):
+        texts = [None, "", " ", "\ń e ́x", "Unseenbefore, (unseenbefore) UNSEENBEFORE!", "a<|endoftext|>B's\n<|startoftext|> ́<|endoftext|>"]
+        texts += ["".join(rng.choice(letters) for _ in range(rng.randrange(30))) for _ in range(60)]
+        texts += [" ".join(rng.choice(("the", "Then", "don't", "l'été", "x" * rng.randrange(1, 200), str(rng.random()))) for _ in range(rng.randrange(40))) for _ in range(20)]
+        if not batch:
+            held = word_bpe.Words(bpe, lexicon)
+        ids = held.rows(pa.array([None, *texts], rng.choice((pa.string(), pa.large_string())))[1:])
+        for text, found, decoded in zip(texts, ids, bpe.decode(ids), strict=True):
+            want = library.encode(text or "", add_special_tokens=False).ids
+            assert np.frombuffer(found, "<u4").tolist() == want, ascii(text)
+            assert decoded.decode() == library.decode(want, skip_special_tokens=False), ascii(text)
+    assert merged[b"unseenbefore"] == 1 and merged[b"the"] == 0 and len(held) + len(held.aside) < 2_000
+    broken = [b"a\xe4\xb8 \xe4\xb8\xad\xff\xe4", b"\x80 \xc3", b"caf\xc3 <|endoftext|>\xe9"]
+    for raw, found in zip(broken, held.rows(pa.array(broken).view(pa.string())), strict=True):
+        assert np.frombuffer(found, "<u4").tolist() == library.encode(raw.decode("utf-8", "replace"), add_special_tokens=False).ids, raw
+    assert bpe.decode([]) == held.rows(pa.array([], pa.string())) == []
+
+
 def test_other_vocabulary_files_are_refused(tmp_path):
     with open(queries.vocabulary(), encoding="utf-8") as f:
         spec = json.load(f)
