@@ -6,9 +6,10 @@ into a minimal acyclic automaton whose words with equal endings share states. Nu
 word's ordinal, which points to its ids. The automaton is written once, handed to the executors as a file and
 memory-mapped there by their workers. Words outside it are merged exactly, so results never depend on it.
 
-A batch of texts is cut at ASCII white space. No word, composed letter or small letter depends on what stands beyond it, so
-each distinct run in between is looked up once for the batch. Runs are remembered with their ids; those that are new are
-normalised and cut into words, which go through the automaton, or are merged, side by side.
+Texts are taken in pieces of bounded bytes and cut at ASCII white space. No word, composed letter or small letter depends on
+what stands beyond it, so each distinct run in between is looked up once for the piece. Runs are remembered with their ids,
+within a bound in bytes; those that are new are normalised and cut into words, which go through the automaton, or are merged,
+side by side.
 
 Letters, numbers, lower case and NFC are those of the tokenizers library, whose Unicode version is not Python's: where
 the two classify a code point differently (``Unicode``), a text that holds one is normalised by the library's normalisers
@@ -52,8 +53,12 @@ LEXICON, LONGEST = 100_000, 64
 _NEVER = (1 << 60, -1)
 #: No id, and no part of two: ids have less than 24 bits.
 _BETWEEN = b"\xff" * 4
-#: Runs that a task counts before it hands the counts on, and that a worker remembers, twice over at most.
-HELD, REMEMBERED = 500_000, 500_000
+#: Bytes of runs that a task counts before it hands the counts on, and that a worker remembers with their ids, twice over at most.
+HELD, REMEMBERED = 32 << 20, 24 << 20
+#: What a run in a dictionary takes beside its letters and ids: the heads of two objects, and its place.
+PLACE = 130
+#: Bytes of text that are cut and encoded at a time; a longer text is a piece of its own.
+PIECE = 2 << 20
 #: Words that go through the automaton, or are merged, side by side: what they take fits a processor's cache.
 ABREAST = 2048
 _WHITE = "\t-\r\x20\x85\xa0  -     　"
@@ -138,6 +143,23 @@ def joined(values: pa.Array, counts: np.ndarray) -> tuple[list[int], memoryview]
     return at, memoryview(held or b"")
 
 
+def pieces(texts: pa.Array) -> Iterator[pa.Array]:
+    """The texts in slices of at most ``PIECE`` bytes, or of one text."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < len(texts):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PIECE, "right")))
+        yield texts.slice(at, to - at)
+        at = to
+
+
+def runs_of(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """All runs between ASCII white space, one text's after another's, and how many each text has."""
+    runs = pc.ascii_split_whitespace(texts)
+    coded = runs.flatten().cast(pa.large_binary() if pa.types.is_large_string(texts.type) else pa.binary()).dictionary_encode()
+    return coded, np.asarray(runs.value_lengths(), np.int64)
+
+
 class Unicode:
     """The library's view of texts that hold a code point on which it and Python disagree."""
 
@@ -452,7 +474,7 @@ def _words(bpe_path: str, lexicon: str) -> Words:
 class Words(dict):
     """Ids of each run without ASCII white space, as bytes: remembered, else of its words, from the automaton or merged.
 
-    What is remembered is set aside when it is too much, and taken back where it occurs again.
+    What is remembered is set aside after a piece when it is too much, and taken back where it occurs again.
     """
 
     def __init__(self, bpe: Bpe, lexicon: Lexicon | None):
@@ -460,18 +482,23 @@ class Words(dict):
         self.bpe, self.lexicon = bpe, lexicon
         self.unicode = Unicode(**(lexicon.classes if lexicon else unicode_classes()))
         self.aside: dict[bytes, bytes] = {}
+        self.held = 0
 
     def rows(self, texts: pa.Array) -> list[bytes]:
         """Ids of each text; a null has none."""
         texts = pc.fill_null(texts, "")
-        runs = pc.ascii_split_whitespace(texts)
-        coded = runs.flatten().cast(pa.large_binary() if pa.types.is_large_string(texts.type) else pa.binary()).dictionary_encode()
+        coded, counts = runs_of(texts)
         found = pa.array(self.lookup(coded.dictionary.to_pylist()), pa.large_binary())
-        at, held = joined(found.take(coded.indices), np.asarray(runs.value_lengths(), np.int64))
+        at, held = joined(found.take(coded.indices), counts)
         out = [bytes(held[a:b]) for a, b in zip(at, at[1:], strict=False)]
         special = {i for s in self.bpe.special for i in np.flatnonzero(pc.match_substring(texts, s)).tolist()}
         for i in special:
             out[i] = self.encode(raw(texts.slice(i, 1))[0].decode("utf-8", "replace"))
+        if self.held > REMEMBERED:
+            self.aside.clear()
+            self.aside.update(self)
+            self.clear()
+            self.held = 0
         return out
 
     def encode(self, text: str) -> bytes:
@@ -488,10 +515,11 @@ class Words(dict):
         new = [i for i in absent if out[i] is None]
         for i, ids in zip(new, self.fresh([runs[i] for i in new]), strict=True):
             out[i] = ids
-        self.update((runs[i], out[i]) for i in absent if len(runs[i]) <= LONGEST)
-        if len(self) > REMEMBERED:
-            self.aside = dict(self)
-            self.clear()
+        for i in absent:
+            run, ids = runs[i], out[i]
+            if len(run) <= LONGEST:
+                self[run] = ids
+                self.held += len(run) + len(ids) + PLACE
         return out
 
     def fresh(self, runs: list[bytes]) -> list[bytes]:
@@ -520,6 +548,34 @@ class Words(dict):
         return found
 
 
+def counts(columns: Iterable[pa.Array], bpe: Bpe) -> Iterator[pa.RecordBatch]:
+    """Words and how often they occur; a word has a row each time that the counted runs take ``HELD`` bytes, and at the end."""
+    count: dict[bytes, int] = {}
+    held = 0
+
+    def flush() -> pa.RecordBatch:
+        found: Counter = Counter()
+        while count:  # runs between white space, in which words are found once for all
+            chunk, n = count.popitem()
+            for w in (chunk.decode(),) if chunk.isalpha() else bpe.words(bpe.normal(chunk.decode("utf-8", "replace"))):
+                if len(w) <= LONGEST:
+                    found[w] += n
+        return pa.RecordBatch.from_pydict({"w": pa.array([w.encode() for w in found], pa.binary()), "n": pa.array(list(found.values()), pa.int64())})
+
+    for texts in chain.from_iterable(map(pieces, columns)):
+        coded, _ = runs_of(pc.ascii_lower(pc.fill_null(texts, "")))
+        for run, n in zip(coded.dictionary.to_pylist(), np.bincount(coded.indices, minlength=len(coded.dictionary)).tolist(), strict=True):
+            if run in count:
+                count[run] += n
+                continue
+            count[run] = n
+            held += len(run) + PLACE
+            if held > HELD:
+                yield flush()
+                held = 0
+    yield flush()
+
+
 def frequent_words(docs: DataFrame, bpe_path: str, text: str, size: int = LEXICON) -> list[bytes]:
     """The most frequent words of the whole corpus, at most ``size`` of them, in ascending order.
 
@@ -529,23 +585,7 @@ def frequent_words(docs: DataFrame, bpe_path: str, text: str, size: int = LEXICO
     docs.sparkSession.sparkContext.addFile(bpe_path)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, count = _bpe(_shipped(bpe_path)), Counter()
-
-        def flush() -> pa.RecordBatch:
-            found: Counter = Counter()
-            for chunk, n in count.items():  # runs between white space, in which words are found once for all
-                for w in (chunk.decode(),) if chunk.isalpha() else bpe.words(bpe.normal(chunk.decode("utf-8", "replace"))):
-                    if len(w) <= LONGEST:
-                        found[w] += n
-            count.clear()
-            return pa.RecordBatch.from_pydict({"w": pa.array([w.encode() for w in found], pa.binary()), "n": pa.array(list(found.values()), pa.int64())})
-
-        for b in batches:
-            for t in raw(b["_t"]):
-                count.update((t or b"").lower().split())
-                if len(count) >= HELD:
-                    yield flush()
-        yield flush()
+        return counts((b["_t"] for b in batches), _bpe(_shipped(bpe_path)))
 
     small_batches(docs.sparkSession)
     words = docs.select(F.col(text).cast("string").alias("_t")).mapInArrow(counted, "w binary, n long").groupBy("w").agg(F.sum("n").alias("n"))
@@ -580,8 +620,9 @@ def encoded(text: Column, lexicon: str, bpe_path: str) -> Column:
         path = _shipped(bpe_path)
         bpe, words = _bpe(path), _words(path, lexicon)
         for column in batches:
-            ids = words.rows(column)
-            yield pa.StructArray.from_arrays([pa.array(ids, pa.binary()), pa.array(bpe.decode(ids), pa.binary())], ["ids", "decoded"])
+            for texts in pieces(column):
+                ids = words.rows(texts)
+                yield pa.StructArray.from_arrays([pa.array(ids, pa.binary()), pa.array(bpe.decode(ids), pa.binary())], ["ids", "decoded"])
 
     return of(text.cast("string"))
 

@@ -5,7 +5,9 @@ import json
 import math
 import random
 import re
+import sys
 from collections import Counter
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -604,6 +606,45 @@ def test_bpe_of_batches_equals_the_library_and_merges_a_word_once(monkeypatch, t
     assert bpe.decode([]) == held.rows(pa.array([], pa.string())) == []
 
 
+def test_bpe_remembers_and_counts_within_bytes(monkeypatch):
+    bpe, rng = word_bpe.Bpe(queries.vocabulary()), random.Random(5)
+    monkeypatch.setattr(word_bpe, "REMEMBERED", 100_000)
+    monkeypatch.setattr(word_bpe, "HELD", 100_000, raising=False)
+    held, most = word_bpe.Words(bpe, None), 0
+    some = [bytes(rng.choice(b"abcdefgh,;") for _ in range(60)) for _ in range(4000)]
+    for k in range(0, 4000, 500):
+        few = some[max(0, k - 100) : k + 500]
+        assert held.rows(pa.array([run.decode() for run in few])) == [b"".join(map(bpe.merge, bpe.ascii_between(run))) for run in few]
+        most = max(most, sum(map(sys.getsizeof, chain(held, held.values(), held.aside, held.aside.values()))))
+    assert most < 2 * 100_000 + 2 * 600 * 350  # and twice the runs of a piece; all runs are over 700_000
+
+    texts = [None, "", "The the THE, don't", *(" ".join(x.decode() for x in some[k : k + 50]) for k in range(0, 4000, 50)), "the " * 1000]
+    want = Counter(w for t in texts for run in (t or "").lower().split() for w in bpe.words(bpe.normal(run)))
+    got, rows = Counter(), 0
+    for batch in word_bpe.counts([pa.array(texts[:40]), pa.array([], pa.string()), pa.array(texts[39:])[1:]], bpe):
+        rows = max(rows, batch.num_rows)
+        for w, n in zip(*batch.to_pydict().values(), strict=True):
+            got[w.decode()] += n
+    assert got == want and 10_000 < rows + len(want) and rows < len(want) / 2
+
+
+def test_bpe_takes_a_batch_in_pieces(spark, monkeypatch):
+    tokenizers = pytest.importorskip("tokenizers")
+    library, rng = tokenizers.Tokenizer.from_file(queries.vocabulary()), random.Random(6)
+    texts = [None, "", *(" ".join(words(rng, 150_000, 10**4)) for _ in range(3)), None, "é, end <|endoftext|>", ""]
+    ids = [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    for r in word_bpe.roundtrip(rows, queries.vocabulary()).collect():
+        assert r["ids_sha256"] == hashlib.sha256(np.array(ids[r["doc_id"]], "<u4").tobytes()).hexdigest()
+        assert r["decoded_sha256"] == hashlib.sha256(library.decode(ids[r["doc_id"]], skip_special_tokens=False).encode()).hexdigest()
+    for size in (1, 1 << 20, 1 << 30):
+        monkeypatch.setattr(word_bpe, "PIECE", size)
+        for given in (pa.array(texts), pa.array(texts, pa.large_string())[1:], pa.array([None, None], pa.string()), pa.array([], pa.string())):
+            cut = list(word_bpe.pieces(given))
+            assert pa.chunked_array(cut, given.type).to_pylist() == given.to_pylist() and all(map(len, cut))
+            assert all(len(x) == 1 or sum(len((t or "").encode()) for t in x.to_pylist()) <= size for x in cut)
+
+
 def test_other_vocabulary_files_are_refused(tmp_path):
     with open(queries.vocabulary(), encoding="utf-8") as f:
         spec = json.load(f)
