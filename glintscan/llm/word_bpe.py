@@ -585,7 +585,8 @@ def frequent_words(docs: DataFrame, bpe_path: str, text: str, size: int = LEXICO
     docs.sparkSession.sparkContext.addFile(bpe_path)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return counts((b["_t"] for b in batches), _bpe(_shipped(bpe_path)))
+        yield from counts((b["_t"] for b in batches), _bpe(_shipped(bpe_path)))
+        pa.default_memory_pool().release_unused()
 
     small_batches(docs.sparkSession)
     words = docs.select(F.col(text).cast("string").alias("_t")).mapInArrow(counted, "w binary, n long").groupBy("w").agg(F.sum("n").alias("n"))
@@ -623,6 +624,7 @@ def encoded(text: Column, lexicon: str, bpe_path: str) -> Column:
             for texts in pieces(column):
                 ids = words.rows(texts)
                 yield pa.StructArray.from_arrays([pa.array(ids, pa.binary()), pa.array(bpe.decode(ids), pa.binary())], ["ids", "decoded"])
+        pa.default_memory_pool().release_unused()  # the worker waits for other tasks with what it remembers alone
 
     return of(text.cast("string"))
 
