@@ -481,6 +481,14 @@ def test_cache(spark):
     assert cache.refreshed(first, two).count() == 5
 
 
+def test_cache_of_pages_that_share_an_address(spark, tmp_path):
+    from glintscan.plans import queries
+
+    spark.createDataFrame([(3, "u", "a"), (8, "u", "b"), (13, None, "c")], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = Counter(map(tuple, queries.cache_rounds(spark, str(tmp_path)).collect()))
+    assert got == Counter((n, url, hashlib.sha256(f"0{html}".encode()).hexdigest(), n > 0) for n in range(3) for url, html in (("u", "a"), ("u", "b"), (None, "c")))
+
+
 def test_ignore_tables_are_the_lists_of_conditions(spark):
     rng = random.Random(9)
     rules = [Rule(f"p{k % 3}.r{k}", "n", "p", "t", "low", "x") for k in range(9)]
