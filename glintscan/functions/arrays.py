@@ -11,6 +11,11 @@ from pyspark.sql import functions as F
 PIECE = 256
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """What ``use`` makes of a value; inside lambda functions, all that is named twice is computed twice unless it is bound so."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def running(items: Column, state: Column, kind: str, advance: Callable[[Column, Column], Column], emit: Callable[[Column, Column], Column]) -> Column:
     """For each item, in order, what ``emit`` makes of the state before it and of the item; ``advance`` gives the next state."""
     none = f"cast(array() as array<{kind}>)"

@@ -529,6 +529,26 @@ def test_unknown_is_the_plain_anti_join(spark, monkeypatch):
     assert "_maybe" in maybe or "getbit" in maybe.lower()
 
 
+def test_what_a_match_needs_is_computed_once(spark):
+    keys = [r for r in catalog.built_in() if r.id in ("aws.access_key_id", "legacy:Aws Api Key")]
+    rows = scan.assess(docs(spark, ("s", f"'{KEY}'"), ("t", f"'{KEY}' // example '{KEY}'"), ("u", f"'{KEY}' {KEY[:-2]}'{KEY}'")), keys)
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    # once in the plan; lambda functions repeat what is named twice in them
+    assert plan.count("LOG2") == 1 and plan.count("lower(") <= 4 and len(plan) < 25_000
+    told = Counter((r["source"], r["kind"], r["start"], r["drop_reason"]) for r in rows.collect())
+    assert told == Counter((s, kind, start, "covered" if kind == "legacy" else None) for s, at in (("s", [1]), ("t", [1]), ("u", [1, 42])) for start in at for kind in ("registry", "legacy"))
+
+
+def test_context_is_cut_by_bytes(spark):
+    body = "é" * 150 + " token ab123 " + "😀" * 30 + " token cd456 x" + "é" * 60
+    rule = Rule("x.token", "X", "X", "token", "high", r"token ([a-z0-9]+)", group=1, prior=0.9, kind="external")
+    raw = body.encode()
+    for r in scan.matches(docs(spark, ("s", body)), [rule], comments=True).select("value", "start", F.hex("before").alias("b"), F.hex("after").alias("a"), F.hex("context").alias("c")).collect():
+        end = r["start"] + len(r["value"])
+        assert (bytes.fromhex(r["b"]), bytes.fromhex(r["a"])) == (raw[max(0, r["start"] - 200) : r["start"]], raw[end : end + 96])
+        assert bytes.fromhex(r["c"]) == raw[max(0, r["start"] - 96) : end + 96]
+
+
 def test_counters_of_the_same_job(spark):
     rule = Rule("x.token", "X", "X", "token", "high", r"token ([ab0-9]+)", group=1, prior=0.9, min_len=4, kind="external")
     rows = scan.assess(docs(spark, ("s", "token a123 token b1 token a123"), ("t", "token b777 // example"), ("u", None)), [rule], comments=True)
